@@ -9,21 +9,22 @@ Encodings of short pieces are remembered per worker up to a fixed number, since
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.charclass import LETTER, NUMBER, SPACE, as_ranges, classes
+from plumbline.llm.bytewords import span_hashes
+from plumbline.llm.charclass import SPACE, classes
 
-_NONE = 1 << 62
-_REMEMBERED, _SHORT = 300_000, 48
+_NONE, _FAR = 1 << 62, 1 << 40
+#: Pieces remembered, bytes of those whose trees are stepped together, and bytes of text encoded together.
+_REMEMBERED, _SHORT, _TOGETHER = 800_000, 64, 2_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -90,69 +91,315 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ids)
 
 
-@functools.cache
-def unlike() -> np.ndarray:
-    """The code points whose class in the regex module is not that of charclass."""
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-    theirs = np.zeros(0x110000, np.uint8)
-    for kind, name in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        theirs[[ord(c) for c in regex.findall(name, every)]] = kind
-    return theirs != classes()
-
-
-class _Pieces(dict):
-    """Encodings of pieces met so far; long pieces are not remembered, and a full memory starts anew."""
+class PairRanks:
+    """Ranks of token pairs for whole arrays: a hash table with linear probing over (left id, right id)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = encode_piece(piece.encode(), self.ranks)
-        if len(piece) <= _SHORT:
-            if len(self) >= _REMEMBERED:
-                self.clear()
-            self[piece] = ids
-        return ids
+        found = [
+            (ranks[token[:cut]] << 20 | ranks[token[cut:]], rank)
+            for token, rank in ranks.items()
+            for cut in range(1, len(token))
+            if token[:cut] in ranks and token[cut:] in ranks
+        ]
+        self.bits = max(4, (4 * len(found) + 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, _FAR, np.int64)
+        keys = np.array([k for k, _ in found], np.int64)
+        values = np.array([r for _, r in found], np.int64)
+        at = self._slot(keys)
+        waiting = np.arange(len(keys))
+        while len(waiting):
+            slot = at[waiting]
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[waiting[free]]  # of equal slots the last writer stays
+            won = free & (self.keys[slot] == keys[waiting])
+            self.ranks[slot[won]] = values[waiting[won]]
+            waiting = waiting[~won]
+            at[waiting] = (at[waiting] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 20 | right
+        slot = self._slot(keys)
+        out = np.full(len(keys), _FAR, np.int64)
+        seen = self.keys[slot]
+        hit = seen == keys
+        out[hit] = self.ranks[slot[hit]]
+        look = np.flatnonzero(~hit & (seen >= 0))
+        while len(look):
+            slot[look] = (slot[look] + 1) & ((1 << self.bits) - 1)
+            seen = self.keys[slot[look]]
+            hit = seen == keys[look]
+            out[look[hit]] = self.ranks[slot[look[hit]]]
+            look = look[~hit & (seen >= 0)]
+        return out
+
+
+def encode_forest(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks) -> list[tuple[int, ...]]:
+    """As encode_piece for each of many short pieces: one segment tree a piece, all stepped together.
+
+    Level 0 of the trees is the root; a step takes the root's leftmost minimum of every live piece, merges
+    there and updates three leaves and the nodes above them.
+    """
+    size = 1
+    while size < max(map(len, pieces)):
+        size *= 2
+    m, levels = len(pieces), size.bit_length() - 1
+    lengths = np.fromiter(map(len, pieces), np.int64, m)
+    padded = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in pieces), np.uint8).reshape(m, size)
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    ids = single[padded]
+    column = np.arange(size)
+    following = np.tile(column + 1, (m, 1))
+    before = np.tile(column - 1, (m, 1))
+    tree = np.full((m, 2 * size), _NONE, np.int64)
+    if size > 1:
+        rank = pairs.of(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(m, size - 1)
+        rank[column[1:] >= lengths[:, None]] = _FAR
+        tree[:, size : 2 * size - 1] = np.where(rank < _FAR, rank * size + column[:-1], _NONE)
+    for level in range(levels - 1, -1, -1):
+        lo = 1 << level
+        below = tree[:, 2 * lo : 4 * lo]
+        tree[:, lo : 2 * lo] = np.minimum(below[:, ::2], below[:, 1::2])
+
+    def put(rows: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
+        node = leaf + size
+        tree[rows, node] = value
+        for _ in range(levels):
+            node = node >> 1
+            tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
+
+    def pair(rows: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        j = following[rows, leaf]
+        inside = j < lengths[rows]
+        value = np.full(len(rows), _NONE, np.int64)
+        rank = pairs.of(ids[rows[inside], leaf[inside]], ids[rows[inside], j[inside]])
+        value[inside] = np.where(rank < _FAR, rank * size + leaf[inside], _NONE)
+        return value
+
+    live = np.flatnonzero(tree[:, 1] < _NONE)
+    gone = np.zeros((m, size), bool)
+    while len(live):
+        rank, i = np.divmod(tree[live, 1], size)
+        j = following[live, i]
+        k = following[live, j]
+        ids[live, i] = rank
+        gone[live, j] = True
+        following[live, i] = k
+        more = k < size
+        before[live[more], k[more]] = i[more]
+        put(live, j, np.full(len(live), _NONE, np.int64))
+        put(live, i, pair(live, i))
+        left = before[live, i]
+        has = left >= 0
+        put(live[has], left[has], pair(live[has], left[has]))
+        live = live[tree[live, 1] < _NONE]
+    keep = ~gone & (column < lengths[:, None])
+    flat = ids[keep].tolist()
+    ends = np.cumsum(keep.sum(axis=1)).tolist()
+    out, start = [], 0
+    for piece, end in zip(pieces, ends, strict=True):
+        whole = ranks.get(piece)
+        out.append(tuple(flat[start:end]) if whole is None else (whole,))
+        start = end
+    return out
+
+
+def piece_starts(points: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
+    """Which code points begin a piece of the pattern in SPLIT_RULES, over texts joined at doc_starts."""
+    n = len(points)
+    kind = classes()[points]
+    space = kind == SPACE
+    first = np.zeros(n + 1, bool)
+    first[doc_starts] = True
+    first[n] = True
+    last = first[1:]
+    first = first[:n]
+    previous = np.empty(n, np.uint8)
+    previous[0] = SPACE
+    previous[1:] = kind[:-1]
+    blank = points == 0x20
+    after_blank = np.zeros(n, bool)
+    after_blank[1:] = blank[:-1]
+    after_blank &= ~first
+    next_space = np.ones(n, bool)
+    next_space[:-1] = space[1:]
+    # A run of white space is a piece but for its last character, which stands alone or leads the run after it.
+    start = space & (first | (previous != SPACE) | (~next_space & ~last))
+    run = ~space & (first | (previous != kind))
+    start |= run & ~after_blank
+    quote = np.flatnonzero(run & ~after_blank & (points == 0x27))
+    for ends in CONTRACTIONS:
+        k = len(ends)
+        at = quote[quote + k < n]
+        for j, c in enumerate(ends, 1):
+            at = at[(points[at + j] == ord(c)) & ~first[at + j]]
+        start[at + 1] = False
+        beyond = at + k + 1
+        start[beyond[beyond < n]] = True
+    return start
+
+
+# The pattern that piece_starts follows, and what may follow an apostrophe in it.
+SPLIT_RULES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+
+
+def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Indices of the concatenated spans."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(total)
 
 
 class ByteBpe:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file.
+
+    Encodings are remembered by the 64-bit hash of a piece, in three flat arrays and a dictionary; a full
+    memory starts anew, so it is bounded whatever the texts hold.
+    """
 
     def __init__(self, raw: bytes, pattern: str):
-        ranks = parse_ranks(raw)
-        self.pieces = _Pieces(ranks)
-        size = max(ranks.values(), default=-1) + 1
-        self.tokens: list[bytes] = [b""] * size
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.decimals = [str(i) for i in range(size)]
-        self.split = regex.compile(pattern)
-        self.pattern = pattern
-        self.exact = None
-
-    def splitter(self, raw: bytes):
-        """The pattern itself, or, for a text with characters that the regex module classes otherwise than the
-        tokenizer libraries do, the pattern with the libraries' classes spelled out. All of those lie beyond U+0540."""
-        if raw.isascii() or max(raw) < 0xD5:
-            return self.split
-        if not unlike()[np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)].any():
-            return self.split
-        if self.exact is None:
-            named = {k: "".join(f"\\U{lo:08x}-\\U{hi:08x}" for lo, hi in as_ranges(c)) for k, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER))}
-            exact = self.pattern
-            for name, chars in named.items():
-                exact = exact.replace(f"[^\\s\\p{{L}}\\p{{N}}]", f"[^\\s{named[chr(92) + 'p{L}']}{named[chr(92) + 'p{N}']}]").replace(name, f"[{chars}]")
-            self.exact = regex.compile(exact)
-        return self.exact
-
-    def encode(self, raw: bytes) -> list[int]:
-        """Token ids of UTF-8 text."""
-        found = self.splitter(raw).findall(raw.decode("utf-8", "replace"))
-        return list(chain.from_iterable(map(self.pieces.__getitem__, found)))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        if pattern != SPLIT_RULES:
+            raise ValueError("only the byte-level pattern in SPLIT_RULES is supported")
+        self.ranks = parse_ranks(raw)
+        self.pairs = PairRanks(self.ranks)
+        size = max(self.ranks.values(), default=-1) + 1
+        tokens = [b""] * size
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_length = np.fromiter(map(len, tokens), np.int64, size)
+        self.token_start = np.cumsum(self.token_length) - self.token_length
+        named = [b"%d," % i for i in range(size)]
+        self.name_length = np.fromiter(map(len, named), np.int64, size)
+        width = int(self.name_length.max(initial=1))
+        self.names = np.frombuffer(b"".join(x.ljust(width) for x in named), np.uint8).reshape(size, width)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.begin = np.zeros(1 << 14, np.int64)
+        self.count = np.zeros(1 << 14, np.int64)
+        self.filled = 0
+
+    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+        by_size: dict[int, list[int]] = {}
+        ids: list[tuple[int, ...]] = [()] * len(pieces)
+        for k, piece in enumerate(pieces):
+            if len(piece) <= _SHORT:
+                by_size.setdefault((len(piece) - 1).bit_length(), []).append(k)
+            else:
+                ids[k] = encode_piece(piece, self.ranks)
+        for same in by_size.values():
+            for at in range(0, len(same), 8192):
+                part = same[at : at + 8192]
+                for k, found in zip(part, encode_forest([pieces[k] for k in part], self.ranks, self.pairs), strict=True):
+                    ids[k] = found
+        new = np.fromiter(chain.from_iterable(ids), np.int32)
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        n, m = len(self.slots), len(ids)
+        while len(self.flat) < self.filled + len(new):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.begin) < n + m:
+            self.begin = np.concatenate((self.begin, np.zeros_like(self.begin)))
+            self.count = np.concatenate((self.count, np.zeros_like(self.count)))
+        self.flat[self.filled : self.filled + len(new)] = new
+        self.begin[n : n + m] = self.filled + np.cumsum(counts) - counts
+        self.count[n : n + m] = counts
+        self.filled += len(new)
+        self.slots.update(zip(hashes, range(n, n + m), strict=True))
+
+    def encode_block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of texts one after the other, and the n + 1 places where each text's ids begin."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        bounds = np.concatenate(([0], np.cumsum(sizes)))
+        joined = b"".join(texts)
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        points = np.frombuffer(joined.decode().encode("utf-32-le"), np.uint32)
+        lead = np.flatnonzero((raw & 0xC0) != 0x80)
+        doc_at = bounds[:-1][sizes > 0]
+        first = lead[piece_starts(points, np.searchsorted(lead, doc_at))]
+        end = np.append(first[1:], len(raw))
+        hashes, where, which = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
+        if len(self.slots) > _REMEMBERED or self.filled > 8 * _REMEMBERED:
+            self._forget()
+        keys = hashes.tolist()
+        slot = list(map(self.slots.get, keys))
+        new = [k for k, s in enumerate(slot) if s is None]
+        if new:
+            self._learn([keys[k] for k in new], [joined[first[where[k]] : end[where[k]]] for k in new])
+            slot = list(map(self.slots.get, keys))
+        slots = np.array(slot, np.int64)[which]
+        counts = self.count[slots]
+        ids = self.flat[gathered(self.begin[slots], counts)]
+        total = np.concatenate(([0], np.cumsum(counts)))
+        return ids, total[np.searchsorted(first, bounds)]
+
+    def decode_block(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of ids one after the other, and the n + 1 places where each text's bytes begin."""
+        length = self.token_length[ids]
+        out = self.token_bytes[gathered(self.token_start[ids], length)]
+        return out, np.concatenate(([0], np.cumsum(length)))[bounds]
+
+    def listed(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decimal ids, each with a comma after it, and the n + 1 places where each text's begin."""
+        length = self.name_length[ids]
+        out = self.names[ids][np.arange(self.names.shape[1]) < length[:, None]]
+        return out, np.concatenate(([0], np.cumsum(length)))[bounds]
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """Token ids of each UTF-8 text; some megabytes are encoded together and longer texts are cut where a piece surely begins."""
+        for held in blocks(texts):
+            if isinstance(held, bytes):
+                yield np.concatenate([self.encode_block([part])[0] for part in cut(held)])
+            else:
+                ids, bounds = self.encode_block(held)
+                yield from (ids[bounds[k] : bounds[k + 1]] for k in range(len(held)))
+
+    def encode(self, raw: bytes) -> np.ndarray:
+        return next(self.encode_all([raw]))
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.decode_block(ids, np.array([0, len(ids)]))[0].tobytes()
+
+
+def blocks(texts: Iterable[bytes]) -> Iterator[list[bytes] | bytes]:
+    """Lists of texts of some megabytes in all; a longer text comes by itself, not in a list."""
+    held, size = [], 0
+    for raw in texts:
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            raw = raw.decode("utf-8", "replace").encode()
+        if held and size + len(raw) > _TOGETHER:
+            yield held
+            held, size = [], 0
+        if len(raw) > _TOGETHER:
+            yield raw
+        else:
+            held.append(raw)
+            size += len(raw)
+    if held:
+        yield held
+
+
+def cut(raw: bytes) -> Iterator[bytes]:
+    """Parts of a long text: a blank after a letter or digit of ASCII begins a piece whatever stands around it."""
+    at = 0
+    for found in _CUT.finditer(raw):
+        if found.start() + 1 - at >= _TOGETHER:
+            yield raw[at : found.start() + 1]
+            at = found.start() + 1
+    yield raw[at:]
+
+
+_CUT = re.compile(rb"[0-9A-Za-z](?= )")
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
@@ -169,8 +416,9 @@ def loaded(raw: bytes, pattern: str) -> ByteBpe:
 
 def raw_texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 of each text; a null is empty."""
-    for value in column.cast(pa.binary() if not pa.types.is_large_string(column.type) else pa.large_binary()):
-        yield value.as_py() or b""
+    for at in range(0, len(column), 256):
+        for value in column.slice(at, 256).cast(pa.large_binary()).to_pylist():
+            yield value or b""
 
 
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ok boolean"
@@ -192,16 +440,25 @@ def encode_digests(spark: SparkSession, docs: DataFrame, vocabulary_path: str, p
 
     def run(batches):
         coder = loaded(ranks.value, pattern)
-        name = coder.decimals.__getitem__
+        sha = lambda part: hashlib.sha256(part).hexdigest()
         for batch in batches:
             counts, ids_out, decoded_out, ok = [], [], [], []
-            for raw in raw_texts(batch.column(1)):
-                ids = coder.encode(raw)
-                decoded = coder.decode(ids)
-                counts.append(len(ids))
-                ids_out.append(hashlib.sha256(",".join(map(name, ids)).encode()).hexdigest())
-                decoded_out.append(hashlib.sha256(decoded).hexdigest())
-                ok.append(decoded == raw)
+            for held in blocks(raw_texts(batch.column(1))):
+                if isinstance(held, bytes):
+                    held = [held]
+                    ids = coder.encode(held[0])
+                    bounds = np.array([0, len(ids)])
+                else:
+                    ids, bounds = coder.encode_block(held)
+                names, name_at = coder.listed(ids, bounds)
+                text, text_at = coder.decode_block(ids, bounds)
+                names, text = names.tobytes(), text.tobytes()
+                counts += np.diff(bounds).tolist()
+                for k, raw in enumerate(held):
+                    ids_out.append(sha(names[name_at[k] : max(name_at[k + 1] - 1, name_at[k])]))
+                    decoded = text[text_at[k] : text_at[k + 1]]
+                    decoded_out.append(sha(decoded))
+                    ok.append(decoded == raw)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_out, pa.string()), pa.array(decoded_out, pa.string()), pa.array(ok, pa.bool_())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ok"])
@@ -217,7 +474,7 @@ def encode_ids(spark: SparkSession, docs: DataFrame, vocabulary_path: str, patte
     def run(batches):
         coder = loaded(ranks.value, pattern)
         for batch in batches:
-            ids = [coder.encode(raw) for raw in raw_texts(batch.column(1))]
+            ids = list(coder.encode_all(raw_texts(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -231,7 +488,7 @@ def decode_ids(spark: SparkSession, encoded: DataFrame, vocabulary_path: str, pa
     def run(batches):
         coder = loaded(ranks.value, pattern)
         for batch in batches:
-            texts = [None if ids is None else coder.decode(ids).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else coder.decode(np.array(ids, np.int64)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     base = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))

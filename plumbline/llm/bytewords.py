@@ -67,6 +67,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base and of its inverse, or more."""
+    if not _POW or len(_POW[0]) < n:
+        size = max(n, CHUNK + 1)
+        _POW[:] = [_powers(_BASE, size), _powers(_BASE_INVERSE, size)]
+    return _POW[0], _POW[1]
+
+
+def span_hashes(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span of a block."""
+    n = len(buf)
+    up, down = powers(n + 1)
+    total = np.empty(n + 1, dtype=np.uint64)
+    total[0] = 0
+    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    return mix((total[end] - total[first]) * down[first])
+
+
 def _hash_block(buf: np.ndarray, starts_of_docs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first bytes and ends of the words of a block; no word spans a place in starts_of_docs."""
     n = len(buf)
@@ -84,13 +102,7 @@ def _hash_block(buf: np.ndarray, starts_of_docs: np.ndarray, table: np.ndarray)
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & ~(after & ~edge[1:])) + 1
-    if not _POW or len(_POW[0]) < n + 1:
-        size = max(n + 1, CHUNK + 1)
-        _POW[:] = [_powers(_BASE, size), _powers(_BASE_INVERSE, size)]
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _POW[0][:n], out=total[1:])
-    return mix((total[end] - total[first]) * _POW[1][first]), first, end
+    return span_hashes(low, first, end), first, end
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -35,10 +35,3 @@ def classes() -> np.ndarray:
         for lo, hi in ranges:
             out[lo : hi + 1] = kind
     return out
-
-
-def as_ranges(kind: int) -> list[tuple[int, int]]:
-    """The runs of code points of a class."""
-    at = np.flatnonzero(classes() == kind)
-    cut = np.flatnonzero(np.diff(at) != 1)
-    return list(zip(at[np.concatenate(([0], cut + 1))].tolist(), at[np.concatenate((cut, [len(at) - 1]))].tolist(), strict=True))
