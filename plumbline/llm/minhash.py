@@ -7,8 +7,10 @@ similarity s meets in some table with probability (1 - (1 - s^depth)^side)^2: 0.
 and side 12.
 
 Plan: equal shingle sets are collapsed first; sub-keys that only one set has are dropped before tables are
-keyed; in each table's bucket the members are compared with pivots of rising rank, never pairwise, and only
-while they are in other components than the pivot; each comparison is confirmed on full sets.
+keyed. Each bucket's members are compared with its first, their pivot, on full sets. Members that stay in
+different components are then compared where they share a shingle outside the pivot's set that every linked
+partner must share (or where the pivot's own shingles could do), so no link between members of a bucket is
+lost and no bucket is paired up.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from plumbline.llm.bytewords import SPACE_WORDS, buffers, mix, shingles, word_hashes
 from plumbline.llm.components import connected_components
@@ -140,48 +141,47 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     tables = scratch.save(buckets.join(full.select("bucket", "pivot"), "bucket"), "tables")
     scratch.drop(buckets)
 
-    def fits(a: str, b: str):
-        return F.expr(f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})")
-
     needed = tables.select(F.col("item").alias("doc_id")).distinct()
     texts = base.join(needed, "doc_id", "left_semi")
     sets = scratch.save(texts.mapInArrow(_set_maker(shingle), "doc_id long, shingles array<long>").where("size(shingles) > 0"), "sets")
+    linked = f"100 * i >= {percent} * (nu + nv - i)"
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    def met(pairs: DataFrame) -> DataFrame:
+        """pairs(u, v) with both full sets and the size of what they share."""
         a = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
         b = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
-        both = pairs.join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("su", "sv")))
-        return both.where(F.expr(f"100 * i >= {percent} * (size(su) + size(sv) - i)")).select("u", "v")
-
-    pairs = tables.where("item <> pivot.item").where(fits("n", "pivot.n"))
-    pairs = pairs.select(F.col("item").alias("u"), F.col("pivot.item").alias("v")).distinct()
-    links = scratch.save(confirmed(pairs), "confirmed")
+        return (pairs.join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("su", "sv")))
+                .withColumn("nu", F.size("su")).withColumn("nv", F.size("sv")))
+
+    # The first item of a bucket is its pivot. Of a member u of set A and its pivot's set P, whatever links u to
+    # another member shares ceil(percent * |A| / 100) shingles with A, at most |A and P| of them in P, so `rest`
+    # outside P; any such partner has one of the first |A - P| - rest + 1 of A - P in common with u.
+    pairs = tables.where("item <> pivot.item").select(F.col("item").alias("u"), F.col("pivot.item").alias("v")).distinct()
+    outside = F.array_except("su", "sv")
+    rest = F.expr(f"greatest(1, cast(ceil({percent} * nu / 100) as int) - i)")
+    star = met(pairs).select("u", "v", "nu", "nv", "i", F.expr(linked).alias("linked"), F.slice(outside, F.lit(1), F.greatest(F.lit(0), F.size(outside) - rest + 1)).alias("first"))
+    star = scratch.save(star, "star")
+    links = star.where("linked").select("u", "v")
     classes = connected_components(links, scratch)
 
-    # Buckets that hold more than one component: members meet pivots of higher rank until none is left to meet.
-    done, step = 1, 8
-    unresolved = None
-    while True:
-        label = F.coalesce("component", "item")
-        source = tables.select("item", "n", "bucket") if unresolved is None else unresolved
-        named = source.join(classes.withColumnRenamed("node", "item"), "item", "left").select("item", "n", "bucket", label.alias("component"))
-        open_ = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
-        open_ = open_.where(f"lo < hi and c > {done + 1}").select("bucket")
-        left = scratch.save(named.join(open_, "bucket", "left_semi"), "open")
-        if left.isEmpty():
-            break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("item"))
-        ranked = left.withColumn("r", rank)
-        pivots = ranked.where((F.col("r") > done) & (F.col("r") <= done + step))
-        pivots = pivots.select("bucket", F.col("item").alias("v"), F.col("n").alias("nv"), F.col("component").alias("cv"))
-        met = left.join(pivots, "bucket").where("item > v and component <> cv").where(fits("n", "nv"))
-        more = scratch.save(confirmed(met.select(F.col("item").alias("u"), "v").distinct()), "confirmed")
-        if not more.isEmpty():
-            scratch.drop(classes)
-            links = scratch.save(links.unionAll(more), "confirmed")
-            classes = connected_components(links, scratch)
-        unresolved = left.select("item", "n", "bucket")
-        done, step = done + step, step * 4
+    # What pivots leave open: members of one pivot that are not in one component.
+    by_node = classes.select(F.col("node").alias("u"), F.col("component").alias("c"))
+    named = star.join(by_node, "u", "left").withColumn("c", F.coalesce("c", "u"))
+    several = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
+    left = scratch.save(named.join(several, "v", "left_semi"), "open")
+    # "first" holds what may be shared outside P; the second join has the pairs that P alone could link.
+    within = f"100 * least(l.nu, r.nu) >= {percent} * greatest(l.nu, r.nu) and l.c <> r.c"
+    spread = left.select("v", "u", "nu", "c", F.explode("first").alias("s"))
+    by_rest = spread.alias("l").join(spread.alias("r"), F.expr(f"l.v = r.v and l.s = r.s and l.u < r.u and {within}"))
+    inner = left.where(f"100 * i >= {percent} * nu").drop("first")
+    by_pivot = inner.where("not linked").alias("l").join(
+        inner.where("nu < nv").alias("r"), F.expr(f"l.v = r.v and l.u <> r.u and {within} and (100 + {percent}) * least(l.i, r.i) >= {percent} * (l.nu + r.nu)"))
+    rest_pairs = by_rest.select("l.u", F.col("r.u").alias("v")).unionAll(
+        by_pivot.select(F.least("l.u", "r.u").alias("u"), F.greatest("l.u", "r.u").alias("v"))).distinct()
+    more = scratch.save(met(rest_pairs).where(linked).select("u", "v"), "more")
+    if not more.isEmpty():
+        scratch.drop(classes)
+        classes = connected_components(links.unionAll(more), scratch)
 
     names = items.select("set_key", "item").join(classes.withColumnRenamed("node", "item"), "item", "left")
     names = names.select("set_key", F.coalesce("component", "item").alias("component_id"))
