@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import minhash
+from plumbline.llm import bpe, decontaminate, minhash, transducer
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,9 +20,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, _read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` inside occurrences of 10-word windows of ``benchmark``."""
+    found = decontaminate.contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), width=10)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and round trip of every text of ``documents`` by byte-level BPE."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_digests(spark, _read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("ok")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text of ``documents``."""
+    return transducer.token_counts(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_decontamination": op2_decontamination,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op5_token_counts": op5_token_counts,
     }
 
 
