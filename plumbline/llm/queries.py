@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, minhash, transducer
+from plumbline.llm import bpe, decontaminate, htmltext, minhash, toxicity, transducer, vectordup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,12 +39,32 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every text of ``documents`` by a model of the rows that are not held out."""
+    docs = _read(spark, sf_dir, "documents")
+    scores = toxicity.score(spark, docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
+    return scores.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of ``embeddings`` at a cosine of 0.93 within a label."""
+    return vectordup.near_duplicates(spark, _read(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page of ``pages``."""
+    return htmltext.extract(_read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_token_counts": op5_token_counts,
+        "op8_toxicity": op8_toxicity,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_main_text": op10_main_text,
     }
 
 
