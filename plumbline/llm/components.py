@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,3 +44,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if live.isEmpty():
             scratch.drop(live)
             return assigned
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links of one task."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in zip(u.tolist(), v.tolist(), strict=True):
+        a, b = root(x), root(y)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((x, y))
+    return out

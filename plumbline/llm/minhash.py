@@ -7,10 +7,10 @@ similarity s meets in some table with probability (1 - (1 - s^depth)^side)^2: 0.
 and side 12.
 
 Plan: equal shingle sets are collapsed first; sub-keys that only one set has are dropped before tables are
-keyed. Each bucket's members are compared with its first, their pivot, on full sets. Members that stay in
-different components are then compared where they share a shingle outside the pivot's set that every linked
-partner must share (or where the pivot's own shingles could do), so no link between members of a bucket is
-lost and no bucket is paired up.
+keyed. Each bucket's members are compared with its first, their pivot, on full sets. Where that leaves members of a pivot in different
+components, they are dealt into tiles of at most some hundreds and compared there, exactly, by what they have
+beyond the pivot and lack of it; a tile returns edges that join components, never its pairs. So no link between
+members of a bucket that matters to its class is lost, and no task gets more than a tile.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bytewords import SPACE_WORDS, buffers, mix, shingles, word_hashes
-from plumbline.llm.components import connected_components
+from plumbline.llm.components import connected_components, forest
 from plumbline.llm.scratch import Scratch
 
 _SIGNED = "doc_id long, n_shingles long, set_key binary, subkeys array<long>"
@@ -109,7 +109,56 @@ def _set_maker(k: int):
     return make
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, side: int = 12, depth: int = 3) -> DataFrame:
+def _shared(lists: pa.Array, n: int) -> np.ndarray:
+    """Sizes of the intersections of n lists, from products of 0/1 matrices over some of the elements at a time."""
+    sizes = np.asarray(lists.value_lengths(), np.int64)
+    values, which, times = np.unique(np.asarray(lists.flatten(), np.int64), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    place = np.cumsum(times > 1) - 1
+    keep = times[which] > 1
+    owner, column = owner[keep], place[which[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((n, n), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        a, b = np.searchsorted(column, (lo, lo + 2048))
+        part = np.zeros((n, 2048), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def _tile(percent: int):
+    """Links between the members of a tile that are in different components so far: edges of a spanning forest.
+
+    Of A and B with pivot set P, |A and B| = |P| - |P - A| - |P - B| + |(P - A) and (P - B)| + |(A - P) and (B - P)|.
+    """
+
+    def run(table):
+        table = table.combine_chunks()
+        col = {name: table.column(name).combine_chunks() for name in table.column_names}
+        u, c, n = (np.asarray(col[k], np.int64) for k in ("u", "c", "nu"))
+        p = np.asarray(col["nv"], np.int64)[0]
+        less = np.asarray(col["less"].value_lengths(), np.int64)
+        both = p - less[:, None] - less[None, :] + _shared(col["less"], len(u)) + _shared(col["more"], len(u))
+        link = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        if col["mixed"][0].as_py():
+            far = ~np.asarray(col["linked"].cast(pa.int8()), bool)
+            link &= far[:, None] & ~far[None, :]
+        else:
+            k = np.asarray(col["k"], np.int64)
+            link &= np.triu(np.ones_like(link), 1)
+            if col["x"][0].as_py() != col["y"][0].as_py():
+                link &= k[:, None] != k[None, :]
+        link &= c[:, None] != c[None, :]
+        i, j = np.nonzero(link)
+        edges = forest(c[i], c[j])
+        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+
+    return run
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, percent: int = 80, side: int = 12, depth: int = 3, tile: int = 256) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked when 100 * |A and B| >= percent * |A or B| over their distinct word shingles.
@@ -153,32 +202,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
         return (pairs.join(b, "v").join(a, "u").withColumn("i", F.size(F.array_intersect("su", "sv")))
                 .withColumn("nu", F.size("su")).withColumn("nv", F.size("sv")))
 
-    # The first item of a bucket is its pivot. Of a member u of set A and its pivot's set P, whatever links u to
-    # another member shares ceil(percent * |A| / 100) shingles with A, at most |A and P| of them in P, so `rest`
-    # outside P; any such partner has one of the first |A - P| - rest + 1 of A - P in common with u.
+    # The first item of a bucket is its pivot.
     pairs = tables.where("item <> pivot.item").select(F.col("item").alias("u"), F.col("pivot.item").alias("v")).distinct()
-    outside = F.array_except("su", "sv")
-    rest = F.expr(f"greatest(1, cast(ceil({percent} * nu / 100) as int) - i)")
-    star = met(pairs).select("u", "v", "nu", "nv", "i", F.expr(linked).alias("linked"), F.slice(outside, F.lit(1), F.greatest(F.lit(0), F.size(outside) - rest + 1)).alias("first"))
-    star = scratch.save(star, "star")
+    star = scratch.save(met(pairs).select("u", "v", F.expr(linked).alias("linked")), "star")
     links = star.where("linked").select("u", "v")
     classes = connected_components(links, scratch)
 
-    # What pivots leave open: members of one pivot that are not in one component.
+    # What pivots leave open: members of one pivot that are not in one component, dealt into tiles of bounded size.
+    # Members linked to the pivot are in one component, so only tiles with members that are not are formed.
     by_node = classes.select(F.col("node").alias("u"), F.col("component").alias("c"))
     named = star.join(by_node, "u", "left").withColumn("c", F.coalesce("c", "u"))
-    several = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("v")
-    left = scratch.save(named.join(several, "v", "left_semi"), "open")
-    # "first" holds what may be shared outside P; the second join has the pairs that P alone could link.
-    within = f"100 * least(l.nu, r.nu) >= {percent} * greatest(l.nu, r.nu) and l.c <> r.c"
-    spread = left.select("v", "u", "nu", "c", F.explode("first").alias("s"))
-    by_rest = spread.alias("l").join(spread.alias("r"), F.expr(f"l.v = r.v and l.s = r.s and l.u < r.u and {within}"))
-    inner = left.where(f"100 * i >= {percent} * nu").drop("first")
-    by_pivot = inner.where("not linked").alias("l").join(
-        inner.where("nu < nv").alias("r"), F.expr(f"l.v = r.v and l.u <> r.u and {within} and (100 + {percent}) * least(l.i, r.i) >= {percent} * (l.nu + r.nu)"))
-    rest_pairs = by_rest.select("l.u", F.col("r.u").alias("v")).unionAll(
-        by_pivot.select(F.least("l.u", "r.u").alias("u"), F.greatest("l.u", "r.u").alias("v"))).distinct()
-    more = scratch.save(met(rest_pairs).where(linked).select("u", "v"), "more")
+    several = named.groupBy("v").agg(
+        F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("linked").alias("near"), F.count_if(~F.col("linked")).alias("far"))
+    several = several.where("lo < hi").select("v", F.ceil(F.col("near") / tile).cast("int").alias("near"), F.ceil(F.col("far") / tile).cast("int").alias("far"))
+    left = scratch.save(named.join(several, "v").select("u", "v", "c", "linked", "near", "far"), "open")
+    full = met(left.select("u", "v")).select("u", "v", "nu", "nv", F.array_except("su", "sv").alias("more"), F.array_except("sv", "su").alias("less"))
+    block = left.withColumn("k", F.expr("pmod(xxhash64(u), if(linked, near, far))").cast("int"))
+    far_far = F.transform(F.sequence(F.lit(0), F.col("far") - 1), lambda y: F.struct(F.lit(False).alias("mixed"), F.least("k", y).alias("x"), F.greatest("k", y).alias("y")))
+    far_near = F.when(F.col("near") > 0, F.transform(F.sequence(F.lit(0), F.col("near") - 1), lambda y: F.struct(F.lit(True).alias("mixed"), F.col("k").alias("x"), y.alias("y"))))
+    near_far = F.transform(F.sequence(F.lit(0), F.col("far") - 1), lambda x: F.struct(F.lit(True).alias("mixed"), x.alias("x"), F.col("k").alias("y")))
+    empty = F.array().cast("array<struct<mixed:boolean,x:int,y:int>>")
+    dealt = block.withColumn("t", F.explode(F.when(F.col("linked"), near_far).otherwise(F.concat(far_far, F.coalesce(far_near, empty)))))
+    dealt = dealt.select("u", "v", "c", "linked", "k", "t.mixed", "t.x", "t.y")
+    tiles = dealt.join(full, ["u", "v"]).groupBy("v", "mixed", "x", "y").applyInArrow(_tile(percent), "u long, v long")
+    more = scratch.save(tiles, "more")
     if not more.isEmpty():
         scratch.drop(classes)
         classes = connected_components(links.unionAll(more), scratch)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.components import connected_components
+from plumbline.llm.components import connected_components, forest
 from plumbline.llm.scratch import Scratch
 
 #: Vectors of a block and dimensions accumulated at a time.
@@ -77,25 +77,6 @@ def survivors(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray, n
     return i, j
 
 
-def forest(u: np.ndarray, v: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    out = []
-    for x, y in zip(u.tolist(), v.tolist(), strict=True):
-        a, b = root(x), root(y)
-        if a != b:
-            up[max(a, b)] = min(a, b)
-            out.append((x, y))
-    return out
-
-
 _TILE = "id long, other long, links long"
 
 
