@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, minhash, toxicity, transducer, vectordup
+from plumbline.llm import bpe, decontaminate, htmltext, linededup, minhash, toxicity, transducer, vectordup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,11 +34,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(spark, _read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("ok")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written to indexed WARC archives and read back."""
+    return warc.round_trip(spark, _read(spark, sf_dir, "pages"), least=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text of ``documents``."""
     return transducer.token_counts(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines that occur on five or more sources, but for the first document with each."""
+    out = linededup.dedup_lines(spark, _read(spark, sf_dir, "documents"), sites=5)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of every text of ``documents`` by a model of the rows that are not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -61,7 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_decontamination": op2_decontamination,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_warc": op4_warc,
         "op5_token_counts": op5_token_counts,
+        "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_main_text": op10_main_text,
@@ -69,4 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_warc": warc.ORACLE_SQL,
+        "op7_line_dedup": linededup.ORACLE_SQL,
+    }
