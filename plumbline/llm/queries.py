@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, linededup, minhash, toxicity, transducer, vectordup, warc
+from plumbline.llm import bpe, decontaminate, htmltext, licenses, linededup, minhash, toxicity, transducer, vectordup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,15 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.token_counts(spark, _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections in every text of ``documents``."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    word = F.transform("places", lambda p: p.word)
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(word).alias("first_word"), F.array_max(word).alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that occur on five or more sources, but for the first document with each."""
     out = linededup.dedup_lines(spark, _read(spark, sf_dir, "documents"), sites=5)
@@ -74,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op4_warc": op4_warc,
         "op5_token_counts": op5_token_counts,
+        "op6_license_scan": op6_license_scan,
         "op7_line_dedup": op7_line_dedup,
         "op8_toxicity": op8_toxicity,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
