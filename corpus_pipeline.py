@@ -1,10 +1,78 @@
-"""Document pipeline: toxicity, line dedup, near-dedup, decontamination, byte-level BPE."""
+"""Document pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's rows as
+Parquet in the shared folder and rereads them. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.llm import bpe, decontaminate, linededup, minhash, toxicity
+from plumbline.llm.scratch import Scratch
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.3, by a model of the labelled rows that are not held out."""
+    model = toxicity.fit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return toxicity.with_scores(spark, docs.select(*COLUMNS), model).where("score < 0.3").select(*COLUMNS)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occur on five or more sources, but for the first document with each; those of
+    which nothing is left, all their lines being in earlier documents, go."""
+    out = linededup.dedup_lines(spark, docs.select(*COLUMNS), sites=5)
+    emptied = (F.col("n_removed") > 0) & (F.btrim("text", F.lit(" \t\r\n")) == "")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return out.where(~emptied).withColumn("n_chars", n_chars).select(*COLUMNS)
+
 
+def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each near-duplicate class (five words a shingle, similarity 0.8)."""
+    classes = minhash.near_duplicates(spark, docs, shingle=5, percent=80)
+    gone = classes.where("not kept").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no ten-word window of a benchmark item."""
+    found = decontaminate.contamination(spark, docs, _table(spark, sf_dir, "benchmark"), width=10)
+    gone = found.where("n_hit > 0").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids, and of the bytes decoded from them, of each document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_digests(spark, docs, path, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("minhash_near_dedup", keep_one_of_each_class),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each written and reread."""
+    scratch = Scratch(spark, "pipeline")
+    docs, before = _table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs, before = scratch.save(stage(spark, docs, sf_dir), name), docs
+        scratch.drop(before)
+    return docs
+
+
+#: The learned score and the similarity classes are beyond SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
