@@ -1,15 +1,448 @@
-"""The engine's own queries and their DuckDB SQL."""
+"""The engine's own queries, by inventory id, and their DuckDB SQL.
+
+``_both`` registers a text that is one projection, filter or aggregate in either engine's SQL; ``_query`` registers an
+operator of the library with an independent SQL text, or without one where SQL cannot say it.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions import geometry as g
+from plumbline.operators import edges as ed
+from plumbline.operators import gaps as gp
+from plumbline.operators import graph, labels, measure, raster, spatial, state
+from plumbline.plans.relations import DIMENSION_SQL, HEIGHT, ROOM_SQL, SQL, TITLE_SQL, WIDTH, workspace
+from plumbline.sources.fixtures import Workspace, oracle
+
+_RUN: dict[str, Callable[[Workspace], DataFrame]] = {}
+_TEXT: dict[str, str] = {}
+
+
+def _both(key: str, text: str) -> None:
+    _RUN[key] = lambda w: w.sql(text)
+    _TEXT[key] = text
+
+
+def _query(key: str, run: Callable[[Workspace], DataFrame], text: str | None = None) -> None:
+    _RUN[key] = run
+    if text is not None:
+        _TEXT[key] = text
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {key: (lambda spark, sf_dir, run=run: run(workspace(spark, sf_dir))) for key, run in _RUN.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {key: oracle(text, SQL) for key, text in _TEXT.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings of each page by type, with their total width."""
+    return _RUN["jn05_gap_types"](workspace(spark, sf_dir))
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------
+_both("src04_edge_scan", "SELECT page_id, count(*) AS n, round(sum(x0 + y0 + x1 + y1), 4) AS s FROM [[edges_raw]] GROUP BY page_id")
+_both("src05_curve_scan", "SELECT page_id, curve_id, n_pts, cx, cy, size FROM [[curves]]")
+_both("src06_word_scan", "SELECT page_id, count(*) AS n, sum(x1 - x0) AS w FROM [[words]] GROUP BY page_id")
+_both("src07_drawing_scan", "SELECT object_type, is_dashed, color, count(*) AS n, sum(x1 - x0) AS w FROM [[edges_raw]] GROUP BY object_type, is_dashed, color")
+_both("src08_layers", "SELECT DISTINCT page_id, object_type AS layer FROM [[edges_raw]]")
+_both("src09_project_lookup", "SELECT c.click_id, p.project_id, p.scale_factor, p.project_id IS NULL AS missing FROM [[clicks]] c LEFT JOIN [[projects]] p ON c.page_id = p.page_id")
+_query("src10_stored_bytes", lambda w: w["projects"].select("project_id", F.unbase64(F.base64(F.encode("project_id", "UTF-8"))).cast("string").alias("bytes_back")),
+       "SELECT project_id, project_id AS bytes_back FROM [[projects]]")
+_query("src11_decode_mask", lambda w: _decoded_masks(w, 10), "SELECT page_id, y, x FROM [[raster]] WHERE gray > 10")
+_query("src12_decode_mask_gray", lambda w: _decoded_masks(w, 5), "SELECT page_id, y, x FROM [[raster]] WHERE gray > 5")
+
+
+def _page_array(frame, value: str = "gray"):
+    import numpy as np
+
+    y, x = frame["y"].to_numpy(np.int64), frame["x"].to_numpy(np.int64)
+    out = np.zeros((int(y.max()) + 1, WIDTH), np.int64)
+    out[y, x] = frame[value].to_numpy(np.int64)
+    return out
+
+
+def _decoded_masks(w: Workspace, over: int) -> DataFrame:
+    """Rasters written as PNG files a page and decoded again."""
+    import numpy as np
+    import pandas as pd
+
+    def run(key, frame):
+        a = _page_array(frame)
+        rgba = np.dstack((a, a, a, np.full_like(a, 255)))
+        back = raster.unpng(raster.png(rgba))[:, :, :3]
+        y, x = np.nonzero(raster.mask_of(back, gray_over=over))
+        return pd.DataFrame({"page_id": key[0], "y": y.astype(np.int32), "x": x.astype(np.int32)})
+
+    return w["raster"].groupBy("page_id").applyInPandas(run, "page_id long, y int, x int")
+
+
+# --- vector projections and predicates --------------------------------------------------------------------------------
+_both("vec01_drop_glyphs", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (object_type = 'curve_edge' AND NOT stroke)")
+_both("vec02_drop_bare_fills", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (fill AND NOT stroke)")
+_both("vec03_drop_hairlines", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (fill AND coalesce(linewidth, 0) < 0.01)")
+_query("vec04_endpoints", lambda w: w["edges_raw"].withColumn("pts", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
+       .select("page_id", "raw_id", F.element_at("pts", 1).x.alias("ax"), F.element_at("pts", -1).y.alias("by")), "SELECT page_id, raw_id, x0 AS ax, y1 AS by FROM [[edges_raw]]")
+_both("vec05_normalise", "SELECT page_id, raw_id, x0 - 12 AS x0, y0 - 7 AS y0, x1 - 12 AS x1, y1 - 7 AS y1 FROM [[edges_raw]]")
+_query("vec06_clip", lambda w: w["visible"].select("page_id", "raw_id"), "SELECT page_id, raw_id FROM [[visible]]")
+_query("vec07_colours", lambda w: w["edges_raw"].select("page_id", "raw_id", F.bround(F.col("linewidth") / 7, 3).alias("c"), F.col("color").alias("k")),
+       "SELECT page_id, raw_id, @half(linewidth / 7, 3) AS c, color AS k FROM [[edges_raw]]")
+_query("vec08_drop_hatch", lambda w: w["edges"].select("page_id", "raw_id"), "SELECT page_id, raw_id FROM [[edges]]")
+_query("vec09_structural", lambda w: w["edges"].select("page_id", "edge_id", "axis", "structural"), "SELECT page_id, edge_id, axis, structural FROM [[edges]]")
+_query("vec10_edge_ids", lambda w: w["edges"].select("page_id", "edge_id", "raw_id"), "SELECT page_id, edge_id, raw_id FROM [[edges]]")
+_query("geo01_length", lambda w: w["edges_raw"].select("page_id", "raw_id", F.round(g.seg_length("x0", "y0", "x1", "y1"), 4).alias("length")),
+       "SELECT page_id, raw_id, round(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)), 4) AS length FROM [[edges_raw]]")
+_query("geo02_angle", lambda w: w["edges_raw"].select("page_id", "raw_id", F.round(g.seg_angle("x0", "y0", "x1", "y1"), 4).alias("angle")),
+       "SELECT page_id, raw_id, round(abs(degrees(atan2(y1 - y0, x1 - x0))) % 180, 4) AS angle FROM [[edges_raw]]")
+_query("geo03_axis", lambda w: w["edges_raw"].select("page_id", "raw_id", g.is_axis(g.seg_angle("x0", "y0", "x1", "y1")).alias("axis")),
+       "SELECT page_id, raw_id, a < 10 OR a > 170 OR abs(a - 90) < 10 AS axis FROM (SELECT *, abs(degrees(atan2(y1 - y0, x1 - x0))) % 180 AS a FROM [[edges_raw]])")
+_query("geo04_compatible", lambda w: w["edges"].withColumn("next", F.lead("angle").over(_by_edge())).where("next is not null").select("page_id", "edge_id", g.orientations_compatible(F.col("angle"), F.col("next")).alias("ok")),
+       """SELECT page_id, edge_id, (axis AND naxis) OR (NOT axis AND NOT naxis AND abs(angle - next) < 15) AS ok
+          FROM (SELECT *, lead(angle) OVER w AS next, lead(axis) OVER w AS naxis FROM [[edges]] WINDOW w AS (PARTITION BY page_id ORDER BY edge_id)) WHERE next IS NOT NULL""")
+_DIST = """(CASE WHEN l2 < 1e-12 THEN sqrt((px - x0) * (px - x0) + (py - y0) * (py - y0)) ELSE
+ sqrt((px - (x0 + t * (x1 - x0))) * (px - (x0 + t * (x1 - x0))) + (py - (y0 + t * (y1 - y0))) * (py - (y0 + t * (y1 - y0)))) END)"""
+_MET = """(SELECT *, greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / CASE WHEN l2 < 1e-12 THEN 1 ELSE l2 END)) AS t
+ FROM (SELECT c.*, e.edge_id, e.structural, e.lw, e.x0, e.y0, e.x1, e.y1, (e.x1 - e.x0) * (e.x1 - e.x0) + (e.y1 - e.y0) * (e.y1 - e.y0) AS l2 FROM %s c JOIN [[edges]] e ON c.page_id = e.page_id))"""
+_CLICK = "(SELECT click_id, page_id, x AS px, y AS py FROM [[clicks]])"
+_query("geo05_point_segment", lambda w: w["clicks"].withColumnsRenamed({"x": "px", "y": "py"}).join(w["edges"], "page_id").where("edge_id % 16 = click_id % 16").select(
+           "click_id", "edge_id", F.round(g.point_segment_distance(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1"))), 4).alias("dist")),
+       f"SELECT click_id, edge_id, round({_DIST}, 4) AS dist FROM {_MET % _CLICK} WHERE edge_id % 16 = click_id % 16")
+_query("geo06_grid_cover", lambda w: spatial.grid_cover(w["edges"], 10.0).select("page_id", "edge_id", "gx", "gy"),
+       """SELECT page_id, edge_id, gx, unnest(range(@floor((least(y0, y1) - 10) / 60), @floor((greatest(y0, y1) + 10) / 60) + 1)) AS gy
+          FROM (SELECT *, unnest(range(@floor((least(x0, x1) - 10) / 60), @floor((greatest(x0, x1) + 10) / 60) + 1)) AS gx FROM [[edges]])""")
+_query("geo07_grid_lookup", lambda w: spatial.cells_of(w["clicks"].withColumnsRenamed({"x": "px", "y": "py"})).join(spatial.grid_cover(w["edges"], 10.0), ["page_id", "gx", "gy"]).groupBy("click_id").agg(F.count(F.lit(1)).alias("n")),
+       """SELECT click_id, count(*) AS n FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND floor(x / 60) BETWEEN floor((least(x0, x1) - 10) / 60) AND floor((greatest(x0, x1) + 10) / 60)
+          AND floor(y / 60) BETWEEN floor((least(y0, y1) - 10) / 60) AND floor((greatest(y0, y1) + 10) / 60) GROUP BY click_id""")
+_both("geo08_endpoint_keys", "SELECT page_id, CAST(@half(x0 / 2.5) AS BIGINT) AS kx, CAST(@half(y0 / 2.5) AS BIGINT) AS ky, count(*) AS n FROM [[edges]] GROUP BY 1, 2, 3")
+_both("geo09_to_pixels", "SELECT page_id, edge_id, @int(x0 * 200 / 72) AS px, @int(y0 * 200 / 72) AS py FROM [[edges]]")
+_both("geo10_samples", "SELECT page_id, edge_id, x, x0 + (x1 - x0) * x / 4 AS sx, y0 + (y1 - y0) * x / 4 AS sy FROM [[edges]] CROSS JOIN @series(0, 4)")
+
+
+def _by_edge():
+    from pyspark.sql.window import Window
+
+    return Window.partitionBy("page_id").orderBy("edge_id")
+
+
+def _paths(w: Workspace) -> DataFrame:
+    flat = F.array("x0", "y0", "x1", "y1", "x2", "y2", F.lit(99.0))
+    return w["flat_paths"].withColumn("p", g.flat_to_points(flat))
+
+
+_query("geo11_polyline_length", lambda w: _paths(w).select("click_id", F.round(g.polyline_length(F.col("p")), 4).alias("length")),
+       "SELECT click_id, round((x1 - x0) + (y2 - y1), 4) AS length FROM [[flat_paths]]")
+_both("geo12_two_point_length", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS length FROM [[flat_paths]]")
+_query("geo13_flat_to_points", lambda w: _paths(w).select("click_id", F.posexplode("p").alias("i", "q")).select("click_id", "i", "q.x", "q.y"),
+       "SELECT click_id, 0 AS i, x0 AS x, y0 AS y FROM [[flat_paths]] UNION ALL SELECT click_id, 1, x1, y1 FROM [[flat_paths]] UNION ALL SELECT click_id, 2, x2, y2 FROM [[flat_paths]]")
+_query("geo14_parse_polyline", lambda w: w["flat_paths"].withColumn("t", F.concat_ws(" ", F.concat_ws(",", "x0", "y0"), F.when(F.col("click_id") % 7 == 0, F.lit("junk,1")), F.when(F.col("click_id") % 5 == 0, F.lit("alone")), F.concat_ws(",", "x1", "y1")))
+       .withColumn("p", g.parse_polyline(F.col("t"))).select("click_id", F.size("p").alias("n"), F.col("p")[1].x.alias("x")).withColumn("n", F.when(F.col("x").isNotNull(), F.col("n"))),
+       "SELECT click_id, CASE WHEN click_id % 7 <> 0 THEN 2 END AS n, CASE WHEN click_id % 7 <> 0 THEN x1 END AS x FROM [[flat_paths]]")
+_query("geo15_shoelace", lambda w: _paths(w).select("click_id", F.round(g.shoelace(F.col("p")), 4).alias("area")), "SELECT click_id, round((x1 - x0) * (y2 - y1) / 2, 4) AS area FROM [[flat_paths]]")
+
+# --- aggregates, windows -----------------------------------------------------------------------------------------------
+_query("agg01_selected_length", lambda w: w["selection"].join(w["edges"], ["page_id", "edge_id"]).groupBy("page_id").agg(F.round(F.sum("length"), 4).alias("length")),
+       "SELECT page_id, round(sum(length), 4) AS length FROM [[edges]] WHERE structural GROUP BY page_id")
+_query("agg02_svg_groups", lambda w: ed.svg_groups(w["selection"], w["edges"], "page_id").withColumn("d", F.md5("d")),
+       """SELECT page_id, @half(lw, 3) AS lwk, md5(string_agg(printf('M%.2f,%.2fL%.2f,%.2f', x0, y0, x1, y1), ' ' ORDER BY edge_id)) AS d,
+          greatest(@half(lw, 3), 0.5) AS stroke_width, round(sum(length), 4) AS total_length, count(*) AS n FROM [[edges]] WHERE structural GROUP BY page_id, @half(lw, 3)""")
+_both("agg03_page_info", "SELECT page_id, count(*) AS edge_count, CAST(@countif(structural) AS BIGINT) AS structural_count, count(DISTINCT type) AS layers FROM [[edges]] GROUP BY page_id")
+_query("agg04_width_histogram", lambda w: ed.width_histogram(w["edges"]), "SELECT page_id, lw, n, seen FROM [[hist]]")
+_query("agg05_wall_width", lambda w: w["wall_width"], "SELECT page_id, wall_lw FROM [[wall_width]]")
+_query("agg06_walls", lambda w: w["walls"], "SELECT * FROM [[walls]]")
+_query("agg07_gap_type_counts", lambda w: w["typed"].groupBy("page_id").pivot("type", ["door", "window", "opening"]).count().na.fill(0),
+       "SELECT page_id, count(*) FILTER (WHERE type = 'door') AS door, count(*) FILTER (WHERE type = 'window') AS window, count(*) FILTER (WHERE type = 'opening') AS opening FROM [[typed]] GROUP BY page_id")
+_query("agg08_gap_tolerance", lambda w: spatial.gap_tolerance(w["seeds"], w["edges"]),
+       """SELECT s.page_id, s.edge_id, coalesce(q.tolerance, 5.0) AS tolerance FROM (SELECT DISTINCT page_id, edge_id FROM [[seeds]]) s LEFT JOIN (
+ WITH e AS (SELECT s.page_id, s.edge_id AS seed, e.x0, e.y0, e.x1, e.y1, row_number() OVER (PARTITION BY s.page_id, s.edge_id ORDER BY e.edge_id) AS r
+   FROM [[seeds]] s JOIN [[edges]] o ON s.page_id = o.page_id AND s.edge_id = o.edge_id JOIN [[edges]] e ON e.page_id = s.page_id AND e.structural AND abs(e.lw - o.lw) <= 0.2),
+ p AS (SELECT page_id, seed, (r - 1) * 2 AS i, x0 AS x, y0 AS y FROM e WHERE r <= 200 UNION ALL SELECT page_id, seed, (r - 1) * 2 + 1, x1, y1 FROM e WHERE r <= 200),
+ n AS (SELECT page_id, seed, count(*) AS n FROM p GROUP BY ALL),
+ d AS (SELECT a.page_id, a.seed, a.i, min(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM p a JOIN p b ON a.page_id = b.page_id AND a.seed = b.seed
+   WHERE a.i < 200 AND b.i < 200 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) > 0.01 GROUP BY ALL),
+ l AS (SELECT page_id, seed, list_sort(list(d)) AS nn FROM d GROUP BY ALL)
+ SELECT n.page_id, n.seed, round(CASE WHEN n.n < 10 OR nn IS NULL THEN 5.0 ELSE greatest(2.0, least(nn[least(len(nn) - 1, CAST(floor(len(nn) * 0.85) AS INT)) + 1] * 1.5, 20.0)) END, 4) AS tolerance
+ FROM n LEFT JOIN l ON n.page_id = l.page_id AND n.seed = l.seed) q ON s.page_id = q.page_id AND s.edge_id = q.seed""")
+_query("agg09_dedup_gaps", lambda w: w["gaps"], "SELECT * FROM [[gaps]]")
+_query("agg10_phrases", lambda w: w["phrases"], "SELECT * FROM [[phrases]]")
+_query("agg11_number_names", lambda w: labels.number_names(w["rooms"], "project_id", "room_seq").select("project_id", "room_seq", "name"),
+       """SELECT project_id, room_seq, CASE WHEN count(*) OVER (PARTITION BY project_id, name) > 1
+          THEN name || ' ' || row_number() OVER (PARTITION BY project_id, name ORDER BY room_seq) ELSE name END AS name FROM [[rooms]]""")
+_query("agg12_wall_count", lambda w: w["phrases"].groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ln", "x0", "x1"))).alias("s")).select(
+           "page_id", F.transform("s", lambda z: z.x1 - z.x0).alias("l")).select("page_id", F.size("l").alias("k"), F.expr("size(filter(l, z -> z >= 0.05 * aggregate(l, 0D, (a, v) -> a + v) / size(l)))").alias("m")).select(
+           "page_id", F.when(F.col("k") > 3, F.greatest(F.lit(3), F.col("m"))).otherwise(F.col("k")).cast("long").alias("wall_count")),
+       """SELECT page_id, CAST(CASE WHEN count(*) > 3 THEN greatest(3, count(*) FILTER (WHERE x1 - x0 >= 0.05 * m)) ELSE count(*) END AS BIGINT) AS wall_count
+          FROM (SELECT *, sum(x1 - x0) OVER (PARTITION BY page_id) / count(*) OVER (PARTITION BY page_id) AS m FROM [[phrases]]) GROUP BY page_id""")
+
+# --- joins -------------------------------------------------------------------------------------------------------------
+_HITS = f"""(SELECT click_id, page_id, edge_id, structural, greatest(0.0, d) AS dist, row_number() OVER (PARTITION BY click_id ORDER BY NOT structural, round(greatest(0.0, d), 6), edge_id) AS pos
+ FROM (SELECT *, {_DIST} - lw / 2 AS d FROM {_MET % _CLICK}) WHERE d <= 10)"""
+_query("jn01_hit_test", lambda w: spatial.hit_test(w["clicks"], w["edges"]).select("click_id", "page_id", "edge_id", "structural", F.round("dist", 4).alias("dist"), F.col("pos").cast("long").alias("pos")),
+       f"SELECT click_id, page_id, edge_id, structural, round(dist, 4) AS dist, pos FROM {_HITS}")
+_query("jn02_collinear_gaps", lambda w: w["gaps_all"], "SELECT * FROM [[gaps_all]]")
+_query("jn03_door_test", lambda w: gp.with_arcs(w["gaps"], w["curves"]), "SELECT page_id, gap_id FROM [[arcs]]")
+_query("jn04_window_test", lambda w: gp.parallel_lines(w["gaps"], w["edges"]).where("n >= 3"), "SELECT page_id, gap_id, n FROM [[lines]] WHERE n >= 3")
+_query("jn05_gap_types", lambda w: w["typed"].groupBy("page_id", "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("width"), 4).alias("total_width")),
+       "SELECT page_id, type, count(*) AS n, round(sum(width), 4) AS total_width FROM [[typed]] GROUP BY page_id, type")
+
+
+def _pick_sql(first: str | None) -> str:
+    rank = f"CASE WHEN type = '{first}' THEN 0 ELSE 1 END, " if first else ""
+    where = f" AND type IN ('{first}', 'opening')" if first else ""
+    return f"""SELECT click_id, page_id, gap_id, type, round(d, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY {rank}d, gap_id) AS r FROM (
+ SELECT c.click_id, c.page_id, g.gap_id, g.type, sqrt((c.x - g.mx) * (c.x - g.mx) + (c.y - g.my) * (c.y - g.my)) AS d FROM [[clicks]] c JOIN [[typed]] g ON c.page_id = g.page_id{where}) WHERE d < 80) WHERE r = 1"""
+
+
+_query("jn06_nearest_gap", lambda w: gp.pick(w["clicks"], w["typed"], None), _pick_sql(None))
+_query("jn07_pick_door", lambda w: gp.pick(w["clicks"], w["typed"], "door"), _pick_sql("door"))
+_query("jn08_pick_window", lambda w: gp.pick(w["clicks"], w["typed"], "window"), _pick_sql("window"))
+_KEPT = f"""(SELECT page_id, edge_id FROM [[edges]] WHERE structural EXCEPT SELECT page_id, edge_id FROM {_MET % '[[erasers]]'} WHERE {_DIST} < 8)"""
+_query("jn09_erase", lambda w: spatial.erase(w["selection"], w["edges"], w["erasers"]), f"SELECT page_id, edge_id FROM {_KEPT}")
+_SAMPLE = "SELECT DISTINCT e.page_id % 8 AS page_id, e.edge_id, e.structural, @int((x0 + (x1 - x0) * x / 4) / 20) AS px, @int((y0 + (y1 - y0) * x / 4) / 20) AS py FROM [[edges]] e CROSS JOIN @series(0, 4)"
+_both("jn10_snap_edges", f"SELECT DISTINCT s.page_id, s.edge_id FROM ({_SAMPLE}) s JOIN [[ink]] i ON s.page_id = i.page_id AND s.px = i.x AND s.py = i.y WHERE s.structural")
+_both("jn11_label_in_room", """
+SELECT p.page_id, i.y, i.x, min(p.text) AS label FROM [[phrases]] p JOIN [[ink]] i ON p.page_id % 8 = i.page_id AND @int((p.x0 + p.x1) / 40) = i.x AND @int((p.y0 + p.y1) / 40) = i.y GROUP BY p.page_id, i.y, i.x""")
+_query("jn12_label_fallback", lambda w: _label_fallback(w), """
+SELECT page_id, gap_id, coalesce(text, 'Room ' || (gap_id + 1)) AS name FROM (
+ SELECT g.page_id, g.gap_id, l.text, row_number() OVER (PARTITION BY g.page_id, g.gap_id ORDER BY sqrt((l.x - g.mx) * (l.x - g.mx) + (l.y - g.my) * (l.y - g.my)), l.text) AS r
+ FROM [[gaps]] g LEFT JOIN [[labels]] l ON g.page_id = l.page_id AND l.is_room_label AND sqrt((l.x - g.mx) * (l.x - g.mx) + (l.y - g.my) * (l.y - g.my)) < 1191 * 0.05) WHERE r = 1""")
+
+
+def _label_fallback(w: Workspace) -> DataFrame:
+    reach = 1191 * 0.05
+    points = w["labels"].where("is_room_label").select("page_id", "text", F.col("x").alias("px"), F.col("y").alias("py"))
+    met = gp._near(w["gaps"].select("page_id", "gap_id", "mx", "my"), points, reach, 2 * reach)
+    dist = F.sqrt((F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my")))
+    best = met.withColumn("d", dist).where(F.col("d") < reach).groupBy("page_id", "gap_id").agg(F.min_by("text", F.struct("d", "text")).alias("text"))
+    room = F.concat(F.lit("Room "), (F.col("gap_id") + 1).cast("string"))
+    return w["gaps"].select("page_id", "gap_id").join(best, ["page_id", "gap_id"], "left").select("page_id", "gap_id", F.coalesce("text", room).alias("name"))
+
+
+_query("jn13_dna_match", lambda w: w["seeds"].join(w["edges"], ["page_id", "edge_id"]).select("page_id", F.col("edge_id").alias("seed"), F.col("type").alias("t"), F.col("color").alias("c"), F.nullif("lw", F.lit(0.0)).alias("sw"))
+       .join(w["edges"].withColumn("w", F.nullif("lw", F.lit(0.0))), "page_id").where((F.col("t") == F.col("type")) & F.col("c").eqNullSafe(F.col("color")) & g.width_matches(F.col("sw"), F.col("w")))
+       .groupBy("page_id", "seed").agg(F.count(F.lit(1)).alias("n")),
+       """SELECT s.page_id, s.edge_id AS seed, count(*) AS n FROM [[seeds]] s JOIN [[edges]] o ON s.page_id = o.page_id AND s.edge_id = o.edge_id JOIN [[edges]] e ON e.page_id = s.page_id
+          AND e.type = o.type AND e.color IS NOT DISTINCT FROM o.color AND ((e.lw = 0 AND o.lw = 0) OR (e.lw <> 0 AND o.lw <> 0 AND abs(e.lw - o.lw) <= greatest(0.5, 1e-9 * greatest(e.lw, o.lw)))) GROUP BY s.page_id, s.edge_id""")
+_both("jn14_topmost_drawing", """
+SELECT c.click_id, max(e.edge_id) AS edge_id FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND @int(c.x) BETWEEN @int(least(e.x0, e.x1)) - 1 AND @int(greatest(e.x0, e.x1)) + 1
+ AND @int(c.y) BETWEEN @int(least(e.y0, e.y1)) - 1 AND @int(greatest(e.y0, e.y1)) + 1 WHERE e.axis GROUP BY c.click_id""")
+_both("jn15_index_lists", "SELECT c.click_id, e.edge_id, e.length FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND c.click_id % 700 = e.edge_id")
+_ROUTE = "SELECT *, CASE WHEN mask_seq % 3 = 0 THEN 'edges' WHEN mask_seq % 3 = 1 AND real_length IS NOT NULL THEN 'polyline' WHEN cnt IS NOT NULL THEN 'raster' ELSE 'none' END AS route, coalesce(category, 'Walls') AS cat FROM [[masks]]"
+_both("jn16_mask_routing", f"SELECT project_id, mask_seq, route, CASE WHEN cat = 'Walls' THEN 'wall' ELSE 'opening' END AS kind FROM ({_ROUTE})")
+_both("jn17_engine_choice", f"SELECT project_id, CASE WHEN max(CASE WHEN cat = 'Walls' AND route = 'edges' OR route = 'polyline' THEN 1 ELSE 0 END) = 1 THEN 'vector' ELSE 'raster' END AS engine FROM ({_ROUTE}) GROUP BY project_id")
+
+# --- graph -------------------------------------------------------------------------------------------------------------
+_ADJ = """adj AS (SELECT DISTINCT a.page_id, a.edge_id AS f, b.edge_id AS t FROM ends a JOIN ends b ON a.page_id = b.page_id AND a.edge_id <> b.edge_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3
+  AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 3)"""
+_ENDS = "ends AS (SELECT page_id, edge_id, x0 AS x, y0 AS y FROM [[edges]] UNION ALL SELECT page_id, edge_id, x1, y1 FROM [[edges]])"
+
+
+def _flood_sql(lw_tol: float, color: bool) -> str:
+    same = "e.color IS NOT DISTINCT FROM o.color AND " if color else ""
+    return f"""SELECT page_id, seed, edge_id FROM (WITH RECURSIVE {_ENDS}, {_ADJ},
+ ok AS (SELECT DISTINCT s.page_id, s.edge_id AS seed, e.edge_id FROM [[seeds]] s JOIN [[edges]] o ON s.page_id = o.page_id AND s.edge_id = o.edge_id JOIN [[edges]] e ON e.page_id = s.page_id
+  WHERE abs(e.lw - o.lw) <= {lw_tol} AND {same}e.filled = o.filled AND e.structural AND ((o.axis AND e.axis) OR (NOT o.axis AND NOT e.axis AND abs(o.angle - e.angle) < 15) OR e.axis)),
+ r AS (SELECT page_id, seed, edge_id FROM ok WHERE edge_id = seed
+  UNION SELECT r.page_id, r.seed, ok.edge_id FROM r JOIN adj ON adj.page_id = r.page_id AND adj.f = r.edge_id JOIN ok ON ok.page_id = r.page_id AND ok.seed = r.seed AND ok.edge_id = adj.t)
+ SELECT * FROM r)"""
+
+
+_query("gr01_flood_select", lambda w: graph.flood_select(w["seeds"].distinct(), w["edges"]), _flood_sql(0.2, True))
+_query("gr01_flood_select_wide", lambda w: graph.flood_select(w["seeds"].distinct(), w["edges"], lw_tol=1.0, color_match=False), _flood_sql(1.0, False))
+_query("gr02_adjacency", lambda w: graph.adjacency(w["edges"]), f"SELECT page_id, f AS a, t AS b FROM (WITH {_ENDS}, {_ADJ} SELECT * FROM adj) WHERE f < t")
+_query("gr03_components", lambda w: graph.components(w["edges"]),
+       f"""SELECT page_id, edge_id, min(c) AS component FROM (WITH RECURSIVE {_ENDS}, {_ADJ}, r AS (SELECT page_id, edge_id, edge_id AS c FROM [[edges]]
+           UNION SELECT r.page_id, adj.t, r.c FROM r JOIN adj ON adj.page_id = r.page_id AND adj.f = r.edge_id) SELECT * FROM r) GROUP BY page_id, edge_id""")
+
+# --- sets --------------------------------------------------------------------------------------------------------------
+_both("set01_union_barriers", "SELECT page_id, y, x FROM [[ink]] UNION SELECT page_id, y, x FROM [[ink2]]")
+_both("set02_union_noise", "SELECT page_id, count(*) AS n FROM (SELECT page_id, y, x FROM [[ink]] UNION SELECT page_id, y, x FROM [[ink2]]) GROUP BY page_id")
+_both("set03_intersection_guard", "SELECT page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM (SELECT page_id, y, x FROM [[ink]] INTERSECT SELECT page_id, y, x FROM [[ink2]])) WHERE n > 50")
+_both("set04_difference", "SELECT page_id, y, x FROM [[ink]] EXCEPT SELECT page_id, y, x FROM [[ink2]]")
+_query("set05_complement", lambda w: raster.complement(w["raster"], w["ink"]), "SELECT page_id, y, x FROM [[raster]] EXCEPT SELECT page_id, y, x FROM [[ink]]")
+_query("set06_union_runs", lambda w: raster.runs_at_least(w["ink2"], 3).union(raster.runs_at_least(w["ink2"], 3, "y")).distinct(), """
+SELECT page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id, y, g) AS n FROM (SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS g FROM [[ink2]])) WHERE n >= 3
+UNION SELECT page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id, x, g) AS n FROM (SELECT *, y - row_number() OVER (PARTITION BY page_id, x ORDER BY y) AS g FROM [[ink2]])) WHERE n >= 3""")
+_both("set07_concatenate_gaps", "SELECT page_id, ia, ib, width FROM [[gaps_all]] WHERE orient = 'H' UNION ALL SELECT page_id, ia, ib, width FROM [[gaps_all]] WHERE orient = 'V'")
+
+# --- order and limits --------------------------------------------------------------------------------------------------
+_query("top01_best_hit", lambda w: spatial.hit_test(w["clicks"], w["edges"]).where("pos = 1").select("click_id", "edge_id"), f"SELECT click_id, edge_id FROM {_HITS} WHERE pos = 1")
+_both("top02_widths_by_value", "SELECT page_id, lw, n, row_number() OVER (PARTITION BY page_id ORDER BY lw DESC) AS pos FROM (SELECT page_id, @half(lw, 2) AS lw, count(*) AS n FROM [[edges]] WHERE lw > 0 GROUP BY page_id, @half(lw, 2))")
+_query("top05_best_mask", lambda w: w["masks"].groupBy("project_id").agg(F.max_by("mask_seq", F.struct(F.coalesce("real_length", F.lit(-1.0)), -F.col("mask_seq"))).alias("mask_seq")),
+       "SELECT project_id, mask_seq FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(real_length, -1) DESC, mask_seq) AS r FROM [[masks]]) WHERE r = 1")
+_both("top06_edge_cap", "SELECT page_id, edge_id FROM (SELECT page_id, edge_id, row_number() OVER (PARTITION BY page_id ORDER BY edge_id) AS r FROM [[edges]] WHERE structural) WHERE r <= 12000")
+_query("top07_undo", lambda w: state.undo(w["masks"]).select("project_id", "mask_seq"),
+       "SELECT project_id, mask_seq FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY mask_seq DESC) AS r FROM [[masks]]) WHERE r > 1")
+_query("top08_exists_arc", lambda w: w["gaps"].join(gp.with_arcs(w["gaps"], w["curves"]), ["page_id", "gap_id"], "left_semi").select("page_id", "gap_id", "width"),
+       "SELECT g.page_id, g.gap_id, g.width FROM [[gaps]] g SEMI JOIN [[arcs]] a ON g.page_id = a.page_id AND g.gap_id = a.gap_id")
+
+# --- strings -----------------------------------------------------------------------------------------------------------
+_both("str01_dimension_text", f"SELECT page_id, word_id, {DIMENSION_SQL} AS is_dimension FROM [[words]]")
+_query("str02_room_names", lambda w: w["words"].select("page_id", "word_id", labels.names_room(F.col("text")).alias("is_room")), f"SELECT page_id, word_id, {ROOM_SQL} AS is_room FROM [[words]]")
+_query("str03_title_case", lambda w: w["phrases"].select("page_id", "ln", "x0", labels.title_case(F.col("text")).alias("title")), f"SELECT page_id, ln, x0, {TITLE_SQL} AS title FROM [[phrases]]")
+_query("str04_labels", lambda w: w["labels"], "SELECT * FROM [[labels]]")
+_query("str05_svg_fragment", lambda w: w["edges"].select("page_id", "edge_id", F.format_string("M%.2f,%.2fL%.2f,%.2f", "x0", "y0", "x1", "y1").alias("d")),
+       "SELECT page_id, edge_id, printf('M%.2f,%.2fL%.2f,%.2f', x0, y0, x1, y1) AS d FROM [[edges]]")
+_both("str06_gap_svg", """
+SELECT page_id, gap_id, concat('M', @fixed(x0, 2), ',', @fixed(y0, 2), ' L', @fixed(x1, 2), ',', @fixed(y1, 2)) AS line,
+ CASE orient WHEN 'H' THEN concat('M', @fixed(x0, 2), ',', @fixed(y0 - 4, 2), ' L', @fixed(x0, 2), ',', @fixed(y0 + 4, 2)) ELSE concat('M', @fixed(x0 - 4, 2), ',', @fixed(y0, 2), ' L', @fixed(x0 + 4, 2), ',', @fixed(y0, 2)) END AS tick1,
+ CASE orient WHEN 'H' THEN concat('M', @fixed(x1, 2), ',', @fixed(y1 - 4, 2), ' L', @fixed(x1, 2), ',', @fixed(y1 + 4, 2)) ELSE concat('M', @fixed(x1 - 4, 2), ',', @fixed(y1, 2), ' L', @fixed(x1 + 4, 2), ',', @fixed(y1, 2)) END AS tick2
+FROM (SELECT *, CASE orient WHEN 'H' THEN g0 ELSE perp END AS x0, CASE orient WHEN 'H' THEN perp ELSE g0 END AS y0, CASE orient WHEN 'H' THEN g1 ELSE perp END AS x1, CASE orient WHEN 'H' THEN perp ELSE g1 END AS y1
+      FROM [[gaps]] WHERE perp = floor(perp))""")
+_query("str07_data_url", lambda w: w["projects"].select("project_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("project_id", "UTF-8"))).alias("u")).select("project_id", F.substring_index("u", ",", -1).alias("b64")),
+       "SELECT project_id, to_base64(encode(project_id)) AS b64 FROM [[projects]]")
+_query("str08_colours", lambda w: w["masks"].select("project_id", "mask_seq", F.coalesce(F.create_map(*[F.lit(x) for kv in CATEGORY_COLOURS.items() for x in kv])[F.col("category")], F.lit("rgba(128,128,128,0.4)")).alias("color")),
+       "SELECT project_id, mask_seq, CASE category WHEN 'Walls' THEN 'rgba(59,130,246,0.4)' WHEN 'Doors' THEN 'rgba(16,185,129,0.4)' WHEN 'Windows' THEN 'rgba(245,158,11,0.4)' ELSE 'rgba(128,128,128,0.4)' END AS color FROM [[masks]]")
+_both("str09_room_ids", "SELECT project_id, room_seq, concat('R', CAST(room_seq AS STRING)) AS room_id FROM [[rooms]]".replace("STRING", "VARCHAR(20)"))
+_both("str10_line_text", "SELECT page_id, top, md5(@list(text, word_id)) AS h FROM [[words]] GROUP BY page_id, top")
+_both("str11_config_by_name", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'tiny' WHEN s_suppkey % 4 = 1 THEN 'small' WHEN contains(lower(s_name), '2') THEN 'base_plus' WHEN contains(lower(s_name), '3') THEN 'large' ELSE 'tiny' END AS cfg FROM [[supplier]]")
+_both("str12_fixed_points", "SELECT page_id, edge_id, @fixed(x0, 1) AS a, @fixed(y1 - y0, 2) AS b FROM [[edges]]")
+
+# Fill colours of the three categories.
+CATEGORY_COLOURS = {"Walls": "rgba(59,130,246,0.4)", "Doors": "rgba(16,185,129,0.4)", "Windows": "rgba(245,158,11,0.4)"}
+
+# --- measurement -------------------------------------------------------------------------------------------------------
+_AREA = "coalesce(real_length, 0) * coalesce(height, 0)"
+_OPEN = f"(SELECT project_id, sum({_AREA}) AS o FROM [[masks]] WHERE category IN ('Doors', 'Windows') GROUP BY project_id)"
+_query("ms01_wall_area", lambda w: measure.wall_area(w["masks"], 2.4),
+       "SELECT project_id, round(sum(CASE category WHEN 'Walls' THEN coalesce(real_length, 0) * 2.4 WHEN 'Doors' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) WHEN 'Windows' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) ELSE 0 END), 2) AS wall_area FROM [[masks]] GROUP BY project_id")
+_query("ms02_opening_area", lambda w: measure.category_area(w["masks"]), f"SELECT project_id, category, round(sum({_AREA}), 2) AS area FROM [[masks]] WHERE category IN ('Doors', 'Windows') GROUP BY project_id, category")
+_query("ms03_ceiling_area", lambda w: measure.ceiling_area(w["rooms"]), "SELECT project_id, round(sum(real_area), 2) AS ceiling_area FROM [[rooms]] GROUP BY project_id")
+_query("ms04_net_wall_area", lambda w: measure.net_wall_area(w["rooms"], w["masks"], 2.4), f"""
+SELECT coalesce(g.project_id, o.project_id) AS project_id, round(coalesce(g.g, 0) - coalesce(o.o, 0), 2) AS net_area
+FROM (SELECT project_id, sum(real_perimeter * 2.4) AS g FROM [[rooms]] GROUP BY project_id) g FULL JOIN {_OPEN} o ON g.project_id = o.project_id""")
+_ROOM = f"""(SELECT r.*, round(real_perimeter * 2.4 - coalesce(o.o, 0) / count(*) OVER (PARTITION BY r.project_id), 2) AS net_area FROM [[rooms]] r LEFT JOIN {_OPEN} o ON r.project_id = o.project_id)"""
+_query("ms05_room_wall_area", lambda w: measure.room_wall_area(w["rooms"], w["masks"], 2.4).select("project_id", "room_seq", "net_area"), f"SELECT project_id, room_seq, net_area FROM {_ROOM}")
+_query("ms06_counts", lambda w: measure.counts(w["masks"]), "SELECT project_id, category, CAST(sum(coalesce(nullif(cnt, 0), 1)) AS BIGINT) AS n FROM [[masks]] GROUP BY project_id, category")
+_query("ms07_export_rows", lambda w: measure.export_rows(w["rooms"], w["masks"], 2.4),
+       f"SELECT project_id, 'R' || room_seq AS room_no, name AS room_name, net_area AS inner_wall_area, round(real_area, 2) AS ceiling_area, round(real_perimeter, 2) AS inner_perimeter FROM {_ROOM}")
+_SUMMARY = f"""
+WITH r AS (SELECT project_id, sum(real_perimeter * 2.4) AS gross, sum(real_area) AS ceiling, count(*) AS n FROM [[rooms]] GROUP BY project_id),
+m AS (SELECT project_id, sum(CASE category WHEN 'Doors' THEN {_AREA} ELSE 0 END) AS da, sum(CASE category WHEN 'Windows' THEN {_AREA} ELSE 0 END) AS wa,
+ sum(CASE category WHEN 'Doors' THEN coalesce(nullif(cnt, 0), 1) ELSE 0 END) AS dn, sum(CASE category WHEN 'Windows' THEN coalesce(nullif(cnt, 0), 1) ELSE 0 END) AS wn FROM [[masks]] GROUP BY project_id),
+j AS (SELECT r.*, coalesce(da, 0) AS da, coalesce(wa, 0) AS wa, coalesce(dn, 0) AS dn, coalesce(wn, 0) AS wn FROM r LEFT JOIN m ON r.project_id = m.project_id)
+SELECT project_id, 'Total Wall Area' AS metric, round(gross - da - wa, 2) AS value FROM j UNION ALL SELECT project_id, 'Total Ceiling Area', round(ceiling, 2) FROM j
+UNION ALL SELECT project_id, 'Total Door Area', round(da, 2) FROM j UNION ALL SELECT project_id, 'Total Window Area', round(wa, 2) FROM j UNION ALL SELECT project_id, 'Total Rooms', CAST(n AS DOUBLE) FROM j
+UNION ALL SELECT project_id, 'Total Doors', CAST(dn AS DOUBLE) FROM j UNION ALL SELECT project_id, 'Total Windows', CAST(wn AS DOUBLE) FROM j"""
+_query("ms08_export_summary", lambda w: measure.export_summary(w["rooms"], w["masks"], 2.4), f"SELECT project_id, metric, value FROM ({_SUMMARY})")
+_query("ms09_detected_masks", lambda w: measure.detected_masks(w["detected"]).withColumn("real_length", F.round("real_length", 4)), """
+SELECT project_id, 'Walls' AS category, round(wall_length, 4) AS real_length, 0.0 AS height, NULL AS cnt FROM [[detected]] WHERE wall_length IS NOT NULL AND wall_length <> 0
+UNION ALL SELECT project_id, 'Doors', round(CAST(0.9 AS DOUBLE) * doors, 4), CAST(2.1 AS DOUBLE), doors FROM [[detected]] WHERE doors > 0
+UNION ALL SELECT project_id, 'Windows', round(CAST(1.2 AS DOUBLE) * windows, 4), CAST(1.2 AS DOUBLE), windows FROM [[detected]] WHERE windows > 0""")
+_both("ms10_default_heights", "SELECT project_id, mask_seq, CASE category WHEN 'Doors' THEN CAST(2.1 AS DOUBLE) WHEN 'Windows' THEN CAST(1.2 AS DOUBLE) ELSE coalesce(nullif(height, 0), CAST(2.4 AS DOUBLE)) END AS height FROM [[masks]]")
+_both("ms11_segment_lengths", "SELECT click_id, x1 - x0 AS first_part, y2 - y1 AS second_part, (x1 - x0) + (y2 - y1) AS total FROM [[flat_paths]]")
+_both("ms12_calibration_strokes", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 5")
+_both("ms13_opening_lines", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 3")
+_both("ms14_real_units", "SELECT e.page_id, e.edge_id, round(@div(e.length, p.scale_factor), 6) AS real_length, round(@div(e.length, p.scale_factor * p.scale_factor), 6) AS real_area FROM [[edges]] e JOIN [[projects]] p ON e.page_id = p.page_id")
+_query("ms15_erase_and_measure", lambda w: spatial.erase(w["selection"], w["edges"], w["erasers"]).join(w["edges"], ["page_id", "edge_id"]).groupBy("page_id").agg(F.round(F.sum("length"), 4).alias("length"), F.count(F.lit(1)).alias("n")),
+       f"SELECT k.page_id, round(sum(e.length), 4) AS length, count(*) AS n FROM {_KEPT} k JOIN [[edges]] e ON k.page_id = e.page_id AND k.edge_id = e.edge_id GROUP BY k.page_id")
+_both("ms16_mask_merge", "SELECT a.project_id, a.mask_seq, coalesce(b.real_length, a.real_length) AS real_length, coalesce(b.height, a.height) AS height FROM [[masks]] a LEFT JOIN (SELECT project_id, mask_seq + 100 AS mask_seq, real_length, nullif(height, 0) AS height FROM [[masks]]) b ON a.project_id = b.project_id AND a.mask_seq = b.mask_seq")
+_both("ms17_render_priority", f"SELECT project_id, mask_seq, CASE route WHEN 'polyline' THEN 'polyline' WHEN 'edges' THEN 'svg' WHEN 'raster' THEN 'image' END AS drawn FROM ({_ROUTE})")
+_both("ms18_screen_to_points", "SELECT click_id, round((x - 17) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS nx, round((y - 9) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS ny FROM [[clicks]]")
+
+# --- sinks and state ---------------------------------------------------------------------------------------------------
+_query("snk02_partial_update", lambda w: state.upsert(w["projects"].select("project_id", "scale_factor", "wall_height"), w.sql(_CHANGES), "project_id"), """
+SELECT p.project_id, coalesce(c.scale_factor, p.scale_factor) AS scale_factor, coalesce(c.wall_height, p.wall_height) AS wall_height, CASE WHEN c.scale_factor IS NOT NULL OR c.wall_height IS NOT NULL THEN 'updated' ELSE 'no_change' END AS status
+FROM [[projects]] p LEFT JOIN (SELECT s_name AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(30 AS DOUBLE) END AS scale_factor, CASE WHEN s_suppkey % 4 = 0 THEN CAST(3 AS DOUBLE) END AS wall_height FROM [[supplier]] WHERE s_suppkey % 2 = 0) c ON p.project_id = c.project_id""")
+_CHANGES = "SELECT s_name AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(30 AS DOUBLE) END AS scale_factor, CASE WHEN s_suppkey % 4 = 0 THEN CAST(3 AS DOUBLE) END AS wall_height FROM [[supplier]] WHERE s_suppkey % 2 = 0"
+_query("snk03_calibrate", lambda w: state.calibrate(w["projects"], w["strokes"]), """
+SELECT p.project_id, round(coalesce(s.n, p.scale_factor), 6) AS scale_factor, s.n IS NOT NULL AS calibrated FROM [[projects]] p LEFT JOIN (
+ SELECT project_id, d / nullif(real_length, 0) AS n FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM [[strokes]]) WHERE d > 5) s ON p.project_id = s.project_id""")
+_both("snk04_replace_rooms", "SELECT project_id, room_seq, name FROM [[rooms]] WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, 1 AS room_seq, 'Whole' AS name FROM (SELECT DISTINCT project_id FROM [[rooms]] WHERE project_id % 3 = 0)")
+_RENAMES = "SELECT DISTINCT project_id, concat('R', CAST(project_id % 4 + 1 AS VARCHAR(9))) AS room_id, 'Renamed' AS new_name FROM [[rooms]]"
+_WITH_ID = "SELECT project_id, room_seq, concat('R', CAST((room_seq - 1) % 6 + 1 AS VARCHAR(9))) AS room_id, name FROM [[rooms]]"
+_query("snk05_rename_room", lambda w: state.rename_rooms(w.sql(_WITH_ID), w.sql(_RENAMES)), f"""
+SELECT r.project_id, r.room_seq, r.room_id, CASE WHEN n.room_id IS NOT NULL AND r.k = 1 THEN n.new_name ELSE r.name END AS name
+FROM (SELECT *, row_number() OVER (PARTITION BY project_id, room_id ORDER BY room_seq) AS k FROM ({_WITH_ID})) r LEFT JOIN ({_RENAMES}) n ON r.project_id = n.project_id AND r.room_id = n.room_id""")
+_query("snk05_missing_renames", lambda w: state.missing_renames(w.sql(_WITH_ID), w.sql(_RENAMES)), f"SELECT n.* FROM ({_RENAMES}) n ANTI JOIN ({_WITH_ID}) r ON r.project_id = n.project_id AND r.room_id = n.room_id")
+_query("snk06_report_sheet", lambda w: _sheet(w), f"""
+SELECT project_id, CAST(room_seq AS BIGINT) AS line, name AS a, round(real_area, 2) AS b FROM [[rooms]]
+UNION ALL SELECT s.project_id, n.n + 3 + row_number() OVER (PARTITION BY s.project_id ORDER BY s.metric), s.metric, s.value FROM ({_SUMMARY}) s JOIN (SELECT project_id, count(*) AS n FROM [[rooms]] GROUP BY project_id) n ON s.project_id = n.project_id""")
+_query("snk08_latest_state", lambda w: state.latest(w["masks"].select("project_id", "mask_seq", "category", "real_length"), "project_id", "mask_seq"),
+       "SELECT project_id, mask_seq, category, real_length FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY mask_seq DESC) AS r FROM [[masks]]) WHERE r = 1")
+
+
+def _sheet(w: Workspace) -> DataFrame:
+    """Room rows from line 1, the summary three lines below them."""
+    from pyspark.sql.window import Window
+
+    n = w["rooms"].groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
+    top = w["rooms"].select("project_id", F.col("room_seq").alias("line"), F.col("name").alias("a"), F.round("real_area", 2).alias("b"))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("metric"))
+    below = measure.export_summary(w["rooms"], w["masks"], 2.4).join(n, "project_id").select("project_id", (F.col("n") + 3 + place).alias("line"), F.col("metric").alias("a"), F.col("value").alias("b"))
+    return top.unionByName(below)
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
 
+# --- rasters -----------------------------------------------------------------------------------------------------------
+def _window_sql(relation: str, ry: int, rx: int, erode: bool = False) -> str:
+    grid = f"SELECT p.page_id, p.y + dy.x AS y, p.x + dx.x AS x FROM {relation} p CROSS JOIN @series(-{ry}, {ry}) dy CROSS JOIN @series(-{rx}, {rx}) dx"
+    inside = f"y >= 0 AND y < {HEIGHT} AND x >= 0 AND x < {WIDTH}"
+    if not erode:
+        return f"SELECT DISTINCT page_id, y, x FROM ({grid}) WHERE {inside}"
+    need = f"(least({HEIGHT - 1}, y + {ry}) - greatest(0, y - {ry}) + 1) * (least({WIDTH - 1}, x + {rx}) - greatest(0, x - {rx}) + 1)"
+    return f"SELECT page_id, y, x FROM ({grid}) WHERE {inside} GROUP BY page_id, y, x HAVING count(*) = {need}"
 
-def queries():
-    return {}
 
+_RGB = "SELECT page_id, y, x, gray AS r, (gray * 3) % 256 AS g, (gray * 7) % 256 AS b FROM [[raster]]"
+_SEGMENTS = "SELECT page_id % 8 AS page_id, floor(x0 / 20) AS x0, floor(y0 / 20) AS y0, floor(x1 / 20) AS x1, floor(y1 / 20) AS y1 FROM [[edges]] WHERE x1 >= 0 AND y1 >= 0"
+_query("ras01_rasterise", lambda w: raster.rasterise(w.sql(_SEGMENTS).selectExpr("page_id", "cast(x0 as double) x0", "cast(y0 as double) y0", "cast(x1 as double) x1", "cast(y1 as double) y1")), f"""
+SELECT DISTINCT page_id, CAST(floor(y0 + (y1 - y0) * t + 0.5) AS INT) AS y, CAST(floor(x0 + (x1 - x0) * t + 0.5) AS INT) AS x
+FROM (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE k / n END AS t FROM (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM (SELECT *, greatest(abs(x1 - x0), abs(y1 - y0)) AS n FROM ({_SEGMENTS}))))""")
+_BOXES = "SELECT page_id % 8 AS page_id, x0 / 20 AS x0, top / 20 AS y0, x1 / 20 AS x1, bottom / 20 AS y1 FROM [[words]]"
+_BOX_SQL = f"SELECT DISTINCT page_id, CAST(y AS INT) AS y, CAST(unnest(range(greatest(0, @floor(x0) - 1), @int(ceil(x1)) + 2)) AS INT) AS x FROM (SELECT *, unnest(range(greatest(0, @floor(y0) - 1), @int(ceil(y1)) + 2)) AS y FROM ({_BOXES}))"
+_query("ras02_fill_boxes", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQL)
+_query("ras03_gray", lambda w: raster.to_gray(w.sql(_RGB)), f"SELECT page_id, y, x, CAST(round(0.299 * r + 0.587 * g + 0.114 * b) AS INT) AS gray FROM ({_RGB})")
+_query("ras04_otsu", lambda w: raster.otsu(w["raster"]), """
+SELECT page_id, gray AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(coalesce(v, 0), 0) DESC, gray) AS r FROM (
+ SELECT page_id, gray, CAST(s0 * w - s * w0 AS DOUBLE) * CAST(s0 * w - s * w0 AS DOUBLE) / nullif(CAST(w0 * (w - w0) AS DOUBLE), 0) AS v FROM (
+  SELECT page_id, gray, sum(n) OVER u AS w0, sum(n * gray) OVER u AS s0, sum(n) OVER (PARTITION BY page_id) AS w, sum(n * gray) OVER (PARTITION BY page_id) AS s
+  FROM (SELECT page_id, gray, count(*) AS n FROM [[raster]] GROUP BY page_id, gray) WINDOW u AS (PARTITION BY page_id ORDER BY gray ROWS UNBOUNDED PRECEDING)))) WHERE r = 1""")
+_query("ras05_dilate", lambda w: raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH), _window_sql("[[ink]]", 1, 1))
+_query("ras06_close", lambda w: w["closed"], _window_sql(f"({_window_sql('[[ink]]', 1, 1)})", 1, 1, erode=True))
+_query("ras06_open", lambda w: raster.open_(w["ink2"], 0, 1, HEIGHT, WIDTH), _window_sql(f"({_window_sql('[[ink2]]', 0, 1, erode=True)})", 0, 1))
+_COMPONENTS = """(SELECT page_id, y, x, min(c) AS c FROM (WITH RECURSIVE r AS (SELECT page_id, y, x, y * 4096 + x AS c FROM [[ink]]
+ UNION SELECT i.page_id, i.y, i.x, r.c FROM r JOIN [[ink]] i ON i.page_id = r.page_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1 WHERE r.c < i.y * 4096 + i.x) SELECT * FROM r) GROUP BY page_id, y, x)"""
+_FULL = _COMPONENTS.replace(" WHERE r.c < i.y * 4096 + i.x", "")
+_query("ras07_components", lambda w: raster.components(w["ink"]), f"SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL}")
+_STATS = f"""(SELECT page_id, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x, count(*) AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy FROM {_FULL} GROUP BY page_id, c)"""
+_query("agg13_component_stats", lambda w: raster.component_stats(raster.components(w["ink"])), f"SELECT * FROM {_STATS}")
+_query("agg14_ink_box", lambda w: w["ink"].groupBy("page_id").agg(*[F.floor(F.percentile(c, F.lit(p))).alias(f"{c}_{n}") for c in ("x", "y") for n, p in (("lo", 0.02), ("hi", 0.98))]),
+       "SELECT page_id, CAST(floor(quantile_cont(x, 0.02)) AS BIGINT) AS x_lo, CAST(floor(quantile_cont(x, 0.98)) AS BIGINT) AS x_hi, CAST(floor(quantile_cont(y, 0.02)) AS BIGINT) AS y_lo, CAST(floor(quantile_cont(y, 0.98)) AS BIGINT) AS y_hi FROM [[ink]] GROUP BY page_id")
+_both("agg15_window_mode", """
+SELECT page_id, wy, wx, g FROM (SELECT *, row_number() OVER (PARTITION BY page_id, wy, wx ORDER BY n DESC, g) AS r FROM (
+ SELECT page_id, @floor(y / 20) AS wy, @floor(x / 20) AS wx, @floor(gray / 32) AS g, count(*) AS n FROM [[raster]] GROUP BY 1, 2, 3, 4)) WHERE r = 1""")
+_both("agg16_removed_share", "SELECT r.page_id, round(CAST(100 AS DOUBLE) * count(i.x) / count(*), 4) AS pct FROM [[raster]] r LEFT JOIN [[ink]] i ON r.page_id = i.page_id AND r.y = i.y AND r.x = i.x GROUP BY r.page_id")
+_query("top03_smallest_component", lambda w: raster.component_stats(raster.components(w["ink"])).where("area > 2").groupBy("page_id").agg(F.min_by(F.struct("label_y", "label_x", "area"), F.struct("area", "label_y", "label_x")).alias("m")).select("page_id", "m.*"),
+       f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area, label_y, label_x) AS r FROM {_STATS} WHERE area > 2) WHERE r = 1")
+_query("top04_largest_component", lambda w: raster.component_stats(raster.components(w["ink"])).groupBy("page_id").agg(F.min_by(F.struct("label_y", "label_x", "area"), F.struct(-F.col("area"), "label_y", "label_x")).alias("m")).select("page_id", "m.*"),
+       f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label_y, label_x) AS r FROM {_STATS}) WHERE r = 1")
+_both("ras09_distance_band", "SELECT page_id, y, x, gray FROM [[raster]] WHERE gray >= greatest(0.3, 0.3 * 150) AND gray <= 4 * 60")
+_PIXEL = "SELECT click_id, page_id % 8 AS page_id, @int(x / 20) AS cx, @int(y / 20) AS cy FROM [[clicks]]"
+_both("ras10_ring_search", f"""
+SELECT click_id, y, x, ring FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ring, y, x) AS r FROM (
+ SELECT c.click_id, i.y, i.x, greatest(abs(i.y - c.cy), abs(i.x - c.cx)) AS ring FROM ({_PIXEL}) c JOIN [[ink]] i ON c.page_id = i.page_id AND i.y BETWEEN c.cy - 3 AND c.cy + 3 AND i.x BETWEEN c.cx - 3 AND c.cx + 3)) WHERE r = 1""")
+_both("ras13_width_recovery", "SELECT DISTINCT i.page_id, i.y, i.x FROM [[ink2]] i JOIN [[ink]] s ON i.page_id = s.page_id AND i.y BETWEEN s.y - 1 AND s.y + 1 AND i.x BETWEEN s.x - 1 AND s.x + 1")
+_query("ras15_text_mask", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQL)
+_both("ras16_thin_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE lw < 0.2 AND type IN ('line', 'rect_edge')")
+_both("ras17_dashed_lines", "SELECT page_id, edge_id, greatest(coalesce(nullif(lw, 0), 0.5), 0.5) AS thickness FROM [[edges]] WHERE is_dashed")
+_both("ras18_grid_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(x1 - x0) > 0.1 * 1191 OR abs(y1 - y0) > 0.1 * 842)")
+_query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
+       f"SELECT r.page_id, r.y, r.x, CASE WHEN n.x IS NOT NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN ({_window_sql('[[ink]]', 1, 1)}) n ON r.page_id = n.page_id AND r.y = n.y AND r.x = n.x")
+_both("ras21_annotation_cleaning", "SELECT r.page_id, r.y, r.x, CASE WHEN i.x IS NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN [[ink2]] i ON r.page_id = i.page_id AND r.y = i.y AND r.x = i.x")
+_both("ras22_normalise", "SELECT page_id, y, x, round((gray / CAST(255 AS DOUBLE) - CAST(0.485 AS DOUBLE)) / CAST(0.229 AS DOUBLE), 6) AS v FROM [[raster]]")
+_both("ras24_argmax", "SELECT pixel_id, y, x, room_cls, icon_cls FROM [[logits]]")
+_both("ras25_class_masks", "SELECT room_cls, y, x FROM (SELECT *, count(*) OVER (PARTITION BY room_cls) AS n FROM [[logits]]) WHERE n >= 20")
+_query("ras27_class_names", lambda w: w["logits"].select("pixel_id", F.element_at(F.array(*[F.lit(n) for n in ROOM_CLASSES]), F.col("room_cls") + 1).alias("room"), F.element_at(F.array(*[F.lit(n) for n in ICON_CLASSES]), F.col("icon_cls") + 1).alias("icon")),
+       f"SELECT pixel_id, ['Background', 'Outdoor', 'Wall', 'Kitchen', 'Living Room', 'Bedroom', 'Bathroom', 'Hallway', 'Storage', 'Garage', 'Undefined', 'Railing'][room_cls + 1] AS room, ['Background', 'Window', 'Door', 'Closet', 'Toilet', 'Sink', 'Sauna', 'Fireplace', 'Bathtub', 'Chimney', 'Undefined'][icon_cls + 1] AS icon FROM [[logits]]")
+_both("ras28_uncrop", "SELECT page_id, y + 40 AS y, x + 25 AS x FROM [[ink]]")
+_both("ras35_kernel_size", "SELECT page_id, greatest(3, n + (1 - n % 2)) AS k FROM (SELECT page_id, @int(3 * (1.0 + page_id % 5) / 1.5) AS n FROM [[projects]])")
+_both("ras41_resize_nearest", "SELECT r.page_id, t.y AS y, r.x AS x, r.gray FROM (SELECT DISTINCT page_id, y FROM [[raster]]) t JOIN [[raster]] r ON r.page_id = t.page_id AND r.y = @floor(t.y / 2)")
 
-def oracle_sql():
-    return {}
+# Class names of the two channel groups.
+ROOM_CLASSES = ["Background", "Outdoor", "Wall", "Kitchen", "Living Room", "Bedroom", "Bathroom", "Hallway", "Storage", "Garage", "Undefined", "Railing"]
+ICON_CLASSES = ["Background", "Window", "Door", "Closet", "Toilet", "Sink", "Sauna", "Fireplace", "Bathtub", "Chimney", "Undefined"]
