@@ -39,7 +39,7 @@ def dedup_gaps(gaps: DataFrame) -> DataFrame:
     return kept.withColumn("gap_id", number.cast("long"))
 
 
-def _near(gaps: DataFrame, points: DataFrame, reach: float, cell: float):
+def near_points(gaps: DataFrame, points: DataFrame, reach: float, cell: float):
     """Gaps with the points in the cells within ``reach``: an equi-join on cells, the exact distance left to the caller."""
     k = F.sequence(F.floor((F.col("mx") - reach) / cell), F.floor((F.col("mx") + reach) / cell))
     wide = gaps.withColumn("gx", F.explode(k))
@@ -50,14 +50,14 @@ def _near(gaps: DataFrame, points: DataFrame, reach: float, cell: float):
 def with_arcs(gaps: DataFrame, curves: DataFrame) -> DataFrame:
     """(page_id, gap_id) of gaps near an arc: four points or more, 8 to 4 widths large, centre within 1.8 widths."""
     arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.col("cx").alias("px"), F.col("cy").alias("py"), "size")
-    met = _near(gaps, arcs, 1.8 * MOST, 2 * MOST).where(F.expr("size <= 4 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 1.8 * width"))
+    met = near_points(gaps, arcs, 1.8 * MOST, 2 * MOST).where(F.expr("size <= 4 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 1.8 * width"))
     return met.select("page_id", "gap_id").distinct()
 
 
 def parallel_lines(gaps: DataFrame, edges: DataFrame) -> DataFrame:
     """(page_id, gap_id, n) for gaps with edges whose middle lies within 0.8 widths and length strictly within 0.5 to 1.5 widths."""
     lines = edges.select("page_id", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), "length")
-    met = _near(gaps, lines, 0.8 * MOST, MOST).where(F.expr("length > 0.5 * width and length < 1.5 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 0.8 * width"))
+    met = near_points(gaps, lines, 0.8 * MOST, MOST).where(F.expr("length > 0.5 * width and length < 1.5 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 0.8 * width"))
     return met.groupBy("page_id", "gap_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -75,7 +75,7 @@ def pick(clicks: DataFrame, gaps: DataFrame, first: str | None, *, reach: float
     With ``first`` only that type and openings count, and that type goes before openings. Ties go to the smaller gap_id.
     """
     points = clicks.select("click_id", "page_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    met = _near(gaps if first is None else gaps.where(F.col("type").isin(first, "opening")), points, reach, 2 * reach)
+    met = near_points(gaps if first is None else gaps.where(F.col("type").isin(first, "opening")), points, reach, 2 * reach)
     dist = F.sqrt((F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my")))
     met = met.withColumn("dist", dist).where(F.col("dist") < reach)
     order = F.struct(F.when(F.col("type") == first, 0).otherwise(1), "dist", "gap_id") if first else F.struct("dist", "gap_id")

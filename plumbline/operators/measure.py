@@ -1,4 +1,4 @@
-"""Measurement and report queries over masks and rooms of projects."""
+"""Measurement and report queries over masks and rooms of projects; results are rounded to ``places``, two in reports."""
 
 from __future__ import annotations
 
@@ -12,18 +12,18 @@ def real(value: Column, scale: Column, power: int = 1) -> Column:
     return F.try_divide(value, F.pow(scale, F.lit(power)) if power > 1 else scale)
 
 
-def wall_area(masks: DataFrame, wall_height: float) -> DataFrame:
+def wall_area(masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """Gross wall area by project: wall lengths times height, and what is above doors and windows."""
     length, height = F.coalesce("real_length", F.lit(0.0)), F.coalesce("height", F.lit(0.0))
     above = F.greatest(F.lit(0.0), F.lit(wall_height) - height)
     area = F.when(F.col("category") == "Walls", length * wall_height).when(F.col("category").isin("Doors", "Windows"), length * above).otherwise(0.0)
-    return masks.groupBy("project_id").agg(F.round(F.sum(area), 2).alias("wall_area"))
+    return masks.groupBy("project_id").agg(F.round(F.sum(area), places).alias("wall_area"))
 
 
-def category_area(masks: DataFrame) -> DataFrame:
+def category_area(masks: DataFrame, places: int = 2) -> DataFrame:
     """Area of doors and of windows by project: length times height."""
     area = F.coalesce("real_length", F.lit(0.0)) * F.coalesce("height", F.lit(0.0))
-    return masks.where(F.col("category").isin("Doors", "Windows")).groupBy("project_id", "category").agg(F.round(F.sum(area), 2).alias("area"))
+    return masks.where(F.col("category").isin("Doors", "Windows")).groupBy("project_id", "category").agg(F.round(F.sum(area), places).alias("area"))
 
 
 def counts(masks: DataFrame) -> DataFrame:
@@ -36,34 +36,34 @@ def openings(masks: DataFrame) -> DataFrame:
     return masks.where(F.col("category").isin("Doors", "Windows")).groupBy("project_id").agg(F.sum(area).alias("openings"))
 
 
-def ceiling_area(rooms: DataFrame) -> DataFrame:
-    return rooms.groupBy("project_id").agg(F.round(F.sum(F.coalesce("real_area", F.lit(0.0))), 2).alias("ceiling_area"))
+def ceiling_area(rooms: DataFrame, places: int = 2) -> DataFrame:
+    return rooms.groupBy("project_id").agg(F.round(F.sum(F.coalesce("real_area", F.lit(0.0))), places).alias("ceiling_area"))
 
 
-def net_wall_area(rooms: DataFrame, masks: DataFrame, wall_height: float) -> DataFrame:
+def net_wall_area(rooms: DataFrame, masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """Perimeters times height less openings, by project with rooms or openings."""
     gross = rooms.groupBy("project_id").agg(F.sum(F.coalesce("real_perimeter", F.lit(0.0)) * wall_height).alias("gross"))
     both = gross.join(openings(masks), "project_id", "full")
-    return both.select("project_id", F.round(F.coalesce("gross", F.lit(0.0)) - F.coalesce("openings", F.lit(0.0)), 2).alias("net_area"))
+    return both.select("project_id", F.round(F.coalesce("gross", F.lit(0.0)) - F.coalesce("openings", F.lit(0.0)), places).alias("net_area"))
 
 
-def room_wall_area(rooms: DataFrame, masks: DataFrame, wall_height: float) -> DataFrame:
+def room_wall_area(rooms: DataFrame, masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """Each room's wall area, openings allotted evenly to the rooms of a project."""
     n = F.count(F.lit(1)).over(Window.partitionBy("project_id"))
     out = rooms.withColumn("n", n).join(openings(masks), "project_id", "left")
     area = F.coalesce("real_perimeter", F.lit(0.0)) * wall_height - F.coalesce("openings", F.lit(0.0)) / F.col("n")
-    return out.select("project_id", "room_seq", "name", "real_area", "real_perimeter", F.round(area, 2).alias("net_area"))
+    return out.select("project_id", "room_seq", "name", "real_area", "real_perimeter", F.round(area, places).alias("net_area"))
 
 
-def export_rows(rooms: DataFrame, masks: DataFrame, wall_height: float) -> DataFrame:
+def export_rows(rooms: DataFrame, masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """The report's row for each room."""
-    out = room_wall_area(rooms, masks, wall_height)
+    out = room_wall_area(rooms, masks, wall_height, places)
     return out.select(
         "project_id", F.concat(F.lit("R"), F.col("room_seq").cast("string")).alias("room_no"), F.coalesce("name", F.concat(F.lit("R"), F.col("room_seq").cast("string"))).alias("room_name"),
-        F.col("net_area").alias("inner_wall_area"), F.round(F.coalesce("real_area", F.lit(0.0)), 2).alias("ceiling_area"), F.round(F.coalesce("real_perimeter", F.lit(0.0)), 2).alias("inner_perimeter"))
+        F.col("net_area").alias("inner_wall_area"), F.round(F.coalesce("real_area", F.lit(0.0)), places).alias("ceiling_area"), F.round(F.coalesce("real_perimeter", F.lit(0.0)), places).alias("inner_perimeter"))
 
 
-def export_summary(rooms: DataFrame, masks: DataFrame, wall_height: float) -> DataFrame:
+def export_summary(rooms: DataFrame, masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """Seven metrics of each project with rooms, one a row."""
     base = rooms.groupBy("project_id").agg(
         F.sum(F.coalesce("real_perimeter", F.lit(0.0)) * wall_height).alias("gross"), F.sum(F.coalesce("real_area", F.lit(0.0))).alias("ceiling"), F.count(F.lit(1)).alias("rooms"))
@@ -73,8 +73,8 @@ def export_summary(rooms: DataFrame, masks: DataFrame, wall_height: float) -> Da
     extra = masks.groupBy("project_id").agg(of("Doors", area).alias("da"), of("Windows", area).alias("wa"), of("Doors", one).alias("dn"), of("Windows", one).alias("wn"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).cast("double")
     wide = base.join(extra, "project_id", "left").select(
-        "project_id", F.round(F.col("gross") - zero("da") - zero("wa"), 2).alias("Total Wall Area"), F.round("ceiling", 2).alias("Total Ceiling Area"), F.round(zero("da"), 2).alias("Total Door Area"),
-        F.round(zero("wa"), 2).alias("Total Window Area"), F.col("rooms").cast("double").alias("Total Rooms"), zero("dn").alias("Total Doors"), zero("wn").alias("Total Windows"))
+        "project_id", F.round(F.col("gross") - zero("da") - zero("wa"), places).alias("Total Wall Area"), F.round("ceiling", places).alias("Total Ceiling Area"), F.round(zero("da"), places).alias("Total Door Area"),
+        F.round(zero("wa"), places).alias("Total Window Area"), F.col("rooms").cast("double").alias("Total Rooms"), zero("dn").alias("Total Doors"), zero("wn").alias("Total Windows"))
     return wide.unpivot(["project_id"], [c for c in wide.columns if c != "project_id"], "metric", "value")
 
 

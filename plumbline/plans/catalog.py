@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as g
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
-from plumbline.operators import graph, labels, measure, raster, spatial, state
+from plumbline.operators import graph, labels, measure, raster, rooms, spatial, state
 from plumbline.plans.relations import DIMENSION_SQL, HEIGHT, ROOM_SQL, SQL, TITLE_SQL, WIDTH, workspace
+from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
+from plumbline.streaming import clicks
 
 _RUN: dict[str, Callable[[Workspace], DataFrame]] = {}
 _TEXT: dict[str, str] = {}
@@ -216,7 +218,7 @@ SELECT page_id, gap_id, coalesce(text, 'Room ' || (gap_id + 1)) AS name FROM (
 def _label_fallback(w: Workspace) -> DataFrame:
     reach = 1191 * 0.05
     points = w["labels"].where("is_room_label").select("page_id", "text", F.col("x").alias("px"), F.col("y").alias("py"))
-    met = gp._near(w["gaps"].select("page_id", "gap_id", "mx", "my"), points, reach, 2 * reach)
+    met = gp.near_points(w["gaps"].select("page_id", "gap_id", "mx", "my"), points, reach, 2 * reach)
     dist = F.sqrt((F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my")))
     best = met.withColumn("d", dist).where(F.col("d") < reach).groupBy("page_id", "gap_id").agg(F.min_by("text", F.struct("d", "text")).alias("text"))
     room = F.concat(F.lit("Room "), (F.col("gap_id") + 1).cast("string"))
@@ -282,7 +284,7 @@ _query("top08_exists_arc", lambda w: w["gaps"].join(gp.with_arcs(w["gaps"], w["c
        "SELECT g.page_id, g.gap_id, g.width FROM [[gaps]] g SEMI JOIN [[arcs]] a ON g.page_id = a.page_id AND g.gap_id = a.gap_id")
 
 # --- strings -----------------------------------------------------------------------------------------------------------
-_both("str01_dimension_text", f"SELECT page_id, word_id, {DIMENSION_SQL} AS is_dimension FROM [[words]]")
+_query("str01_dimension_text", lambda w: w["words"].select("page_id", "word_id", labels.is_dimension(F.col("text")).alias("is_dimension")), f"SELECT page_id, word_id, {DIMENSION_SQL} AS is_dimension FROM [[words]]")
 _query("str02_room_names", lambda w: w["words"].select("page_id", "word_id", labels.names_room(F.col("text")).alias("is_room")), f"SELECT page_id, word_id, {ROOM_SQL} AS is_room FROM [[words]]")
 _query("str03_title_case", lambda w: w["phrases"].select("page_id", "ln", "x0", labels.title_case(F.col("text")).alias("title")), f"SELECT page_id, ln, x0, {TITLE_SQL} AS title FROM [[phrases]]")
 _query("str04_labels", lambda w: w["labels"], "SELECT * FROM [[labels]]")
@@ -309,27 +311,27 @@ CATEGORY_COLOURS = {"Walls": "rgba(59,130,246,0.4)", "Doors": "rgba(16,185,129,0
 # --- measurement -------------------------------------------------------------------------------------------------------
 _AREA = "coalesce(real_length, 0) * coalesce(height, 0)"
 _OPEN = f"(SELECT project_id, sum({_AREA}) AS o FROM [[masks]] WHERE category IN ('Doors', 'Windows') GROUP BY project_id)"
-_query("ms01_wall_area", lambda w: measure.wall_area(w["masks"], 2.4),
-       "SELECT project_id, round(sum(CASE category WHEN 'Walls' THEN coalesce(real_length, 0) * 2.4 WHEN 'Doors' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) WHEN 'Windows' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) ELSE 0 END), 2) AS wall_area FROM [[masks]] GROUP BY project_id")
-_query("ms02_opening_area", lambda w: measure.category_area(w["masks"]), f"SELECT project_id, category, round(sum({_AREA}), 2) AS area FROM [[masks]] WHERE category IN ('Doors', 'Windows') GROUP BY project_id, category")
-_query("ms03_ceiling_area", lambda w: measure.ceiling_area(w["rooms"]), "SELECT project_id, round(sum(real_area), 2) AS ceiling_area FROM [[rooms]] GROUP BY project_id")
-_query("ms04_net_wall_area", lambda w: measure.net_wall_area(w["rooms"], w["masks"], 2.4), f"""
-SELECT coalesce(g.project_id, o.project_id) AS project_id, round(coalesce(g.g, 0) - coalesce(o.o, 0), 2) AS net_area
+_query("ms01_wall_area", lambda w: measure.wall_area(w["masks"], 2.4, 6),
+       "SELECT project_id, round(sum(CASE category WHEN 'Walls' THEN coalesce(real_length, 0) * 2.4 WHEN 'Doors' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) WHEN 'Windows' THEN coalesce(real_length, 0) * greatest(0, 2.4 - height) ELSE 0 END), 6) AS wall_area FROM [[masks]] GROUP BY project_id")
+_query("ms02_opening_area", lambda w: measure.category_area(w["masks"], 6), f"SELECT project_id, category, round(sum({_AREA}), 6) AS area FROM [[masks]] WHERE category IN ('Doors', 'Windows') GROUP BY project_id, category")
+_query("ms03_ceiling_area", lambda w: measure.ceiling_area(w["rooms"], 6), "SELECT project_id, round(sum(real_area), 6) AS ceiling_area FROM [[rooms]] GROUP BY project_id")
+_query("ms04_net_wall_area", lambda w: measure.net_wall_area(w["rooms"], w["masks"], 2.4, 6), f"""
+SELECT coalesce(g.project_id, o.project_id) AS project_id, round(coalesce(g.g, 0) - coalesce(o.o, 0), 6) AS net_area
 FROM (SELECT project_id, sum(real_perimeter * 2.4) AS g FROM [[rooms]] GROUP BY project_id) g FULL JOIN {_OPEN} o ON g.project_id = o.project_id""")
-_ROOM = f"""(SELECT r.*, round(real_perimeter * 2.4 - coalesce(o.o, 0) / count(*) OVER (PARTITION BY r.project_id), 2) AS net_area FROM [[rooms]] r LEFT JOIN {_OPEN} o ON r.project_id = o.project_id)"""
-_query("ms05_room_wall_area", lambda w: measure.room_wall_area(w["rooms"], w["masks"], 2.4).select("project_id", "room_seq", "net_area"), f"SELECT project_id, room_seq, net_area FROM {_ROOM}")
+_ROOM = f"""(SELECT r.*, round(real_perimeter * 2.4 - coalesce(o.o, 0) / count(*) OVER (PARTITION BY r.project_id), 6) AS net_area FROM [[rooms]] r LEFT JOIN {_OPEN} o ON r.project_id = o.project_id)"""
+_query("ms05_room_wall_area", lambda w: measure.room_wall_area(w["rooms"], w["masks"], 2.4, 6).select("project_id", "room_seq", "net_area"), f"SELECT project_id, room_seq, net_area FROM {_ROOM}")
 _query("ms06_counts", lambda w: measure.counts(w["masks"]), "SELECT project_id, category, CAST(sum(coalesce(nullif(cnt, 0), 1)) AS BIGINT) AS n FROM [[masks]] GROUP BY project_id, category")
-_query("ms07_export_rows", lambda w: measure.export_rows(w["rooms"], w["masks"], 2.4),
-       f"SELECT project_id, 'R' || room_seq AS room_no, name AS room_name, net_area AS inner_wall_area, round(real_area, 2) AS ceiling_area, round(real_perimeter, 2) AS inner_perimeter FROM {_ROOM}")
+_query("ms07_export_rows", lambda w: measure.export_rows(w["rooms"], w["masks"], 2.4, 6),
+       f"SELECT project_id, 'R' || room_seq AS room_no, name AS room_name, net_area AS inner_wall_area, round(real_area, 6) AS ceiling_area, round(real_perimeter, 6) AS inner_perimeter FROM {_ROOM}")
 _SUMMARY = f"""
 WITH r AS (SELECT project_id, sum(real_perimeter * 2.4) AS gross, sum(real_area) AS ceiling, count(*) AS n FROM [[rooms]] GROUP BY project_id),
 m AS (SELECT project_id, sum(CASE category WHEN 'Doors' THEN {_AREA} ELSE 0 END) AS da, sum(CASE category WHEN 'Windows' THEN {_AREA} ELSE 0 END) AS wa,
  sum(CASE category WHEN 'Doors' THEN coalesce(nullif(cnt, 0), 1) ELSE 0 END) AS dn, sum(CASE category WHEN 'Windows' THEN coalesce(nullif(cnt, 0), 1) ELSE 0 END) AS wn FROM [[masks]] GROUP BY project_id),
 j AS (SELECT r.*, coalesce(da, 0) AS da, coalesce(wa, 0) AS wa, coalesce(dn, 0) AS dn, coalesce(wn, 0) AS wn FROM r LEFT JOIN m ON r.project_id = m.project_id)
-SELECT project_id, 'Total Wall Area' AS metric, round(gross - da - wa, 2) AS value FROM j UNION ALL SELECT project_id, 'Total Ceiling Area', round(ceiling, 2) FROM j
-UNION ALL SELECT project_id, 'Total Door Area', round(da, 2) FROM j UNION ALL SELECT project_id, 'Total Window Area', round(wa, 2) FROM j UNION ALL SELECT project_id, 'Total Rooms', CAST(n AS DOUBLE) FROM j
+SELECT project_id, 'Total Wall Area' AS metric, round(gross - da - wa, 6) AS value FROM j UNION ALL SELECT project_id, 'Total Ceiling Area', round(ceiling, 6) FROM j
+UNION ALL SELECT project_id, 'Total Door Area', round(da, 6) FROM j UNION ALL SELECT project_id, 'Total Window Area', round(wa, 6) FROM j UNION ALL SELECT project_id, 'Total Rooms', CAST(n AS DOUBLE) FROM j
 UNION ALL SELECT project_id, 'Total Doors', CAST(dn AS DOUBLE) FROM j UNION ALL SELECT project_id, 'Total Windows', CAST(wn AS DOUBLE) FROM j"""
-_query("ms08_export_summary", lambda w: measure.export_summary(w["rooms"], w["masks"], 2.4), f"SELECT project_id, metric, value FROM ({_SUMMARY})")
+_query("ms08_export_summary", lambda w: measure.export_summary(w["rooms"], w["masks"], 2.4, 6), f"SELECT project_id, metric, value FROM ({_SUMMARY})")
 _query("ms09_detected_masks", lambda w: measure.detected_masks(w["detected"]).withColumn("real_length", F.round("real_length", 4)), """
 SELECT project_id, 'Walls' AS category, round(wall_length, 4) AS real_length, 0.0 AS height, NULL AS cnt FROM [[detected]] WHERE wall_length IS NOT NULL AND wall_length <> 0
 UNION ALL SELECT project_id, 'Doors', round(CAST(0.9 AS DOUBLE) * doors, 4), CAST(2.1 AS DOUBLE), doors FROM [[detected]] WHERE doors > 0
@@ -374,7 +376,7 @@ def _sheet(w: Workspace) -> DataFrame:
     n = w["rooms"].groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     top = w["rooms"].select("project_id", F.col("room_seq").alias("line"), F.col("name").alias("a"), F.round("real_area", 2).alias("b"))
     place = F.row_number().over(Window.partitionBy("project_id").orderBy("metric"))
-    below = measure.export_summary(w["rooms"], w["masks"], 2.4).join(n, "project_id").select("project_id", (F.col("n") + 3 + place).alias("line"), F.col("metric").alias("a"), F.col("value").alias("b"))
+    below = measure.export_summary(w["rooms"], w["masks"], 2.4, 6).join(n, "project_id").select("project_id", (F.col("n") + 3 + place).alias("line"), F.col("metric").alias("a"), F.col("value").alias("b"))
     return top.unionByName(below)
 
 
@@ -446,3 +448,61 @@ _both("ras41_resize_nearest", "SELECT r.page_id, t.y AS y, r.x AS x, r.gray FROM
 # Class names of the two channel groups.
 ROOM_CLASSES = ["Background", "Outdoor", "Wall", "Kitchen", "Living Room", "Bedroom", "Bathroom", "Hallway", "Storage", "Garage", "Undefined", "Railing"]
 ICON_CLASSES = ["Background", "Window", "Door", "Closet", "Toilet", "Sink", "Sauna", "Fireplace", "Bathtub", "Chimney", "Undefined"]
+
+# --- kernels and composites, held by invariants in tests ----------------------------------------------------------------
+_PIXEL_CLICKS = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]] WHERE click_id % 40 = page_id % 40"
+
+
+def _page_height(w: Workspace) -> int:
+    return int(w["raster"].agg(F.max("y")).first()[0]) + 1
+
+
+def _outlined(w: Workspace) -> DataFrame:
+    return rooms.outlines(raster.components(w["ink2"], eight=True))
+
+
+_query("geo16_simplify", lambda w: _outlined(w).select("page_id", "label_y", "label_x", "corners", "points"))
+_query("agg17_contour_length", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "length"))
+_query("agg18_large_contours", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "large"))
+_query("agg19_precise_area", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "area"))
+_query("ras08_distance", lambda w: rooms.depth(w["ink2"], _page_height(w), WIDTH))
+_query("ras11_label_search", lambda w: w.sql(_PIXEL_CLICKS).join(raster.components(w["ink2"]), "page_id").where("y between cy - 20 and cy + 20 and x between cx - 20 and cx + 20")
+       .groupBy("click_id").agg(F.min_by(F.struct("label_y", "label_x"), F.expr("struct(greatest(abs(y - cy), abs(x - cx)), y, x)")).alias("m")).select("click_id", "m.*"),
+       f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_PIXEL_CLICKS}) c
+       JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
+_query("ras12_trace_wall", lambda w: rooms.trace_walls(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).groupBy("click_id").agg(F.count(F.lit(1)).alias("n")))
+_query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], _page_height(w), WIDTH))
+_query("ras26_room_extraction", lambda w: _outlined(w).where("area >= 5").select("page_id", "label_y", "label_x", F.round("area", 4).alias("area"), F.round("perimeter", 4).alias("perimeter")))
+_query("ras29_detection_summary", lambda w: rooms.detection_summary(_outlined(w)))
+_query("ras31_hybrid_select", lambda w: rooms.trace_walls(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).join(w.sql(_PIXEL_CLICKS).select("click_id", "page_id"), "click_id")
+       .join(w.sql(_SAMPLE).select("page_id", F.col("edge_id"), F.col("px").alias("x"), F.col("py").alias("y"), "structural"), ["page_id", "y", "x"]).where("structural").select("click_id", "edge_id").distinct())
+_query("ras32_magic_wand", lambda w: rooms.wand(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH))
+_query("ras33_vector_rooms", lambda w: _vector_rooms(w).drop("mask"))
+_query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).drop("mask"))
+_query("ras36_opening_line", lambda w: raster.rasterise(_openings(w), 13).groupBy("page_id").agg(F.count(F.lit(1)).alias("area")))
+_query("ras37_polyline_mask", lambda w: raster.rasterise(_openings(w), 13).where("x >= 0 and y >= 0"))
+_query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).where("filled"))
+_query("ras39_polygon_mask", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.octet_length("mask").alias("png_bytes")))
+_query("ras40_contours", lambda w: rooms.outlines(raster.components(w["ink2"], eight=True), eps=0.0).select("page_id", "label_y", "label_x", "corners"))
+_query("ras14_local_fallback", lambda w: w.sql(_PIXEL_CLICKS).join(w["ink2"], "page_id").where("y between cy - 60 and cy + 60 and x between cx - 60 and cx + 60").groupBy("click_id").agg(F.count(F.lit(1)).alias("n")),
+       f"SELECT click_id, count(*) AS n FROM ({_PIXEL_CLICKS}) c JOIN [[ink2]] i ON c.page_id = i.page_id AND y BETWEEN cy - 60 AND cy + 60 AND x BETWEEN cx - 60 AND cx + 60 GROUP BY click_id")
+_query("snk01_new_projects", lambda w: documents.new_projects(w["projects"].select(F.md5("project_id").alias("project_id"), F.col("project_id").alias("filename"), F.encode("project_id", "UTF-8").alias("pdf"))),
+       "SELECT md5(project_id) AS project_id, project_id AS filename, CAST(NULL AS DOUBLE) AS scale_factor, 'm' AS unit, CAST(2.4 AS DOUBLE) AS wall_height, to_base64(encode(project_id)) AS pdf FROM [[projects]]")
+_query("snk06_workbook", lambda w: documents.workbooks(_sheet(w)).select("project_id", F.octet_length("workbook").alias("n_bytes")))
+_query("snk07_mask_png", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.base64("mask").alias("png")))
+_query("ext_click_windows", lambda w: clicks.clicks_per_window(w["events"]), "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM [[events]] GROUP BY 1, 2")
+_query("ext_user_sessions", lambda w: clicks.sessions(w["events"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events")),
+       """SELECT user_id, CAST(sum(s) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s
+          FROM [[events]] WINDOW w AS (PARTITION BY user_id ORDER BY ts)) GROUP BY user_id""")
+
+
+def _vector_rooms(w: Workspace) -> DataFrame:
+    """Barriers drawn from wall strokes at 1/8 scale, split into rooms and named from the page's labels."""
+    scale = 0.125
+    lines = w["walls"].where("edge_id % 4 = 0").join(w["edges"], ["page_id", "edge_id"]).select("page_id", *[(F.col(c) * scale).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    found = rooms.split_rooms(raster.rasterise(lines), 106, 151, scale=scale, close=1)
+    return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05)
+
+
+def _openings(w: Workspace) -> DataFrame:
+    return w["flat_paths"].where("click_id % 50 = page_id % 50").select("page_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1"))

@@ -97,7 +97,7 @@ _DIMENSION = labels.DIMENSION.replace("'", "''")
 _COMPASS = ", ".join(f"'{c}'" for c in labels.COMPASS)
 DIMENSION_SQL = f"(@re(trim(text), '{_DIMENSION}') OR (@re(trim(text), '^[\\d.,]+$') AND length(trim(text)) <= 8) OR upper(trim(text)) IN ({_COMPASS}))"
 ROOM_SQL = f"regexp_matches(text, '(?i){labels.ROOM_PATTERN}')"
-TITLE_SQL = r"(length(text) >= 3 AND len(list_filter(string_split_regex(trim(text), '\s+'), w -> length(w) > 1 AND NOT regexp_matches(substr(w, 1, 1), '^\p{Lu}'))) = 0 AND NOT regexp_matches(text, '^[\d.,\s]+$'))"
+TITLE_SQL = r"(length(text) >= 3 AND len(list_filter(string_split_regex(trim(text), '\s+'), lambda w: length(w) > 1 AND NOT regexp_matches(substr(w, 1, 1), '^\p{Lu}'))) = 0 AND NOT regexp_matches(text, '^[\d.,\s]+$'))"
 SQL["labels"] = f"""
 SELECT page_id, text, x, y, ({ROOM_SQL} OR {TITLE_SQL}) AS is_room_label
 FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM [[phrases]]) WHERE x >= 0 AND y >= 0 AND x <= 1191 AND y <= 842 AND NOT {DIMENSION_SQL}"""
