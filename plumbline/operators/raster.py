@@ -86,8 +86,8 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
             a = label[: h - dy, max(0, -dx) : w - max(0, dx)]
             b = label[dy:, max(0, dx) : w + min(0, dx)]
             both = (a < big) & (b < big)
-            low = np.minimum(a, b)
-            a[both], b[both] = low[both], low[both]
+            a[both] = np.minimum(a, b)[both]
+            b[both] = np.minimum(a, b)[both]  # again, since the two overlap
         flat = label.ravel()
         inside = flat < big
         for _ in range(3):  # pointer jumping: a pixel takes the label of the pixel its label names
