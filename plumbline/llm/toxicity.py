@@ -113,6 +113,31 @@ def bags(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * BAG, doc
 
 
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of texts by number, n + 1 word offsets by text, and the embeddings of each distinct word with their count; block by block."""
+    number: dict[int, int] = {}
+    words, offsets, buckets, counts, total, at = [], [np.zeros(1, np.int64)], [], [], 0, 0
+    while at < len(texts):
+        stop, size = at, 0
+        while stop < len(texts) and (stop == at or size + len(texts[stop]) <= _BLOCK):
+            size += len(texts[stop])
+            stop += 1
+        points, first, end, bounds = words_of(texts[at:stop])
+        hashes, where, which = np.unique(span_hashes(points, first, end), return_index=True, return_inverse=True)
+        keys = hashes.tolist()
+        new = np.array([k for k, h in enumerate(keys) if h not in number], np.int64)
+        if len(new):
+            number.update((keys[k], len(number)) for k in new.tolist())
+            word, bucket = subwords(points, first[where[new]], end[where[new]])
+            buckets.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+            counts.append(np.bincount(word, minlength=len(new)))
+        words.append(np.array([number[h] for h in keys], np.int32)[which] if keys else np.zeros(0, np.int32))
+        offsets.append(bounds[1:] + total)
+        total, at = total + int(bounds[-1]), stop
+    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return joined(words, np.int32), np.concatenate(offsets), joined(buckets, np.int32), joined(counts, np.int64)
+
+
 def calibrated(logit: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and offset that make a logistic of the logits fit the labels, by damped Newton steps."""
     a, b = 1.0, 0.0
@@ -135,18 +160,13 @@ def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, ep
     labels = np.asarray(labels, np.int64)
     sampled = float(labels.mean()) if len(labels) else 0.0
     base = sampled if base is None else base
-    points, first, end, bounds = words_of(texts)
-    if sampled in (0.0, 1.0) or not len(first):
+    which, bounds, bucket, count = vocabulary(texts)
+    if sampled in (0.0, 1.0) or not len(which):
         return Model(np.zeros(BUCKETS), float(np.clip(np.log((base + 1e-6) / (1 - base + 1e-6)), -20, 20)), base)
     rng = np.random.default_rng(seed)
-    where, which = distinct_words(points, first, end)
-    word, bucket = subwords(points, first[where], end[where])
-    order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    count = np.bincount(word, minlength=len(where))
     begin = np.cumsum(count) - count
     starts, doc = bags(bounds)
-    ends = np.append(starts[1:], len(first))
+    ends = np.append(starts[1:], len(which))
     embed = rng.normal(0, 0.05, (BUCKETS, SIZE))
     soft = rng.normal(0, 0.5, (SIZE, 2))
     bias = np.array([0.0, 0.0])
@@ -154,7 +174,7 @@ def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, ep
     some = np.flatnonzero(np.diff(bounds) > 0)
     weight = np.where(labels == 1, 0.5 / sampled, 0.5 / (1 - sampled))
     for epoch in range(epochs):
-        linear = embed @ (soft[:, 1] - soft[:, 0])
+        linear = (embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         value = np.add.reduceat(linear[bucket], begin) / count
         logit = np.add.reduceat(value[which], starts) / (ends - starts)
         noise = rng.random(len(logit))
@@ -191,7 +211,7 @@ def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, ep
                     past += grad**2
                     table -= 0.3 * rate * grad / np.sqrt(past)
     linear = embed @ (soft[:, 1] - soft[:, 0])
-    logit = np.add.reduceat((np.add.reduceat(linear[bucket], begin) / count)[which], starts) / (ends - starts) + bias[1] - bias[0]
+    logit = np.add.reduceat((np.add.reduceat(linear.astype(np.float32)[bucket], begin) / count)[which], starts) / (ends - starts) + bias[1] - bias[0]
     top = np.full(len(labels), -np.inf)
     np.maximum.at(top, doc, logit)
     share = np.where(labels == 1, base / sampled, (1 - base) / (1 - sampled))
