@@ -197,3 +197,21 @@ def test_bucketed_joins_equal_all_pairs(spark, sf):
 
 def test_render():
     assert fixtures.render("@half(@int(a, ), 2)".replace(", )", ")"), "spark") == "bround(CAST(a AS BIGINT), 2)"
+
+
+def test_inference_by_stub(spark):
+    from plumbline.operators import inference
+
+    class Stub:
+        def predict(self, image):
+            out = np.zeros((44, *image.shape))
+            out[21 + 3][image > 100] = 1
+            out[33 + 2] = 1
+            return out
+
+    rows = [(1, 2, 2, bytes([0, 200, 50, 255])), (2, 1, 1, None)]
+    got = inference.classify_pixels(spark.createDataFrame(rows, "page_id long, height int, width int, gray binary"), Stub).collect()
+    assert [(r.page_id, bytes(r.room_cls), bytes(r.icon_cls)) for r in got] == [(1, bytes([0, 3, 0, 3]), bytes([2] * 4))]
+    assert isinstance(inference.available(), list)
+    names = spark.createDataFrame([("sam2_Base_Plus.pt",), ("x",)], "n string").select(inference.size_of(F.col("n")).alias("s")).collect()
+    assert [r.s for r in names] == ["base_plus", "tiny"]
