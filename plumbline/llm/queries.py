@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, licenses, linededup, minhash, toxicity, transducer, vectordup, warc
+from plumbline.llm import bpe, decontaminate, htmltext, licenses, linededup, minhash, oracles, toxicity, transducer, vectordup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,6 +93,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_minhash_near_dedup": oracles.MINHASH,
+        "op2_decontamination": oracles.DECONTAMINATION,
         "op4_warc": warc.ORACLE_SQL,
         "op7_line_dedup": linededup.ORACLE_SQL,
+        "op9_embedding_near_dedup": oracles.VECTORS,
     }

@@ -303,7 +303,7 @@ def test_oracles(spark, sf):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {table} as select * from '{sf}/{table}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = queries.queries()[name](spark, sf)
