@@ -1,7 +1,8 @@
 """License detection by ordered signature rules.
 
 A text is normalised to its words, A-Z lower-cased, with one blank around each, so that rules are short regular
-expressions over words. A rule has a keyword, without which it is not tried, a priority, a label and a confidence.
+expressions over words. A rule has a keyword (one word of each of its matches), without which it is not tried, a
+priority, a label and a confidence.
 Detections are word intervals; one that lies inside an interval of higher priority (or of equal priority and
 greater length) is suppressed. Rules come from one table of licenses and a few kinds of notice.
 
@@ -10,6 +11,7 @@ Everything is a built-in DataFrame expression on the row: no shuffle, no Python
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +117,18 @@ class Rule:
     confidence: float
 
 
+def _sure_words(form: str) -> list[str]:
+    """Words that stand as such in every match of a form."""
+    form = re.sub(r"\(\?: [^()]*\)\?|\(\?! [^()]*\)", "", form)
+    return [w for w in re.sub(r"\S+ \?\S+", "", form).split(" ") if w.isalnum()]
+
+
+def _keyword(form: str, keyword: str) -> str:
+    """The license's keyword where it is a word of every match, else the longest word that is."""
+    words = _sure_words(form)
+    return keyword if keyword in words else max(words, key=len)
+
+
 def rules() -> list[Rule]:
     """The ordered rules: several hundred, highest priority first, then as in the table."""
     out = []
@@ -123,11 +137,7 @@ def rules() -> list[Rule]:
             words = {"name": names, "short": short, "both": names + short}[which]
             # A more precise label of the same family comes first in the table and so wins ties.
             for form in words:
-                if which == "short":
-                    keyword_of = form.split(" ")[0].split("(")[0]
-                else:
-                    keyword_of = keyword if keyword in form else form.split(" ")[0].split("(")[0]
-                out.append(Rule(keyword_of, notice % f"(?:{form})", priority, label, confidence))
+                out.append(Rule(_keyword(form, keyword), notice % f"(?:{form})", priority, label, confidence))
     return out
 
 
@@ -135,6 +145,14 @@ _NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _any_word(words: list[str]) -> str:
+    """A regular expression for any of the words between blanks, branching by first letter."""
+    tails: dict[str, list[str]] = {}
+    for w in words:
+        tails.setdefault(w[:1], []).append(re.escape(w[1:]))
+    return "(?i) (?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(t)})" for c, t in tails.items()) + ") "
+
+
 def scan(docs: DataFrame, ruleset: list[Rule] | None = None) -> DataFrame:
     """doc_id, n_words, places, base_labels, detections, labels, score for each row of ``docs``.
 
@@ -149,10 +167,9 @@ def scan(docs: DataFrame, ruleset: list[Rule] | None = None) -> DataFrame:
     # Blanks of the text's own ends may double those added; one replace at each end settles it.
     spaced = spaced.select("doc_id", F.regexp_replace("s", "^ +| +$", "").alias("s"))
     n_words = F.when(F.col("s") == "", F.lit(0)).otherwise(F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1).cast("long")
-    # The keyword prefilter over the whole text: lower() maps more than A-Z, so it may let a text through, never hold one back.
+    # The keyword prefilter over the whole text: whole words of the ruleset and base phrases; (?i) folds A-Z only, as translate does.
     gate_words = sorted({r.keyword for r in ruleset} | {p.split(" ")[0] for p, _ in BASE_PHRASES})
-    hint = F.lower("s")
-    gate = F.rlike(hint, F.lit("licen[cs]e|cc0? |gnu |spdx|public domain|rights reserved|unlicense|gpl|wtfpl|beerware|0bsd|apache|mit |bsd|creative commons|mozilla|eclipse|artistic"))
+    gate = F.rlike(F.concat(F.lit(" "), F.col("s"), F.lit(" ")), F.lit(_any_word(gate_words)))
     gated = spaced.select("doc_id", n_words.alias("n_words"), F.when(gate, F.translate("s", _UPPER, _LOWER)).alias("s"))
     words = F.when(F.col("s").isNotNull(), F.split("s", " "))
     staged = gated.select("doc_id", "n_words", "s", words.alias("w"))

@@ -210,6 +210,32 @@ def test_licenses(spark):
     assert [d.label for d in got[1, len(ALNUM.findall(lower(text)))].detections][:1] == ["gpl-3.0"]
 
 
+def example(pattern):
+    """A shortest text of a rule: optional parts left out, first alternatives and first letters taken."""
+    text, before = re.sub(r"\(\?![^()]*\)|\[(.)[^\]]*\]", r"\1", pattern), None
+    while text != before:
+        before, text = text, re.sub(r"\(\?:([^()|]*)[^()]*\)([?*]?)", lambda m: "" if m[2] else m[1], text)
+    return re.sub(r".\?", "", text)
+
+
+def test_license_rules_alone(spark):
+    """Each rule finds a text that holds nothing else, at the end of a text too; rules of a custom set as well."""
+    rules = licenses.rules()
+    texts = [example(r.pattern) for r in rules]
+    assert all(re.fullmatch(r.pattern, t) for r, t in zip(rules, texts, strict=True))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()}
+    for k, (r, t) in enumerate(zip(rules, texts, strict=True)):
+        assert r.keyword in t.split(" "), (r, t)
+        # What suppresses a rule covers its words and stands at least as high.
+        assert any(d.first == 0 and d.last == t.count(" ") and d.priority >= r.priority for d in got[k].detections), (r, t, got[k].detections)
+    named = [("Released under the MPL 2.0", "mpl-2.0", 0.95), ("Distributed under EUPL 1.2", "eupl", 0.95), ("dedicated: CC0", "cc0-1.0", 0.5), ("FreeBSD License", "bsd-2-clause", 0.7), ("the Beerware license", "beerware", 0.7)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(k, t) for k, (t, _, _) in enumerate(named)], "doc_id long, text string")).collect()}
+    assert all(label in got[k].labels and got[k].score == score for k, (_, label, score) in enumerate(named))
+    own = [licenses.Rule("zork", "zork terms", 1, "zork", 0.6), licenses.Rule("éa", "éa 9", 2, "ea", 0.8)]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame([(0, "ZORK terms"), (1, "under éA 9"), (2, "zorks terms")], "doc_id long, text string"), own).collect()}
+    assert got == {0: ["zork"], 1: ["ea"], 2: []}
+
+
 def test_toxicity_learns_and_generalises(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeioumnrst") for _ in range(rng.randrange(2, 8)))
