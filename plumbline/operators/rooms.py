@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import raster as r
 from plumbline.operators.labels import number_names
 
+SPOT = ["page_id", "cy", "cx"]
 ROOMS = "page_id long, room_seq int, wall_count int, area double, perimeter double, cx double, cy double, mask binary"
 
 
@@ -101,8 +102,13 @@ def name_rooms(rooms: DataFrame, labels: DataFrame, *, reach: float) -> DataFram
     return number_names(named, "page_id", "room_seq").withColumn("id", F.concat(F.lit("R"), F.col("room_seq").cast("string")))
 
 
-def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, thick: float = 4.0, least: int = 20) -> DataFrame:
-    """(click_id, y, x): the wall stroke a click means.
+def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, **options: float) -> DataFrame:
+    """(click_id, y, x): the wall stroke a click means, as ``trace_spots`` has it for the click's pixel."""
+    return clicks.join(trace_spots(ink, clicks, height, width, **options), SPOT).select("click_id", "y", "x")
+
+
+def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, thick: float = 4.0, least: int = 20) -> DataFrame:
+    """(page_id, cy, cx, y, x): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
 
     The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is cut at junctions
     into horizontal and vertical runs, and the smallest part at the click of more than ``least`` pixels is taken, widened
@@ -114,35 +120,37 @@ def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, r
         if len(left) and len(right):
             mask = to_array(left, height, width)
             depth = r.distance_transform(mask)
-            ys, xs = np.nonzero(mask)
-            for click, cy, cx in right[["click_id", "cy", "cx"]].itertuples(index=False):
+            parts, traced = {}, {}  # by thickness, and by the nearest ink
+            for cy, cx in right[["cy", "cx"]].itertuples(index=False):
+                top, side = max(0, cy - radius), max(0, cx - radius)
+                ys, xs = np.nonzero(mask[top : max(0, cy + radius + 1), side : max(0, cx + radius + 1)])
                 if not len(ys):
                     continue
-                ring = np.maximum(abs(ys - cy), abs(xs - cx))
-                k = int(np.lexsort((xs, ys, ring))[0])
-                if ring[k] > radius:
-                    continue
+                ys, xs = ys + top, xs + side
+                k = int(np.lexsort((xs, ys, np.maximum(abs(ys - cy), abs(xs - cx))))[0])
                 y, x = int(ys[k]), int(xs[k])
-                d = depth[y, x]
-                band = mask & (depth >= max(0.3, 0.3 * d)) & (depth <= thick * max(d, 1.0))
-                best = None
-                for along in (0, 1):
-                    part = r.label_array(_long_runs(band, 3, along), eight=True)
-                    if part[y, x]:
-                        got = part == part[y, x]
-                        if got.sum() > least and (best is None or got.sum() < best.sum()):
-                            best = got
-                if best is None:
-                    box = np.zeros_like(mask)
-                    box[max(0, y - 60) : y + 61, max(0, x - 60) : x + 61] = True
-                    part = r.label_array(mask & box, eight=True)
-                    best = part == part[y, x]
-                got = grow(best, 1) & mask
-                yy, xx = np.nonzero(got)
-                out.append(pd.DataFrame({"click_id": click, "y": yy.astype(np.int32), "x": xx.astype(np.int32)}))
-        return pd.concat(out) if out else pd.DataFrame({"click_id": pd.Series(dtype="int64"), "y": pd.Series(dtype="int32"), "x": pd.Series(dtype="int32")})
-
-    return ink.groupBy("page_id").cogroup(clicks.groupBy("page_id")).applyInPandas(run, "click_id long, y int, x int")
+                if (y, x) not in traced:
+                    d = depth[y, x]
+                    if d not in parts:
+                        band = mask & (depth >= max(0.3, 0.3 * d)) & (depth <= thick * max(d, 1.0))
+                        parts[d] = [r.label_array(_long_runs(band, 3, along), eight=True) for along in (0, 1)]
+                    best = None
+                    for part in parts[d]:
+                        if part[y, x]:
+                            got = part == part[y, x]
+                            if got.sum() > least and (best is None or got.sum() < best.sum()):
+                                best = got
+                    if best is None:
+                        box = np.zeros_like(mask)
+                        box[max(0, y - 60) : y + 61, max(0, x - 60) : x + 61] = True
+                        part = r.label_array(mask & box, eight=True)
+                        best = part == part[y, x]
+                    traced[y, x] = [a.astype(np.int32) for a in np.nonzero(grow(best, 1) & mask)]
+                yy, xx = traced[y, x]
+                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": yy, "x": xx}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*SPOT, "y", "x")})
+
+    return ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, y int, x int")
 
 
 def _long_runs(mask: np.ndarray, n: int, along: int) -> np.ndarray:
@@ -169,7 +177,8 @@ def wand(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, most: fl
         if len(right):
             mask = to_array(left, height, width) if len(left) else np.zeros((height, width), bool)
             strokes, spaces = r.label_array(mask, eight=True), r.label_array(~mask)
-            for click, cy, cx in right[["click_id", "cy", "cx"]].itertuples(index=False):
+            lengths = {}
+            for cy, cx in right[["cy", "cx"]].itertuples(index=False):
                 if not (0 <= cy < height and 0 <= cx < width):
                     continue
                 filled = not strokes[cy, cx]
@@ -180,11 +189,14 @@ def wand(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, most: fl
                     if not len(ids):
                         continue
                     got, filled = strokes == ids[n.argmax()], False
-                ring = r.contour(got)
-                rows.append((click, float(got.sum()), r.perimeter(ring) / 2, bool(filled)))
-        return pd.DataFrame(rows, columns=["click_id", "area", "length", "filled"])
-
-    return ink.groupBy("page_id").cogroup(clicks.groupBy("page_id")).applyInPandas(run, "click_id long, area double, length double, filled boolean")
+                part = (filled, int(got.argmax()))
+                if part not in lengths:
+                    lengths[part] = r.perimeter(r.contour(got)) / 2
+                rows.append((key[0], cy, cx, float(got.sum()), lengths[part], bool(filled)))
+        return pd.DataFrame(rows, columns=[*SPOT, "area", "length", "filled"])
+
+    found = ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, area double, length double, filled boolean")
+    return clicks.join(found, SPOT).select("click_id", "area", "length", "filled")
 
 
 def outlines(labelled: DataFrame, *, eps: float = 0.002, least: float = 5.0) -> DataFrame:

@@ -451,12 +451,17 @@ ICON_CLASSES = ["Background", "Window", "Door", "Closet", "Toilet", "Sink", "Sau
 
 # --- kernels and composites, held by invariants in tests ----------------------------------------------------------------
 _PIXEL_CLICKS = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]] WHERE click_id % 40 = page_id % 40"
+_EVERY_CLICK = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"
 
 
 def _page_height(w: Workspace) -> int:
     return int(w["raster"].agg(F.max("y")).first()[0]) + 1
 
 
+def _traced(w: Workspace) -> DataFrame:
+    return rooms.trace_spots(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH)
+
+
 def _outlined(w: Workspace) -> DataFrame:
     return rooms.outlines(raster.components(w["ink2"], eight=True))
 
@@ -470,18 +475,19 @@ _query("ras11_label_search", lambda w: w.sql(_PIXEL_CLICKS).join(raster.componen
        .groupBy("click_id").agg(F.min_by(F.struct("label_y", "label_x"), F.expr("struct(greatest(abs(y - cy), abs(x - cx)), y, x)")).alias("m")).select("click_id", "m.*"),
        f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_PIXEL_CLICKS}) c
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
-_query("ras12_trace_wall", lambda w: rooms.trace_walls(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).groupBy("click_id").agg(F.count(F.lit(1)).alias("n")))
+_query("ras12_trace_wall", lambda w: w.sql(_EVERY_CLICK).join(_traced(w).groupBy(*rooms.SPOT).agg(F.count(F.lit(1)).alias("n")), rooms.SPOT).select("click_id", "n"))
 _query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], _page_height(w), WIDTH))
 _query("ras26_room_extraction", lambda w: _outlined(w).where("area >= 5").select("page_id", "label_y", "label_x", F.round("area", 4).alias("area"), F.round("perimeter", 4).alias("perimeter")))
 _query("ras29_detection_summary", lambda w: rooms.detection_summary(_outlined(w)))
-_query("ras31_hybrid_select", lambda w: rooms.trace_walls(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).join(w.sql(_PIXEL_CLICKS).select("click_id", "page_id"), "click_id")
-       .join(w.sql(_SAMPLE).select("page_id", F.col("edge_id"), F.col("px").alias("x"), F.col("py").alias("y"), "structural"), ["page_id", "y", "x"]).where("structural").select("click_id", "edge_id").distinct())
-_query("ras32_magic_wand", lambda w: rooms.wand(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH))
+_query("ras31_hybrid_select", lambda w: w.sql(_EVERY_CLICK).join(
+           _traced(w).join(w.sql(_SAMPLE).where("structural").select("page_id", "edge_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), ["page_id", "y", "x"]).select(*rooms.SPOT, "edge_id").distinct(), rooms.SPOT)
+       .select("click_id", "edge_id").distinct())
+_query("ras32_magic_wand", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH))
 _query("ras33_vector_rooms", lambda w: _vector_rooms(w).drop("mask"))
 _query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).drop("mask"))
 _query("ras36_opening_line", lambda w: raster.rasterise(_openings(w), 13).groupBy("page_id").agg(F.count(F.lit(1)).alias("area")))
 _query("ras37_polyline_mask", lambda w: raster.rasterise(_openings(w), 13).where("x >= 0 and y >= 0"))
-_query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_PIXEL_CLICKS), _page_height(w), WIDTH).where("filled"))
+_query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH).where("filled"))
 _query("ras39_polygon_mask", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.octet_length("mask").alias("png_bytes")))
 _query("ras40_contours", lambda w: rooms.outlines(raster.components(w["ink2"], eight=True), eps=0.0).select("page_id", "label_y", "label_x", "corners"))
 _query("ras14_local_fallback", lambda w: w.sql(_PIXEL_CLICKS).join(w["ink2"], "page_id").where("y between cy - 60 and cy + 60 and x between cx - 60 and cx + 60").groupBy("click_id").agg(F.count(F.lit(1)).alias("n")),

@@ -215,3 +215,28 @@ def test_inference_by_stub(spark):
     assert isinstance(inference.available(), list)
     names = spark.createDataFrame([("sam2_Base_Plus.pt",), ("x",)], "n string").select(inference.size_of(F.col("n")).alias("s")).collect()
     assert [r.s for r in names] == ["base_plus", "tiny"]
+
+
+def test_every_click_is_answered(spark, sf):
+    """Clicks on one pixel share its trace, and every click near ink has a row: ring distances by brute force."""
+    from plumbline.plans import catalog
+    from plumbline.plans.relations import WIDTH, workspace
+
+    w = workspace(spark, sf)
+    ink = {}
+    for p in w["ink2"].collect():
+        ink.setdefault(p.page_id, []).append((p.y, p.x))
+    ink = {k: np.array(v) for k, v in ink.items()}
+    height = w["raster"].agg({"y": "max"}).first()[0] + 1
+    clicks = [(c.click_id, c.page_id % 8, int(c.y / 20), int(c.x / 20)) for c in w["clicks"].collect()]
+    ring = {s: np.abs(ink[s[0]] - s[1:]).max(axis=1).min() for s in {c[1:] for c in clicks}}
+    # Independently of the plans: every click within 25 pixels of ink has a stroke, every click on the page a wand.
+    traced = catalog.queries()["ras12_trace_wall"](spark, sf).collect()
+    assert sorted(t.click_id for t in traced) == sorted(c[0] for c in clicks if ring[c[1:]] <= 25) and all(t.n > 0 for t in traced)
+    wands = {t.click_id: t for t in catalog.queries()["ras32_magic_wand"](spark, sf).collect()}
+    on_ink = {(k, y, x) for k, v in ink.items() for y, x in v.tolist()}
+    assert all(c[0] in wands and not wands[c[0]].filled for c in clicks if c[1:] in on_ink) and len(wands) > 100
+    assert all(0 <= c[2] < height and 0 <= c[3] < WIDTH for c in clicks if c[0] in wands)
+    assert catalog.queries()["ras38_cavity_fill"](spark, sf).count() == sum(t.filled for t in wands.values())
+    hits = catalog.queries()["ras31_hybrid_select"](spark, sf).select("click_id").distinct().collect()
+    assert len(hits) > len(clicks) / 10
