@@ -511,4 +511,4 @@ def _vector_rooms(w: Workspace) -> DataFrame:
 
 
 def _openings(w: Workspace) -> DataFrame:
-    return w["flat_paths"].where("click_id % 50 = page_id % 50").select("page_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    return w["flat_paths"].select("page_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1"))

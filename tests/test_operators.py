@@ -1,6 +1,8 @@
 """Truth tables, invariants and tiny plans."""
 
 import json
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -240,3 +242,21 @@ def test_every_click_is_answered(spark, sf):
     assert catalog.queries()["ras38_cavity_fill"](spark, sf).count() == sum(t.filled for t in wands.values())
     hits = catalog.queries()["ras31_hybrid_select"](spark, sf).select("click_id").distinct().collect()
     assert len(hits) > len(clicks) / 10
+
+
+def test_every_opening_is_drawn(spark, sf):
+    """Openings of all clicks, 13 pixels thick, by brute force."""
+    from plumbline.plans import catalog
+    from plumbline.plans.relations import workspace
+
+    want = set()
+    for c in workspace(spark, sf)["clicks"].collect():
+        dx, dy = c.click_id % 40, c.click_id % 30
+        n = max(dx, dy)
+        for k in range(n + 1):
+            t = k / n if n else 0.0
+            x, y = math.floor(c.x + dx * t + 0.5), math.floor(c.y + dy * t + 0.5)
+            want |= {(c.page_id, yy, xx) for yy in range(max(0, y - 6), y + 7) for xx in range(max(0, x - 6), x + 7)}
+    got = catalog.queries()["ras37_polyline_mask"](spark, sf).toPandas()
+    assert len(got) == len(want) and set(got[["page_id", "y", "x"]].itertuples(index=False, name=None)) == want
+    assert {r.page_id: r.area for r in catalog.queries()["ras36_opening_line"](spark, sf).collect()} == Counter(p for p, _, _ in want)
