@@ -41,6 +41,27 @@ def grow(mask: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def label_runs(mask: np.ndarray) -> np.ndarray:
+    """``raster.label_array`` with four neighbours, by joining the runs of a row to those that they touch in the next."""
+    h, w = mask.shape
+    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (row, start), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    lo = np.searchsorted(row * (w + 1) + end, (row + 1) * (w + 1) + start, "right")
+    n = np.maximum(np.searchsorted(row * (w + 1) + start, (row + 1) * (w + 1) + end, "left") - lo, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[a]
+    first = np.arange(len(row))
+    while (first[a] != first[b]).any():
+        least = np.minimum(first[a], first[b])
+        np.minimum.at(first, first[a], least)
+        np.minimum.at(first, first[b], least)
+        while (first != first[first]).any():
+            first = first[first]
+    out = np.zeros(h * w, np.int64)
+    out[mask.ravel()] = np.repeat((row * w + start + 1)[first], end - start)
+    return out.reshape(h, w)
+
+
 def wall_count(points: np.ndarray) -> int:
     """Sides of a polygon that are at least five per cent of the mean, three at least; of three corners or fewer, the corners."""
     n = len(points)
@@ -50,28 +71,31 @@ def wall_count(points: np.ndarray) -> int:
     return max(3, int((length >= 0.05 * length.mean()).sum()))
 
 
-def split_array(barrier: np.ndarray, *, close: int, min_share: float = 0.0005, eps: float = 0.005, barrier_may_be_largest: bool = False) -> list[dict]:
+def split_array(barrier: np.ndarray, *, close: int, min_share: float = 0.0005, eps: float = 0.005, barrier_may_be_largest: bool = False, masks: bool = True) -> list[dict]:
     """Rooms between barriers: the free space after widening them, without its largest part, which is the outside.
 
     With ``barrier_may_be_largest`` the widened barriers compete for largest, as a component of their own.
     """
     closed = grow(barrier, close)
-    label = r.label_array(~closed)
-    ids, sizes = np.unique(label[label > 0], return_counts=True)
+    label = label_runs(~closed)
+    place = np.flatnonzero(label)
+    place = place[np.argsort(label.ravel()[place], kind="stable")]
+    ids, starts, sizes = np.unique(label.ravel()[place], return_index=True, return_counts=True)
     if not len(ids):
         return []
     outside = ids[sizes.argmax()]
     if barrier_may_be_largest and closed.sum() > sizes.max():
         outside = 0
     out = []
-    for k, size in zip(ids.tolist(), sizes.tolist(), strict=True):
+    for k, start, size in zip(ids.tolist(), starts.tolist(), sizes.tolist(), strict=True):
         if k == outside or size < min_share * barrier.size:
             continue
-        blob = label == k
-        ys, xs = np.nonzero(blob)
-        ring = r.contour(grow(blob, 2))
+        ys, xs = np.divmod(place[start : start + size], barrier.shape[1])
+        # Only the part of the page that the room reaches is followed.
+        top, side = max(0, ys[0] - 3), max(0, xs.min() - 3)
+        ring = r.contour(grow(label[top : ys[-1] + 4, side : xs.max() + 4] == k, 2)) + np.array([side, top])
         points = r.simplify(ring, eps * r.perimeter(ring))
-        mask = r.fill_polygon(points, *barrier.shape) if len(points) > 2 else blob
+        mask = None if not masks else r.fill_polygon(points, *barrier.shape) if len(points) > 2 else label == k
         out.append({"wall_count": wall_count(points), "area": r.area(points), "perimeter": r.perimeter(points), "cx": float(xs.mean()), "cy": float(ys.mean()), "mask": mask})
     return out
 
@@ -93,6 +117,32 @@ def split_rooms(barriers: DataFrame, height: int, width: int, *, scale: float =
     return barriers.select("page_id", "y", "x").groupBy("page_id").applyInPandas(run, ROOMS)
 
 
+def draw(lines: pd.DataFrame, height: int, width: int) -> np.ndarray:
+    """Boolean array of lines (x0, y0, x1, y1, thick) in pixels: one step along the longer way a pixel, reaching half the thickness."""
+    out = np.zeros((height, width), bool)
+    for thick, some in lines.groupby("thick"):
+        a, b = some[["x0", "y0"]].to_numpy(float), some[["x1", "y1"]].to_numpy(float)
+        n = np.abs(b - a).max(axis=1).astype(int)
+        of = np.repeat(np.arange(len(n)), n + 1)
+        part = (np.arange(len(of)) - np.repeat(np.cumsum(n + 1) - n - 1, n + 1)) / np.maximum(n, 1)[of]
+        at = np.floor(a[of] + (b - a)[of] * part[:, None] + 0.5).astype(np.int64)
+        reach = int(thick) // 2
+        wide = to_array(pd.DataFrame({"y": at[:, 1] + reach, "x": at[:, 0] + reach}), height + 2 * reach, width + 2 * reach)
+        out |= grow(wide, reach)[reach : reach + height, reach : reach + width]
+    return out
+
+
+def split_lines(lines: DataFrame, height: int, width: int, *, scale: float, close: int, min_share: float = 0.0005) -> DataFrame:
+    """Rooms of each page, as ``split_rooms`` has them but without masks, from barrier lines (page_id, x0, y0, x1, y1, thick) in pixels."""
+
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+        found = split_array(draw(frame, height, width), close=close, min_share=min_share, masks=False)
+        rows = [(key[0], n, x["wall_count"], x["area"] / scale**2, x["perimeter"] / scale, x["cx"] / scale, x["cy"] / scale) for n, x in enumerate(found, 1)]
+        return pd.DataFrame(rows, columns=["page_id", "room_seq", "wall_count", "area", "perimeter", "cx", "cy"])
+
+    return lines.groupBy("page_id").applyInPandas(run, ROOMS.removesuffix(", mask binary"))
+
+
 def name_rooms(rooms: DataFrame, labels: DataFrame, *, reach: float) -> DataFrame:
     """The nearest room label within ``reach`` of a room's centre, else "Room n"; names that occur again are numbered."""
     near = rooms.join(labels.where("is_room_label").select("page_id", "text", "x", "y"), "page_id", "left")

@@ -483,7 +483,7 @@ _query("ras31_hybrid_select", lambda w: w.sql(_EVERY_CLICK).join(
            _traced(w).join(w.sql(_SAMPLE).where("structural").select("page_id", "edge_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), ["page_id", "y", "x"]).select(*rooms.SPOT, "edge_id").distinct(), rooms.SPOT)
        .select("click_id", "edge_id").distinct())
 _query("ras32_magic_wand", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH))
-_query("ras33_vector_rooms", lambda w: _vector_rooms(w).drop("mask"))
+_query("ras33_vector_rooms", lambda w: _vector_rooms(w))
 _query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).drop("mask"))
 _query("ras36_opening_line", lambda w: raster.rasterise(_openings(w), 13).groupBy("page_id").agg(F.count(F.lit(1)).alias("area")))
 _query("ras37_polyline_mask", lambda w: raster.rasterise(_openings(w), 13).where("x >= 0 and y >= 0"))
@@ -502,11 +502,24 @@ _query("ext_user_sessions", lambda w: clicks.sessions(w["events"]).groupBy("user
           FROM [[events]] WINDOW w AS (PARTITION BY user_id ORDER BY ts)) GROUP BY user_id""")
 
 
+def _barriers(w: Workspace, scale: float) -> DataFrame:
+    """Lines in pixels: all wall strokes, all gaps between walls (doors, windows and openings) and all drawn polylines, in their thickness."""
+    to_pixel = lambda c: (F.col(c) * scale).cast("int").cast("double").alias(c)
+    ends = ("x0", "y0", "x1", "y1")
+    thick = F.greatest(F.lit(2), (F.col("lw") * scale * 1.5).cast("int")).alias("thick")
+    walls = w["walls"].select("page_id", "edge_id").join(w["edges"], ["page_id", "edge_id"]).select("page_id", *map(to_pixel, ends), thick)
+    flat = F.col("orient") == "H"
+    gap = {c: F.when(flat, F.col(a)).otherwise(F.col(b)) for c, a, b in (("x0", "g0", "perp"), ("y0", "perp", "g0"), ("x1", "g1", "perp"), ("y1", "perp", "g1"))}
+    gaps = w["gaps"].withColumns(gap).select("page_id", *map(to_pixel, ends), F.lit(2).alias("thick"))
+    path = lambda *c: w["flat_paths"].select("page_id", *[F.col(x).alias(e) for x, e in zip(c, ends, strict=True)])
+    drawn = path("x0", "y0", "x1", "y1").union(path("x1", "y1", "x2", "y2")).select("page_id", *map(to_pixel, ends), F.lit(max(3, int(2 * scale))).alias("thick"))
+    return walls.union(gaps).union(drawn)
+
+
 def _vector_rooms(w: Workspace) -> DataFrame:
-    """Barriers drawn from wall strokes at 1/8 scale, split into rooms and named from the page's labels."""
-    scale = 0.125
-    lines = w["walls"].where("edge_id % 4 = 0").join(w["edges"], ["page_id", "edge_id"]).select("page_id", *[(F.col(c) * scale).alias(c) for c in ("x0", "y0", "x1", "y1")])
-    found = rooms.split_rooms(raster.rasterise(lines), 106, 151, scale=scale, close=1)
+    """Barriers drawn on a raster 1500 pixels wide, split into rooms and named from the page's labels."""
+    scale = 1500 / 1191
+    found = rooms.split_lines(_barriers(w, scale), int(842 * scale), 1500, scale=scale, close=2)
     return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05)
 
 

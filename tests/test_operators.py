@@ -260,3 +260,24 @@ def test_every_opening_is_drawn(spark, sf):
     got = catalog.queries()["ras37_polyline_mask"](spark, sf).toPandas()
     assert len(got) == len(want) and set(got[["page_id", "y", "x"]].itertuples(index=False, name=None)) == want
     assert {r.page_id: r.area for r in catalog.queries()["ras36_opening_line"](spark, sf).collect()} == Counter(p for p, _, _ in want)
+
+
+def test_vector_rooms_meet_no_barrier(spark, sf):
+    """Narrow rooms between thick lines are found, and every wall, gap and polyline of a page is drawn."""
+    from plumbline.plans import catalog
+    from plumbline.plans.relations import workspace
+
+    box = [(100, 100, 500, 100), (100, 200, 500, 200), (100, 100, 100, 200), (500, 100, 500, 200), (130, 100, 130, 200)]
+    lines = spark.createDataFrame([(1, *map(float, b), 2) for b in box], "page_id long, x0 double, y0 double, x1 double, y1 double, thick int")
+    found = rooms.split_lines(lines, 1060, 1500, scale=1.0, close=2).collect()
+    assert sorted(r.wall_count for r in found) == [4, 4] and {round(r.cx) for r in found} == {115, 315}
+    w = workspace(spark, sf)
+    scale = 1500 / 1191
+    barriers = catalog._barriers(w, scale)
+    assert barriers.count() == w["walls"].count() + w["gaps"].count() + 2 * w["flat_paths"].count()
+    page = barriers.where("page_id = 1").toPandas()
+    mask = rooms.draw(page, 1060, 1500)
+    for e in page.itertuples():
+        x, y = int((e.x0 + e.x1) / 2 + 0.5), int((e.y0 + e.y1) / 2 + 0.5)
+        assert not (0 <= x < 1500 and 0 <= y < 1060) or mask[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].any()
+    assert catalog.queries()["ras33_vector_rooms"](spark, sf).where("cx < 0 or cy < 0 or cx > 1191 or cy > 842 or area <= 0").count() == 0
