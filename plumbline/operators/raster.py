@@ -39,6 +39,7 @@ def ink(raster: DataFrame) -> DataFrame:
 
 def dilate(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
     """Pixels within ry rows and rx columns of a set one, clipped to the page."""
+    pixels = pixels.where(F.col("y").between(-ry, height - 1 + ry) & F.col("x").between(-rx, width - 1 + rx))
     dy = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - ry), F.least(F.lit(height - 1), F.col("y") + ry)))
     dx = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - rx), F.least(F.lit(width - 1), F.col("x") + rx)))
     rows = pixels.select("page_id", "x", dy.alias("y")).distinct()
@@ -46,7 +47,8 @@ def dilate(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> Data
 
 
 def erode(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
-    """Pixels all of whose neighbours on the page are set; beyond the border nothing is missing."""
+    """Pixels all of whose neighbours on the page are set; beyond the border nothing is missing, and no pixel counts."""
+    pixels = pixels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     need = (F.least(F.lit(height - 1), F.col("y") + ry) - F.greatest(F.lit(0), F.col("y") - ry) + 1) * (F.least(F.lit(width - 1), F.col("x") + rx) - F.greatest(F.lit(0), F.col("x") - rx) + 1)
     dy = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - ry), F.least(F.lit(height - 1), F.col("y") + ry)))
     dx = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - rx), F.least(F.lit(width - 1), F.col("x") + rx)))

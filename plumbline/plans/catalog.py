@@ -15,7 +15,7 @@ from plumbline.functions import geometry as g
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
 from plumbline.operators import graph, labels, measure, raster, rooms, spatial, state
-from plumbline.plans.relations import DIMENSION_SQL, HEIGHT, ROOM_SQL, SQL, TITLE_SQL, WIDTH, workspace
+from plumbline.plans.relations import DIMENSION_SQL, HEIGHT, ROOM_SQL, SQL, TITLE_SQL, WIDTH, page_height, workspace
 from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
 from plumbline.streaming import clicks
@@ -404,9 +404,9 @@ SELECT page_id, gray AS threshold FROM (SELECT *, row_number() OVER (PARTITION B
  SELECT page_id, gray, CAST(s0 * w - s * w0 AS DOUBLE) * CAST(s0 * w - s * w0 AS DOUBLE) / nullif(CAST(w0 * (w - w0) AS DOUBLE), 0) AS v FROM (
   SELECT page_id, gray, sum(n) OVER u AS w0, sum(n * gray) OVER u AS s0, sum(n) OVER (PARTITION BY page_id) AS w, sum(n * gray) OVER (PARTITION BY page_id) AS s
   FROM (SELECT page_id, gray, count(*) AS n FROM [[raster]] GROUP BY page_id, gray) WINDOW u AS (PARTITION BY page_id ORDER BY gray ROWS UNBOUNDED PRECEDING)))) WHERE r = 1""")
-_query("ras05_dilate", lambda w: raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH), _window_sql("[[ink]]", 1, 1))
+_query("ras05_dilate", lambda w: raster.dilate(w["ink"], 1, 1, page_height(w), WIDTH), _window_sql("[[ink]]", 1, 1))
 _query("ras06_close", lambda w: w["closed"], _window_sql(f"({_window_sql('[[ink]]', 1, 1)})", 1, 1, erode=True))
-_query("ras06_open", lambda w: raster.open_(w["ink2"], 0, 1, HEIGHT, WIDTH), _window_sql(f"({_window_sql('[[ink2]]', 0, 1, erode=True)})", 0, 1))
+_query("ras06_open", lambda w: raster.open_(w["ink2"], 0, 1, page_height(w), WIDTH), _window_sql(f"({_window_sql('[[ink2]]', 0, 1, erode=True)})", 0, 1))
 _COMPONENTS = """(SELECT page_id, y, x, min(c) AS c FROM (WITH RECURSIVE r AS (SELECT page_id, y, x, y * 4096 + x AS c FROM [[ink]]
  UNION SELECT i.page_id, i.y, i.x, r.c FROM r JOIN [[ink]] i ON i.page_id = r.page_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1 WHERE r.c < i.y * 4096 + i.x) SELECT * FROM r) GROUP BY page_id, y, x)"""
 _FULL = _COMPONENTS.replace(" WHERE r.c < i.y * 4096 + i.x", "")
@@ -433,7 +433,7 @@ _query("ras15_text_mask", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQ
 _both("ras16_thin_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE lw < 0.2 AND type IN ('line', 'rect_edge')")
 _both("ras17_dashed_lines", "SELECT page_id, edge_id, greatest(coalesce(nullif(lw, 0), 0.5), 0.5) AS thickness FROM [[edges]] WHERE is_dashed")
 _both("ras18_grid_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(x1 - x0) > 0.1 * 1191 OR abs(y1 - y0) > 0.1 * 842)")
-_query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
+_query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, page_height(w), WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
        f"SELECT r.page_id, r.y, r.x, CASE WHEN n.x IS NOT NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN ({_window_sql('[[ink]]', 1, 1)}) n ON r.page_id = n.page_id AND r.y = n.y AND r.x = n.x")
 _both("ras21_annotation_cleaning", "SELECT r.page_id, r.y, r.x, CASE WHEN i.x IS NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN [[ink2]] i ON r.page_id = i.page_id AND r.y = i.y AND r.x = i.x")
 _both("ras22_normalise", "SELECT page_id, y, x, round((gray / CAST(255 AS DOUBLE) - CAST(0.485 AS DOUBLE)) / CAST(0.229 AS DOUBLE), 6) AS v FROM [[raster]]")

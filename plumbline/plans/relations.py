@@ -6,6 +6,7 @@ from plumbline.operators import edges, gaps, labels
 from plumbline.operators import raster as pixels
 from plumbline.sources.fixtures import ADAPTERS, Workspace
 
+# Pages are this high at least; they grow with the data (page_height).
 HEIGHT, WIDTH = 2048, 64
 
 DERIVED = {
@@ -20,7 +21,7 @@ DERIVED = {
     "labels": lambda w: labels.labels(w["words"]),
     "ink": lambda w: w["raster"].where("gray >= 208").select("page_id", "y", "x"),
     "ink2": lambda w: w["raster"].where("gray % 8 < 3").select("page_id", "y", "x"),
-    "closed": lambda w: pixels.close(w["ink"], 1, 1, HEIGHT, WIDTH),
+    "closed": lambda w: pixels.close(w["ink"], 1, 1, page_height(w), WIDTH),
     "selection": lambda w: w["edges"].where("structural").select("page_id", "edge_id"),
     "seeds": lambda w: w.sql(SQL["seeds"]),
     "erasers": lambda w: w.sql(SQL["erasers"]),
@@ -103,5 +104,10 @@ SELECT page_id, text, x, y, ({ROOM_SQL} OR {TITLE_SQL}) AS is_room_label
 FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM [[phrases]]) WHERE x >= 0 AND y >= 0 AND x <= 1191 AND y <= 842 AND NOT {DIMENSION_SQL}"""
 
 
+def page_height(w: Workspace) -> int:
+    top = w["raster"].agg({"y": "max"}).first()[0]
+    return max(HEIGHT, 0 if top is None else int(top) + 1)
+
+
 def workspace(spark, sf_dir: str) -> Workspace:
     return Workspace(spark, sf_dir, DERIVED)

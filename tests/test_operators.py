@@ -281,3 +281,28 @@ def test_vector_rooms_meet_no_barrier(spark, sf):
         x, y = int((e.x0 + e.x1) / 2 + 0.5), int((e.y0 + e.y1) / 2 + 0.5)
         assert not (0 <= x < 1500 and 0 <= y < 1060) or mask[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].any()
     assert catalog.queries()["ras33_vector_rooms"](spark, sf).where("cx < 0 or cy < 0 or cx > 1191 or cy > 842 or area <= 0").count() == 0
+
+
+def test_pages_higher_than_the_least(spark, tmp_path):
+    """Rows beyond 2047 are dilated, closed, opened and cleaned as any others."""
+    from plumbline.plans import catalog
+
+    rng = np.random.default_rng(3)
+    table = [(v, rng.normal(size=64).tolist()) for v in range(8 * 2040, 8 * 2060, 8)]
+    spark.createDataFrame(table, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    gray = np.zeros((2060, 64), int)
+    for v, e in table:
+        gray[v // 8] = [int(abs(x) * 997) % 256 for x in e]
+    ink, ink2 = gray >= 208, gray % 8 < 3
+    ink2[:2040] = False
+    dilated = rooms.grow(ink, 1)
+    thin = np.pad(ink2, ((0, 0), (1, 1)), constant_values=True)
+    opened = np.pad(thin[:, :-2] & thin[:, 1:-1] & thin[:, 2:], ((0, 0), (1, 1)))
+    want = {"ras05_dilate": dilated, "ras06_close": ~rooms.grow(~dilated, 1), "ras06_open": opened[:, :-2] | opened[:, 1:-1] | opened[:, 2:]}
+    for name, mask in want.items():
+        got = {(r.y, r.x) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        assert got == set(zip(*[a.tolist() for a in np.nonzero(mask)], strict=True)), name
+    clean = {(r.y, r.x): r.gray for r in catalog.queries()["ras19_clean"](spark, str(tmp_path)).collect()}
+    assert clean == {(y, x): 255 if dilated[y, x] else gray[y, x] for y in range(2040, 2060) for x in range(64)}
+    off = spark.createDataFrame([(0, 12, 3), (0, -9, 3), (0, 10, 1)], "page_id long, y int, x int")
+    assert {(r.y, r.x) for r in raster.dilate(off, 1, 1, 10, 8).collect()} == {(9, 0), (9, 1), (9, 2)}
