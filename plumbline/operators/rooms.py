@@ -160,8 +160,8 @@ def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, **op
 def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, thick: float = 4.0, least: int = 20) -> DataFrame:
     """(page_id, cy, cx, y, x): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
 
-    The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is cut at junctions
-    into horizontal and vertical runs, and the smallest part at the click of more than ``least`` pixels is taken, widened
+    The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is opened into
+    horizontal and vertical runs, which are not cut at junctions, and the smallest part at the click of more than ``least`` pixels is taken, widened
     to the ink; without one, the part in a box around the click.
     """
 
