@@ -9,7 +9,7 @@ Each transition is annotated with the change in the number of tokens if the text
 A token t ends at a place iff it is itself a result of the merges and stands next to the token u before it
 in the merges' result for the two; one such t exists at each place, so the automaton is deterministic. Texts
 are cut into chunks. A chunk that begins where a piece surely begins has a constant state map; any other
-chunk is run from a guessed entry state, and maps are composed in a doubling prefix scan, in which a chunk
+chunk is run from a guessed entry state, and counts are added up in a doubling prefix scan, before which a chunk
 whose entry differs from its predecessor's exit is run again from there. All chunks of a block advance
 together in numpy, one character a step.
 """
@@ -291,7 +291,7 @@ class Transducer:
 def scan(text: np.ndarray, constant: np.ndarray, entry: np.ndarray, exits: np.ndarray, counts: np.ndarray, again) -> np.ndarray:
     """Running token counts of the chunks of each text.
 
-    Maps are composed in doubling steps; before, the entry of each chunk without a constant map is held against the
+    Counts are added up in doubling steps; before, the entry of each chunk without a constant map is held against the
     exit of the chunk before it, and those that differ are run again, until none does.
     """
     n = len(text)
