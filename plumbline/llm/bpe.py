@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytewords import span_hashes
+from plumbline.llm.bytewords import lanes, same_spans, span_hashes
 from plumbline.llm.charclass import SPACE, classes
 
 _NONE, _FAR = 1 << 62, 1 << 40
@@ -257,8 +257,8 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class ByteBpe:
     """Encoder and decoder of one rank file.
 
-    Encodings are remembered by the 64-bit hash of a piece, in three flat arrays and a dictionary; a full
-    memory starts anew, so it is bounded whatever the texts hold.
+    Encodings are remembered by the bytes of a piece, in three flat arrays and a dictionary; a full memory starts
+    anew, so it is bounded whatever the texts hold. Pieces of a block are grouped by hash, and bytes decide.
     """
 
     def __init__(self, raw: bytes, pattern: str):
@@ -280,13 +280,13 @@ class ByteBpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.slots: dict[bytes, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.begin = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
-        self.filled = 0
+        self.filled = self.held = 0
 
-    def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         by_size: dict[int, list[int]] = {}
         ids: list[tuple[int, ...]] = [()] * len(pieces)
         for k, piece in enumerate(pieces):
@@ -311,7 +311,8 @@ class ByteBpe:
         self.begin[n : n + m] = self.filled + np.cumsum(counts) - counts
         self.count[n : n + m] = counts
         self.filled += len(new)
-        self.slots.update(zip(hashes, range(n, n + m), strict=True))
+        self.slots.update(zip(pieces, range(n, n + m), strict=True))
+        self.held += sum(map(len, pieces))
 
     def encode_block(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of texts one after the other, and the n + 1 places where each text's ids begin."""
@@ -326,15 +327,19 @@ class ByteBpe:
         doc_at = bounds[:-1][sizes > 0]
         first = lead[piece_starts(points, np.searchsorted(lead, doc_at))]
         end = np.append(first[1:], len(raw))
-        hashes, where, which = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
-        if len(self.slots) > _REMEMBERED or self.filled > 8 * _REMEMBERED:
+        _, where, which = np.unique(span_hashes(raw, first, end), return_index=True, return_inverse=True)
+        own, size = lanes(raw), end - first
+        other = np.flatnonzero(~same_spans(own, first, size, own, first[where][which], size[where][which]))
+        if len(other):  # pieces that only share the hash of another stand for themselves
+            which[other] = len(where) + np.arange(len(other))
+            where = np.concatenate((where, other))
+        if len(self.slots) > _REMEMBERED or self.filled > 8 * _REMEMBERED or self.held > 32 * _REMEMBERED:
             self._forget()
-        keys = hashes.tolist()
-        slot = list(map(self.slots.get, keys))
-        new = [k for k, s in enumerate(slot) if s is None]
-        if new:
-            self._learn([keys[k] for k in new], [joined[first[where[k]] : end[where[k]]] for k in new])
-            slot = list(map(self.slots.get, keys))
+        pieces = [joined[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)]
+        slot = list(map(self.slots.get, pieces))
+        if None in slot:
+            self._learn(list(dict.fromkeys(p for p, s in zip(pieces, slot, strict=True) if s is None)))
+            slot = list(map(self.slots.get, pieces))
         slots = np.array(slot, np.int64)[which]
         counts = self.count[slots]
         ids = self.flat[gathered(self.begin[slots], counts)]

@@ -5,7 +5,9 @@ A separator is a byte, and no byte of a multi-byte UTF-8 character is one, so sp
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +30,9 @@ def _table(separators: list[tuple[int, int]]) -> np.ndarray:
 SPACE_WORDS = _table([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM_WORDS = _table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    np.multiply.accumulate(out, out=out)
-    return out
-
-
-_POW: list[np.ndarray] = []
+#: Bytes hashed in one step, the longest span hashed in such steps (longer ones by BLAKE2b), and the hash's fixed key.
+_LANE, _LONG, _KEY = 8, 256, np.uint64(0x9E3779B97F4A7C15)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(_LANE + 1)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -67,30 +60,54 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, or more."""
-    if not _POW or len(_POW[0]) < n:
-        size = max(n, CHUNK + 1)
-        _POW[:] = [_powers(_BASE, size), _powers(_BASE_INVERSE, size)]
-    return _POW[0], _POW[1]
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place of a buffer (and at its end), as one number; zeros follow the buffer."""
+    padded = np.concatenate((buf, np.zeros(_LANE, np.uint8)))
+    return np.ndarray(len(buf) + 1, np.uint64, padded, strides=(1,))
 
 
 def span_hashes(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of the bytes of each span of a block."""
-    n = len(buf)
-    up, down = powers(n + 1)
-    total = np.empty(n + 1, dtype=np.uint64)
-    total[0] = 0
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    return mix((total[end] - total[first]) * down[first])
-
-
-def _hash_block(buf: np.ndarray, starts_of_docs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first bytes and ends of the words of a block; no word spans a place in starts_of_docs."""
-    n = len(buf)
+    """Hash of the bytes of each span of a block.
+
+    A span is taken eight bytes at a step, each through a bijective mixer, so that no arithmetic relation between
+    spans (a Thue-Morse word and its complement, say) makes them collide; spans of one length of at most eight bytes
+    never do. Long spans are hashed by BLAKE2b.
+    """
+    size = end - first
+    eight = lanes(buf)
+    h = mix(size.astype(np.uint64) * _KEY + _KEY)
+    live, at = np.flatnonzero((size > 0) & (size <= _LONG)), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mix((h[live] ^ (eight[first[live] + at] & _MASK[np.minimum(left, _LANE)])) * _KEY)
+        live, at = live[left > _LANE], at + _LANE
+    for k in np.flatnonzero(size > _LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[first[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(left: np.ndarray, first: np.ndarray, size: np.ndarray, right: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether spans of one buffer hold the bytes of spans of another; buffers are given by their lanes."""
+    same = size == other_size
+    live, at = np.flatnonzero(same & (size > 0)), 0
+    while len(live):
+        rest = size[live] - at
+        differ = ((left[first[live] + at] ^ right[other[live] + at]) & _MASK[np.minimum(rest, _LANE)]) != 0
+        same[live[differ]] = False
+        live, at = live[~differ & (rest > _LANE)], at + _LANE
+        if len(live) < 64:
+            for k in live.tolist():
+                a, b = left[first[k] : first[k] + size[k] - _LANE + 1], right[other[k] : other[k] + size[k] - _LANE + 1]
+                same[k] = np.array_equal(a, b)
+            break
+    return same
+
+
+def _word_spans(low: np.ndarray, starts_of_docs: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of the words of a lower-cased block; no word spans a place in starts_of_docs."""
+    n = len(low)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low = _LOWER[buf]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     inside = table[low]
     edge = np.zeros(n + 1, dtype=bool)
     edge[starts_of_docs] = True
@@ -102,41 +119,62 @@ def _hash_block(buf: np.ndarray, starts_of_docs: np.ndarray, table: np.ndarray)
     after[-1] = False
     after[:-1] = inside[1:]
     end = np.flatnonzero(inside & ~(after & ~edge[1:])) + 1
-    return span_hashes(low, first, end), first, end
+    return first, end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, end row, word hashes, n + 1 word offsets by row) for consecutive rows."""
+@dataclass
+class Words:
+    """Words of consecutive rows: hashes, n + 1 word offsets by row, and each word's place in the lower-cased bytes."""
+
+    row: int
+    end_row: int
+    hashes: np.ndarray
+    bounds: np.ndarray
+    low: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+
+
+def word_blocks(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[Words]:
+    """The words of all rows, some rows at a time."""
     rows, row = len(offsets) - 1, 0
     while row < rows:
         end = int(np.searchsorted(offsets, offsets[row] + CHUNK, side="right")) - 1
         end = min(max(end, row + 1), rows)
         lo, hi = int(offsets[row]), int(offsets[end])
+        low = _LOWER[raw[lo:hi]]
         if hi - lo <= CHUNK or end > row + 1:
-            starts = offsets[row:end] - lo
-            h, first, _ = _hash_block(raw[lo:hi], starts, table)
+            first, stop = _word_spans(low, offsets[row:end] - lo, table)
             bounds = np.searchsorted(first, offsets[row : end + 1] - lo)
-            yield row, end, h, bounds
+            yield Words(row, end, span_hashes(low, first, stop), bounds, low, first, stop)
         else:
-            parts, at = [], lo
-            while at < hi:
-                stop = min(at + CHUNK, hi)
-                while stop < hi and table[_LOWER[raw[stop - 1]]] and table[_LOWER[raw[stop]]]:
-                    gap = np.flatnonzero(~table[_LOWER[raw[stop : min(stop + CHUNK, hi)]]])
-                    stop = stop + int(gap[0]) if len(gap) else min(stop + CHUNK, hi)
-                parts.append(_hash_block(raw[at:stop], np.zeros(1, np.int64), table)[0])
-                at = stop
-            h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield row, end, h, np.array([0, len(h)])
+            firsts, stops, hashes, at, size = [], [], [], 0, hi - lo
+            while at < size:
+                cut = min(at + CHUNK, size)
+                while cut < size and table[low[cut - 1]] and table[low[cut]]:
+                    gap = np.flatnonzero(~table[low[cut : min(cut + CHUNK, size)]])
+                    cut = cut + int(gap[0]) if len(gap) else min(cut + CHUNK, size)
+                first, stop = _word_spans(low[at:cut], np.zeros(1, np.int64), table)
+                hashes.append(span_hashes(low[at:cut], first, stop))
+                firsts.append(first + at)
+                stops.append(stop + at)
+                at = cut
+            h = np.concatenate(hashes)
+            yield Words(row, end, h, np.array([0, len(h)]), low, np.concatenate(firsts), np.concatenate(stops))
         row = end
 
 
-_SHINGLE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3,
-                     0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3, 0x4CF5AD432745937F, 0xC3A5C85C97CB3127], dtype=np.uint64) | np.uint64(1)
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Yields (first row, end row, word hashes, n + 1 word offsets by row) for consecutive rows."""
+    for block in word_blocks(raw, offsets, table):
+        yield block.row, block.end_row, block.hashes, block.bounds
+
+
+_SHINGLE = mix(np.arange(1, 129, dtype=np.uint64) * _KEY) | np.uint64(1)
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words that begin at each place, for all but the last k - 1 places."""
+    """Hash of the k words (128 at most) that begin at each place, for all but the last k - 1 places."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

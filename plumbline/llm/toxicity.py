@@ -51,10 +51,15 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def distinct_words(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of distinct words, and for each word which of them it is."""
-    _, where, which = np.unique(span_hashes(points, first, end), return_index=True, return_inverse=True)
+    _, where, which = np.unique(_hashes(points, first, end), return_index=True, return_inverse=True)
     return where, which
 
 
+def _hashes(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the code points of each span."""
+    return span_hashes(points.view(np.uint8), 4 * first, 4 * end)
+
+
 def subwords(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of each n-gram of the words with marked ends, and of the words themselves."""
     n = end - first
@@ -67,7 +72,7 @@ def subwords(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np
     flat[start], flat[stop - 1] = _OPEN, _CLOSE
     flat[inner] = points[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
     owner = np.repeat(np.arange(len(n)), size)
-    words, buckets = [np.arange(len(n))], [span_hashes(flat, start, stop)]
+    words, buckets = [np.arange(len(n))], [_hashes(flat.astype(np.uint32), start, stop)]
     for g in GRAMS:
         at = np.flatnonzero(np.arange(len(flat)) + g <= stop[owner])
         h = np.full(len(at), g, np.uint64)
@@ -123,7 +128,7 @@ def vocabulary(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             size += len(texts[stop])
             stop += 1
         points, first, end, bounds = words_of(texts[at:stop])
-        hashes, where, which = np.unique(span_hashes(points, first, end), return_index=True, return_inverse=True)
+        hashes, where, which = np.unique(_hashes(points, first, end), return_index=True, return_inverse=True)
         keys = hashes.tolist()
         new = np.array([k for k, h in enumerate(keys) if h not in number], np.int64)
         if len(new):

@@ -95,17 +95,44 @@ def contaminated(rows, items, width=10):
 
 
 @pytest.mark.parametrize("part", [decontaminate.PART_BYTES, 3000])
-def test_decontamination(spark, sf, part):
+def test_decontamination(spark, sf, part, monkeypatch):
+    if part == 3000:
+        monkeypatch.setattr(decontaminate, "SEGMENT_BYTES", 150)
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()] + [(900, None), (901, ""), (902, "lost And"), (903, "w1é"), (903, "w2é w3é")]
     bench = spark.createDataFrame([(*r, 3) for r in items], "item_id long, text string, n_words int")
     for docs in (documents(spark), spark.read.parquet(f"{sf}/documents.parquet").drop("source")):
         rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-        got = decontaminate.contamination(spark, docs, bench, part_bytes=part)
-        if part != decontaminate.PART_BYTES:
-            got = got.dropDuplicates(["doc_id", "n_words"])
-            rows = list({(i, len(ALNUM.findall(lower(t)))): (i, t) for i, t in rows}.values())
-        got = sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got.collect()), key=repr)
-        assert got == contaminated(rows, items)
+        got = decontaminate.contamination(spark, docs, bench, part_bytes=part).collect()
+        want = contaminated(rows, items)
+        assert sorted(((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in got), key=repr) == want
+        assert all(sum(x.last - x.first + 1 for x in r.spans) == r.n_hit for r in got)
+        clean = decontaminate.uncontaminated(spark, docs, bench, part_bytes=part)
+        assert clean.columns == docs.columns
+        assert sorted((r.doc_id for r in clean.collect()), key=repr) == sorted((w[0] for w in want if not w[2]), key=repr)
+
+
+def thue_morse(n):
+    """Words of n letters that polynomial hashes modulo a power of two confuse."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 4096])
+def test_structured_words_do_not_collide(spark, n):
+    import base64
+
+    import tiktoken
+
+    one, other = thue_morse(n)
+    docs = spark.createDataFrame([(1, one), (2, other)], "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(spark, docs).collect()} == {1, 2}
+    bench = spark.createDataFrame([(5, one)], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.contamination(spark, docs, bench).collect()} == {1: 1, 2: 0}
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = {r.doc_id: list(r.ids) for r in bpe.encode_ids(spark, docs, path, P.PATTERN).collect()}
+    assert ids == {1: library.encode_ordinary(one), 2: library.encode_ordinary(other)}
 
 
 def test_bpe_against_library(spark):
