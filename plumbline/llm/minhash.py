@@ -165,7 +165,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     component_id is the smallest doc_id reachable over links, kept says whether the row's doc_id is it.
     Words are what white space separates, A-Z lower-cased. A null, empty or blank text has no shingles and is
     linked with nothing. Equal texts are linked (ties go to the smallest doc_id); repeated rows give repeated
-    rows. A row whose doc_id is null has a null component_id and is kept. Other columns are not read. An empty
+    rows, and rows that share a doc_id are one document, linked by any of its texts. Sets are compared as sets of
+    64-bit hashes. A row whose doc_id is null has a null component_id and is kept. Other columns are not read. An empty
     table gives an empty table.
     """
     scratch = Scratch(spark, "minhash")
@@ -215,6 +216,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, shingle: int = 5, p
     several = named.groupBy("v").agg(
         F.min("c").alias("lo"), F.max("c").alias("hi"), F.count_if("linked").alias("near"), F.count_if(~F.col("linked")).alias("far"))
     several = several.where("lo < hi").select("v", F.ceil(F.col("near") / tile).cast("int").alias("near"), F.ceil(F.col("far") / tile).cast("int").alias("far"))
+    several = scratch.save(several, "several")  # so that the join has no aggregate below it and a hot pivot can be split
     left = scratch.save(named.join(several, "v").select("u", "v", "c", "linked", "near", "far"), "open")
     full = met(left.select("u", "v")).select("u", "v", "nu", "nv", F.array_except("su", "sv").alias("more"), F.array_except("sv", "su").alias("less"))
     block = left.withColumn("k", F.expr("pmod(xxhash64(u), if(linked, near, far))").cast("int"))
