@@ -1,6 +1,6 @@
 """Cross-site line dedup: lines that occur on several distinct sites are boilerplate.
 
-Lines are keyed by a 64-bit hash. Lines with fewer occurrences than the threshold cannot reach it and go first, by
+Lines are keyed by two 64-bit hashes of different seeds. Lines with fewer occurrences than the threshold cannot reach it and go first, by
 a partial count. For the rest, HyperLogLog sketches of the sites merge by aggregation; where an estimate lies near
 the threshold, the distinct sites are counted exactly. The first document (smallest doc_id) that has a boilerplate
 line keeps it, so a passage survives once; in all others the line is removed.
@@ -24,25 +24,26 @@ def _lines(text: str | Column) -> Column:
 
 
 def _key(line: Column) -> Column:
-    """Hash of a line without the blanks around it; null for a blank line."""
+    """Two hashes of a line without the blanks around it; null for a blank line."""
     bare = F.btrim(line, F.lit(" \t\r"))
-    return F.when(bare != "", F.xxhash64(bare))
+    return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(1), bare).alias("b")))
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, *, sites: int = 5, scratch: Scratch | None = None) -> DataFrame:
-    """(line, n_sites, keeper) for the lines on at least ``sites`` distinct sites; keeper is the smallest doc_id with the line."""
+    """(line, n_sites, keeper) for the lines on at least ``sites`` distinct sites; line is the key, keeper the smallest doc_id with the line."""
     scratch = scratch or Scratch(spark, "lines")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("site"), F.explode(_lines(F.col("text").cast("string"))).alias("l"))
-    rows = rows.select("doc_id", "site", _key(F.col("l")).alias("line")).where("line is not null and site is not null")
-    often = rows.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line")
-    common = scratch.save(rows.join(often, "line"), "common")
-    sketches = common.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("about"), F.min("doc_id").alias("keeper"))
+    rows = rows.select("doc_id", "site", _key(F.col("l")).alias("line")).where("line is not null and site is not null").select("doc_id", "site", "line.a", "line.b")
+    # Written, so that the join has no aggregate below it: a small table is broadcast by its size, a hot line of a large one is split.
+    often = scratch.save(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("a", "b"), "often")
+    common = scratch.save(rows.join(often, ["a", "b"]), "common")
+    sketches = common.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_SIZE))).alias("about"), F.min("doc_id").alias("keeper"))
     sketches = scratch.save(sketches, "sketches")
     band = max(1.0, SURE * ERROR * sites)
-    near = sketches.where(F.abs(F.col("about") - sites) <= band).select("line")
-    exact = common.join(near, "line", "left_semi").select("line", "site").distinct().groupBy("line").agg(F.count(F.lit(1)).alias("sure"))
-    spread = sketches.join(exact, "line", "left").withColumn("n_sites", F.coalesce("sure", "about"))
-    return spread.where(F.col("n_sites") >= sites).select("line", "n_sites", "keeper")
+    near = sketches.where(F.abs(F.col("about") - sites) <= band).select("a", "b")
+    exact = common.join(near, ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("sure"))
+    spread = sketches.join(exact, ["a", "b"], "left").withColumn("n_sites", F.coalesce("sure", "about"))
+    return spread.where(F.col("n_sites") >= sites).select(F.struct("a", "b").alias("line"), "n_sites", "keeper")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, *, sites: int = 5) -> DataFrame:
@@ -58,10 +59,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, *, sites: int = 5) -> Data
     found = scratch.save(boilerplate(spark, docs, sites=sites, scratch=scratch), "boilerplate")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.explode(F.array_distinct(F.transform(_lines(F.col("text").cast("string")), _key))).alias("line"))
-    drops = rows.where("line is not null").join(found, "line").where("not (keeper <=> __id)")
-    drops = drops.groupBy("__id").agg(F.collect_set("line").alias("__drop"))
+    drops = rows.where("line is not null").select("__id", "line.a", "line.b").join(found.select("line.a", "line.b", "keeper"), ["a", "b"]).where("not (keeper <=> __id)")
+    drops = drops.groupBy("__id").agg(F.collect_set(F.struct("a", "b")).alias("__drop"))
     joined = docs.select(*names).join(drops, F.expr("cast(doc_id as long) <=> __id"), "left")
-    kept = F.filter(_lines("text"), lambda l: ~F.coalesce(F.array_contains("__drop", F.coalesce(_key(l), F.lit(0).cast("long"))) & _key(l).isNotNull(), F.lit(False)))
+    kept = F.filter(_lines("text"), lambda l: ~F.coalesce(F.array_contains("__drop", _key(l)), F.lit(False)))
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(_lines("text"))).cast("long")
     touched = F.col("__drop").isNotNull()
     text = F.when(touched, F.array_join(kept, "\n")).otherwise(F.col("text").cast("string"))
