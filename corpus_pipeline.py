@@ -1,7 +1,11 @@
 """Document pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, byte-level BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; run() writes each stage's rows as
-Parquet in the shared folder and rereads them. All stages but the last return the columns of ``documents``.
+Parquet in the shared folder and rereads them. All stages but the last return the columns of ``documents``; other
+columns, whatever their names, are not read.
+
+In every stage a null text is an empty one, an empty table gives an empty table, and rows are judged one by one: a
+null or repeated doc_id neither shields a row nor condemns another.
 """
 
 from __future__ import annotations
@@ -36,17 +40,23 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class (five words a shingle, similarity 0.8)."""
-    classes = minhash.near_duplicates(spark, docs, shingle=5, percent=80)
-    gone = classes.where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each near-duplicate class (five words a shingle, similarity 0.8): that with the smallest doc_id, the
+    first of equal ones; null ids come last. Rows without words are in no class and stay."""
+    scratch = Scratch(spark, "classes")
+    rows = scratch.save(docs.select(F.monotonically_increasing_id().alias("row"), *COLUMNS), "rows")
+    classes = minhash.near_duplicates(spark, rows.select(F.col("row").alias("doc_id"), "text"), shingle=5, percent=80)
+    classes = scratch.save(classes.where("n_shingles > 0").select(F.col("doc_id").alias("row"), "component_id"), "classes")
+    shared = classes.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = scratch.save(classes.join(scratch.save(shared, "shared"), "component_id"), "members")
+    named = rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("rank")).join(members, "row")
+    keepers = named.groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias("row"))
+    gone = members.select("row").join(keepers, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no ten-word window of a benchmark item."""
-    found = decontaminate.contamination(spark, docs, _table(spark, sf_dir, "benchmark"), width=10)
-    gone = found.where("n_hit > 0").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return decontaminate.uncontaminated(spark, docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"), width=10)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
