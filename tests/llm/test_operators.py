@@ -328,18 +328,23 @@ def test_toxicity_learns_and_generalises(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("block", [8, 32, 1024])
+def test_vectors_against_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(vectordup, "BLOCK", min(block, 16))
     rng = np.random.default_rng(6)
     centers = rng.normal(size=(30, 16))
     rows = [(k, (centers[k % 30] + 0.25 * rng.normal(size=16)).tolist(), k % 3 if k % 11 else None) for k in range(400)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [None, 1.0], 1), (504, [], 1), (505, [1.0, 2.0], 1), (506, [2.0, 4.0], 1)]
-    rows += [(600 + k, rows[0][1], rows[1][2]) for k in range(40)] + [(600, rows[0][1], rows[1][2]), (None, rows[1][1], 0)]
+    rows += [(600 + k, rows[0][1], rows[1][2]) for k in range(40)] + [(600, rows[0][1], rows[1][2]), (None, rows[1][1], 0), (None, rows[1][1], rows[1][2]), (None, [9.0, -9.0], 1)]
+    half = np.arccos(0.93)
+    rows += [(700, [1.0, 0.0, 0.0], 9), (701, [0.93, float(np.sin(half)), 0.0], 9), (702, [0.9299999, float(np.sin(half)), 0.0], 9), (703, [1e-200, 0.0, 0.0], 9), (704, [1e200, 1e200, 0.0], 9)]
     table = spark.createDataFrame([(*r, 5, "p") for r in rows], "vec_id long, embedding array<double>, label int, copies int, part string")
-    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in vectordup.near_duplicates(spark, table, block=32).collect()), key=repr)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in vectordup.near_duplicates(spark, table, block=block).collect()), key=repr)
 
     def cos(a, b):
         if a is None or b is None or len(a) != len(b) or not a or any(x is None or not np.isfinite(x) for x in [*a, *b]) or not any(a) or not any(b):
             return -2
+        a, b = np.array(a) / np.abs(a).max(), np.array(b) / np.abs(b).max()
         return np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))
 
     links = [0] * len(rows)
@@ -347,7 +352,7 @@ def test_vectors_against_brute_force(spark):
     for i, a in enumerate(rows):
         for j in range(i):
             b = rows[j]
-            if a[2] is not None and a[2] == b[2] and cos(a[1], b[1]) >= 0.93:
+            if a[0] is not None and b[0] is not None and a[2] is not None and a[2] == b[2] and cos(a[1], b[1]) >= 0.93:
                 links[i] += 1
                 links[j] += 1
                 linked.append((i, j))
@@ -356,7 +361,7 @@ def test_vectors_against_brute_force(spark):
         comp.setdefault(c, []).append(rows[i][0])
     named = {i: min((x for x in comp[c] if x is not None), default=None) for i, c in classes_of(list(range(len(rows))), linked).items()}
     want = sorted(((r[0], links[i], None if r[0] is None else named[i]) for i, r in enumerate(rows)), key=repr)
-    assert [w for w in got if w[0] is not None] == [w for w in want if w[0] is not None]
+    assert got == want
 
 
 def test_main_text():
