@@ -375,6 +375,64 @@ def test_main_text():
     assert htmltext.main_text("a < b & c") == "a < b & c"
 
 
+def test_main_text_of_named_parts():
+    inside = "<article><h1 class='post-header'>Head</h1><p class='social-science'>About a science, of people.</p><div class='relatedWork'><p>Work that is related, in prose.</p></div>%s</article>"
+    want = "Head\nAbout a science, of people.\nWork that is related, in prose."
+    assert htmltext.main_text(inside % "") == want
+    for part in ("<div class='related-posts'><a href=x>more</a></div>", "<div id=comments><p>Readers, they say much.</div>", "<section class='siteFooter'>foot</section>", "<p class=ad>buy</p>",
+                 "<div class='ad-slot-2'>buy</div>", "<div class='x cookie-notice'>cookies</div>", "<button>go</button>", "<label>name <select><option>a</select></label>", "<svg><text>t</text></svg>",
+                 "<video>no video</video>", "<div hidden>h</div>", "<div style='display: none'>h</div>", "<p aria-hidden=true>h</p>"):
+        assert htmltext.main_text(inside % part) == want, part
+    # A page whose wrapper has such a name, and elements left open.
+    assert htmltext.main_text("<body><div class=widget><p>" + "Prose, and more of it. " * 20 + "</p></div><div class=widget>side</div>") == ("Prose, and more of it. " * 20).strip()
+    for broken in ("<object data=x>", "<button>", "<select>", "<svg>", "<label>", "<title>", "<a href=x>", "<iframe>"):
+        assert htmltext.main_text(f"<article><p>One, two.</p>{broken}<p>Three, four.</p></article>") == "One, two.\nThree, four.", broken
+    assert htmltext.main_text("<article><p>One</p><button>a<p>Two</p><button>b</button><p>Three</p></article>") == "One\na\nTwo\nThree"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a '\">", "<a \"'>'\"", "<div>", "</div>", "<center><p>x", "<li><center>", "<object>", "<script>", "<!-- ", "<p aaaa", "<td><tr>", "a=b ", "<svg><b>"])
+def test_broken_pages_take_linear_time(unit):
+    import time
+
+    began = time.time()
+    htmltext.main_text("<article>" + unit * (300_000 // len(unit)) + ">")
+    htmltext.main_text(f"<p {unit * (300_000 // len(unit))}>")
+    assert time.time() - began < 4
+
+
+def test_main_text_against_a_plain_parser(spark, sf):
+    """Pages of the tables: blocks of the article element by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.blocks = 0, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.depth += tag == "article"
+            if tag in ("p", "h1", "div", "article"):
+                self.blocks.append("")
+            elif tag == "br":
+                self.blocks[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            if tag in ("p", "h1", "div", "article"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            self.blocks[-1] += data if self.depth else ""
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: (r.url, r.text, r.n_chars) for r in htmltext.extract(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        text = "\n".join(b for b in (" ".join(x.split()) for x in plain.blocks) if b)
+        assert got[r.page_id] == (r.url, text, len(text))
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)]
     got = htmltext.extract(spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")).collect()
