@@ -7,11 +7,14 @@ the vocabulary trie reached, the token that ends at that place and how many toke
 Each transition is annotated with the change in the number of tokens if the text ended there.
 
 A token t ends at a place iff it is itself a result of the merges and stands next to the token u before it
-in the merges' result for the two; one such t exists at each place, so the automaton is deterministic. Texts
-are cut into chunks. A chunk that begins where a piece surely begins has a constant state map; any other
-chunk is run from a guessed entry state, and counts are added up in a doubling prefix scan, before which a chunk
-whose entry differs from its predecessor's exit is run again from there. All chunks of a block advance
-together in numpy, one character a step.
+in the merges' result for the two; one such t exists at each place, so the automaton is deterministic.
+
+Texts are cut into chunks. A chunk's map takes an entry state to an exit state and a change in the number of tokens.
+A chunk that begins where a piece surely begins has a constant map; the map of any other is kept for the entries it
+can have: one guessed from the characters before it, and the exits of the map before it. Maps are composed in a
+doubling prefix scan, which gives each text's count. All chunks of a block advance together in numpy, one character a
+step. A long text is taken in slices that hand their last state on, and the compiled part of the automaton is
+forgotten when it has grown to a fixed size, so memory is bounded whatever the texts hold.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.charclass import LETTER, NUMBER, OTHER, SPACE, classes
 
-#: Characters of a chunk, bytes of a block, columns of the transition table (further characters go through a
-#: dictionary) and states at which the table starts anew.
-_CHUNK, _BLOCK, _COLUMNS, _STATES = 256, 1_500_000, 128, 300_000
+#: Characters of a chunk, of a block and of the shortest slice of a long text, columns of the transition table (further
+#: characters go through a dictionary), states at which the table starts anew, and rounds in which maps are widened.
+_CHUNK, _BLOCK, _SLICE, _COLUMNS, _STATES, _ROUNDS = 256, 1_500_000, 16_384, 128, 150_000, 8
 _SHIFT, _BIAS = 8, 128
 
 # What may follow an apostrophe that begins a piece.
@@ -103,6 +106,10 @@ _EMPTY = ((0, -1, 0),)
 _BEGIN, _RUN, _QUOTE, _QUOTED, _BLANKS = range(5)
 
 
+class _Full(Exception):
+    """The compiled part of the automaton has reached its bound."""
+
+
 class Transducer:
     """The lazily compiled automaton; states are numbered as they are met."""
 
@@ -111,6 +118,7 @@ class Transducer:
         self.kinds = classes()
         self.column = np.full(0x110000, -1, np.int32)
         self.columns = 0
+        self.bounded = True
         self._forget()
 
     def _forget(self) -> None:
@@ -118,6 +126,8 @@ class Transducer:
         self.states: list[tuple] = []
         self.table = np.full((1 << 12, _COLUMNS), -1, np.int32)
         self.rare: dict[tuple[int, int], int] = {}
+        if len(self.merges.beside) > 4 * _STATES:
+            self.merges.beside.clear()
         self.begin = self._intern((_BEGIN,))
 
     def _intern(self, state: tuple) -> int:
@@ -228,6 +238,8 @@ class Transducer:
             missing = np.flatnonzero(packed < 0)
             if len(missing):
                 packed[missing] = self._fill(s[missing], c[missing], points[here[missing]])
+                if self.bounded and max(len(self.states), len(self.rare)) > _STATES:
+                    raise _Full
             state[:active] = packed >> _SHIFT
             count[:active] += (packed & ((1 << _SHIFT) - 1)) - _BIAS
         exits, counts = np.empty_like(state), np.empty_like(count)
@@ -236,27 +248,64 @@ class Transducer:
 
     def count(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text. A special token's string is one token, and the parts around it are texts by themselves."""
-        parts, owner, extra = texts, np.arange(len(texts)), np.zeros(len(texts), np.int64)
-        joined = "".join(texts)
-        if any(s in joined for s in self.merges.specials):
+        parts, owner, total = texts, np.arange(len(texts)), np.zeros(len(texts), np.int64)
+        if any(s in text for text in texts for s in self.merges.specials):
             parts, owners = [], []
             for k, text in enumerate(texts):
                 pieces = [text]
                 for special in self.merges.specials:
                     pieces = [q for p in pieces for q in p.split(special)]
-                extra[k] = len(pieces) - 1
+                total[k] = len(pieces) - 1
                 parts += pieces
                 owners += [k] * len(pieces)
-            owner, joined = np.array(owners), "".join(parts)
-        total = extra
-        if joined:
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            np.add.at(total, owner, self._count(joined, sizes))
+            owner = np.array(owners)
+        held, size = [], 0
+        for k, part in enumerate(parts):
+            if len(part) > _BLOCK:
+                total[owner[k]] += self._count_long(part)
+                continue
+            if size + len(part) > _BLOCK:
+                np.add.at(total, owner[held], self._count_all([parts[h] for h in held]))
+                held, size = [], 0
+            held.append(k)
+            size += len(part)
+        np.add.at(total, owner[held], self._count_all([parts[h] for h in held]))
         return total
 
-    def _count(self, joined: str, sizes: np.ndarray) -> np.ndarray:
-        if len(self.states) > _STATES or len(self.rare) > _STATES:
+    def _count_all(self, parts: list[str]) -> np.ndarray:
+        """Tokens of each of some short texts, in halves where they need more states than are kept."""
+        joined = "".join(parts)
+        if not joined:
+            return np.zeros(len(parts), np.int64)
+        try:
+            return self._count(joined, np.fromiter(map(len, parts), np.int64, len(parts)), (_BEGIN,))[0]
+        except _Full:
             self._forget()
+        if len(parts) == 1:
+            return np.array([self._count_long(joined)])
+        half = len(parts) // 2
+        return np.concatenate((self._count_all(parts[:half]), self._count_all(parts[half:])))
+
+    def _count_long(self, text: str) -> int:
+        """Tokens of one text, slice by slice; the state, not its number, is handed on."""
+        state, total, at, size = (_BEGIN,), 0, 0, min(_BLOCK, max(len(text) // 2, _SLICE))
+        while at < len(text):
+            part = text[at : at + size]
+            self.bounded = size > _SLICE
+            try:
+                counts, state = self._count(part, np.array([len(part)]), state)
+                total, at = total + int(counts[0]), at + size
+            except _Full:
+                size = max(size // 2, _SLICE)
+                self._forget()
+            finally:
+                self.bounded = True
+            if max(len(self.states), len(self.rare)) > _STATES:
+                self._forget()
+        return total
+
+    def _count(self, joined: str, sizes: np.ndarray, state: tuple) -> tuple[np.ndarray, tuple]:
+        """Changes in the number of tokens over each text, the first of which begins in a state, and the last state."""
         points = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
         n = len(points)
         columns = self.columns_of(points)
@@ -276,40 +325,94 @@ class Transducer:
         opens[begins] = True
         constant = sure[first] | opens[first]
         entry = np.full(len(first), self.begin, np.int64)
+        entry[0] = self._intern(state)
         loose = np.flatnonzero(~constant)
         if len(loose):  # guess from some characters before
             back = np.minimum(first[loose] - begins[text[loose]], 32)
             entry[loose], _ = self.run(points, columns, first[loose] - back, back, entry[loose])
-        exits, counts = self.run(points, columns, first, length, entry)
-        totals = scan(text, constant, entry, exits, counts, lambda k, e: self.run(points, columns, first[k], length[k], e))
+        maps = Maps(text, constant, lambda k, e: self.run(points, columns, first[k], length[k], e))
+        exits, totals = maps.prefixes(entry)
         out = np.zeros(len(sizes), np.int64)
         last = np.append(text[1:] != text[:-1], True)
         out[text[last]] = totals[last]
-        return out
-
-
-def scan(text: np.ndarray, constant: np.ndarray, entry: np.ndarray, exits: np.ndarray, counts: np.ndarray, again) -> np.ndarray:
-    """Running token counts of the chunks of each text.
-
-    Counts are added up in doubling steps; before, the entry of each chunk without a constant map is held against the
-    exit of the chunk before it, and those that differ are run again, until none does.
-    """
-    n = len(text)
-    while True:
-        wrong = np.flatnonzero(~constant[1:] & (entry[1:] != exits[:-1])) + 1
-        if not len(wrong):
-            break
-        entry[wrong] = exits[wrong - 1]
-        exits[wrong], counts[wrong] = again(wrong, entry[wrong])
-    total, d = counts.copy(), 1
-    while d < n:
-        same = np.flatnonzero(text[d:] == text[:-d]) + d
-        if not len(same):
-            break
-        add = total[same - d].copy()
-        total[same] += add
-        d *= 2
-    return total
+        return out, self.states[exits[-1]]
+
+
+class Maps:
+    """State maps of chunks: rows of chunk, entry, exit and change in tokens; a constant map has the entry -1."""
+
+    def __init__(self, text: np.ndarray, constant: np.ndarray, run):
+        self.text, self.constant, self.run = text, constant, run
+        self.chunk = self.entry = self.exit = self.change = np.zeros(0, np.int64)
+
+    @staticmethod
+    def _key(chunk: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        return chunk << 32 | (entry + 1)
+
+    def _add(self, chunk: np.ndarray, entry: np.ndarray) -> None:
+        """Runs chunks from entries and adds the rows."""
+        exits, change = self.run(chunk, entry)
+        chunk, entry = np.concatenate((self.chunk, chunk)), np.concatenate((self.entry, np.where(self.constant[chunk], -1, entry)))
+        order = np.argsort(self._key(chunk, entry))
+        self.chunk, self.entry = chunk[order], entry[order]
+        self.exit, self.change = np.concatenate((self.exit, exits))[order], np.concatenate((self.change, change))[order]
+
+    def _missing(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries that the maps before can lead to and the maps do not have."""
+        row = np.flatnonzero(self.chunk + 1 < len(self.text))
+        row = row[~self.constant[self.chunk[row] + 1]]
+        wanted = np.unique(self._key(self.chunk[row] + 1, self.exit[row]))
+        wanted = wanted[~np.isin(wanted, self._key(self.chunk, self.entry))]
+        return wanted >> 32, (wanted & 0xFFFFFFFF) - 1
+
+    def prefixes(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each chunk, the state after it and the change in tokens from its text's beginning.
+
+        Maps get the guessed entries first and are widened, all chunks at once, by what the maps before lead to. Should
+        that not end in some rounds, the chunks at which the composed maps stop are run from their true entries.
+        """
+        self._add(np.arange(len(self.text)), entry)
+        for _ in range(_ROUNDS):
+            chunk, needed = self._missing()
+            if not len(chunk):
+                break
+            self._add(chunk, needed)
+        while True:
+            known, exits, totals = self._composed()
+            open_ = np.flatnonzero(~known)
+            if not len(open_):
+                return exits, totals
+            front = open_[known[open_ - 1]]  # a text's first chunk is always known
+            self._add(front, exits[front - 1])
+
+    def _composed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Composes maps in doubling steps; a segment that ends at a chunk grows by the segment that ends before it."""
+        n = len(self.text)
+        begin = np.searchsorted(self.text, self.text)
+        low, constant = np.arange(n), self.constant.copy()
+        chunk, entry, exit_, change = self.chunk, self.entry, self.exit, self.change
+        while True:
+            grow = np.flatnonzero(low > begin)
+            if not len(grow):
+                break
+            left = low[grow] - 1
+            a, b = np.searchsorted(chunk, left), np.searchsorted(chunk, left, side="right")
+            size = b - a
+            row = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            at = np.repeat(grow, size)
+            key, wanted = self._key(chunk, entry), self._key(at, np.where(constant[at], -1, exit_[row]))
+            found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            hit = key[found] == wanted
+            row, at, found = row[hit], at[hit], found[hit]
+            stay = np.flatnonzero(~np.isin(chunk, grow))
+            parts = [(chunk[stay], at), (entry[stay], entry[row]), (exit_[stay], exit_[found]), (change[stay], change[row] + change[found])]
+            chunk, entry, exit_, change = (np.concatenate(p) for p in parts)
+            order = np.argsort(self._key(chunk, entry), kind="stable")
+            chunk, entry, exit_, change = chunk[order], entry[order], exit_[order], change[order]
+            low[grow], constant[grow] = low[left], constant[left]
+        known, exits, totals = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        known[chunk], exits[chunk], totals[chunk] = True, exit_, change
+        return known, exits, totals
 
 
 _LOADED: dict[str, Transducer] = {}
@@ -344,12 +447,12 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer_path: str, limi
         for batch in batches:
             sizes, counts, held, size = [], [], [], 0
             for text, n in _decoded(batch.column(1)):
+                if held and size + n > _BLOCK:
+                    counts.append(machine.count(held))
+                    held, size = [], 0
                 held.append(text)
                 sizes.append(n)
                 size += n
-                if size >= _BLOCK:
-                    counts.append(machine.count(held))
-                    held, size = [], 0
             counts.append(machine.count(held))
             tokens = np.concatenate(counts)
             yield pa.RecordBatch.from_arrays(

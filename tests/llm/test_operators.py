@@ -182,6 +182,61 @@ def test_token_counts_against_library(spark):
     assert got == sorted((r.doc_id or 0, len((r.text or "").encode()), k, k > 1024) for r, k in zip(rows, n, strict=True))
 
 
+def test_token_counts_of_documents_against_library(spark):
+    """All of documents at sf0.01."""
+    from tokenizers import Tokenizer
+
+    path, docs = P.path("byte_bpe_50k.json"), spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    library, rows = Tokenizer.from_file(path), docs.select("doc_id", "text").collect()
+    n = [len(e.ids) for e in library.encode_batch([r.text or "" for r in rows], add_special_tokens=False)]
+    want = sorted((r.doc_id, len((r.text or "").encode()), k, k > 1024) for r, k in zip(rows, n, strict=True))
+    assert sorted(tuple(r) for r in transducer.token_counts(spark, docs, path).collect()) == want
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdefghijklmnopqrstuvwxyz", "中漢字国", "é ", " \n", "'s", "aaaaaaaaaaaaab"])
+def test_long_texts_in_slices_of_bounded_states(letters, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(transducer, "_BLOCK", 20000)
+    monkeypatch.setattr(transducer, "_SLICE", 3000)
+    monkeypatch.setattr(transducer, "_STATES", 2000)
+    path = P.path("byte_bpe_50k.json")
+    library, machine, rng = Tokenizer.from_file(path), transducer.Transducer(open(path, "rb").read()), random.Random(12)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (50000, 300, 7000, 0, 21000)] + ["x<|endoftext|>" + letters * 9]
+    assert machine.count(texts).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(machine.states) < 20000
+
+
+def test_maps_that_never_meet_are_followed():
+    """Chunks as permutations of states: no guess helps, and every prefix is still right."""
+    rng = np.random.default_rng(13)
+    turn = np.array([rng.permutation(200) for _ in range(90)])
+    text = np.repeat([0, 1, 2], [50, 1, 39])
+    constant = np.append(True, text[1:] != text[:-1])
+    maps = transducer.Maps(text, constant, lambda k, e: (turn[k, e], e + 1))
+    exits, totals = maps.prefixes(np.where(constant, 7, 3))
+    for k in range(90):
+        state, total = (7, 0) if constant[k] else (exits[k - 1], totals[k - 1])
+        assert (exits[k], totals[k]) == (turn[k, state], total + state + 1)
+
+
+def test_bpe_of_documents_against_library(spark):
+    """All of documents at sf0.01."""
+    import base64
+
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    ids = library.encode_ordinary_batch([r.text or "" for r in rows])
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    want = sorted((r.doc_id, len(i), sha(",".join(map(str, i)).encode()), sha((r.text or "").encode())) for r, i in zip(rows, ids, strict=True))
+    assert sorted(tuple(r)[:4] for r in bpe.encode_digests(spark, docs, path, P.PATTERN).collect()) == want
+
+
 def test_warc_round_trip(spark):
     long, other = "<p>" + "é" * 200, "<i>" + "z" * 300
     rows = [(1, "http://b.example/x", long), (2, "http://a.example/y?q=1", long), (3, None, None), (4, "not a url", "short"), (5, "http://a.example/", "short"), (6, "http://c.example/", other), (6, "http://c.example/", other), (None, "http://n.example/", long), (7, "http://[bad", other)]
