@@ -32,7 +32,7 @@ from plumbline.llm.charclass import LETTER, NUMBER, OTHER, SPACE, classes
 
 #: Characters of a chunk, of a block and of the shortest slice of a long text, columns of the transition table (further
 #: characters go through a dictionary), states at which the table starts anew, and rounds in which maps are widened.
-_CHUNK, _BLOCK, _SLICE, _COLUMNS, _STATES, _ROUNDS = 256, 1_500_000, 16_384, 128, 150_000, 8
+_CHUNK, _BLOCK, _SLICE, _COLUMNS, _STATES, _ROUNDS = 256, 1_500_000, 16_384, 128, 300_000, 8
 _SHIFT, _BIAS = 8, 128
 
 # What may follow an apostrophe that begins a piece.
