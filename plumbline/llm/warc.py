@@ -1,8 +1,9 @@
 """WARC archives with a two-level capture index.
 
-Writing: each task writes one archive of gzip members, a record each, and returns a capture line for every record
-(URL key, record id, file, offset, length). Of equal payloads of at least ``least`` bytes one is a response and
-the others revisit it.
+Writing: each task writes WARC/1.1 archives of gzip members, a record each, and returns a capture line for every
+page's record (URL key, capture, file, offset, length). An archive begins with a warcinfo record and ends when it has
+reached a fixed size. Blocks are HTTP responses. Of equal payloads of at least ``least`` bytes one is a response and
+the others revisit it: they hold its head and the id of its record.
 
 Index: capture lines sorted by the key, whose host is reversed, are cut into compressed blocks in a few index
 files; a sparse directory beside each file holds the first key and the byte range of every block. Reading: a
@@ -21,6 +22,8 @@ import hashlib
 import json
 import uuid
 import zlib
+from collections import OrderedDict
+from datetime import UTC, datetime
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -32,8 +35,9 @@ from pyspark.sql.window import Window
 
 from plumbline.llm.scratch import Scratch
 
-#: Capture lines of an index block.
-LINES = 512
+#: Capture lines of an index block, bytes at which an archive ends, and archives a reader holds open.
+LINES, ROTATE, OPEN = 512, 1 << 30, 64
+_REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CAPTURE = "url_key string, capture string, file string, offset long, length long"
 
 
@@ -55,11 +59,17 @@ def _opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
-def record(kind: str, fields: list[tuple[str, str]], payload: bytes) -> bytes:
+def record(kind: str, fields: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
     """One record as a gzip member."""
-    head = [("WARC-Type", kind), *fields, ("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(len(payload)))]
+    head = [("WARC-Type", kind), *fields, ("Content-Type", content_type), ("Content-Length", str(len(block)))]
     text = "WARC/1.1\r\n" + "".join(f"{k}: {_clean(v)}\r\n" for k, v in head) + "\r\n"
-    return gzip.compress(text.encode() + payload + b"\r\n\r\n", 5, mtime=0)
+    return gzip.compress(text.encode() + block + b"\r\n\r\n", 5, mtime=0)
+
+
+def http(payload: bytes, *, body: bool = True) -> bytes:
+    """The payload as an HTTP response, or its head only."""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+    return head.encode() + (payload if body else b"")
 
 
 def _clean(value: str) -> str:
@@ -67,44 +77,65 @@ def _clean(value: str) -> str:
 
 
 def parse(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-case names) and payload of a record."""
+    """Header fields (lower-case names) and block of a record."""
     raw = gzip.decompress(member)
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    if lines[0] != "WARC/1.1":
         raise ValueError("not a WARC record")
     fields = {k.lower(): v for k, _, v in (line.partition(": ") for line in lines[1:])}
     return fields, rest[: int(fields["content-length"])]
 
 
-def _writer(folder: str):
+class _Archive:
+    """The archive that a task is writing; a new one begins where one is full."""
+
+    def __init__(self, folder: str, run: uuid.UUID, date: str, rotate: int):
+        self.fs, self.root = _opened(folder)
+        self.fs.create_dir(self.root, recursive=True)
+        self.run, self.date, self.rotate, self.out, self.at, self.name = run, date, rotate, None, 0, ""
+
+    def write(self, member: bytes) -> tuple[str, int]:
+        """Name of the archive and the place at which the record begins."""
+        if self.out is None or self.at >= self.rotate:
+            self.close()
+            self.name, self.at = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz", 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
+            fields = [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(self.run, self.name)}>"), ("WARC-Date", self.date), ("WARC-Filename", self.name)]
+            self._put(record("warcinfo", fields, "application/warc-fields", b"software: plumbline\r\nformat: WARC File Format 1.1\r\n"))
+        at = self.at
+        self._put(member)
+        return self.name, at
+
+    def _put(self, member: bytes) -> None:
+        self.out.write(member)
+        self.at += len(member)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def _writer(folder: str, run_id: str, date: str, rotate: int = ROTATE):
     def run(batches):
-        fs, root = _opened(folder)
-        context = TaskContext.get()
-        name = f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
-        fs.create_dir(root, recursive=True)
-        at, out = 0, None
+        own = uuid.UUID(run_id)
+        archive = _Archive(folder, own, date, rotate)
+        name_of = lambda capture: f"<urn:uuid:{uuid.uuid5(own, capture)}>"
         try:
             for batch in batches:
                 captured = []
                 for at_row in range(0, batch.num_rows, 128):
                     for row in batch.slice(at_row, 128).to_pylist():
-                        payload = b"" if row["revisit"] else row["html"] or b""
-                        capture = f"{row['page_id']}~{row['copy']}"
-                        fields = [("WARC-Record-ID", f"<urn:page:{capture}>"), ("WARC-Target-URI", row["url"] or ""), ("WARC-Page-ID", str(row["page_id"])),
-                                  ("WARC-Payload-Digest", f"sha256:{row['digest']}")]
+                        payload = row["html"] or b""
+                        capture = f"{row['page_id']}~{row['copy']}" if row["page_id"] is not None else f"None~{uuid.uuid4().hex}"
+                        fields = [("WARC-Record-ID", name_of(capture)), ("WARC-Date", date), ("WARC-Target-URI", row["url"] or f"urn:page:{capture}"), ("WARC-Payload-Digest", f"sha256:{row['digest']}")]
                         if row["revisit"]:
-                            fields += [("WARC-Refers-To", f"<urn:page:{row['first']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Truncated", "length")]
-                        member = record("revisit" if row["revisit"] else "response", fields, payload)
-                        if out is None:
-                            out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                        out.write(member)
-                        captured.append((url_key(row["url"]), capture, name, at, len(member)))
-                        at += len(member)
-                yield pa.RecordBatch.from_pylist([dict(zip(("url_key", "capture", "file", "offset", "length"), c, strict=True)) for c in captured], schema=_SCHEMA)
+                            fields += [("WARC-Refers-To", name_of(row["first"])), ("WARC-Profile", _REVISIT)]
+                        member = record("revisit" if row["revisit"] else "response", fields, "application/http; msgtype=response", http(payload, body=not row["revisit"]))
+                        captured.append((url_key(row["url"]), capture, *archive.write(member), len(member)))
+                yield pa.RecordBatch.from_arrays([pa.array([c[k] for c in captured], _SCHEMA.types[k]) for k in range(5)], schema=_SCHEMA)
         finally:
-            if out is not None:
-                out.close()
+            archive.close()
 
     return run
 
@@ -173,7 +204,7 @@ class Index:
         return None
 
 
-_READ = "page_id long, copy long, record_type string, refers_to string, read_bytes long, read_digest string, stated_digest string"
+_READ = "page_id long, record_type string, record_id string, refers_to string, read_bytes long, read_digest string"
 
 
 def _reader(archives: str, index: str, names):
@@ -183,12 +214,12 @@ def _reader(archives: str, index: str, names):
         files = names.value
         firsts = [(k, c) for k, c, _ in files]
         fs, root = _opened(archives)
-        opened: dict[str, pa.NativeFile] = {}
+        opened: OrderedDict[str, pa.NativeFile] = OrderedDict()
         current: tuple[int, Index] | None = None
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                key, capture = row["url_key"], f"{row['page_id']}~{row['copy']}"
+                key, capture = row["url_key"], row["capture"]
                 k = max(0, bisect.bisect_right(firsts, (key, capture)) - 1)
                 if current is None or current[0] != k:
                     current = (k, Index(index, files[k][2]))
@@ -197,61 +228,66 @@ def _reader(archives: str, index: str, names):
                     raise LookupError(f"no capture {capture} of {key}")
                 name, offset, length = place
                 if name not in opened:
-                    if len(opened) > 64:
-                        opened.pop(next(iter(opened))).close()
+                    if len(opened) >= OPEN:
+                        opened.popitem(last=False)[1].close()
                     opened[name] = fs.open_input_file(f"{root}/{name}")
-                fields, payload = parse(opened[name].read_at(length, offset))
-                refers = fields.get("warc-refers-to")
-                rows.append((row["page_id"], row["copy"], fields["warc-type"], refers[10:-1] if refers else None,
-                             len(payload), hashlib.sha256(payload).hexdigest(), fields["warc-payload-digest"].removeprefix("sha256:")))
-            names_ = ("page_id", "copy", "record_type", "refers_to", "read_bytes", "read_digest", "stated_digest")
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
+                opened.move_to_end(name)
+                fields, block = parse(opened[name].read_at(length, offset))
+                payload = block.partition(b"\r\n\r\n")[2]
+                digest = hashlib.sha256(payload).hexdigest()
+                if fields["warc-type"] == "response" and fields["warc-payload-digest"] != f"sha256:{digest}":
+                    raise ValueError(f"the payload of {capture} is not the one written")
+                page = capture.partition("~")[0]
+                rows.append((None if page == "None" else int(page), fields["warc-type"], fields["warc-record-id"], fields.get("warc-refers-to"), len(payload), digest))
+            names_ = ("page_id", "record_type", "record_id", "refers_to", "read_bytes", "read_digest")
+            types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=list(names_))
 
     return run
 
 
-def round_trip(spark: SparkSession, pages: DataFrame, *, least: int = 100) -> DataFrame:
+def round_trip(spark: SparkSession, pages: DataFrame, *, least: int = 100, date: str | None = None) -> DataFrame:
     """Writes pages as WARC archives, indexes them, looks every capture up and reads it back.
 
     One row per row of ``pages``: page_id, payload_bytes, payload_digest, record_type, refers_to. The payload is the
     html in UTF-8, a null empty. Of records with equal payloads of at least ``least`` bytes the one with the smallest
     page_id is a response and the others revisit it; of rows that repeat that page_id one is. Bytes and digest of a
     revisit are those of the response it refers to, as read. A null page_id sorts last; a group without any page_id
-    has responses only. Other columns are not read. An empty table gives an empty table.
+    has responses only. A row without a url gets one made of its page_id. Other columns are not read. An empty table
+    gives an empty table. date is the records' WARC-Date (now, if None).
     """
     scratch = Scratch(spark, "warc")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     base = base.withColumn("digest", F.sha2("html", 256))
     # Rows that repeat a page_id are numbered; most ids have one row, and only where one has more is a window needed.
-    if base.groupBy("page_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
+    same = F.coalesce(F.col("page_id").cast("string"), F.concat_ws("~", "digest", "url"))
+    if base.where("page_id is not null").groupBy("page_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         numbered = base.withColumn("copy", F.lit(0).cast("long"))
     else:
-        numbered = base.withColumn("copy", F.row_number().over(Window.partitionBy("page_id").orderBy("digest", "url")).cast("long") - 1)
-    groups = numbered.where((F.octet_length("html") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "copy")).alias("f"))
-    groups = groups.select(F.col("digest").alias("d"), F.concat_ws("~", F.col("f.page_id").cast("string"), F.col("f.copy").cast("string")).alias("first"))
-    flagged = numbered.join(groups, F.col("digest") == F.col("d"), "left").drop("d")
+        numbered = base.withColumn("copy", F.row_number().over(Window.partitionBy(same).orderBy("digest", "url")).cast("long") - 1)
+    # Digests of one row need no join; written, so that the join has no aggregate below it and a hot digest can be split.
+    groups = numbered.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count(F.lit(1)).alias("c"), F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "copy"))).alias("f"))
+    groups = groups.where("c > 1 and f is not null")
+    groups = scratch.save(groups.select(F.col("digest").alias("d"), F.concat_ws("~", F.col("f.page_id").cast("string"), F.col("f.copy").cast("string")).alias("first")), "groups")
+    flagged = numbered.join(groups, (F.col("digest") == F.col("d")) & (F.octet_length("html") >= least), "left").drop("d")
     own = F.concat_ws("~", F.coalesce(F.col("page_id").cast("string"), F.lit("None")), F.col("copy").cast("string"))
     flagged = flagged.withColumn("revisit", F.coalesce(F.col("first") != own, F.lit(False)))
     folder = scratch.path("archives")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     written = flagged.select("page_id", "url", F.col("html").cast("binary").alias("html"), "digest", "copy", "first", "revisit")
-    captures = scratch.save(written.mapInArrow(_writer(folder), _CAPTURE), "captures")
+    captures = scratch.save(written.mapInArrow(_writer(folder, str(uuid.uuid4()), date), _CAPTURE), "captures")
     ordered = captures.repartitionByRange("url_key", "capture").sortWithinPartitions("url_key", "capture")
     index = scratch.path("index")
     files = scratch.save(ordered.mapInArrow(_indexer(index), "name string, key string, capture string"), "files").orderBy("key", "capture").collect()
     names = spark.sparkContext.broadcast([(r.key, r.capture, r["name"]) for r in files])
     wanted = captures.select("url_key", "capture").repartitionByRange("url_key", "capture").sortWithinPartitions("url_key", "capture")
-    parts = F.split("capture", "~")
-    wanted = wanted.select(F.expr("try_cast(split(capture, '~')[0] as long)").alias("page_id"), parts[1].cast("long").alias("copy"), "url_key")
     read = scratch.save(wanted.mapInArrow(_reader(folder, index, names), _READ), "read")
-    target = read.where("record_type = 'response'").select(
-        F.concat_ws("~", F.col("page_id").cast("string"), F.col("copy").cast("string")).alias("t"), F.col("read_bytes").alias("tb"), F.col("read_digest").alias("td"))
+    target = read.where("record_type = 'response'").select(F.col("record_id").alias("t"), F.col("page_id").alias("tp"), F.col("read_bytes").alias("tb"), F.col("read_digest").alias("td"))
     out = read.join(target, read.refers_to == target.t, "left")
     revisit = F.col("record_type") == "revisit"
     return out.select(
         "page_id", F.when(revisit, F.col("tb")).otherwise(F.col("read_bytes")).alias("payload_bytes"),
-        F.when(revisit, F.col("td")).otherwise(F.col("read_digest")).alias("payload_digest"), "record_type",
-        F.split("refers_to", "~")[0].cast("long").alias("refers_to"))
+        F.when(revisit, F.col("td")).otherwise(F.col("read_digest")).alias("payload_digest"), "record_type", F.col("tp").alias("refers_to"))
 
 
 ORACLE_SQL = """

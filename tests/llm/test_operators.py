@@ -237,9 +237,10 @@ def test_bpe_of_documents_against_library(spark):
     assert sorted(tuple(r)[:4] for r in bpe.encode_digests(spark, docs, path, P.PATTERN).collect()) == want
 
 
-def test_warc_round_trip(spark):
+def test_warc_round_trip(spark, tmp_path):
     long, other = "<p>" + "é" * 200, "<i>" + "z" * 300
     rows = [(1, "http://b.example/x", long), (2, "http://a.example/y?q=1", long), (3, None, None), (4, "not a url", "short"), (5, "http://a.example/", "short"), (6, "http://c.example/", other), (6, "http://c.example/", other), (None, "http://n.example/", long), (7, "http://[bad", other)]
+    rows += [(None, None, None), (None, None, None), (None, "http://n.example/", other), (8, "http://l.example/", "ü" * 3_000_000)]
     rows += [(i, f"http://h{i % 7}.example/{i}", f"{i % 50}" * 80) for i in range(100, 1400)]
     pages = spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, digest string, copy int")
     got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(spark, pages).collect()), key=repr)
@@ -256,6 +257,26 @@ def test_warc_round_trip(spark):
             used.add(h)
         want.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if revisit else "response", lead if revisit else None))
     assert got == sorted(want, key=repr)
+    folder = tmp_path / "archives"
+    made = [(1, "http://a.example/", long.encode(), "d1", 0, None, False), (2, None, long.encode(), "d1", 0, "1~0", True), (None, None, None, "d2", 0, None, False)] * 9
+    table = spark.createDataFrame(made, "page_id long, url string, html binary, digest string, copy long, first string, revisit boolean").coalesce(1)
+    lines = table.mapInArrow(warc._writer(str(folder), "12345678123456781234567812345678", "2024-01-02T03:04:05Z", 2000), warc._CAPTURE).collect()
+    files = sorted({r.file for r in lines})
+    assert len(files) > 1
+    for name in files:
+        raw, records = (folder / name).read_bytes(), []
+        while raw:  # one gzip member a record
+            member = zlib.decompressobj(31)
+            text = member.decompress(raw)
+            raw = member.unused_data
+            head, _, block = text.partition(b"\r\n\r\n")
+            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+            assert head.startswith(b"WARC/1.1\r\n") and {"WARC-Record-ID", "WARC-Date", "WARC-Type", "Content-Length"} <= fields.keys()
+            assert block[int(fields["Content-Length"]) :] == b"\r\n\r\n"
+            records.append(fields)
+        assert [f["WARC-Type"] for f in records].count("warcinfo") == 1 and records[0]["WARC-Type"] == "warcinfo"
+        assert all(f["WARC-Target-URI"] and f["Content-Type"].startswith("application/http") for f in records[1:])
+        assert all(("WARC-Refers-To" in f) == (f["WARC-Type"] == "revisit") for f in records)
     assert warc.url_key("https://www.Blog.example.org:443/A?b") == "org,example,blog)/a?b"
 
 
