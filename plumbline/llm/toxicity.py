@@ -1,13 +1,15 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax.
 
 A word is the bag of its character n-grams and itself, each hashed to an embedding; a bag of consecutive words
-is the mean of its words, and a linear softmax gives its class. Embeddings and softmax are trained jointly in
-numpy on the driver, on a bounded sample of labelled rows (``max_toxic`` and ``max_clean`` rows, the first by a
-hash of doc_id). A misspelt or inflected word shares most n-grams with the word it comes from and so lies near it.
-
-A text's score is that of its most toxic bag, so a few words count in a long text; training picks, in every
-epoch, each text's highest bags by the model so far. With the model fixed a bag's logit is linear in its words,
-so scoring needs one number for each embedding: a table of fixed size, which is broadcast.
+is the mean of its words. A text is the weighted average of its bags, all of them, which a linear softmax gives a
+class; a bag's weight grows with its own logit (exp(``FOCUS`` * logit)), so a few words count in a long text.
+Embeddings and softmax are trained jointly in numpy on the driver, on a bounded sample of labelled rows (``max_toxic``
+and ``max_clean`` rows, the first by a hash of doc_id, without texts above ``max_bytes``). Each epoch draws ``draws``
+bags of a text by their weights, an estimate of the average in which every bag can come. A misspelt or inflected word
+shares most n-grams with the word it comes from and so lies near it.
+
+With the model fixed a bag's logit is linear in its words, so scoring needs one number for each embedding: a table of
+fixed size, which is broadcast.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from plumbline.llm.charclass import LETTER, NUMBER, classes
 
 #: Embeddings, their size, words of a bag, and lengths of n-grams.
 BUCKETS, SIZE, BAG, GRAMS = 1 << 18, 8, 16, (3, 4, 5, 6)
+#: How much a bag's logit counts in its weight.
+FOCUS = 10.0
 _BLOCK = 1_000_000
 _OPEN, _CLOSE = 0x110000, 0x110001
 
@@ -86,11 +90,14 @@ def subwords(points: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np
 
 @dataclass
 class Model:
-    """One number an embedding, the bias, and the share of toxic training rows (the score of a text without words)."""
+    """One number an embedding, the bias, the share of toxic training rows (the score of a text without words), and
+    the slope and offset that calibrate a text's logit."""
 
     weight: np.ndarray
     bias: float
     base: float
+    slope: float = 1.0
+    offset: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         points, first, end, bounds = words_of(texts)
@@ -104,13 +111,21 @@ class Model:
         starts, doc = bags(bounds)
         sums = np.add.reduceat(value[which], starts)
         logit = sums / np.diff(np.append(starts, len(first))) + self.bias
-        top = np.full(len(texts), -np.inf)
-        np.maximum.at(top, doc, logit)
-        some = np.isfinite(top)
-        out[some] = 1 / (1 + np.exp(-np.clip(top[some], -40, 40)))
+        average = averaged(logit, doc, len(texts))
+        some = np.isfinite(average)
+        out[some] = 1 / (1 + np.exp(-np.clip(self.slope * average[some] + self.offset, -40, 40)))
         return out
 
 
+def averaged(logit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Logit of each text: that of the weighted average of its bags; minus infinity without bags."""
+    top = np.full(n, -np.inf)
+    np.maximum.at(top, doc, logit)
+    weight = np.exp(FOCUS * (logit - top[doc]))
+    total = np.bincount(doc, weights=weight, minlength=n)
+    return np.where(total > 0, np.bincount(doc, weights=weight * logit, minlength=n) / np.maximum(total, 1e-300), -np.inf)
+
+
 def bags(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words of the bags of all texts, and the text of each bag."""
     n = -(-np.diff(bounds) // BAG)
@@ -159,9 +174,10 @@ def calibrated(logit: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tup
     return a, b
 
 
-def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, epochs: int = 10, rate: float = 0.3, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, epochs: int = 10, rate: float = 0.3, draws: tuple[int, int] = (8, 3), seed: int = 7) -> Model:
     """Jointly trained embeddings and softmax, its logits then calibrated on the same rows to the share ``base`` of
-    toxic rows (that of the labels given, if None). Rows of one class only give a constant score."""
+    toxic rows (that of the labels given, if None). draws: bags drawn of a text in each of the first two epochs, in
+    which all weigh the same, and in each later one. Rows of one class only give a constant score."""
     labels = np.asarray(labels, np.int64)
     sampled = float(labels.mean()) if len(labels) else 0.0
     base = sampled if base is None else base
@@ -182,12 +198,11 @@ def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, ep
         linear = (embed @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
         value = np.add.reduceat(linear[bucket], begin) / count
         logit = np.add.reduceat(value[which], starts) / (ends - starts)
-        noise = rng.random(len(logit))
-        key = noise if epoch < 2 else logit + 1e-3 * noise
+        # Gumbel noise: the largest keys of a text are draws by weight, without putting back.
+        key = (0.0 if epoch < 2 else FOCUS) * logit + rng.gumbel(size=len(logit))
         rank = np.lexsort((-key, doc))
         place = np.arange(len(doc)) - np.repeat(np.searchsorted(doc[rank], np.unique(doc)), np.bincount(doc)[np.unique(doc)])
-        taken = np.where(labels[doc[rank]] == 1, 8 if epoch < 2 else 2, 8 if epoch < 2 else 3)
-        chosen = rank[place < taken]
+        chosen = rank[place < draws[epoch >= 2]]
         chosen = chosen[np.argsort(rng.random(len(some))[np.searchsorted(some, doc[chosen])], kind="stable")]
         for part in np.array_split(chosen, max(1, len(chosen) // 768)):
             n = (ends - starts)[part]
@@ -217,15 +232,15 @@ def train(texts: list[str], labels: np.ndarray, *, base: float | None = None, ep
                     table -= 0.3 * rate * grad / np.sqrt(past)
     linear = embed @ (soft[:, 1] - soft[:, 0])
     logit = np.add.reduceat((np.add.reduceat(linear.astype(np.float32)[bucket], begin) / count)[which], starts) / (ends - starts) + bias[1] - bias[0]
-    top = np.full(len(labels), -np.inf)
-    np.maximum.at(top, doc, logit)
+    average = averaged(logit, doc, len(labels))
     share = np.where(labels == 1, base / sampled, (1 - base) / (1 - sampled))
-    a, b = calibrated(top[some], labels[some], share[some])
-    return Model(a * linear, float(a * (bias[1] - bias[0]) + b), base)
+    slope, offset = calibrated(average[some], labels[some], share[some])
+    return Model(linear, float(bias[1] - bias[0]), base, slope, offset)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2500, max_clean: int = 4000) -> Model:
-    """A model of at most max_toxic + max_clean labelled rows that are not held out, the first by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2500, max_clean: int = 4000, max_bytes: int = 20_000) -> Model:
+    """A model of at most max_toxic + max_clean labelled rows that are not held out, the first by a hash of doc_id;
+    those of them above max_bytes are left out, so that the sample's size is bounded too.
 
     Of a doc_id with several labels the largest counts; null labels and ids are left out.
     """
@@ -235,7 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2500, max_clean:
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     picked = [known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for where, n in (("toxic = 1", max_toxic), ("toxic = 0", max_clean))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
+    rows = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), base=share)
 

@@ -404,6 +404,25 @@ def test_toxicity_learns_and_generalises(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
 
 
+def test_toxicity_averages_every_bag():
+    logit, doc = np.array([1.0, 3.0, -2.0, 0.5]), np.array([0, 0, 0, 2])
+    weight = np.exp(toxicity.FOCUS * logit[:3])
+    assert np.allclose(toxicity.averaged(logit, doc, 3), [(weight * logit[:3]).sum() / weight.sum(), -np.inf, 0.5])
+
+
+def test_toxicity_learns_nothing_of_held_out_labels(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert flipped.exceptAll(labels).count() > 0
+    moved = docs.withColumn("lang", F.lit("zz")).withColumn("source", F.lit("s"))
+    for other in (toxicity.fit(docs, flipped), toxicity.fit(moved, labels), toxicity.fit(docs, labels.where(~toxicity.held_out()))):
+        assert np.array_equal(model.weight, other.weight) and (model.bias, model.base, model.slope, model.offset) == (other.bias, other.base, other.slope, other.offset)
+    assert toxicity.fit(docs, labels, max_bytes=0).base == model.base
+
+
 @pytest.mark.parametrize("block", [8, 32, 1024])
 def test_vectors_against_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(vectordup, "BLOCK", min(block, 16))
