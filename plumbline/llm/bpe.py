@@ -24,7 +24,7 @@ from plumbline.llm.charclass import SPACE, classes
 
 _NONE, _FAR = 1 << 62, 1 << 40
 #: Pieces remembered, bytes of those whose trees are stepped together, and bytes of text encoded together.
-_REMEMBERED, _SHORT, _TOGETHER = 800_000, 64, 2_000_000
+_REMEMBERED, _SHORT, _TOGETHER = 500_000, 64, 1_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes hashed at a time; a text beyond it is cut at separators and its words are joined up again.
 CHUNK = 1 << 20
+#: Rows of a column taken at a time.
+ROWS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -164,10 +166,12 @@ def word_blocks(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iter
         row = end
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (first row, end row, word hashes, n + 1 word offsets by row) for consecutive rows."""
-    for block in word_blocks(raw, offsets, table):
-        yield block.row, block.end_row, block.hashes, block.bounds
+def column_words(column: pa.Array, table: np.ndarray) -> Iterator[Words]:
+    """The words of all rows of a string column; it is taken some rows at a time, so that little of it is copied at once."""
+    for at in range(0, len(column), ROWS):
+        for words in word_blocks(*buffers(column.slice(at, ROWS)), table):
+            words.row, words.end_row = words.row + at, words.end_row + at
+            yield words
 
 
 _SHINGLE = mix(np.arange(1, 129, dtype=np.uint64) * _KEY) | np.uint64(1)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytewords import ALNUM_WORDS, Words, buffers, lanes, same_spans, shingles, word_blocks, word_hashes
+from plumbline.llm.bytewords import ALNUM_WORDS, Words, buffers, column_words, lanes, same_spans, shingles, word_blocks
 from plumbline.llm.scratch import Scratch
 
 #: Bytes of benchmark text in a broadcast part and in a segment of an item, and words of a shingle.
@@ -123,8 +123,8 @@ def _counts(tokens):
         sets = {q: Members(h) for q, h in tokens.value.items()}
         sums = {q: np.zeros(len(m.hashes), np.int64) for q, m in sets.items()}
         for batch in batches:
-            raw, offsets = buffers(batch.column(0))
-            for _lo, _hi, h, bounds in word_hashes(raw, offsets, ALNUM_WORDS):
+            for words in column_words(batch.column(0), ALNUM_WORDS):
+                h, bounds = words.hashes, np.asarray(words.bounds, np.int64)
                 for q, members in sets.items():
                     at, k = members.find(shingles(h, q))
                     doc = np.searchsorted(bounds, at, side="right") - 1
@@ -207,9 +207,8 @@ def _marker(shared, with_key: bool):
         finder = _finder(shared)
         names = pa.array(finder.windows.items, pa.string())
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
             n_words, n_hit, item_sizes, items, span_sizes, firsts, lasts = ([np.zeros(0, np.int64)] for _ in range(7))
-            for words in word_blocks(raw, offsets, ALNUM_WORDS):
+            for words in column_words(batch.column(1), ALNUM_WORDS):
                 bounds = np.asarray(words.bounds, np.int64)
                 hit, doc, item = finder.hits(words)
                 total = np.concatenate(([0], np.cumsum(hit)))
@@ -243,9 +242,8 @@ def _keeper(shared, place: int):
     def run(batches):
         finder = _finder(shared)
         for batch in batches:
-            raw, offsets = buffers(batch.column(place))
             clean = np.ones(batch.num_rows, bool)
-            for words in word_blocks(raw, offsets, ALNUM_WORDS):
+            for words in column_words(batch.column(place), ALNUM_WORDS):
                 clean[words.row + finder.hits(words)[1]] = False
             yield batch.filter(pa.array(clean))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bytewords import SPACE_WORDS, buffers, mix, shingles, word_hashes
+from plumbline.llm.bytewords import SPACE_WORDS, column_words, mix, shingles
 from plumbline.llm.components import connected_components, forest
 from plumbline.llm.scratch import Scratch
 
@@ -31,10 +31,10 @@ _SIGNED = "doc_id long, n_shingles long, set_key binary, subkeys array<long>"
 
 def shingle_sets(column: pa.Array, k: int):
     """Yields (row, distinct shingles in order) of each text; fewer than k words make one shingle, none make none."""
-    raw, offsets = buffers(column)
-    for lo, hi, h, bounds in word_hashes(raw, offsets, SPACE_WORDS):
+    for words in column_words(column, SPACE_WORDS):
+        lo, h, bounds = words.row, words.hashes, words.bounds
         every = shingles(h, k)
-        for row in range(lo, hi):
+        for row in range(lo, words.end_row):
             a, b = int(bounds[row - lo]), int(bounds[row - lo + 1])
             if b - a >= k:
                 s = np.sort(every[a : b - k + 1])

@@ -28,7 +28,7 @@ from plumbline.llm.charclass import LETTER, NUMBER, classes
 BUCKETS, SIZE, BAG, GRAMS = 1 << 18, 8, 16, (3, 4, 5, 6)
 #: How much a bag's logit counts in its weight.
 FOCUS = 10.0
-_BLOCK = 1_000_000
+_BLOCK = 500_000
 _OPEN, _CLOSE = 0x110000, 0x110001
 
 
