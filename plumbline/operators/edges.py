@@ -58,6 +58,18 @@ def walls(edges: DataFrame) -> DataFrame:
         F.when(flat, (F.col("y0") + F.col("y1")) / 2).otherwise((F.col("x0") + F.col("x1")) / 2).alias("perp"))
 
 
+def grid_lines(edges: DataFrame, width: float = PAGE_WIDTH, height: float = PAGE_HEIGHT, share: float = 0.65) -> DataFrame:
+    """(page_id, edge_id) of lines that span more than ``share`` of the page one way."""
+    across, down = F.abs(F.col("x1") - F.col("x0")) > share * width, F.abs(F.col("y1") - F.col("y0")) > share * height
+    return edges.where((F.col("type") == "line") & (across | down)).select("page_id", "edge_id")
+
+
+def by_index(lists: DataFrame, edges: DataFrame) -> DataFrame:
+    """lists(..., page_id, ids) exploded with the page's edges of those ids; ids that the page does not have are dropped."""
+    wanted = lists.withColumn("edge_id", F.explode(F.array_distinct("ids"))).drop("ids")
+    return wanted.join(edges.select("page_id", "edge_id", "length"), ["page_id", "edge_id"])
+
+
 def svg_groups(selection: DataFrame, edges: DataFrame, *by: str) -> DataFrame:
     """A path for each line width (three places, half-even) of a selection, in edge order, with its drawn width, length and count."""
     two = lambda c: F.format_string("%.2f", F.col(c))

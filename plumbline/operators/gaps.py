@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,7 +39,7 @@ def dedup_gaps(gaps: DataFrame) -> DataFrame:
     return kept.withColumn("gap_id", number.cast("long"))
 
 
-def near_points(gaps: DataFrame, points: DataFrame, reach: float, cell: float):
+def near_points(gaps: DataFrame, points: DataFrame, reach: float | Column, cell: float):
     """Gaps with the points in the cells within ``reach``: an equi-join on cells, the exact distance left to the caller."""
     k = F.sequence(F.floor((F.col("mx") - reach) / cell), F.floor((F.col("mx") + reach) / cell))
     wide = gaps.withColumn("gx", F.explode(k))
@@ -50,23 +50,34 @@ def near_points(gaps: DataFrame, points: DataFrame, reach: float, cell: float):
 def with_arcs(gaps: DataFrame, curves: DataFrame) -> DataFrame:
     """(page_id, gap_id) of gaps near an arc: four points or more, 8 to 4 widths large, centre within 1.8 widths."""
     arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.col("cx").alias("px"), F.col("cy").alias("py"), "size")
-    met = near_points(gaps, arcs, 1.8 * MOST, 2 * MOST).where(F.expr("size <= 4 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 1.8 * width"))
+    met = near_points(gaps, arcs, F.col("width") * 1.8, MOST).where(F.expr("size <= 4 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 1.8 * width"))
     return met.select("page_id", "gap_id").distinct()
 
 
 def parallel_lines(gaps: DataFrame, edges: DataFrame) -> DataFrame:
     """(page_id, gap_id, n) for gaps with edges whose middle lies within 0.8 widths and length strictly within 0.5 to 1.5 widths."""
     lines = edges.select("page_id", ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), "length")
-    met = near_points(gaps, lines, 0.8 * MOST, MOST).where(F.expr("length > 0.5 * width and length < 1.5 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 0.8 * width"))
+    met = near_points(gaps, lines, F.col("width") * 0.8, MOST / 2).where(F.expr("length > 0.5 * width and length < 1.5 * width and sqrt((px - mx) * (px - mx) + (py - my) * (py - my)) < 0.8 * width"))
     return met.groupBy("page_id", "gap_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def classify(gaps: DataFrame, curves: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds type: door where an arc is near, else window with three parallel lines or more, else opening."""
-    doors = with_arcs(gaps, curves).withColumn("arc", F.lit(True))
-    out = gaps.join(doors, ["page_id", "gap_id"], "left").join(parallel_lines(gaps, edges), ["page_id", "gap_id"], "left")
-    kind = F.when(F.col("arc"), "door").when(F.coalesce("n", F.lit(0)) >= 3, "window").otherwise("opening")
-    return out.withColumn("type", kind).withColumn("n_lines", F.coalesce("n", F.lit(0)).cast("long")).drop("arc", "n")
+    # Arcs and lines are one relation of points, so gaps, a long plan, stand in the join once and need no join back.
+    arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.lit(True).alias("arc"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("size").alias("extent"))
+    lines = edges.select("page_id", F.lit(False).alias("arc"), ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), F.col("length").alias("extent"))
+    cell = F.when(F.col("arc"), MOST).otherwise(MOST / 2)
+    points = arcs.unionAll(lines).withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
+    reach = F.col("width") * F.when(F.col("arc"), 1.8).otherwise(0.8)
+    cover = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell)))
+    dealt = gaps.withColumn("arc", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("gx", cover("mx")).withColumn("gy", cover("my"))
+    met = dealt.join(points, ["page_id", "arc", "gx", "gy"], "left")
+    far = "sqrt((px - mx) * (px - mx) + (py - my) * (py - my))"
+    counted = met.groupBy(*gaps.columns).agg(
+        F.count_if(F.expr(f"arc and extent <= 4 * width and {far} < 1.8 * width")).alias("arcs"),
+        F.count_if(F.expr(f"not arc and extent > 0.5 * width and extent < 1.5 * width and {far} < 0.8 * width")).alias("n_lines"))
+    kind = F.when(F.col("arcs") > 0, "door").when(F.col("n_lines") >= 3, "window").otherwise("opening")
+    return counted.withColumn("type", kind).select(*gaps.columns, "type", "n_lines")
 
 
 def pick(clicks: DataFrame, gaps: DataFrame, first: str | None, *, reach: float = 80.0) -> DataFrame:
@@ -75,7 +86,7 @@ def pick(clicks: DataFrame, gaps: DataFrame, first: str | None, *, reach: float
     With ``first`` only that type and openings count, and that type goes before openings. Ties go to the smaller gap_id.
     """
     points = clicks.select("click_id", "page_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    met = near_points(gaps if first is None else gaps.where(F.col("type").isin(first, "opening")), points, reach, 2 * reach)
+    met = near_points(gaps if first is None else gaps.where(F.col("type").isin(first, "opening")), points, reach, reach)
     dist = F.sqrt((F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my")))
     met = met.withColumn("dist", dist).where(F.col("dist") < reach)
     order = F.struct(F.when(F.col("type") == first, 0).otherwise(1), "dist", "gap_id") if first else F.struct("dist", "gap_id")

@@ -34,7 +34,7 @@ def otsu(raster: DataFrame) -> DataFrame:
 
 def ink(raster: DataFrame) -> DataFrame:
     """Pixels at or below the page's threshold."""
-    return raster.join(F.broadcast(otsu(raster)), "page_id").where("gray <= threshold").select("page_id", "y", "x")
+    return raster.join(otsu(raster), "page_id").where("gray <= threshold").select("page_id", "y", "x")
 
 
 def dilate(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
@@ -76,6 +76,30 @@ def complement(raster: DataFrame, pixels: DataFrame) -> DataFrame:
     return raster.select("page_id", "y", "x").join(pixels, ["page_id", "y", "x"], "left_anti")
 
 
+def blank_outside(raster: DataFrame, pixels: DataFrame | None) -> DataFrame:
+    """The raster with white for all that is not in ``pixels``; without such a mask, as it is."""
+    if pixels is None:
+        return raster
+    kept = raster.join(pixels, ["page_id", "y", "x"], "left_semi")
+    return kept.unionByName(raster.join(pixels, ["page_id", "y", "x"], "left_anti").withColumn("gray", F.lit(255)))
+
+
+# Classes kept as masks, with their channel group and number, the closing's reach and the least component.
+CLASS_MASKS = [("wall", "room_cls", 2, 2, 500), ("door", "icon_cls", 2, 1, 200), ("window", "icon_cls", 1, 1, 200)]
+
+
+def class_masks(classes: DataFrame, height: int, width: int) -> DataFrame:
+    """(class, page_id, y, x): walls, doors and windows of class maps, small gaps closed and small components dropped."""
+    out = None
+    for name, group, number, reach, least in CLASS_MASKS:
+        closed = close(classes.where(F.col(group) == number).select("page_id", "y", "x"), reach, reach, height, width)
+        labelled = components(closed, eight=True)
+        large = labelled.groupBy("page_id", "label_y", "label_x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        kept = labelled.join(large, ["page_id", "label_y", "label_x"], "left_semi").select(F.lit(name).alias("class"), "page_id", "y", "x")
+        out = kept if out is None else out.unionAll(kept)
+    return out
+
+
 def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     """Components of a boolean array, numbered by their smallest pixel (row-major index + 1); 0 outside."""
     h, w = mask.shape

@@ -96,10 +96,16 @@ def split_array(barrier: np.ndarray, *, close: int, min_share: float = 0.0005, e
         ring = r.contour(grow(label[top : ys[-1] + 4, side : xs.max() + 4] == k, 2)) + np.array([side, top])
         points = r.simplify(ring, eps * r.perimeter(ring))
         mask = None if not masks else r.fill_polygon(points, *barrier.shape) if len(points) > 2 else label == k
-        out.append({"wall_count": wall_count(points), "area": r.area(points), "perimeter": r.perimeter(points), "cx": float(xs.mean()), "cy": float(ys.mean()), "mask": mask})
+        out.append({"wall_count": wall_count(points), "area": r.area(points), "perimeter": r.perimeter(points), "cx": float(xs.mean()), "cy": float(ys.mean()), "mask": mask, "runs": _runs(ys, xs)})
     return out
 
 
+def _runs(ys: np.ndarray, xs: np.ndarray) -> list[dict[str, int]]:
+    """Pixels in order as runs of a row."""
+    new = np.append(True, (np.diff(ys) != 0) | (np.diff(xs) != 1))
+    return [{"y": a, "x0": b, "x1": c} for a, b, c in zip(ys[new].tolist(), xs[new].tolist(), xs[np.append(new[1:], True)].tolist(), strict=True)]
+
+
 def split_rooms(barriers: DataFrame, height: int, width: int, *, scale: float = 1.0, close: int = 1, min_share: float = 0.0005, compat: bool = False) -> DataFrame:
     """Rooms of each page from barrier pixels (page_id, y, x); areas, perimeters and centres in points, masks as PNG.
 
@@ -133,22 +139,34 @@ def draw(lines: pd.DataFrame, height: int, width: int) -> np.ndarray:
 
 
 def split_lines(lines: DataFrame, height: int, width: int, *, scale: float, close: int, min_share: float = 0.0005) -> DataFrame:
-    """Rooms of each page, as ``split_rooms`` has them but without masks, from barrier lines (page_id, x0, y0, x1, y1, thick) in pixels."""
+    """Rooms of each page, as ``split_rooms`` has them but with runs of pixels for masks, from barrier lines (page_id, x0, y0, x1, y1, thick) in pixels."""
 
     def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         found = split_array(draw(frame, height, width), close=close, min_share=min_share, masks=False)
-        rows = [(key[0], n, x["wall_count"], x["area"] / scale**2, x["perimeter"] / scale, x["cx"] / scale, x["cy"] / scale) for n, x in enumerate(found, 1)]
-        return pd.DataFrame(rows, columns=["page_id", "room_seq", "wall_count", "area", "perimeter", "cx", "cy"])
-
-    return lines.groupBy("page_id").applyInPandas(run, ROOMS.removesuffix(", mask binary"))
-
-
-def name_rooms(rooms: DataFrame, labels: DataFrame, *, reach: float) -> DataFrame:
-    """The nearest room label within ``reach`` of a room's centre, else "Room n"; names that occur again are numbered."""
+        rows = [(key[0], n, x["wall_count"], x["area"] / scale**2, x["perimeter"] / scale, x["cx"] / scale, x["cy"] / scale, x["runs"]) for n, x in enumerate(found, 1)]
+        return pd.DataFrame(rows, columns=["page_id", "room_seq", "wall_count", "area", "perimeter", "cx", "cy", "runs"])
+
+    return lines.groupBy("page_id").applyInPandas(run, ROOMS.replace("mask binary", "runs array<struct<y:int,x0:int,x1:int>>"))
+
+
+def name_rooms(rooms: DataFrame, labels: DataFrame, *, reach: float, scale: float | None = None) -> DataFrame:
+    """The room label whose pixel lies in the room (if ``scale`` is given and rooms have runs), the nearest to its centre of
+    several; else the nearest within ``reach`` of the centre; else "Room n". Names that occur again are numbered."""
+    if scale is not None:
+        at = lambda c: F.floor(F.col(c) * scale).cast("int")
+        rows = rooms.select("page_id", "room_seq", "cx", "cy", F.explode("runs").alias("run")).select("page_id", "room_seq", "cx", "cy", "run.y", "run.x0", "run.x1")
+        placed = labels.where("is_room_label").select("page_id", "text", F.col("x").alias("lx"), F.col("y").alias("ly"), at("y").alias("y"), at("x").alias("px"))
+        inside = rows.join(placed, ["page_id", "y"]).where("px between x0 and x1")
+        off = F.sqrt((F.col("lx") - F.col("cx")) * (F.col("lx") - F.col("cx")) + (F.col("ly") - F.col("cy")) * (F.col("ly") - F.col("cy")))
+        held = inside.groupBy("page_id", "room_seq").agg(F.min_by("text", F.struct(off, "text")).alias("inner"))
+        rooms = rooms.drop("runs")
     near = rooms.join(labels.where("is_room_label").select("page_id", "text", "x", "y"), "page_id", "left")
     dist = F.sqrt((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")))
     best = near.withColumn("d", dist).where(F.col("d") < reach).groupBy("page_id", "room_seq").agg(F.min_by("text", F.struct("d", "text")).alias("text"))
-    named = rooms.join(best, ["page_id", "room_seq"], "left").withColumn("name", F.coalesce("text", F.concat(F.lit("Room "), F.col("room_seq").cast("string")))).drop("text")
+    named = rooms.join(best, ["page_id", "room_seq"], "left")
+    if scale is not None:
+        named = named.join(held, ["page_id", "room_seq"], "left").withColumn("text", F.coalesce("inner", "text")).drop("inner")
+    named = named.withColumn("name", F.coalesce("text", F.concat(F.lit("Room "), F.col("room_seq").cast("string")))).drop("text")
     return number_names(named, "page_id", "room_seq").withColumn("id", F.concat(F.lit("R"), F.col("room_seq").cast("string")))
 
 
@@ -157,52 +175,112 @@ def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, **op
     return clicks.join(trace_spots(ink, clicks, height, width, **options), SPOT).select("click_id", "y", "x")
 
 
-def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, thick: float = 4.0, least: int = 20) -> DataFrame:
+def _nearest(mask: np.ndarray, cy: int, cx: int, reach: int, depth: np.ndarray | None = None) -> tuple[int, int] | None:
+    """The set pixel of the nearest square ring within reach: the deepest of the ring, if depth is given, then by row and column."""
+    top, side = max(0, cy - reach), max(0, cx - reach)
+    ys, xs = np.nonzero(mask[top : max(0, cy + reach + 1), side : max(0, cx + reach + 1)])
+    if not len(ys):
+        return None
+    ys, xs = ys + top, xs + side
+    deep = np.zeros(len(ys)) if depth is None else -depth[ys, xs]
+    k = np.lexsort((xs, ys, deep, np.maximum(abs(ys - cy), abs(xs - cx))))[0]
+    return int(ys[k]), int(xs[k])
+
+
+def _odd(n: float, least: int) -> int:
+    n = max(least, int(n))
+    return n + 1 - n % 2
+
+
+def local_part(mask: np.ndarray, cy: int, cx: int, box: int) -> np.ndarray | None:
+    """The component of ink nearest to a click (within 14 pixels) in a box around it, widened by two pixels; None without one."""
+    top, side = max(0, cy - box), max(0, cx - box)
+    part = r.label_array(mask[top : max(0, cy + box), side : max(0, cx + box)], eight=True)
+    at = _nearest(part > 0, cy - top, cx - side, 14)
+    if at is None:
+        return None
+    out = np.zeros_like(mask)
+    out[top : top + part.shape[0], side : side + part.shape[1]] = part == part[at]
+    return grow(out, 2)
+
+
+class _Tracer:
+    """Strokes of one page by thickness: runs along both axes, cut where they cross."""
+
+    def __init__(self, mask: np.ndarray, per_point: float, least: int):
+        self.mask, self.depth, self.least = mask, r.distance_transform(mask), least
+        self.run, self.junction = max(8, int(8 * per_point)), 4 * (max(5, int(3 * per_point)) // 2)
+        self.padded, self.by_depth = grow(mask, 4), {}
+
+    def _parts(self, d: float) -> list[np.ndarray]:
+        """Labels of horizontal, vertical and all runs of ink of like depth, without the zones around crossings."""
+        if d not in self.by_depth:
+            band = self.mask & (self.depth >= max(0.3, 0.3 * d)) & (self.depth <= 4 * d)
+            flat, upright = _long_runs(band, self.run, 1), _long_runs(band, self.run, 0)
+            clear = ~grow(flat & upright, self.junction)
+            self.by_depth[d] = [r.label_array(runs & clear, eight=True) for runs in (flat, upright, flat | upright)]
+        return self.by_depth[d]
+
+    def at(self, y: int, x: int) -> np.ndarray | None:
+        """The smallest stroke at a pixel of ink, in its full width; curves and slants only by all runs together."""
+        d, found = self.depth[y, x], []
+        *straight, every = self._parts(d)
+        for k, part in enumerate((*straight, every)):
+            if k == 2 and found and d < 2:
+                break
+            at = _nearest(part > 0, y, x, 20) if np.count_nonzero(part) >= 5 else None
+            if at is not None:
+                wide = grow(grow(part == part[at], _odd(3 * d, 3) // 2) & self.padded, 2)
+                if wide.sum() > self.least:
+                    found.append(wide)
+        return min(found, key=np.sum) if found else None
+
+
+def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, per_point: float = 1.0, least: int = 20) -> DataFrame:
     """(page_id, cy, cx, y, x): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
 
     The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is opened into
-    horizontal and vertical runs, which are not cut at junctions, and the smallest part at the click of more than ``least`` pixels is taken, widened
-    to the ink; without one, the part in a box around the click.
+    horizontal and vertical runs, which are cut at junctions. The smallest of the horizontal, the vertical and, where
+    neither is found or ink is thick, the combined part at the click that is of more than ``least`` pixels in its full
+    width is taken; without one, the component of ink at the click in a box around it. No ink near, no row.
     """
+    box = int(max(60, 40 * per_point))
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            mask = to_array(left, height, width)
-            depth = r.distance_transform(mask)
-            parts, traced = {}, {}  # by thickness, and by the nearest ink
+            tracer = _Tracer(to_array(left, height, width), per_point, least)
+            traced = {}
             for cy, cx in right[["cy", "cx"]].itertuples(index=False):
-                top, side = max(0, cy - radius), max(0, cx - radius)
-                ys, xs = np.nonzero(mask[top : max(0, cy + radius + 1), side : max(0, cx + radius + 1)])
-                if not len(ys):
+                at = _nearest(tracer.mask, cy, cx, radius, tracer.depth)
+                if at is None:
                     continue
-                ys, xs = ys + top, xs + side
-                k = int(np.lexsort((xs, ys, np.maximum(abs(ys - cy), abs(xs - cx))))[0])
-                y, x = int(ys[k]), int(xs[k])
-                if (y, x) not in traced:
-                    d = depth[y, x]
-                    if d not in parts:
-                        band = mask & (depth >= max(0.3, 0.3 * d)) & (depth <= thick * max(d, 1.0))
-                        parts[d] = [r.label_array(_long_runs(band, 3, along), eight=True) for along in (0, 1)]
-                    best = None
-                    for part in parts[d]:
-                        if part[y, x]:
-                            got = part == part[y, x]
-                            if got.sum() > least and (best is None or got.sum() < best.sum()):
-                                best = got
-                    if best is None:
-                        box = np.zeros_like(mask)
-                        box[max(0, y - 60) : y + 61, max(0, x - 60) : x + 61] = True
-                        part = r.label_array(mask & box, eight=True)
-                        best = part == part[y, x]
-                    traced[y, x] = [a.astype(np.int32) for a in np.nonzero(grow(best, 1) & mask)]
-                yy, xx = traced[y, x]
-                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": yy, "x": xx}))
+                if at not in traced:
+                    best = tracer.at(*at)
+                    best = local_part(tracer.mask, *at, box) if best is None else best
+                    traced[at] = [a.astype(np.int32) for a in np.nonzero(best)]
+                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": traced[at][0], "x": traced[at][1]}))
         return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*SPOT, "y", "x")})
 
     return ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, y int, x int")
 
 
+def local_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, box: int = 60) -> DataFrame:
+    """(page_id, cy, cx, area): size of ``local_part`` for each distinct clicked pixel that has one."""
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):
+            mask = to_array(left, height, width)
+            for cy, cx in right[["cy", "cx"]].itertuples(index=False):
+                part = local_part(mask, cy, cx, box)
+                if part is not None:
+                    rows.append((key[0], cy, cx, int(part.sum())))
+        return pd.DataFrame(rows, columns=[*SPOT, "area"])
+
+    return ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, area long")
+
+
 def _long_runs(mask: np.ndarray, n: int, along: int) -> np.ndarray:
     """Opening by a line of n pixels along an axis."""
     a = mask if along else mask.T

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +13,7 @@ from plumbline.functions.geometry import point_segment_distance
 CELL = 60.0
 
 
-def grid_cover(segments: DataFrame, pad: float, cell: float = CELL) -> DataFrame:
+def grid_cover(segments: DataFrame, pad: float | Column, cell: float = CELL) -> DataFrame:
     """A row for each grid cell (gx, gy) of a segment's bounding box, widened by ``pad``."""
     span = lambda a, b: F.sequence(F.floor((F.least(a, b) - pad) / cell), F.floor((F.greatest(a, b) + pad) / cell))
     return segments.withColumn("gx", F.explode(span("x0", "x1"))).withColumn("gy", F.explode(span("y0", "y1")))
@@ -38,8 +38,7 @@ def hit_test(clicks: DataFrame, edges: DataFrame, *, radius: float = 10.0, prefe
     dist is to the stroke's border, zero inside; pos orders structural edges first (unless not preferred), then by dist, then edge_id.
     """
     points = clicks.select("click_id", "page_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    widest = 0.5  # half of a stroke of one point; wider ones are dealt by their own width
-    near = cells_of(points).join(grid_cover(edges.withColumn("half", F.greatest(F.col("lw") / 2, F.lit(widest))), radius + widest), ["page_id", "gx", "gy"])
+    near = cells_of(points).join(grid_cover(edges, F.col("lw") / 2 + radius), ["page_id", "gx", "gy"])
     hits = near.withColumn("dist", _distance() - F.col("lw") / 2).where(F.col("dist") <= radius)
     hits = hits.select("click_id", "page_id", "edge_id", "structural", F.greatest("dist", F.lit(0.0)).alias("dist"))
     first = [F.when(F.col("structural"), 0).otherwise(1)] if prefer_structural else []
@@ -47,6 +46,29 @@ def hit_test(clicks: DataFrame, edges: DataFrame, *, radius: float = 10.0, prefe
     return hits.withColumn("pos", F.row_number().over(order))
 
 
+def ring_search(clicks: DataFrame, pixels: DataFrame, radius: int, *payload: str) -> DataFrame:
+    """(click_id, y, x, ring, payload): the pixel of the nearest square ring around each click (click_id, page_id, cy, cx).
+
+    Rings up to ``radius`` are searched, the ring of the click's own pixel is 0; of a ring's pixels the first by row and
+    column counts. An equi-join on cells of the radius's size, of which a click looks into nine.
+    """
+    cell = lambda c: F.floor(F.col(c) / radius)
+    around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))
+    looking = clicks.select("click_id", "page_id", "cy", "cx", around("cy").alias("gy")).withColumn("gx", around("cx"))
+    ring = F.greatest(F.abs(F.col("y") - F.col("cy")), F.abs(F.col("x") - F.col("cx")))
+    met = looking.join(pixels.withColumn("gy", cell("y")).withColumn("gx", cell("x")), ["page_id", "gy", "gx"]).withColumn("ring", ring).where(F.col("ring") <= radius)
+    best = met.groupBy("click_id").agg(F.min_by(F.struct("y", "x", "ring", *payload), F.struct("ring", "y", "x")).alias("m"))
+    return best.select("click_id", "m.*")
+
+
+def snap_edges(edges: DataFrame, pixels: DataFrame, scale: float, *, structural_only: bool = True) -> DataFrame:
+    """(page_id, edge_id) of edges one of whose five sample points, at quarters of the way, lies on a set pixel."""
+    some = edges.where("structural") if structural_only else edges
+    at = some.select("page_id", "edge_id", "x0", "y0", "x1", "y1", F.explode(F.array(*[F.lit(k / 4) for k in range(5)])).alias("t"))
+    on = lambda a, b: ((F.col(a) + (F.col(b) - F.col(a)) * F.col("t")) * scale).cast("int")
+    return at.select("page_id", "edge_id", on("y0", "y1").alias("y"), on("x0", "x1").alias("x")).distinct().join(pixels, ["page_id", "y", "x"]).select("page_id", "edge_id").distinct()
+
+
 def erase(selection: DataFrame, edges: DataFrame, eraser: DataFrame, *, radius: float = 8.0) -> DataFrame:
     """The rows of selection(page_id, edge_id) with no eraser point (page_id, px, py) strictly within ``radius`` of the edge."""
     chosen = selection.join(edges.select("page_id", "edge_id", "x0", "y0", "x1", "y1"), ["page_id", "edge_id"])

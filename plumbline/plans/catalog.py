@@ -112,9 +112,8 @@ _DIST = """(CASE WHEN l2 < 1e-12 THEN sqrt((px - x0) * (px - x0) + (py - y0) * (
 _MET = """(SELECT *, greatest(0.0, least(1.0, ((px - x0) * (x1 - x0) + (py - y0) * (y1 - y0)) / CASE WHEN l2 < 1e-12 THEN 1 ELSE l2 END)) AS t
  FROM (SELECT c.*, e.edge_id, e.structural, e.lw, e.x0, e.y0, e.x1, e.y1, (e.x1 - e.x0) * (e.x1 - e.x0) + (e.y1 - e.y0) * (e.y1 - e.y0) AS l2 FROM %s c JOIN [[edges]] e ON c.page_id = e.page_id))"""
 _CLICK = "(SELECT click_id, page_id, x AS px, y AS py FROM [[clicks]])"
-_query("geo05_point_segment", lambda w: w["clicks"].withColumnsRenamed({"x": "px", "y": "py"}).join(w["edges"], "page_id").where("edge_id % 16 = click_id % 16").select(
-           "click_id", "edge_id", F.round(g.point_segment_distance(*(F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1"))), 4).alias("dist")),
-       f"SELECT click_id, edge_id, round({_DIST}, 4) AS dist FROM {_MET % _CLICK} WHERE edge_id % 16 = click_id % 16")
+_query("geo05_point_segment", lambda w: spatial.within(w["clicks"].withColumnsRenamed({"x": "px", "y": "py"}), w["edges"], 40.0).where("dist <= 40").select("click_id", "edge_id", F.round("dist", 4).alias("dist")),
+       f"SELECT click_id, edge_id, round({_DIST}, 4) AS dist FROM {_MET % _CLICK} WHERE {_DIST} <= 40")
 _query("geo06_grid_cover", lambda w: spatial.grid_cover(w["edges"], 10.0).select("page_id", "edge_id", "gx", "gy"),
        """SELECT page_id, edge_id, gx, unnest(range(@floor((least(y0, y1) - 10) / 60), @floor((greatest(y0, y1) + 10) / 60) + 1)) AS gy
           FROM (SELECT *, unnest(range(@floor((least(x0, x1) - 10) / 60), @floor((greatest(x0, x1) + 10) / 60) + 1)) AS gx FROM [[edges]])""")
@@ -206,7 +205,7 @@ _query("jn08_pick_window", lambda w: gp.pick(w["clicks"], w["typed"], "window"),
 _KEPT = f"""(SELECT page_id, edge_id FROM [[edges]] WHERE structural EXCEPT SELECT page_id, edge_id FROM {_MET % '[[erasers]]'} WHERE {_DIST} < 8)"""
 _query("jn09_erase", lambda w: spatial.erase(w["selection"], w["edges"], w["erasers"]), f"SELECT page_id, edge_id FROM {_KEPT}")
 _SAMPLE = "SELECT DISTINCT e.page_id % 8 AS page_id, e.edge_id, e.structural, @int((x0 + (x1 - x0) * x / 4) / 20) AS px, @int((y0 + (y1 - y0) * x / 4) / 20) AS py FROM [[edges]] e CROSS JOIN @series(0, 4)"
-_both("jn10_snap_edges", f"SELECT DISTINCT s.page_id, s.edge_id FROM ({_SAMPLE}) s JOIN [[ink]] i ON s.page_id = i.page_id AND s.px = i.x AND s.py = i.y WHERE s.structural")
+_query("jn10_snap_edges", lambda w: spatial.snap_edges(w["edges"].withColumn("page_id", F.col("page_id") % 8), w["ink"], 1 / 20), f"SELECT DISTINCT s.page_id, s.edge_id FROM ({_SAMPLE}) s JOIN [[ink]] i ON s.page_id = i.page_id AND s.px = i.x AND s.py = i.y WHERE s.structural")
 _both("jn11_label_in_room", """
 SELECT p.page_id, i.y, i.x, min(p.text) AS label FROM [[phrases]] p JOIN [[ink]] i ON p.page_id % 8 = i.page_id AND @int((p.x0 + p.x1) / 40) = i.x AND @int((p.y0 + p.y1) / 40) = i.y GROUP BY p.page_id, i.y, i.x""")
 _query("jn12_label_fallback", lambda w: _label_fallback(w), """
@@ -233,7 +232,8 @@ _query("jn13_dna_match", lambda w: w["seeds"].join(w["edges"], ["page_id", "edge
 _both("jn14_topmost_drawing", """
 SELECT c.click_id, max(e.edge_id) AS edge_id FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND @int(c.x) BETWEEN @int(least(e.x0, e.x1)) - 1 AND @int(greatest(e.x0, e.x1)) + 1
  AND @int(c.y) BETWEEN @int(least(e.y0, e.y1)) - 1 AND @int(greatest(e.y0, e.y1)) + 1 WHERE e.axis GROUP BY c.click_id""")
-_both("jn15_index_lists", "SELECT c.click_id, e.edge_id, e.length FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND c.click_id % 700 = e.edge_id")
+_query("jn15_index_lists", lambda w: ed.by_index(w["clicks"].selectExpr("click_id", "page_id", "array(click_id % 7, click_id % 700, click_id, -1L) as ids"), w["edges"]).select("click_id", "edge_id", "length"),
+       "SELECT c.click_id, e.edge_id, e.length FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND e.edge_id IN (c.click_id % 7, c.click_id % 700, c.click_id, -1)")
 _ROUTE = "SELECT *, CASE WHEN mask_seq % 3 = 0 THEN 'edges' WHEN mask_seq % 3 = 1 AND real_length IS NOT NULL THEN 'polyline' WHEN cnt IS NOT NULL THEN 'raster' ELSE 'none' END AS route, coalesce(category, 'Walls') AS cat FROM [[masks]]"
 _both("jn16_mask_routing", f"SELECT project_id, mask_seq, route, CASE WHEN cat = 'Walls' THEN 'wall' ELSE 'opening' END AS kind FROM ({_ROUTE})")
 _both("jn17_engine_choice", f"SELECT project_id, CASE WHEN max(CASE WHEN cat = 'Walls' AND route = 'edges' OR route = 'polyline' THEN 1 ELSE 0 END) = 1 THEN 'vector' ELSE 'raster' END AS engine FROM ({_ROUTE}) GROUP BY project_id")
@@ -294,8 +294,8 @@ _both("str06_gap_svg", """
 SELECT page_id, gap_id, concat('M', @fixed(x0, 2), ',', @fixed(y0, 2), ' L', @fixed(x1, 2), ',', @fixed(y1, 2)) AS line,
  CASE orient WHEN 'H' THEN concat('M', @fixed(x0, 2), ',', @fixed(y0 - 4, 2), ' L', @fixed(x0, 2), ',', @fixed(y0 + 4, 2)) ELSE concat('M', @fixed(x0 - 4, 2), ',', @fixed(y0, 2), ' L', @fixed(x0 + 4, 2), ',', @fixed(y0, 2)) END AS tick1,
  CASE orient WHEN 'H' THEN concat('M', @fixed(x1, 2), ',', @fixed(y1 - 4, 2), ' L', @fixed(x1, 2), ',', @fixed(y1 + 4, 2)) ELSE concat('M', @fixed(x1 - 4, 2), ',', @fixed(y1, 2), ' L', @fixed(x1 + 4, 2), ',', @fixed(y1, 2)) END AS tick2
-FROM (SELECT *, CASE orient WHEN 'H' THEN g0 ELSE perp END AS x0, CASE orient WHEN 'H' THEN perp ELSE g0 END AS y0, CASE orient WHEN 'H' THEN g1 ELSE perp END AS x1, CASE orient WHEN 'H' THEN perp ELSE g1 END AS y1
-      FROM [[gaps]] WHERE perp = floor(perp))""")
+FROM (SELECT *, CASE orient WHEN 'H' THEN a ELSE p END AS x0, CASE orient WHEN 'H' THEN p ELSE a END AS y0, CASE orient WHEN 'H' THEN b ELSE p END AS x1, CASE orient WHEN 'H' THEN p ELSE b END AS y1
+      FROM (SELECT *, floor(g0 * 100 + 0.5) / 100 AS a, floor(g1 * 100 + 0.5) / 100 AS b, floor(perp * 100 + 0.5) / 100 AS p FROM [[gaps]]))""")
 _query("str07_data_url", lambda w: w["projects"].select("project_id", F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("project_id", "UTF-8"))).alias("u")).select("project_id", F.substring_index("u", ",", -1).alias("b64")),
        "SELECT project_id, to_base64(encode(project_id)) AS b64 FROM [[projects]]")
 _query("str08_colours", lambda w: w["masks"].select("project_id", "mask_seq", F.coalesce(F.create_map(*[F.lit(x) for kv in CATEGORY_COLOURS.items() for x in kv])[F.col("category")], F.lit("rgba(128,128,128,0.4)")).alias("color")),
@@ -381,15 +381,31 @@ def _sheet(w: Workspace) -> DataFrame:
 
 
 # --- rasters -----------------------------------------------------------------------------------------------------------
-def _window_sql(relation: str, ry: int, rx: int, erode: bool = False) -> str:
+def _window_sql(relation: str, ry: int, rx: int, erode: bool = False, height: int | str = HEIGHT, width: int = WIDTH) -> str:
     grid = f"SELECT p.page_id, p.y + dy.x AS y, p.x + dx.x AS x FROM {relation} p CROSS JOIN @series(-{ry}, {ry}) dy CROSS JOIN @series(-{rx}, {rx}) dx"
-    inside = f"y >= 0 AND y < {HEIGHT} AND x >= 0 AND x < {WIDTH}"
+    inside = f"y >= 0 AND y < {height} AND x >= 0 AND x < {width}"
     if not erode:
         return f"SELECT DISTINCT page_id, y, x FROM ({grid}) WHERE {inside}"
-    need = f"(least({HEIGHT - 1}, y + {ry}) - greatest(0, y - {ry}) + 1) * (least({WIDTH - 1}, x + {rx}) - greatest(0, x - {rx}) + 1)"
+    need = f"(least({height} - 1, y + {ry}) - greatest(0, y - {ry}) + 1) * (least({width - 1}, x + {rx}) - greatest(0, x - {rx}) + 1)"
     return f"SELECT page_id, y, x FROM ({grid}) WHERE {inside} GROUP BY page_id, y, x HAVING count(*) = {need}"
 
 
+_CLASS_ROWS = "(SELECT max(y) + 1 FROM [[logits]])"
+
+
+def _class_height(w: Workspace) -> int:
+    return int(w["logits"].agg(F.max("y")).first()[0] or 0) + 1
+
+
+def _class_sql(name: str, group: str, number: int, reach: int, least: int) -> str:
+    """Closing and component filter of a class map that is 25 pixels wide."""
+    one = f"(SELECT page_id, y, x FROM [[logits]] WHERE {group} = {number})"
+    closed = _window_sql(f"({_window_sql(one, reach, reach, height=_CLASS_ROWS, width=25)})", reach, reach, erode=True, height=_CLASS_ROWS, width=25)
+    label = f"""(SELECT page_id, y, x, min(c) AS c FROM (WITH RECURSIVE k AS ({closed}), r AS (SELECT page_id, y, x, y * 4096 + x AS c FROM k
+ UNION SELECT i.page_id, i.y, i.x, r.c FROM r JOIN k i ON i.page_id = r.page_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1) SELECT * FROM r) GROUP BY page_id, y, x)"""
+    return f"SELECT '{name}' AS class, page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id, c) AS n FROM {label}) WHERE n >= {least}"
+
+
 _RGB = "SELECT page_id, y, x, gray AS r, (gray * 3) % 256 AS g, (gray * 7) % 256 AS b FROM [[raster]]"
 _SEGMENTS = "SELECT page_id % 8 AS page_id, floor(x0 / 20) AS x0, floor(y0 / 20) AS y0, floor(x1 / 20) AS x1, floor(y1 / 20) AS y1 FROM [[edges]] WHERE x1 >= 0 AND y1 >= 0"
 _query("ras01_rasterise", lambda w: raster.rasterise(w.sql(_SEGMENTS).selectExpr("page_id", "cast(x0 as double) x0", "cast(y0 as double) y0", "cast(x1 as double) x1", "cast(y1 as double) y1")), f"""
@@ -425,20 +441,20 @@ _query("top04_largest_component", lambda w: raster.component_stats(raster.compon
        f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label_y, label_x) AS r FROM {_STATS}) WHERE r = 1")
 _both("ras09_distance_band", "SELECT page_id, y, x, gray FROM [[raster]] WHERE gray >= greatest(0.3, 0.3 * 150) AND gray <= 4 * 60")
 _PIXEL = "SELECT click_id, page_id % 8 AS page_id, @int(x / 20) AS cx, @int(y / 20) AS cy FROM [[clicks]]"
-_both("ras10_ring_search", f"""
+_query("ras10_ring_search", lambda w: spatial.ring_search(w.sql(_PIXEL), w["ink"], 25), f"""
 SELECT click_id, y, x, ring FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ring, y, x) AS r FROM (
- SELECT c.click_id, i.y, i.x, greatest(abs(i.y - c.cy), abs(i.x - c.cx)) AS ring FROM ({_PIXEL}) c JOIN [[ink]] i ON c.page_id = i.page_id AND i.y BETWEEN c.cy - 3 AND c.cy + 3 AND i.x BETWEEN c.cx - 3 AND c.cx + 3)) WHERE r = 1""")
+ SELECT c.click_id, i.y, i.x, greatest(abs(i.y - c.cy), abs(i.x - c.cx)) AS ring FROM ({_PIXEL}) c JOIN [[ink]] i ON c.page_id = i.page_id AND i.y BETWEEN c.cy - 25 AND c.cy + 25 AND i.x BETWEEN c.cx - 25 AND c.cx + 25)) WHERE r = 1""")
 _both("ras13_width_recovery", "SELECT DISTINCT i.page_id, i.y, i.x FROM [[ink2]] i JOIN [[ink]] s ON i.page_id = s.page_id AND i.y BETWEEN s.y - 1 AND s.y + 1 AND i.x BETWEEN s.x - 1 AND s.x + 1")
 _query("ras15_text_mask", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQL)
 _both("ras16_thin_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE lw < 0.2 AND type IN ('line', 'rect_edge')")
 _both("ras17_dashed_lines", "SELECT page_id, edge_id, greatest(coalesce(nullif(lw, 0), 0.5), 0.5) AS thickness FROM [[edges]] WHERE is_dashed")
-_both("ras18_grid_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(x1 - x0) > 0.1 * 1191 OR abs(y1 - y0) > 0.1 * 842)")
+_query("ras18_grid_lines", lambda w: ed.grid_lines(w["edges"]), "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(x1 - x0) > 0.65 * 1191 OR abs(y1 - y0) > 0.65 * 842)")
 _query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, page_height(w), WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
        f"SELECT r.page_id, r.y, r.x, CASE WHEN n.x IS NOT NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN ({_window_sql('[[ink]]', 1, 1)}) n ON r.page_id = n.page_id AND r.y = n.y AND r.x = n.x")
-_both("ras21_annotation_cleaning", "SELECT r.page_id, r.y, r.x, CASE WHEN i.x IS NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN [[ink2]] i ON r.page_id = i.page_id AND r.y = i.y AND r.x = i.x")
+_query("ras21_annotation_cleaning", lambda w: raster.blank_outside(w["raster"], w["ink2"]), "SELECT page_id, y, x, CASE WHEN gray % 8 < 3 THEN gray ELSE 255 END AS gray FROM [[raster]]")
 _both("ras22_normalise", "SELECT page_id, y, x, round((gray / CAST(255 AS DOUBLE) - CAST(0.485 AS DOUBLE)) / CAST(0.229 AS DOUBLE), 6) AS v FROM [[raster]]")
 _both("ras24_argmax", "SELECT pixel_id, y, x, room_cls, icon_cls FROM [[logits]]")
-_both("ras25_class_masks", "SELECT room_cls, y, x FROM (SELECT *, count(*) OVER (PARTITION BY room_cls) AS n FROM [[logits]]) WHERE n >= 20")
+_query("ras25_class_masks", lambda w: raster.class_masks(w["logits"], _class_height(w), 25), " UNION ALL ".join(_class_sql(*c) for c in raster.CLASS_MASKS))
 _query("ras27_class_names", lambda w: w["logits"].select("pixel_id", F.element_at(F.array(*[F.lit(n) for n in ROOM_CLASSES]), F.col("room_cls") + 1).alias("room"), F.element_at(F.array(*[F.lit(n) for n in ICON_CLASSES]), F.col("icon_cls") + 1).alias("icon")),
        f"SELECT pixel_id, ['Background', 'Outdoor', 'Wall', 'Kitchen', 'Living Room', 'Bedroom', 'Bathroom', 'Hallway', 'Storage', 'Garage', 'Undefined', 'Railing'][room_cls + 1] AS room, ['Background', 'Window', 'Door', 'Closet', 'Toilet', 'Sink', 'Sauna', 'Fireplace', 'Bathtub', 'Chimney', 'Undefined'][icon_cls + 1] AS icon FROM [[logits]]")
 _both("ras28_uncrop", "SELECT page_id, y + 40 AS y, x + 25 AS x FROM [[ink]]")
@@ -450,7 +466,6 @@ ROOM_CLASSES = ["Background", "Outdoor", "Wall", "Kitchen", "Living Room", "Bedr
 ICON_CLASSES = ["Background", "Window", "Door", "Closet", "Toilet", "Sink", "Sauna", "Fireplace", "Bathtub", "Chimney", "Undefined"]
 
 # --- kernels and composites, held by invariants in tests ----------------------------------------------------------------
-_PIXEL_CLICKS = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]] WHERE click_id % 40 = page_id % 40"
 _EVERY_CLICK = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"
 
 
@@ -471,9 +486,8 @@ _query("agg17_contour_length", lambda w: rooms.detection_summary(_outlined(w)).s
 _query("agg18_large_contours", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "large"))
 _query("agg19_precise_area", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "area"))
 _query("ras08_distance", lambda w: rooms.depth(w["ink2"], _page_height(w), WIDTH))
-_query("ras11_label_search", lambda w: w.sql(_PIXEL_CLICKS).join(raster.components(w["ink2"]), "page_id").where("y between cy - 20 and cy + 20 and x between cx - 20 and cx + 20")
-       .groupBy("click_id").agg(F.min_by(F.struct("label_y", "label_x"), F.expr("struct(greatest(abs(y - cy), abs(x - cx)), y, x)")).alias("m")).select("click_id", "m.*"),
-       f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_PIXEL_CLICKS}) c
+_query("ras11_label_search", lambda w: spatial.ring_search(w.sql(_EVERY_CLICK), raster.components(w["ink2"]), 20, "label_y", "label_x").select("click_id", "label_y", "label_x"),
+       f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_EVERY_CLICK}) c
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
 _query("ras12_trace_wall", lambda w: w.sql(_EVERY_CLICK).join(_traced(w).groupBy(*rooms.SPOT).agg(F.count(F.lit(1)).alias("n")), rooms.SPOT).select("click_id", "n"))
 _query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], _page_height(w), WIDTH))
@@ -490,8 +504,7 @@ _query("ras37_polyline_mask", lambda w: raster.rasterise(_openings(w), 13).where
 _query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH).where("filled"))
 _query("ras39_polygon_mask", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.octet_length("mask").alias("png_bytes")))
 _query("ras40_contours", lambda w: rooms.outlines(raster.components(w["ink2"], eight=True), eps=0.0).select("page_id", "label_y", "label_x", "corners"))
-_query("ras14_local_fallback", lambda w: w.sql(_PIXEL_CLICKS).join(w["ink2"], "page_id").where("y between cy - 60 and cy + 60 and x between cx - 60 and cx + 60").groupBy("click_id").agg(F.count(F.lit(1)).alias("n")),
-       f"SELECT click_id, count(*) AS n FROM ({_PIXEL_CLICKS}) c JOIN [[ink2]] i ON c.page_id = i.page_id AND y BETWEEN cy - 60 AND cy + 60 AND x BETWEEN cx - 60 AND cx + 60 GROUP BY click_id")
+_query("ras14_local_fallback", lambda w: w.sql(_EVERY_CLICK).join(rooms.local_spots(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH), rooms.SPOT).select("click_id", "area"))
 _query("snk01_new_projects", lambda w: documents.new_projects(w["projects"].select(F.md5("project_id").alias("project_id"), F.col("project_id").alias("filename"), F.encode("project_id", "UTF-8").alias("pdf"))),
        "SELECT md5(project_id) AS project_id, project_id AS filename, CAST(NULL AS DOUBLE) AS scale_factor, 'm' AS unit, CAST(2.4 AS DOUBLE) AS wall_height, to_base64(encode(project_id)) AS pdf FROM [[projects]]")
 _query("snk06_workbook", lambda w: documents.workbooks(_sheet(w)).select("project_id", F.octet_length("workbook").alias("n_bytes")))
@@ -520,7 +533,7 @@ def _vector_rooms(w: Workspace) -> DataFrame:
     """Barriers drawn on a raster 1500 pixels wide, split into rooms and named from the page's labels."""
     scale = 1500 / 1191
     found = rooms.split_lines(_barriers(w, scale), int(842 * scale), 1500, scale=scale, close=2)
-    return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05)
+    return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05, scale=scale)
 
 
 def _openings(w: Workspace) -> DataFrame:

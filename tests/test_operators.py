@@ -306,3 +306,63 @@ def test_pages_higher_than_the_least(spark, tmp_path):
     assert clean == {(y, x): 255 if dilated[y, x] else gray[y, x] for y in range(2040, 2060) for x in range(64)}
     off = spark.createDataFrame([(0, 12, 3), (0, -9, 3), (0, 10, 1)], "page_id long, y int, x int")
     assert {(r.y, r.x) for r in raster.dilate(off, 1, 1, 10, 8).collect()} == {(9, 0), (9, 1), (9, 2)}
+
+
+def test_hits_on_strokes_of_any_width(spark):
+    """Strokes of 0 to 100 points against all pairs."""
+    rng = np.random.default_rng(3)
+    edges = [(1, k, *map(float, rng.uniform(0, 600, 4).round(1)), float([0, 1, 10, 100][k % 4]), k % 3 == 0) for k in range(80)] + [(1, 99, 10.0, 49.0, 90.0, 49.0, 10.0, True)]
+    clicks = [(k, 1, *map(float, rng.uniform(0, 600, 2).round(1))) for k in range(120)] + [(500, 1, 50.0, 63.5), (501, 1, 50.0, 60.5)]
+    got = spatial.hit_test(spark.createDataFrame(clicks, "click_id long, page_id long, x double, y double"), spark.createDataFrame(edges, "page_id long, edge_id long, x0 double, y0 double, x1 double, y1 double, lw double, structural boolean")).collect()
+    want = {}
+    for c, _, px, py in clicks:
+        for _, e, x0, y0, x1, y1, lw, _s in edges:
+            a, d = np.array([x0, y0]), np.array([x1 - x0, y1 - y0])
+            t = np.clip(np.dot(np.array([px, py]) - a, d) / max(np.dot(d, d), 1e-12), 0, 1)
+            dist = np.hypot(*(np.array([px, py]) - a - t * d)) - lw / 2
+            if dist <= 10:
+                want[c, e] = max(dist, 0)
+    assert {(r.click_id, r.edge_id) for r in got} == want.keys() and {(500, 99), (501, 99)} <= want.keys()
+    assert all(abs(r.dist - want[r.click_id, r.edge_id]) < 1e-9 for r in got)
+
+
+def test_ring_search_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    pixels = sorted({(int(p), int(y), int(x)) for p, y, x in zip(rng.integers(0, 2, 60), rng.integers(0, 90, 60), rng.integers(0, 70, 60), strict=True)})
+    clicks = [(k, k % 2, int(rng.integers(-10, 100)), int(rng.integers(-10, 80))) for k in range(150)]
+    got = {r.click_id: (r.ring, r.y, r.x) for r in spatial.ring_search(spark.createDataFrame(clicks, "click_id long, page_id long, cy int, cx int"), spark.createDataFrame(pixels, "page_id long, y int, x int"), 7).collect()}
+    want = {}
+    for c, page, cy, cx in clicks:
+        near = sorted((max(abs(y - cy), abs(x - cx)), y, x) for p, y, x in pixels if p == page)
+        if near and near[0][0] <= 7:
+            want[c] = near[0]
+    assert got == want
+
+
+def test_tracing_is_cut_at_junctions(spark):
+    """A cross of two strokes: each arm is a selection; a slant is one by all runs together or the box around the click."""
+    page = np.zeros((160, 160), bool)
+    page[78:82, 5:155] = page[5:155, 78:82] = True
+    for k in range(40):
+        page[100 + k, 100 + k : 104 + k] = True
+    ink = spark.createDataFrame([(1, int(y), int(x)) for y, x in zip(*np.nonzero(page), strict=True)], "page_id long, y int, x int")
+    clicks = spark.createDataFrame([(1, 1, 80, 30), (2, 1, 80, 130), (3, 1, 30, 80), (4, 1, 120, 121), (5, 1, 40, 40)], "click_id long, page_id long, cy int, cx int")
+    got = {}
+    for r in rooms.trace_walls(ink, clicks, 160, 160).collect():
+        got.setdefault(r.click_id, set()).add((r.y, r.x))
+    left, right, up, slant = (got[k] for k in (1, 2, 3, 4))
+    assert max(x for _, x in left) < 76 and min(x for _, x in right) > 84 and max(y for y, _ in up) < 76
+    assert {(80, x) for x in range(6, 60)} <= left and not left & right
+    assert all(70 < y < 78 and 70 < x < 78 for y, x in left & up)  # only where both were widened
+    assert {(100 + k, 101 + k) for k in range(40)} <= slant and 5 not in got
+    local = {(r.cy, r.cx): r.area for r in rooms.local_spots(ink, clicks, 160, 160).collect()}
+    box = rooms.local_part(page, 120, 121, 60)
+    assert local[120, 121] == box.sum() == rooms.grow(np.triu(np.tril(page, 3)) & (np.indices(page.shape)[0] >= 100), 2).sum() and (40, 40) not in local
+
+
+def test_rooms_are_named_by_labels_inside(spark):
+    lines = spark.createDataFrame([(1, *a, 2) for a in [(10.0, 10.0, 90.0, 10.0), (10.0, 50.0, 90.0, 50.0), (10.0, 10.0, 10.0, 50.0), (90.0, 10.0, 90.0, 50.0), (70.0, 10.0, 70.0, 50.0)]], "page_id long, x0 double, y0 double, x1 double, y1 double, thick int")
+    labels = spark.createDataFrame([(1, "Corner", 6.5, 6.5, True), (1, "Near", 20.0, 4.0, True), (1, "Outside", 40.0, 3.0, True)], "page_id long, text string, x double, y double, is_room_label boolean")
+    found = rooms.split_lines(lines, 60, 100, scale=2.0, close=1)
+    named = sorted((round(r.cx), r["name"]) for r in rooms.name_rooms(found, labels, reach=5.0, scale=2.0).collect())
+    assert named == [(20, "Corner"), (40, "Room 2")]
