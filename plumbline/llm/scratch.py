@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one of our own only where that is unset (tests)."""
+    """The folder in ``spark.checkpoint.dir``; a local one of our own only where that is unset, on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     own = getattr(spark, "_plumbline_shared", None)
     if own is None:
         own = "file://" + tempfile.mkdtemp(prefix="plumbline-")
