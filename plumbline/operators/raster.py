@@ -180,17 +180,27 @@ def fill_polygon(points: np.ndarray, height: int, width: int) -> np.ndarray:
 
 
 def distance_transform(mask: np.ndarray) -> np.ndarray:
-    """Euclidean distance of each set pixel from the nearest unset one, exactly: column distances, then the least over a row."""
+    """Euclidean distance of each set pixel from the nearest unset one, exactly: column distances, then the least over a row.
+
+    Rows are searched, a few at a time, only as far as the greatest distance found in them, so thin strokes take few passes.
+    """
     h, w = mask.shape
-    far = float(h + w)
-    g = np.where(mask, far, 0.0)
+    far = h + w
+    g = np.where(mask, far, 0).astype(np.int32)
     for y in range(1, h):
         g[y] = np.minimum(g[y], g[y - 1] + 1)
     for y in range(h - 2, -1, -1):
         g[y] = np.minimum(g[y], g[y + 1] + 1)
-    x = np.arange(w)
-    square = (x[:, None] - x[None, :]) ** 2
-    return np.sqrt(np.stack([(square + g[y][None, :] ** 2).min(axis=1) for y in range(h)]))
+    g *= g
+    out = g.copy()
+    for top in range(0, h, 16):
+        near, own = out[top : top + 16], g[top : top + 16]
+        for k in range(1, w):
+            if k * k >= near.max(initial=0):
+                break
+            np.minimum(near[:, k:], own[:, :-k] + k * k, out=near[:, k:])
+            np.minimum(near[:, :-k], own[:, k:] + k * k, out=near[:, :-k])
+    return np.sqrt(out.astype(float))
 
 
 def contour(mask: np.ndarray) -> np.ndarray:
@@ -280,27 +290,20 @@ def unpng(data: bytes) -> np.ndarray:
     if depth != 8 or interlace:
         raise ValueError("only eight-bit images without interlacing are supported")
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h, w * channels), np.int64)
-    for y in range(h):
-        line, kind = raw[y, 1:].astype(np.int64), int(raw[y, 0])
-        up = out[y - 1] if y else np.zeros(w * channels, np.int64)
-        if kind == 0:
-            out[y] = line
-        elif kind == 2:
-            out[y] = (line + up) & 255
-        else:
-            for i in range(w * channels):
-                left = out[y, i - channels] if i >= channels else 0
-                corner = up[i - channels] if i >= channels else 0
-                if kind == 1:
-                    guess = left
-                elif kind == 3:
-                    guess = (left + up[i]) // 2
-                else:
-                    p = left + up[i] - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up[i]), 1, up[i]), (abs(p - corner), 2, corner))[2]
-                out[y, i] = (line[i] + guess) & 255
-    return out.reshape(h, w, channels).astype(np.uint8)
+    kind, line = raw[:, 0], raw[:, 1:].reshape(h, w, channels).astype(np.int16)
+    if not kind.any():
+        return raw[:, 1:].reshape(h, w, channels).copy()
+    # A pixel needs those to its left, above and in the corner between, so all of one diagonal are taken at once.
+    out = np.zeros((h + 1, w + 1, channels), np.int16)
+    for t in range(h + w - 1):
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        left, up, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        a, b, c = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.choose(kind[y][:, None], (np.zeros_like(left), left, up, (left + up) // 2, nearest))
+        out[y + 1, x + 1] = (line[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def mask_of(image: np.ndarray, alpha_over: int = 10, gray_over: int = 10) -> np.ndarray:

@@ -135,10 +135,39 @@ def test_kernels(seed):
         assert np.allclose(raster.distance_transform(mask), want)
     rgba = rng.integers(0, 256, (7, 5, 4)).astype(np.uint8)
     assert (raster.unpng(raster.png(rgba)) == rgba).all()
+    assert (raster.unpng(filtered_png(rgba, rng.integers(0, 5, 7))) == rgba).all()
     grown = rooms.grow(mask, 1)
     assert (grown >= mask).all() and grown.sum() >= mask.sum()
 
 
+def filtered_png(rgba, kinds):
+    """A PNG whose rows use the given filters, pixel by pixel."""
+    import struct
+    import zlib
+
+    h, w, n = rgba.shape
+    rows = b""
+    for y in range(h):
+        rows += bytes([kinds[y]])
+        for x in range(w):
+            for c in range(n):
+                a = int(rgba[y, x - 1, c]) if x else 0
+                b = int(rgba[y - 1, x, c]) if y else 0
+                e = int(rgba[y - 1, x - 1, c]) if x and y else 0
+                p = a + b - e
+                paeth = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - e), 2, e))[2]
+                rows += bytes([(int(rgba[y, x, c]) - (0, a, b, (a + b) // 2, paeth)[kinds[y]]) % 256])
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def test_distance_of_a_large_page():
+    mask = np.zeros((2000, 1500), bool)
+    mask[::100] = mask[:, ::100] = True
+    assert raster.distance_transform(mask).max() == np.sqrt(2)  # where two lines cross
+    assert raster.distance_transform(np.ones((3, 4), bool)).min() == 7
+
+
 def test_contours():
     mask = np.zeros((20, 30), bool)
     mask[5:15, 4:25] = True
