@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
+from plumbline.operators import drawings as dr
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
 from plumbline.operators import graph, labels, measure, raster, rooms, spatial, state
@@ -52,7 +53,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 _both("src04_edge_scan", "SELECT page_id, count(*) AS n, round(sum(x0 + y0 + x1 + y1), 4) AS s FROM [[edges_raw]] GROUP BY page_id")
 _both("src05_curve_scan", "SELECT page_id, curve_id, n_pts, cx, cy, size FROM [[curves]]")
 _both("src06_word_scan", "SELECT page_id, count(*) AS n, sum(x1 - x0) AS w FROM [[words]] GROUP BY page_id")
-_both("src07_drawing_scan", "SELECT object_type, is_dashed, color, count(*) AS n, sum(x1 - x0) AS w FROM [[edges_raw]] GROUP BY object_type, is_dashed, color")
+_query("src07_drawing_scan", lambda w: w["items"].select("page_id", "item_id", "type", "color", "fill", "width", "kind", F.get("points", 0).x.alias("x"), F.get("points", 1).y.alias("y")),
+       "SELECT page_id, item_id, type, color, fill, width, kind, x0 AS x, CASE kind WHEN 're' THEN y1 + 8 ELSE y1 END AS y FROM [[items]]")
 _both("src08_layers", "SELECT DISTINCT page_id, object_type AS layer FROM [[edges_raw]]")
 _both("src09_project_lookup", "SELECT c.click_id, p.project_id, p.scale_factor, p.project_id IS NULL AS missing FROM [[clicks]] c LEFT JOIN [[projects]] p ON c.page_id = p.page_id")
 _query("src10_stored_bytes", lambda w: w["projects"].select("project_id", F.unbase64(F.base64(F.encode("project_id", "UTF-8"))).cast("string").alias("bytes_back")),
@@ -224,14 +226,33 @@ def _label_fallback(w: Workspace) -> DataFrame:
     return w["gaps"].select("page_id", "gap_id").join(best, ["page_id", "gap_id"], "left").select("page_id", "gap_id", F.coalesce("text", room).alias("name"))
 
 
-_query("jn13_dna_match", lambda w: w["seeds"].join(w["edges"], ["page_id", "edge_id"]).select("page_id", F.col("edge_id").alias("seed"), F.col("type").alias("t"), F.col("color").alias("c"), F.nullif("lw", F.lit(0.0)).alias("sw"))
-       .join(w["edges"].withColumn("w", F.nullif("lw", F.lit(0.0))), "page_id").where((F.col("t") == F.col("type")) & F.col("c").eqNullSafe(F.col("color")) & g.width_matches(F.col("sw"), F.col("w")))
-       .groupBy("page_id", "seed").agg(F.count(F.lit(1)).alias("n")),
-       """SELECT s.page_id, s.edge_id AS seed, count(*) AS n FROM [[seeds]] s JOIN [[edges]] o ON s.page_id = o.page_id AND s.edge_id = o.edge_id JOIN [[edges]] e ON e.page_id = s.page_id
-          AND e.type = o.type AND e.color IS NOT DISTINCT FROM o.color AND ((e.lw = 0 AND o.lw = 0) OR (e.lw <> 0 AND o.lw <> 0 AND abs(e.lw - o.lw) <= greatest(0.5, 1e-9 * greatest(e.lw, o.lw)))) GROUP BY s.page_id, s.edge_id""")
-_both("jn14_topmost_drawing", """
-SELECT c.click_id, max(e.edge_id) AS edge_id FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND @int(c.x) BETWEEN @int(least(e.x0, e.x1)) - 1 AND @int(greatest(e.x0, e.x1)) + 1
- AND @int(c.y) BETWEEN @int(least(e.y0, e.y1)) - 1 AND @int(greatest(e.y0, e.y1)) + 1 WHERE e.axis GROUP BY c.click_id""")
+_query("jn13_dna_match", lambda w: dr.layers(w["items"].select("page_id", "item_id"), w["items"]).groupBy("page_id", "layer").agg(F.count(F.lit(1)).alias("n"), F.sum("item_id").alias("ids")), """
+SELECT k.page_id, k.layer, count(*) AS n, CAST(sum(i.item_id) AS BIGINT) AS ids FROM (SELECT page_id, type, color, fill, width, min(item_id) AS layer FROM [[items]] GROUP BY ALL) k JOIN [[items]] i
+ ON k.page_id = i.page_id AND k.type = i.type AND k.color IS NOT DISTINCT FROM i.color AND k.fill IS NOT DISTINCT FROM i.fill
+ AND ((k.width IS NULL AND i.width IS NULL) OR abs(k.width - i.width) <= 0.5) GROUP BY k.page_id, k.layer""")
+# Pages are drawn at a quarter of a pixel a point.
+_DRAWN = {"scale": 0.25, "height": 211, "width": 298}
+_ON_DRAWING = "SELECT click_id, page_id, CAST(@int(x / 4) AS INT) AS cx, CAST(@int(y / 4) AS INT) AS cy FROM [[clicks]]"
+_SHAPES = """(SELECT page_id, item_id, kind, type = 'fill' AND kind <> 'l' AS filled, @int(x0 / 4) AS xa, @int(y0 / 4) AS ya,
+ @int((CASE kind WHEN 're' THEN x1 + 5 ELSE x1 END) / 4) AS xb, @int((CASE kind WHEN 're' THEN y0 ELSE y1 END) / 4) AS yb,
+ @int((CASE kind WHEN 're' THEN x1 + 5 ELSE x1 + 7 END) / 4) AS xc, @int((CASE kind WHEN 're' THEN y1 + 8 ELSE y1 + 12 END) / 4) AS yc,
+ @int((CASE kind WHEN 're' THEN x0 ELSE x0 + 7 END) / 4) AS xd, @int((CASE kind WHEN 're' THEN y1 + 8 ELSE y0 + 12 END) / 4) AS yd FROM [[items]])"""
+_PAINTED = f"""shapes AS {_SHAPES}, sides AS (SELECT page_id, item_id, filled, xa, ya, xb, yb FROM shapes UNION ALL SELECT page_id, item_id, filled, xb, yb, xc, yc FROM shapes WHERE kind <> 'l'
+  UNION ALL SELECT page_id, item_id, filled, xc, yc, xd, yd FROM shapes WHERE kind <> 'l' UNION ALL SELECT page_id, item_id, filled, xd, yd, xa, ya FROM shapes WHERE kind <> 'l'),
+ steps AS (SELECT *, unnest(range(CAST(n AS BIGINT) + 1)) AS k FROM (SELECT *, greatest(abs(xb - xa), abs(yb - ya)) AS n FROM sides)),
+ spine AS (SELECT page_id, item_id, filled, CAST(floor(ya + (yb - ya) * t + 0.5) AS INT) AS y, CAST(floor(xa + (xb - xa) * t + 0.5) AS INT) AS x FROM (SELECT *, CASE WHEN n = 0 THEN 0.0 ELSE CAST(k AS DOUBLE) / n END AS t FROM steps)),
+ rows_ AS (SELECT *, unnest(range(least(ya, yb), greatest(ya, yb) + 1)) AS y FROM sides WHERE filled AND ya <> yb),
+ spans AS (SELECT page_id, item_id, y, min(x) AS lo, max(x) AS hi FROM (SELECT *, xa + CAST((y - ya) * (xb - xa) AS DOUBLE) / (yb - ya) AS x FROM rows_ WHERE (ya <= y) <> (yb <= y)) GROUP BY ALL),
+ painted AS (SELECT page_id, y + v.x AS y, s.x + u.x AS x, max(item_id) AS item_id FROM (
+   SELECT page_id, item_id, y, x, CASE WHEN filled THEN 0 ELSE 1 END AS reach FROM spine
+   UNION ALL SELECT page_id, item_id, y, unnest(range(CAST(ceil(lo) AS BIGINT), CAST(floor(hi) AS BIGINT) + 1)), 0 FROM spans) s CROSS JOIN @series(-1, 1) u CROSS JOIN @series(-1, 1) v
+  WHERE abs(u.x) <= reach AND abs(v.x) <= reach AND y + v.x BETWEEN 0 AND 210 AND s.x + u.x BETWEEN 0 AND 297 GROUP BY 1, 2, 3)"""
+_query("jn14_topmost_drawing", lambda w: dr.topmost(w.sql(_ON_DRAWING), w["items"], **_DRAWN).select("click_id", "item_id"), f"""
+SELECT click_id, item_id FROM (WITH {_PAINTED}, c AS (SELECT * FROM ({_ON_DRAWING}) WHERE cy BETWEEN 0 AND 210 AND cx BETWEEN 0 AND 297),
+ exact AS (SELECT c.click_id, p.item_id FROM c JOIN painted p ON c.page_id = p.page_id AND c.cy = p.y AND c.cx = p.x),
+ missed AS (SELECT * FROM c WHERE click_id NOT IN (SELECT click_id FROM exact)),
+ near AS (SELECT m.click_id, p.item_id, row_number() OVER (PARTITION BY m.click_id ORDER BY p.y, p.x) AS r FROM missed m JOIN painted p ON m.page_id = p.page_id AND p.y BETWEEN m.cy - 10 AND m.cy + 10 AND p.x BETWEEN m.cx - 10 AND m.cx + 10)
+ SELECT * FROM exact UNION ALL SELECT click_id, item_id FROM near WHERE r = 1)""")
 _query("jn15_index_lists", lambda w: ed.by_index(w["clicks"].selectExpr("click_id", "page_id", "array(click_id % 7, click_id % 700, click_id, -1L) as ids"), w["edges"]).select("click_id", "edge_id", "length"),
        "SELECT c.click_id, e.edge_id, e.length FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND e.edge_id IN (c.click_id % 7, c.click_id % 700, c.click_id, -1)")
 _ROUTE = "SELECT *, CASE WHEN mask_seq % 3 = 0 THEN 'edges' WHEN mask_seq % 3 = 1 AND real_length IS NOT NULL THEN 'polyline' WHEN cnt IS NOT NULL THEN 'raster' ELSE 'none' END AS route, coalesce(category, 'Walls') AS cat FROM [[masks]]"
@@ -496,7 +517,7 @@ _query("ras29_detection_summary", lambda w: rooms.detection_summary(_outlined(w)
 _query("ras31_hybrid_select", lambda w: w.sql(_EVERY_CLICK).join(
            _traced(w).join(w.sql(_SAMPLE).where("structural").select("page_id", "edge_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), ["page_id", "y", "x"]).select(*rooms.SPOT, "edge_id").distinct(), rooms.SPOT)
        .select("click_id", "edge_id").distinct())
-_query("ras32_magic_wand", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH))
+_query("ras32_magic_wand", lambda w: dr.wand(w.sql(_ON_DRAWING), w["items"], **_DRAWN))
 _query("ras33_vector_rooms", lambda w: _vector_rooms(w))
 _query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).drop("mask"))
 _query("ras36_opening_line", lambda w: raster.rasterise(_openings(w), 13).groupBy("page_id").agg(F.count(F.lit(1)).alias("area")))

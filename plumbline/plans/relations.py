@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.operators import edges, gaps, labels
+from plumbline.operators import drawings, edges, gaps, labels
 from plumbline.operators import raster as pixels
 from plumbline.sources.fixtures import ADAPTERS, Workspace
 
@@ -28,6 +28,8 @@ DERIVED = {
     "detected": lambda w: w.sql(SQL["detected"]),
     "flat_paths": lambda w: w.sql(SQL["flat_paths"]),
     "strokes": lambda w: w.sql(SQL["strokes"]),
+    "drawings": lambda w: paths(w.sql(SQL["drawn"])),
+    "items": lambda w: drawings.items(w["drawings"], edges.PAGE_WIDTH, edges.PAGE_HEIGHT),
 }
 
 _HATCH = "(((angle > 20 AND angle < 70) OR (angle > 110 AND angle < 160)) AND length < 20)"
@@ -86,6 +88,13 @@ SELECT page_id, CAST(ln AS BIGINT) AS ln, string_agg(text, ' ' ORDER BY x0, word
     "detected": """
 SELECT project_id, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE CAST(@half(sum(coalesce(real_length, 0)), 3) AS DOUBLE) END AS wall_length,
  CAST(@countif(category = 'Doors') AS BIGINT) AS doors, CAST(@countif(category = 'Windows') AS BIGINT) AS windows FROM [[masks]] GROUP BY project_id""",
+    # Paths of a page: a line, a box or a parallelogram by the kind of edge, and a closing line in each third.
+    "drawn": """
+SELECT page_id, raw_id AS drawing_id, CASE WHEN fill AND stroke THEN 'fs' WHEN fill THEN 'f' ELSE 's' END AS type, color, CASE WHEN fill THEN 'K' END AS fill, nullif(linewidth, 0) AS width, is_dashed,
+ CASE object_type WHEN 'line' THEN 'l' WHEN 'rect_edge' THEN 're' ELSE 'qu' END AS kind, raw_id % 3 = 0 AS closed, x0, y0, x1, y1 FROM [[edges_raw]]""",
+    "items": """
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY drawing_id, pos) - 1 AS BIGINT) AS item_id, CASE WHEN type = 's' THEN 'stroke' ELSE 'fill' END AS type, color, fill, width, kind, x0, y0, x1, y1
+FROM (SELECT *, 0 AS pos FROM [[drawn]] UNION ALL SELECT * REPLACE ('l' AS kind, x1 AS x0, y1 AS y0, x0 AS x1, y0 + 12 AS y1), 1 FROM [[drawn]] WHERE closed) WHERE NOT is_dashed""",
     # Pointer paths: a click and the places it was dragged to; users' strokes for calibration.
     "flat_paths": """
 SELECT click_id, page_id, x AS x0, y AS y0, x + CAST(click_id % 40 AS DOUBLE) AS x1, y AS y1, x + CAST(click_id % 40 AS DOUBLE) AS x2, y + CAST(click_id % 30 AS DOUBLE) AS y2 FROM [[clicks]]""",
@@ -104,6 +113,19 @@ SELECT page_id, text, x, y, ({ROOM_SQL} OR {TITLE_SQL}) AS is_room_label
 FROM (SELECT *, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM [[phrases]]) WHERE x >= 0 AND y >= 0 AND x <= 1191 AND y <= 842 AND NOT {DIMENSION_SQL}"""
 
 
+def paths(drawn):
+    """Drawings with arrays of items from their first items' corners."""
+    from pyspark.sql import functions as F
+
+    point = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    item = lambda kind, *points: F.struct(F.lit(kind).alias("kind"), F.array(*points).alias("points"))
+    a, b = point("x0", "y0"), point("x1", "y1")
+    main = F.when(F.col("kind") == "l", item("l", a, b)).when(F.col("kind") == "re", item("re", a, point("x1 + 5", "y1 + 8"))).otherwise(
+        item("qu", a, b, point("x1 + 7", "y1 + 12"), point("x0 + 7", "y0 + 12")))
+    some = F.when(F.col("closed"), F.array(main, item("l", b, point("x0", "y0 + 12")))).otherwise(F.array(main))
+    return drawn.select("page_id", "drawing_id", "type", "color", "fill", "width", "is_dashed", some.alias("items"))
+
+
 def page_height(w: Workspace) -> int:
     top = w["raster"].agg({"y": "max"}).first()[0]
     return max(HEIGHT, 0 if top is None else int(top) + 1)

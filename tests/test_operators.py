@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as g
-from plumbline.operators import edges, gaps, labels, measure, raster, rooms, spatial, state
+from plumbline.operators import drawings, edges, gaps, labels, measure, raster, rooms, spatial, state
 from plumbline.sources import documents, fixtures
 from plumbline.streaming import clicks
 
@@ -395,3 +395,33 @@ def test_rooms_are_named_by_labels_inside(spark):
     found = rooms.split_lines(lines, 60, 100, scale=2.0, close=1)
     named = sorted((round(r.cx), r["name"]) for r in rooms.name_rooms(found, labels, reach=5.0, scale=2.0).collect())
     assert named == [(20, "Corner"), (40, "Room 2")]
+
+
+DRAWN = "page_id long, drawing_id long, type string, color string, fill string, width double, is_dashed boolean, items array<struct<kind:string,points:array<struct<x:double,y:double>>>>"
+
+
+def test_wand_selects_like_strokes(spark):
+    line = lambda *p: ("l", [p[:2], p[2:]])
+    rows = [
+        (0, 0, "s", "A", None, 1.0, False, [("re", [(0.0, 0.0), (99.0, 99.0)])]),  # the page's border, a background
+        (0, 1, "s", "A", None, 1.0, False, [line(10.0, 10.0, 60.0, 10.0), line(60.0, 10.0, 60.0, 40.0)]),
+        (0, 2, "s", "B", None, 1.0, False, [line(30.0, 5.0, 30.0, 50.0)]),  # crosses it in another colour
+        (0, 3, "s", "A", None, 1.6, False, [line(10.0, 10.0, 10.0, 90.0)]),  # too wide to be like it
+        (0, 4, "s", "A", None, 1.5, False, [line(10.0, 12.0, 20.0, 12.0)]),  # just like it, and touching
+        (0, 5, "s", "A", None, 1.0, True, [line(12.0, 10.0, 12.0, 90.0)]),  # dashed
+        (0, 6, "f", None, "K", None, None, [("re", [(70.0, 60.0), (80.0, 80.0)]), ("qu", [(70.0, 85.0), (80.0, 85.0), (85.0, 95.0), (75.0, 95.0)])]),
+        (1, 7, "s", "A", None, 1.0, False, [line(10.0, 10.0, 20.0, 10.0)]),
+    ]
+    items = drawings.items(spark.createDataFrame(rows, DRAWN), 100.0, 100.0)
+    assert [(r.page_id, r.item_id, r.kind) for r in items.orderBy("page_id", "item_id").collect()] == [(0, k, x) for k, x in enumerate(("l", "l", "l", "l", "l", "re", "qu"))] + [(1, 0, "l")]
+    clicks = [(1, 0, 10, 40), (2, 0, 10, 30), (3, 0, 70, 75), (4, 0, 90, 78), (5, 0, 50, 3), (6, 0, 45, 95), (7, 1, 5, 100), (8, 1, 12, 15)]
+    found = drawings.wand(spark.createDataFrame(clicks, "click_id long, page_id long, cy int, cx int"), items, 1.0, 100, 100)
+    got = {r.click_id: (r.item_id, r.area, r.length) for r in found.collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 8}  # 6 is on bare paper, 7 off the page
+    assert got[1][0] == 0 and got[2][0] == 2 and got[3] == (5, 200.0, 30.0) and got[4][0] == 6 and got[5][0] == 3 and got[8][0] == 0
+    assert got[8][1:] == (24.0, 14.0) and got[2][1:] == (94.0, 49.0)
+    assert got[4][1] == pytest.approx(100, abs=12) and got[1][2] > 80
+    same = drawings.layers(items.select("page_id", "item_id"), items).where("page_id = 0").groupBy("layer").agg(F.sort_array(F.collect_list("item_id")).alias("l")).collect()
+    assert {r.layer: r.l for r in same} == {0: [0, 1, 4], 2: [2], 3: [3, 4], 4: [0, 1, 3, 4], 5: [5, 6]}
+    none = spark.createDataFrame([], "click_id long, page_id long, cy int, cx int")
+    assert drawings.wand(none, items, 1.0, 100, 100).count() == 0 == drawings.wand(none.union(spark.createDataFrame(clicks)), items.limit(0), 1.0, 100, 100).count()
