@@ -66,12 +66,15 @@ def parse_polyline(text: Column) -> Column:
     return F.when(~F.exists(points, lambda p: p.x.isNull() | p.y.isNull()), points)
 
 
+def segment_lengths(points: Column) -> Column:
+    """Lengths of successive segments; none below two points."""
+    n = F.greatest(F.size(points) - 1, F.lit(0))
+    return F.zip_with(F.slice(points, F.lit(1), n), F.slice(points, F.lit(2), n), lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))
+
+
 def polyline_length(points: Column) -> Column:
     """Sum of the lengths of successive segments; null below two points."""
-    n = F.size(points)
-    parts = F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))),
-                       lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)))
-    return F.when(n >= 2, F.aggregate(parts, F.lit(0.0), lambda acc, d: acc + d))
+    return F.when(F.size(points) >= 2, F.aggregate(segment_lengths(points), F.lit(0.0), lambda acc, d: acc + d))
 
 
 def shoelace(points: Column) -> Column:

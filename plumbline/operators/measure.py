@@ -12,6 +12,14 @@ def real(value: Column, scale: Column, power: int = 1) -> Column:
     return F.try_divide(value, F.pow(scale, F.lit(power)) if power > 1 else scale)
 
 
+def real_from_pixels(value: Column, scale: Column, power: int = 1, *, dpi: float = 200.0, compat: bool = False) -> Column:
+    """Pixels of a page drawn at ``dpi`` to units, by way of points, in which projects are calibrated.
+
+    With ``compat`` pixels are taken for points, as the engine's older reports have it.
+    """
+    return real(value if compat else value * (72.0 / dpi) ** power, scale, power)
+
+
 def wall_area(masks: DataFrame, wall_height: float, places: int = 2) -> DataFrame:
     """Gross wall area by project: wall lengths times height, and what is above doors and windows."""
     length, height = F.coalesce("real_length", F.lit(0.0)), F.coalesce("height", F.lit(0.0))

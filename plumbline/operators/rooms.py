@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import raster as r
 from plumbline.operators.labels import number_names
+from plumbline.operators.spatial import ring_search
 
 SPOT = ["page_id", "cy", "cx"]
 ROOMS = "page_id long, room_seq int, wall_count int, area double, perimeter double, cx double, cy double, mask binary"
@@ -360,3 +361,18 @@ def depth(ink: DataFrame, height: int, width: int) -> DataFrame:
         return pd.DataFrame({"page_id": key[0], "y": y.astype(np.int32), "x": x.astype(np.int32), "d": d[y, x]})
 
     return ink.groupBy("page_id").applyInPandas(run, "page_id long, y int, x int, d double")
+
+
+def distance_bands(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25) -> DataFrame:
+    """(click_id, d, n): the half thickness d of the ink at each click and how many pixels of the page are in its band.
+
+    d is that of the deepest pixel of the nearest ring with ink within ``radius``; the band is ink between the larger of
+    0.3 and 0.3 d, and 4 d. Bands are counted from a page's histogram of distances, not from its pixels.
+    """
+    deep = depth(ink, height, width)
+    at = clicks.select("click_id", "page_id").join(ring_search(clicks, deep, radius, "d", highest="d").select("click_id", "d"), "click_id")
+    hist = deep.groupBy("page_id", F.col("d").alias("of")).agg(F.count(F.lit(1)).alias("m"))
+    inside = (F.col("of") >= F.greatest(F.lit(0.3), 0.3 * F.col("d"))) & (F.col("of") <= 4 * F.col("d"))
+    bands = at.select("page_id", "d").distinct().toDF("page", "deep")
+    bands = bands.join(hist, F.col("page") == F.col("page_id")).withColumn("d", F.col("deep")).where(inside).groupBy("page", "deep").agg(F.sum("m").alias("n"))
+    return at.join(bands, (F.col("page_id") == F.col("page")) & (F.col("d") == F.col("deep"))).select("click_id", "d", "n")

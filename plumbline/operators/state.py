@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions import geometry as g
+
 
 def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """Rows of both; a value that changes has and is not null replaces the current one. Adds status: inserted, updated or no_change."""
@@ -47,3 +49,30 @@ def undo(masks: DataFrame) -> DataFrame:
     """All masks of a project but the last."""
     last = Window.partitionBy("project_id").orderBy(F.col("mask_seq").desc())
     return masks.withColumn("r", F.row_number().over(last)).where("r > 1").drop("r")
+
+
+def routed(masks: DataFrame) -> DataFrame:
+    """masks(..., category, edge_ids, polyline_points, mask_b64, src) with route and kind, by which a mask bounds rooms.
+
+    Edge ids come first, then a drawn polyline, then a picture (base64 in mask_b64 or behind "base64," in src). A polyline
+    of fewer than two points, or with a coordinate that is no number, bounds nothing ("none"), even beside a picture.
+    kind is wall for walls and masks without a category, else opening.
+    """
+    points = g.parse_polyline(F.col("polyline_points"))
+    picture = (F.coalesce("mask_b64", F.lit("")) != "") | F.coalesce(F.length(F.substring_index("src", "base64,", -1)) > 0, F.lit(False)) & F.coalesce(F.contains("src", F.lit("base64,")), F.lit(False))
+    drawn = F.coalesce("polyline_points", F.lit("")) != ""
+    route = F.when(F.coalesce(F.size("edge_ids"), F.lit(0)) > 0, "edges").when(drawn, F.when(F.size(points) >= 2, "polyline").otherwise("none")).when(picture, "raster").otherwise("none")
+    kind = F.when(F.coalesce("category", F.lit("Walls")) == "Walls", "wall").otherwise("opening")
+    return masks.withColumn("route", route).withColumn("kind", kind)
+
+
+def engine_choice(routes: DataFrame) -> DataFrame:
+    """(project_id, engine): vector for projects with wall edges or a polyline, else raster."""
+    lines = ((F.col("route") == "edges") & (F.col("kind") == "wall")) | (F.col("route") == "polyline")
+    return routes.groupBy("project_id").agg(F.when(F.bool_or(lines), "vector").otherwise("raster").alias("engine"))
+
+
+def drawn_as(masks: DataFrame) -> DataFrame:
+    """masks with drawn: what of a mask is shown, a polyline before the paths of its edges before a picture; null for none."""
+    full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    return masks.withColumn("drawn", F.when(full("polyline_points"), "polyline").when(F.coalesce(F.size("edge_ids"), F.lit(0)) > 0, "svg").when(full("mask_b64") | full("src"), "image"))

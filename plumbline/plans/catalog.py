@@ -208,8 +208,6 @@ _KEPT = f"""(SELECT page_id, edge_id FROM [[edges]] WHERE structural EXCEPT SELE
 _query("jn09_erase", lambda w: spatial.erase(w["selection"], w["edges"], w["erasers"]), f"SELECT page_id, edge_id FROM {_KEPT}")
 _SAMPLE = "SELECT DISTINCT e.page_id % 8 AS page_id, e.edge_id, e.structural, @int((x0 + (x1 - x0) * x / 4) / 20) AS px, @int((y0 + (y1 - y0) * x / 4) / 20) AS py FROM [[edges]] e CROSS JOIN @series(0, 4)"
 _query("jn10_snap_edges", lambda w: spatial.snap_edges(w["edges"].withColumn("page_id", F.col("page_id") % 8), w["ink"], 1 / 20), f"SELECT DISTINCT s.page_id, s.edge_id FROM ({_SAMPLE}) s JOIN [[ink]] i ON s.page_id = i.page_id AND s.px = i.x AND s.py = i.y WHERE s.structural")
-_both("jn11_label_in_room", """
-SELECT p.page_id, i.y, i.x, min(p.text) AS label FROM [[phrases]] p JOIN [[ink]] i ON p.page_id % 8 = i.page_id AND @int((p.x0 + p.x1) / 40) = i.x AND @int((p.y0 + p.y1) / 40) = i.y GROUP BY p.page_id, i.y, i.x""")
 _query("jn12_label_fallback", lambda w: _label_fallback(w), """
 SELECT page_id, gap_id, coalesce(text, 'Room ' || (gap_id + 1)) AS name FROM (
  SELECT g.page_id, g.gap_id, l.text, row_number() OVER (PARTITION BY g.page_id, g.gap_id ORDER BY sqrt((l.x - g.mx) * (l.x - g.mx) + (l.y - g.my) * (l.y - g.my)), l.text) AS r
@@ -255,9 +253,11 @@ SELECT click_id, item_id FROM (WITH {_PAINTED}, c AS (SELECT * FROM ({_ON_DRAWIN
  SELECT * FROM exact UNION ALL SELECT click_id, item_id FROM near WHERE r = 1)""")
 _query("jn15_index_lists", lambda w: ed.by_index(w["clicks"].selectExpr("click_id", "page_id", "array(click_id % 7, click_id % 700, click_id, -1L) as ids"), w["edges"]).select("click_id", "edge_id", "length"),
        "SELECT c.click_id, e.edge_id, e.length FROM [[clicks]] c JOIN [[edges]] e ON c.page_id = e.page_id AND e.edge_id IN (c.click_id % 7, c.click_id % 700, c.click_id, -1)")
-_ROUTE = "SELECT *, CASE WHEN mask_seq % 3 = 0 THEN 'edges' WHEN mask_seq % 3 = 1 AND real_length IS NOT NULL THEN 'polyline' WHEN cnt IS NOT NULL THEN 'raster' ELSE 'none' END AS route, coalesce(category, 'Walls') AS cat FROM [[masks]]"
-_both("jn16_mask_routing", f"SELECT project_id, mask_seq, route, CASE WHEN cat = 'Walls' THEN 'wall' ELSE 'opening' END AS kind FROM ({_ROUTE})")
-_both("jn17_engine_choice", f"SELECT project_id, CASE WHEN max(CASE WHEN cat = 'Walls' AND route = 'edges' OR route = 'polyline' THEN 1 ELSE 0 END) = 1 THEN 'vector' ELSE 'raster' END AS engine FROM ({_ROUTE}) GROUP BY project_id")
+_ROUTED = """(SELECT *, CASE WHEN category IN ('Doors', 'Windows') THEN 'opening' ELSE 'wall' END AS kind,
+ CASE WHEN edge_text LIKE '%_%' THEN 'edges' WHEN polyline_points LIKE '1,2 3%' THEN 'polyline' WHEN polyline_points LIKE '1%' THEN 'none' WHEN mask_b64 LIKE 'a%' OR src LIKE 'data%' THEN 'raster' ELSE 'none' END AS route FROM [[mask_texts]])"""
+_query("jn16_mask_routing", lambda w: state.routed(w["mask_state"]).select("project_id", "mask_seq", "route", "kind"), f"SELECT project_id, mask_seq, route, kind FROM {_ROUTED}")
+_query("jn17_engine_choice", lambda w: state.engine_choice(state.routed(w["mask_state"])),
+       f"SELECT project_id, CASE WHEN count(*) FILTER (WHERE route = 'polyline' OR (route = 'edges' AND kind = 'wall')) > 0 THEN 'vector' ELSE 'raster' END AS engine FROM {_ROUTED} GROUP BY project_id")
 
 # --- graph -------------------------------------------------------------------------------------------------------------
 _ADJ = """adj AS (SELECT DISTINCT a.page_id, a.edge_id AS f, b.edge_id AS t FROM ends a JOIN ends b ON a.page_id = b.page_id AND a.edge_id <> b.edge_id AND abs(a.x - b.x) <= 3 AND abs(a.y - b.y) <= 3
@@ -358,14 +358,27 @@ SELECT project_id, 'Walls' AS category, round(wall_length, 4) AS real_length, 0.
 UNION ALL SELECT project_id, 'Doors', round(CAST(0.9 AS DOUBLE) * doors, 4), CAST(2.1 AS DOUBLE), doors FROM [[detected]] WHERE doors > 0
 UNION ALL SELECT project_id, 'Windows', round(CAST(1.2 AS DOUBLE) * windows, 4), CAST(1.2 AS DOUBLE), windows FROM [[detected]] WHERE windows > 0""")
 _both("ms10_default_heights", "SELECT project_id, mask_seq, CASE category WHEN 'Doors' THEN CAST(2.1 AS DOUBLE) WHEN 'Windows' THEN CAST(1.2 AS DOUBLE) ELSE coalesce(nullif(height, 0), CAST(2.4 AS DOUBLE)) END AS height FROM [[masks]]")
-_both("ms11_segment_lengths", "SELECT click_id, x1 - x0 AS first_part, y2 - y1 AS second_part, (x1 - x0) + (y2 - y1) AS total FROM [[flat_paths]]")
+_query("ms11_segment_lengths", lambda w: _paths(w).select("click_id", g.polyline_length(F.col("p")).alias("total"), F.posexplode(g.segment_lengths(F.col("p"))).alias("part", "length")),
+       "SELECT click_id, (x1 - x0) + (y2 - y1) AS total, 0 AS part, x1 - x0 AS length FROM [[flat_paths]] UNION ALL SELECT click_id, (x1 - x0) + (y2 - y1), 1, y2 - y1 FROM [[flat_paths]]")
 _both("ms12_calibration_strokes", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 5")
 _both("ms13_opening_lines", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 3")
-_both("ms14_real_units", "SELECT e.page_id, e.edge_id, round(@div(e.length, p.scale_factor), 6) AS real_length, round(@div(e.length, p.scale_factor * p.scale_factor), 6) AS real_area FROM [[edges]] e JOIN [[projects]] p ON e.page_id = p.page_id")
+_query("ms14_real_units", lambda w: _real_units(w), """
+SELECT e.page_id, e.edge_id, round(e.length / nullif(p.scale_factor, 0), 6) AS real_length, round(e.length / nullif(p.scale_factor, 0), 6) AS from_pixels,
+ round(e.length * e.length / nullif(p.scale_factor * p.scale_factor, 0), 6) AS area_from_pixels, round(e.length * 25 / 9 / nullif(p.scale_factor, 0), 6) AS compat_length
+FROM [[edges]] e JOIN [[projects]] p ON e.page_id = p.page_id""")
+
+
+def _real_units(w: Workspace) -> DataFrame:
+    both, pixels, scale = w["edges"].join(w["projects"], "page_id"), F.col("length") * (200 / 72), F.col("scale_factor")
+    return both.select("page_id", "edge_id", F.round(measure.real(F.col("length"), scale), 6).alias("real_length"), F.round(measure.real_from_pixels(pixels, scale), 6).alias("from_pixels"),
+                       F.round(measure.real_from_pixels(pixels * pixels, scale, 2), 6).alias("area_from_pixels"), F.round(measure.real_from_pixels(pixels, scale, compat=True), 6).alias("compat_length"))
+
+
 _query("ms15_erase_and_measure", lambda w: spatial.erase(w["selection"], w["edges"], w["erasers"]).join(w["edges"], ["page_id", "edge_id"]).groupBy("page_id").agg(F.round(F.sum("length"), 4).alias("length"), F.count(F.lit(1)).alias("n")),
        f"SELECT k.page_id, round(sum(e.length), 4) AS length, count(*) AS n FROM {_KEPT} k JOIN [[edges]] e ON k.page_id = e.page_id AND k.edge_id = e.edge_id GROUP BY k.page_id")
 _both("ms16_mask_merge", "SELECT a.project_id, a.mask_seq, coalesce(b.real_length, a.real_length) AS real_length, coalesce(b.height, a.height) AS height FROM [[masks]] a LEFT JOIN (SELECT project_id, mask_seq + 100 AS mask_seq, real_length, nullif(height, 0) AS height FROM [[masks]]) b ON a.project_id = b.project_id AND a.mask_seq = b.mask_seq")
-_both("ms17_render_priority", f"SELECT project_id, mask_seq, CASE route WHEN 'polyline' THEN 'polyline' WHEN 'edges' THEN 'svg' WHEN 'raster' THEN 'image' END AS drawn FROM ({_ROUTE})")
+_query("ms17_render_priority", lambda w: state.drawn_as(w["mask_state"]).select("project_id", "mask_seq", "drawn"),
+       "SELECT project_id, mask_seq, CASE WHEN mask_seq % 5 < 3 THEN 'polyline' WHEN mask_seq % 3 = 0 THEN 'svg' WHEN mask_seq % 7 = 0 OR mask_seq % 11 < 9 THEN 'image' END AS drawn FROM [[mask_texts]]")
 _both("ms18_screen_to_points", "SELECT click_id, round((x - 17) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS nx, round((y - 9) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS ny FROM [[clicks]]")
 
 # --- sinks and state ---------------------------------------------------------------------------------------------------
@@ -452,15 +465,11 @@ _STATS = f"""(SELECT page_id, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 A
 _query("agg13_component_stats", lambda w: raster.component_stats(raster.components(w["ink"])), f"SELECT * FROM {_STATS}")
 _query("agg14_ink_box", lambda w: w["ink"].groupBy("page_id").agg(*[F.floor(F.percentile(c, F.lit(p))).alias(f"{c}_{n}") for c in ("x", "y") for n, p in (("lo", 0.02), ("hi", 0.98))]),
        "SELECT page_id, CAST(floor(quantile_cont(x, 0.02)) AS BIGINT) AS x_lo, CAST(floor(quantile_cont(x, 0.98)) AS BIGINT) AS x_hi, CAST(floor(quantile_cont(y, 0.02)) AS BIGINT) AS y_lo, CAST(floor(quantile_cont(y, 0.98)) AS BIGINT) AS y_hi FROM [[ink]] GROUP BY page_id")
-_both("agg15_window_mode", """
-SELECT page_id, wy, wx, g FROM (SELECT *, row_number() OVER (PARTITION BY page_id, wy, wx ORDER BY n DESC, g) AS r FROM (
- SELECT page_id, @floor(y / 20) AS wy, @floor(x / 20) AS wx, @floor(gray / 32) AS g, count(*) AS n FROM [[raster]] GROUP BY 1, 2, 3, 4)) WHERE r = 1""")
 _both("agg16_removed_share", "SELECT r.page_id, round(CAST(100 AS DOUBLE) * count(i.x) / count(*), 4) AS pct FROM [[raster]] r LEFT JOIN [[ink]] i ON r.page_id = i.page_id AND r.y = i.y AND r.x = i.x GROUP BY r.page_id")
 _query("top03_smallest_component", lambda w: raster.component_stats(raster.components(w["ink"])).where("area > 2").groupBy("page_id").agg(F.min_by(F.struct("label_y", "label_x", "area"), F.struct("area", "label_y", "label_x")).alias("m")).select("page_id", "m.*"),
        f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area, label_y, label_x) AS r FROM {_STATS} WHERE area > 2) WHERE r = 1")
 _query("top04_largest_component", lambda w: raster.component_stats(raster.components(w["ink"])).groupBy("page_id").agg(F.min_by(F.struct("label_y", "label_x", "area"), F.struct(-F.col("area"), "label_y", "label_x")).alias("m")).select("page_id", "m.*"),
        f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label_y, label_x) AS r FROM {_STATS}) WHERE r = 1")
-_both("ras09_distance_band", "SELECT page_id, y, x, gray FROM [[raster]] WHERE gray >= greatest(0.3, 0.3 * 150) AND gray <= 4 * 60")
 _PIXEL = "SELECT click_id, page_id % 8 AS page_id, @int(x / 20) AS cx, @int(y / 20) AS cy FROM [[clicks]]"
 _query("ras10_ring_search", lambda w: spatial.ring_search(w.sql(_PIXEL), w["ink"], 25), f"""
 SELECT click_id, y, x, ring FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ring, y, x) AS r FROM (
@@ -506,7 +515,24 @@ _query("geo16_simplify", lambda w: _outlined(w).select("page_id", "label_y", "la
 _query("agg17_contour_length", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "length"))
 _query("agg18_large_contours", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "large"))
 _query("agg19_precise_area", lambda w: rooms.detection_summary(_outlined(w)).select("page_id", "area"))
-_query("ras08_distance", lambda w: rooms.depth(w["ink2"], _page_height(w), WIDTH))
+_DEPTH = """depth AS (SELECT i.page_id, i.y, i.x, sqrt(min((i.y - f.y) * (i.y - f.y) + (i.x - f.x) * (i.x - f.x))) AS d FROM [[ink2]] i JOIN (
+  SELECT page_id, y, x FROM (SELECT DISTINCT page_id FROM [[ink2]]) CROSS JOIN (SELECT unnest(range(max(y) + 1)) AS y FROM [[raster]]) CROSS JOIN (SELECT x FROM @series(0, 63)) EXCEPT SELECT page_id, y, x FROM [[ink2]]) f
+ ON i.page_id = f.page_id GROUP BY ALL)"""
+_query("ras08_distance", lambda w: rooms.depth(w["ink2"], _page_height(w), WIDTH).withColumn("d", F.round("d", 6)), f"SELECT page_id, y, x, round(d, 6) AS d FROM (WITH {_DEPTH} SELECT * FROM depth)")
+_query("ras09_distance_band", lambda w: rooms.distance_bands(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH).withColumn("d", F.round("d", 6)), f"""
+SELECT click_id, round(any_value(d), 6) AS d, CAST(sum(m) AS BIGINT) AS n FROM (WITH {_DEPTH}, hist AS (SELECT page_id, d AS of_, count(*) AS m FROM depth GROUP BY ALL),
+ spots AS (SELECT click_id, page_id, d FROM (SELECT c.click_id, c.page_id, k.d, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), k.d DESC, y, x) AS r
+  FROM ({_EVERY_CLICK}) c JOIN depth k ON c.page_id = k.page_id AND y BETWEEN cy - 25 AND cy + 25 AND x BETWEEN cx - 25 AND cx + 25) WHERE r = 1)
+ SELECT a.click_id, a.d, h.m FROM spots a JOIN hist h ON a.page_id = h.page_id AND of_ >= greatest(0.3, 0.3 * a.d) AND of_ <= 4 * a.d) GROUP BY click_id""")
+_PARTS = f"(SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')})"
+_query("agg15_window_mode", lambda w: spatial.window_mode(w.sql(_EVERY_CLICK), raster.components(w["ink2"]), "label_y", "label_x"), f"""
+SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY n DESC, label_y, label_x) AS r FROM (SELECT c.click_id, p.label_y, p.label_x, count(*) AS n
+ FROM ({_EVERY_CLICK}) c JOIN {_PARTS} p ON c.page_id = p.page_id AND p.y >= cy - 10 AND p.y < cy + 10 AND p.x >= cx - 10 AND p.x < cx + 10 GROUP BY ALL)) WHERE r = 1""")
+_query("jn11_label_in_room", lambda w: labels.labels_inside(raster.components(w["ink2"]), w["labels"].withColumn("page_id", F.col("page_id") % 8), 1 / 20), f"""
+SELECT page_id, label_y, label_x, text FROM (SELECT p.page_id, p.label_y, p.label_x, l.text, row_number() OVER (PARTITION BY p.page_id, p.label_y, p.label_x
+  ORDER BY round(sqrt((l.x / 20 - p.cx) * (l.x / 20 - p.cx) + (l.y / 20 - p.cy) * (l.y / 20 - p.cy)), 6), l.text) AS r
+ FROM (SELECT *, avg(x) OVER u AS cx, avg(y) OVER u AS cy FROM {_PARTS} WINDOW u AS (PARTITION BY page_id, label_y, label_x)) p
+ JOIN [[labels]] l ON p.page_id = l.page_id % 8 AND l.is_room_label AND p.y = @int(l.y / 20) AND p.x = @int(l.x / 20)) WHERE r = 1""")
 _query("ras11_label_search", lambda w: spatial.ring_search(w.sql(_EVERY_CLICK), raster.components(w["ink2"]), 20, "label_y", "label_x").select("click_id", "label_y", "label_x"),
        f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_EVERY_CLICK}) c
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")

@@ -29,6 +29,7 @@ DERIVED = {
     "flat_paths": lambda w: w.sql(SQL["flat_paths"]),
     "strokes": lambda w: w.sql(SQL["strokes"]),
     "drawings": lambda w: paths(w.sql(SQL["drawn"])),
+    "mask_state": lambda w: w.sql(SQL["mask_texts"]).selectExpr("* except (edge_text)", "cast(filter(split(edge_text, ' '), z -> z <> '') as array<int>) as edge_ids"),
     "items": lambda w: drawings.items(w["drawings"], edges.PAGE_WIDTH, edges.PAGE_HEIGHT),
 }
 
@@ -88,6 +89,11 @@ SELECT page_id, CAST(ln AS BIGINT) AS ln, string_agg(text, ' ' ORDER BY x0, word
     "detected": """
 SELECT project_id, CASE WHEN count(*) % 5 = 0 THEN NULL ELSE CAST(@half(sum(coalesce(real_length, 0)), 3) AS DOUBLE) END AS wall_length,
  CAST(@countif(category = 'Doors') AS BIGINT) AS doors, CAST(@countif(category = 'Windows') AS BIGINT) AS windows FROM [[masks]] GROUP BY project_id""",
+    # What clients store of a mask, with malformed and empty values.
+    "mask_texts": """
+SELECT project_id, mask_seq, category, CASE WHEN mask_seq % 3 = 0 THEN '3 5 8' WHEN mask_seq % 4 = 0 THEN '' END AS edge_text,
+ CASE mask_seq % 5 WHEN 0 THEN '1,2 3.5,4' WHEN 1 THEN '1,2 9' WHEN 2 THEN '1,x 3,4' WHEN 3 THEN '' END AS polyline_points,
+ CASE WHEN mask_seq % 7 = 0 THEN 'aGk=' WHEN mask_seq % 7 = 1 THEN '' END AS mask_b64, CASE WHEN mask_seq % 11 < 5 THEN 'data:image/png;base64,aGk=' WHEN mask_seq % 11 < 9 THEN 'blob:x' END AS src FROM [[masks]]""",
     # Paths of a page: a line, a box or a parallelogram by the kind of edge, and a closing line in each third.
     "drawn": """
 SELECT page_id, raw_id AS drawing_id, CASE WHEN fill AND stroke THEN 'fs' WHEN fill THEN 'f' ELSE 's' END AS type, color, CASE WHEN fill THEN 'K' END AS fill, nullif(linewidth, 0) AS width, is_dashed,

@@ -425,3 +425,20 @@ def test_wand_selects_like_strokes(spark):
     assert {r.layer: r.l for r in same} == {0: [0, 1, 4], 2: [2], 3: [3, 4], 4: [0, 1, 3, 4], 5: [5, 6]}
     none = spark.createDataFrame([], "click_id long, page_id long, cy int, cx int")
     assert drawings.wand(none, items, 1.0, 100, 100).count() == 0 == drawings.wand(none.union(spark.createDataFrame(clicks)), items.limit(0), 1.0, 100, 100).count()
+
+
+def test_mask_routing(spark):
+    rows = [
+        (1, 1, None, [3], "1,2 3,4", None, None), (1, 2, "Doors", [], "1,2 3,4", "aGk=", None), (1, 3, "Doors", None, "1,x 3,4", "aGk=", None), (1, 4, "Walls", None, "1,2", None, "data:image/png;base64,aGk="),
+        (1, 5, "Walls", None, "", "", "data:image/png;base64,aGk="), (1, 6, "Walls", None, None, None, "data:image/png;base64,"), (2, 7, "Windows", [1, 2], None, None, None), (2, 8, "Walls", None, None, "aGk=", "blob:x")]
+    masks = spark.createDataFrame(rows, "project_id long, mask_seq long, category string, edge_ids array<int>, polyline_points string, mask_b64 string, src string")
+    got = {r.mask_seq: (r.route, r.kind) for r in state.routed(masks).collect()}
+    assert got == {1: ("edges", "wall"), 2: ("polyline", "opening"), 3: ("none", "opening"), 4: ("none", "wall"), 5: ("raster", "wall"), 6: ("none", "wall"), 7: ("edges", "opening"), 8: ("raster", "wall")}
+    assert {r.project_id: r.engine for r in state.engine_choice(state.routed(masks)).collect()} == {1: "vector", 2: "raster"}
+    assert [r.drawn for r in state.drawn_as(masks).orderBy("mask_seq").collect()] == ["polyline", "polyline", "polyline", "polyline", "image", "image", "svg", "image"]
+
+
+def test_pixels_to_units(spark):
+    row = spark.createDataFrame([(200.0, 36.0)], "px double, s double").select(
+        measure.real_from_pixels(F.col("px"), F.col("s")).alias("a"), measure.real_from_pixels(F.col("px"), F.col("s"), 2).alias("b"), measure.real_from_pixels(F.col("px"), F.col("s"), compat=True).alias("c")).first()
+    assert row.a == pytest.approx(2.0) and row.b == pytest.approx(200 * 0.36**2 / 36**2) and row.c == pytest.approx(200 / 36)
