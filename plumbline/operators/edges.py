@@ -20,6 +20,13 @@ def visible(raw: DataFrame, width: float = PAGE_WIDTH, height: float = PAGE_HEIG
     return raw.where(~glyph & ~bare_fill & ~hairline & ~outside)
 
 
+def with_ends(raw: DataFrame) -> DataFrame:
+    """raw(..., pts, bx0, by0, bx1, by1) with x0, y0, x1, y1: the first and last of two points or more, else the corners of the box."""
+    many = F.coalesce(F.size("pts"), F.lit(0)) >= 2
+    end = lambda at, c, box: F.when(many, F.element_at("pts", at)[c]).otherwise(F.col(box))
+    return raw.withColumns({"x0": end(1, "x", "bx0"), "y0": end(1, "y", "by0"), "x1": end(-1, "x", "bx1"), "y1": end(-1, "y", "by1")})
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """Edges with length, folded angle, axis and structural flags; short diagonal hatch strokes are left out; ids are dense by page."""
     out = visible(raw).withColumn("lw", F.coalesce("linewidth", F.lit(0.0)))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as g
 
@@ -60,8 +61,8 @@ def gated(seeds: DataFrame, edges: DataFrame, *, lw_tol: float, color_match: boo
     return pairs.where(ok).select("page_id", "seed", "edge_id")
 
 
-def flood_select(seeds: DataFrame, edges: DataFrame, *, lw_tol: float = 0.2, gap: float = 3.0, color_match: bool = True, structural_only: bool = True) -> DataFrame:
-    """(page_id, seed, edge_id): all edges reachable from each seed over adjacent edges that pass its gates.
+def flood_select(seeds: DataFrame, edges: DataFrame, *, lw_tol: float = 0.2, gap: float = 3.0, color_match: bool = True, structural_only: bool = True, most: int = 12000) -> DataFrame:
+    """(page_id, seed, edge_id): edges reachable from each seed over adjacent edges that pass its gates, the ``most`` nearest by steps, then by edge_id.
 
     A frontier join a round, until no edge is new; a seed that fails its own gates selects nothing. Seeds are clicks, so
     the gated relation grows with clicks times the edges of their page.
@@ -70,13 +71,16 @@ def flood_select(seeds: DataFrame, edges: DataFrame, *, lw_tol: float = 0.2, gap
     beside = adjacency(edges, gap=gap)
     beside = _saved(beside.select("page_id", F.col("a").alias("f"), F.col("b").alias("t")).unionAll(beside.select("page_id", F.col("b").alias("f"), F.col("a").alias("t"))))
     seen = frontier = _saved(allowed.where("edge_id = seed"))
+    ranked, depth = seen.withColumn("depth", F.lit(0)), 0
     while not frontier.isEmpty():
         step = frontier.join(beside, (frontier.page_id == beside.page_id) & (frontier.edge_id == beside.f)).select(frontier.page_id, "seed", F.col("t").alias("edge_id")).distinct()
         step = step.join(allowed, ["page_id", "seed", "edge_id"], "left_semi").join(seen, ["page_id", "seed", "edge_id"], "left_anti")
         frontier = _saved(step)  # only what is new is written; seen is the union of the rounds' files
-        seen = seen.unionAll(frontier)
+        seen, depth = seen.unionAll(frontier), depth + 1
+        ranked = ranked.unionAll(frontier.withColumn("depth", F.lit(depth)))
     _drop(allowed, beside)
-    return seen
+    nearest = F.row_number().over(Window.partitionBy("page_id", "seed").orderBy("depth", "edge_id"))
+    return ranked.withColumn("r", nearest).where(F.col("r") <= most).select("page_id", "seed", "edge_id")
 
 
 def components(edges: DataFrame, *, gap: float = 3.0) -> DataFrame:

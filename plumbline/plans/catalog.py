@@ -91,8 +91,18 @@ def _decoded_masks(w: Workspace, over: int) -> DataFrame:
 _both("vec01_drop_glyphs", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (object_type = 'curve_edge' AND NOT stroke)")
 _both("vec02_drop_bare_fills", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (fill AND NOT stroke)")
 _both("vec03_drop_hairlines", "SELECT page_id, raw_id FROM [[edges_raw]] WHERE NOT (fill AND coalesce(linewidth, 0) < 0.01)")
-_query("vec04_endpoints", lambda w: w["edges_raw"].withColumn("pts", F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))))
-       .select("page_id", "raw_id", F.element_at("pts", 1).x.alias("ax"), F.element_at("pts", -1).y.alias("by")), "SELECT page_id, raw_id, x0 AS ax, y1 AS by FROM [[edges_raw]]")
+_query("vec04_endpoints", lambda w: ed.with_ends(_pointed(w["edges_raw"])).select("page_id", "raw_id", "x0", "y0", "x1", "y1"),
+       "SELECT page_id, raw_id, x0, CASE WHEN raw_id % 5 < 2 THEN y0 - 1 ELSE y0 END AS y0, x1, CASE WHEN raw_id % 5 < 2 THEN y1 + 1 ELSE y1 END AS y1 FROM [[edges_raw]]")
+
+
+def _pointed(raw: DataFrame) -> DataFrame:
+    """Edges with points: three on some, one or none on others, whose box is a point higher either way."""
+    a, b = (F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y1")))
+    k = F.col("raw_id") % 5
+    pts = F.when(k == 0, F.array(a)).when(k == 2, F.array(a, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), b)).when(k > 2, F.array(a, b))
+    return raw.select("page_id", "raw_id", pts.alias("pts"), F.col("x0").alias("bx0"), (F.col("y0") - 1).alias("by0"), F.col("x1").alias("bx1"), (F.col("y1") + 1).alias("by1"))
+
+
 _both("vec05_normalise", "SELECT page_id, raw_id, x0 - 12 AS x0, y0 - 7 AS y0, x1 - 12 AS x1, y1 - 7 AS y1 FROM [[edges_raw]]")
 _query("vec06_clip", lambda w: w["visible"].select("page_id", "raw_id"), "SELECT page_id, raw_id FROM [[visible]]")
 _query("vec07_colours", lambda w: w["edges_raw"].select("page_id", "raw_id", F.bround(F.col("linewidth") / 7, 3).alias("c"), F.col("color").alias("k")),
@@ -275,6 +285,15 @@ def _flood_sql(lw_tol: float, color: bool) -> str:
  SELECT * FROM r)"""
 
 
+def _capped_sql(most: int) -> str:
+    """As _flood_sql, with the steps to each edge."""
+    text = _flood_sql(0.2, True)
+    text = text.replace("r AS (SELECT page_id, seed, edge_id FROM ok WHERE edge_id = seed", "r AS (SELECT page_id, seed, edge_id, 0 AS depth FROM ok WHERE edge_id = seed")
+    text = text.replace("UNION SELECT r.page_id, r.seed, ok.edge_id FROM r JOIN adj", "UNION SELECT r.page_id, r.seed, ok.edge_id, r.depth + 1 FROM r JOIN adj").replace("ok.edge_id = adj.t)", "ok.edge_id = adj.t WHERE r.depth < 12)")
+    text = text.replace("SELECT * FROM r)", "SELECT page_id, seed, edge_id, min(depth) AS depth FROM r GROUP BY ALL)")
+    return f"SELECT * FROM ({text.replace('SELECT page_id, seed, edge_id FROM (WITH', 'SELECT * FROM (WITH', 1)}) QUALIFY row_number() OVER (PARTITION BY page_id, seed ORDER BY depth, edge_id) <= {most}"
+
+
 _query("gr01_flood_select", lambda w: graph.flood_select(w["seeds"].distinct(), w["edges"]), _flood_sql(0.2, True))
 _query("gr01_flood_select_wide", lambda w: graph.flood_select(w["seeds"].distinct(), w["edges"], lw_tol=1.0, color_match=False), _flood_sql(1.0, False))
 _query("gr02_adjacency", lambda w: graph.adjacency(w["edges"]), f"SELECT page_id, f AS a, t AS b FROM (WITH {_ENDS}, {_ADJ} SELECT * FROM adj) WHERE f < t")
@@ -298,7 +317,7 @@ _query("top01_best_hit", lambda w: spatial.hit_test(w["clicks"], w["edges"]).whe
 _both("top02_widths_by_value", "SELECT page_id, lw, n, row_number() OVER (PARTITION BY page_id ORDER BY lw DESC) AS pos FROM (SELECT page_id, @half(lw, 2) AS lw, count(*) AS n FROM [[edges]] WHERE lw > 0 GROUP BY page_id, @half(lw, 2))")
 _query("top05_best_mask", lambda w: w["masks"].groupBy("project_id").agg(F.max_by("mask_seq", F.struct(F.coalesce("real_length", F.lit(-1.0)), -F.col("mask_seq"))).alias("mask_seq")),
        "SELECT project_id, mask_seq FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY coalesce(real_length, -1) DESC, mask_seq) AS r FROM [[masks]]) WHERE r = 1")
-_both("top06_edge_cap", "SELECT page_id, edge_id FROM (SELECT page_id, edge_id, row_number() OVER (PARTITION BY page_id ORDER BY edge_id) AS r FROM [[edges]] WHERE structural) WHERE r <= 12000")
+_query("top06_edge_cap", lambda w: graph.flood_select(w["seeds"].distinct(), w["edges"], most=2), f"SELECT page_id, seed, edge_id FROM ({_capped_sql(2)})")
 _query("top07_undo", lambda w: state.undo(w["masks"]).select("project_id", "mask_seq"),
        "SELECT project_id, mask_seq FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY mask_seq DESC) AS r FROM [[masks]]) WHERE r > 1")
 _query("top08_exists_arc", lambda w: w["gaps"].join(gp.with_arcs(w["gaps"], w["curves"]), ["page_id", "gap_id"], "left_semi").select("page_id", "gap_id", "width"),

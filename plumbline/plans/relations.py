@@ -76,7 +76,7 @@ WHERE e.length > 0.5 * g.width AND e.length < 1.5 * g.width
 SELECT g.*, CASE WHEN a.gap_id IS NOT NULL THEN 'door' WHEN coalesce(l.n, 0) >= 3 THEN 'window' ELSE 'opening' END AS type, CAST(coalesce(l.n, 0) AS BIGINT) AS n_lines
 FROM [[gaps]] g LEFT JOIN [[arcs]] a ON g.page_id = a.page_id AND g.gap_id = a.gap_id LEFT JOIN [[lines]] l ON g.page_id = l.page_id AND g.gap_id = l.gap_id""",
     "phrases": """
-SELECT page_id, CAST(ln AS BIGINT) AS ln, string_agg(text, ' ' ORDER BY x0, word_id) AS text, min(x0) AS x0, min(top) AS y0, max(x1) AS x1, max(bottom) AS y1, count(*) AS n_words FROM (
+SELECT page_id, CAST(ln AS BIGINT) AS ln, string_agg(text, ' ' ORDER BY x0, word_id) AS text, min(x0) AS x0, min(top) AS y0, max_by(x1, x0) AS x1, max(bottom) AS y1, count(*) AS n_words FROM (
  SELECT *, sum(s) OVER (PARTITION BY page_id, ln ORDER BY x0, word_id ROWS UNBOUNDED PRECEDING) AS g FROM (
   SELECT *, CASE WHEN lag(top) OVER l IS NULL OR abs(top - lag(top) OVER l) >= 5 OR x0 - lag(x1) OVER l >= 12 THEN 1 ELSE 0 END AS s
   FROM (SELECT *, @half(top / 5) AS ln FROM [[words]]) WINDOW l AS (PARTITION BY page_id, ln ORDER BY x0, word_id))) GROUP BY page_id, ln, g""",

@@ -442,3 +442,34 @@ def test_pixels_to_units(spark):
     row = spark.createDataFrame([(200.0, 36.0)], "px double, s double").select(
         measure.real_from_pixels(F.col("px"), F.col("s")).alias("a"), measure.real_from_pixels(F.col("px"), F.col("s"), 2).alias("b"), measure.real_from_pixels(F.col("px"), F.col("s"), compat=True).alias("c")).first()
     assert row.a == pytest.approx(2.0) and row.b == pytest.approx(200 * 0.36**2 / 36**2) and row.c == pytest.approx(200 / 36)
+
+
+def joined(words):
+    """Phrases of one page, word by word."""
+    out = []
+    for word_id, text, x0, top, x1, bottom in sorted(words, key=lambda w: (round(w[3] / 5), w[2], w[0])):
+        if not text.strip():
+            continue
+        if out and abs(top - out[-1][1]) < 5 and x0 - out[-1][2] < 12:
+            a = out[-1]
+            out[-1] = (f"{a[0]} {text.strip()}", a[1], x1, max(a[3], bottom), a[4] + 1)
+        else:
+            out.append((text.strip(), top, x1, bottom, 1))
+    return out
+
+
+def test_phrases_against_a_plain_loop(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for page in range(12):
+        for k in range(60 if page else 1):
+            # Tops drift by less than a line, so pieces hold words of several tops and of neighbouring lines.
+            x0, top = float(rng.integers(0, 40) * 5), float(rng.integers(0, 60) / 2)
+            rows.append((page, k, rng.choice([f"w{k}", f" w{k}", "  "], p=[0.8, 0.1, 0.1]).item(), x0, top, x0 + float(rng.integers(1, 6) * 5), top + float(rng.integers(5, 9))))
+    words = spark.createDataFrame(rows, "page_id long, word_id long, text string, x0 double, top double, x1 double, bottom double")
+    got = {}
+    for r in labels.phrases(words).collect():
+        got.setdefault(r.page_id, []).append((r.text, r.y0, r.x1, r.y1, r.n_words))
+    for page in range(12):
+        assert sorted(got.get(page, [])) == sorted(joined([r[1:] for r in rows if r[0] == page]))
+    assert labels.phrases(words.limit(0)).count() == 0
