@@ -264,13 +264,16 @@ def test_every_click_is_answered(spark, sf):
     # Independently of the plans: every click within 25 pixels of ink has a stroke, every click on the page a wand.
     traced = catalog.queries()["ras12_trace_wall"](spark, sf).collect()
     assert sorted(t.click_id for t in traced) == sorted(c[0] for c in clicks if ring[c[1:]] <= 25) and all(t.n > 0 for t in traced)
-    wands = {t.click_id: t for t in catalog.queries()["ras32_magic_wand"](spark, sf).collect()}
+    wands = {t.click_id: t for t in rooms.wand(w["ink2"], w.sql(catalog._EVERY_CLICK), height, WIDTH).collect()}
     on_ink = {(k, y, x) for k, v in ink.items() for y, x in v.tolist()}
     assert all(c[0] in wands and not wands[c[0]].filled for c in clicks if c[1:] in on_ink) and len(wands) > 100
     assert all(0 <= c[2] < height and 0 <= c[3] < WIDTH for c in clicks if c[0] in wands)
     assert catalog.queries()["ras38_cavity_fill"](spark, sf).count() == sum(t.filled for t in wands.values())
     hits = catalog.queries()["ras31_hybrid_select"](spark, sf).select("click_id").distinct().collect()
     assert len(hits) > len(clicks) / 10
+    on_drawings = catalog.queries()["ras32_magic_wand"](spark, sf).collect()  # a click that meets an item selects strokes of its kind
+    met = {t.click_id: t.item_id for t in catalog.queries()["jn14_topmost_drawing"](spark, sf).collect()}
+    assert len(on_drawings) > 900 and all(met[t.click_id] == t.item_id and t.length > 0 for t in on_drawings)
 
 
 def test_every_opening_is_drawn(spark, sf):
