@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, htmltext, licenses, linededup, minhash, oracles, toxicity, transducer, vectordup, warc
+from plumbline.llm import bpe, decontaminate, divergence, htmltext, licenses, linededup, merkle, minhash, oracles, toxicity, transducer, vectordup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +76,16 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_read(spark, sf_dir, "pages"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of ``documents`` by their distance within a language, and the terms that mark each."""
+    return divergence.audit(spark, _read(spark, sf_dir, "documents"), least=30, top=50)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves, roots and proofs of ``documents``, and what a tampered row's proof gives."""
+    return merkle.manifest(spark, _read(spark, sf_dir, "documents"), merkle.lowered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -88,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_main_text": op10_main_text,
+        "op11_source_divergence": op11_source_divergence,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
@@ -98,4 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc": warc.ORACLE_SQL,
         "op7_line_dedup": linededup.ORACLE_SQL,
         "op9_embedding_near_dedup": oracles.VECTORS,
+        "op11_source_divergence": divergence.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
