@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, decontaminate, divergence, htmltext, licenses, linededup, merkle, minhash, oracles, toxicity, transducer, vectordup, warc
+from plumbline.llm import bpe, decontaminate, divergence, fingerprints, htmltext, licenses, linededup, merkle, minhash, oracles, toxicity, transducer, vectordup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spark, _read(spark, sf_dir, "documents"), least=30, top=50)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of ``documents`` and their edited texts, and how like they are to those and to the next document's."""
+    return fingerprints.fingerprints(spark, _read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves, roots and proofs of ``documents``, and what a tampered row's proof gives."""
     return merkle.manifest(spark, _read(spark, sf_dir, "documents"), merkle.lowered())
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_main_text": op10_main_text,
         "op11_source_divergence": op11_source_divergence,
+        "op12_document_fingerprints": op12_document_fingerprints,
         "op13_merkle_manifest": op13_merkle_manifest,
     }
 
