@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line, or a sentence of one, or 16 words of a long sentence; its digest is a 64-bit hash. A sketch has
+A paragraph is a line, or of a long line 15 words and more up to the end of a sentence, 31 at most; its digest is a 64-bit hash. A sketch has
 ``3 * 8`` cells, each with the number of digests put into it and the XOR of them and of their check hashes; a digest
 goes into one cell of each of three rows. Two versions' sketches subtract cell by cell, what they share cancels, and peeling
 recovers the rest: a cell with one digest left names it, and taking it out of its other cells lays bare the next.
 
-Where that fails, more differs than the cells hold, and a sketch eight times as large is tried: the digests fall into
-eight parts by their next bits, each with a sketch of its own, and only the parts that fail are made larger again. So
+Where that fails, more differs than the cells hold, and a sketch two to eight times as large is tried: the digests fall
+into parts by their next bits, each with a sketch of its own, and only the parts that fail are made larger again. So
 the work follows the digests times the logarithm of what differs, and nothing is estimated.
 
 Everything is built-in SQL functions within a row. The one shuffle of texts brings each document beside the next: keys are
@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.scratch import Scratch
 
-#: Words of a piece at most; blanks within a line keep words together, a sentence's end or a line's does not.
-WORDS = 16
-PIECE = rf"(?:\S*[^\s.!?][ \t\r]+){{0,{WORDS - 1}}}\S+"
-#: Cells of each of a sketch's three rows (eight, as three bits choose one), rounds of peeling, and larger sketches tried.
-ROW, PEELS, LARGER = 8, 12, 10
+#: Words of a paragraph before a sentence's end closes it, and how many may follow until one does; a line's end always closes it.
+WORDS, MORE = 14, 16
+PIECE = rf"(?:\S++[ \t\r]++){{0,{WORDS}}}(?:\S++(?<![.!?])[ \t\r]++){{0,{MORE}}}\S++"
+#: Cells of each of a sketch's three rows (eight, as three bits choose one), rounds of peeling, larger sketches tried, and bits up to which
+#: digests are told apart; digests of a part up to which it is cut in two, and in four.
+ROW, PEELS, LARGER, BITS, IN_TWO, IN_FOUR = 8, 12, 20, 27, 32, 64
 #: Rows of a range about, ranges at most, and keys drawn for each to cut at.
 RANGE_ROWS, RANGES, DRAWN = 500, 16_384, 8
 #: Copies of a row that one task writes.
 CHUNK = 1000
 
 _KEY = "struct<z:boolean,d:bigint,a:bigint,b:bigint>"
-_BLOCK = "struct<a:array<struct<x:bigint,y:bigint>>,b:array<struct<x:bigint,y:bigint>>>"
+_ITEMS = "array<struct<x:bigint,y:bigint,z:bigint>>"
+_BLOCK = f"struct<a:{_ITEMS},b:{_ITEMS},shift:int>"
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -42,56 +44,75 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _digit(row: int, key: str, check: str, level: str) -> str:
-    """Which cell of a row a digest goes to: three bits of it for the first row, of its check for the others."""
-    return (f"shiftrightunsigned({key}, 61 - 3 * {level}) & 7L", f"shiftrightunsigned({check}, 61 - 3 * {level}) & 7L", f"shiftrightunsigned({check}, 3 * {level}) & 7L")[row]
+def _all(*arrays: str) -> str:
+    """SQL of arrays one after the other."""
+    return f"flatten(array({', '.join(arrays)}))"
+
+
+def _digit(bits: str, shift: str) -> str:
+    """Three bits, which choose a cell of a row: a digest's own for the first row, two parts of its check for the others."""
+    return f"shiftrightunsigned({bits}, {shift}) & 7L"
 
 
 def digests(text: str) -> str:
-    """SQL of the distinct paragraph digests of a text, each with its check."""
-    return rf"transform(array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> xxhash64(p))), x -> named_struct('x', x, 'y', xxhash64(x, 1)))"
+    """SQL of the distinct paragraph digests of a text, each with its check and the check's upper part."""
+    return rf"transform(array_distinct(transform(regexp_extract_all({text}, r'{PIECE}', 0), p -> xxhash64(p))), x -> named_struct('x', x, 'y', xxhash64(x, 1), 'z', shiftrightunsigned(xxhash64(x, 1), 31)))"
 
 
-def sketch(items: str, level: str = "0") -> str:
-    """SQL of the cells of digests: n, k and h are their number and the XOR of them and of their checks."""
-    rows = [
-        f"transform(sequence(0L, {ROW - 1}L), c -> aggregate(filter({items}, e -> ({_digit(row, 'e.x', 'e.y', level)}) = c), named_struct('n', 0, 'k', 0L, 'h', 0L), "
-        "(s, e) -> named_struct('n', s.n + 1, 'k', s.k ^ e.x, 'h', s.h ^ e.y)))"
-        for row in range(3)
-    ]
-    return f"concat({', '.join(rows)})"
+def sketch(items: str, shift: str = "0") -> str:
+    """SQL of the cells of digests: arrays n, k and h of their number and of the XOR of them and of their checks, as long as three rows."""
+    rows = [f"transform(sequence(0L, {ROW - 1}L), c -> filter({items}, e -> ({_digit(f'e.{bits}', shift)}) = c))" for bits in "xyz"]
+    return _let("g", _all(*rows), (
+        "named_struct('n', transform(g, m -> size(m)), 'k', transform(g, m -> aggregate(m, 0L, (s, e) -> s ^ e.x)), 'h', transform(g, m -> aggregate(m, 0L, (s, e) -> s ^ e.y)))"))
 
 
 def _minus(one: str, other: str) -> str:
-    return f"zip_with({one}, {other}, (p, q) -> named_struct('n', p.n - q.n, 'k', p.k ^ q.k, 'h', p.h ^ q.h))"
-
-
-def _attempt(block: str, level: str, cells: str) -> str:
-    """SQL of peeling ``cells``, the difference of a block's sketches: the digests of its first version alone, of its second alone, and
-    the eight smaller blocks to try if cells are left."""
-    here = f"CASE WHEN i < 8 THEN {_digit(0, 'f.k', 'f.h', level)} = i WHEN i < 16 THEN ({_digit(1, 'f.k', 'f.h', level)}) + 8 = i ELSE ({_digit(2, 'f.k', 'f.h', level)}) + 16 = i END"
-    pure = "array_distinct(filter(s.cells, c -> abs(c.n) = 1 AND xxhash64(c.k, 1) = c.h))"
-    taken = f"transform(s.cells, (c, i) -> aggregate(filter(new, f -> {here}), c, (c, f) -> named_struct('n', c.n - f.n, 'k', c.k ^ f.k, 'h', c.h ^ f.h)))"
-    step = _let("new", pure, f"IF(size(new) = 0, s, named_struct('cells', {taken}, 'found', concat(s.found, new)))")
-    peeled = f"aggregate(sequence(1, {PEELS}), named_struct('cells', {cells}, 'found', cast(array() AS array<struct<n:int,k:bigint,h:bigint>>)), (s, r) -> {step})"
-    part = lambda side: f"filter({block}.{side}, e -> ({_digit(0, 'e.x', 'e.y', level)}) = c)"
-    smaller = f"filter(transform(sequence(0L, {ROW - 1}L), c -> named_struct('a', {part('a')}, 'b', {part('b')})), o -> size(o.a) + size(o.b) > 0)"
-    alone = lambda n: f"transform(filter(p.found, f -> f.n = {n}), f -> f.k)"
+    xor = lambda c: f"zip_with({one}.{c}, {other}.{c}, (p, q) -> p ^ q)"
+    return f"named_struct('n', zip_with({one}.n, {other}.n, (p, q) -> p - q), 'k', {xor('k')}, 'h', {xor('h')})"
+
+
+def _peel(shift: str) -> str:
+    """SQL of one round on s (n, k, h, lost, gained, go): the digests that cells with one digest name are taken out of all their cells."""
+    cells, none = f"sequence(0, {3 * ROW - 1})", "cast(array() AS array<int>)"
+    one = lambda n: f"array_distinct(transform(filter(lone, i -> s.n[i] = {n}), i -> s.k[i]))"
+    row = lambda bits: f"transform(new, f -> cast({_digit(bits, shift)} AS int))"
+    where = f"named_struct('j', sequence(0, size(new) - 1), 'y', transform(new, f -> xxhash64(f, 1)), 'x', {row('f')}, 'u', {row('xxhash64(f, 1)')}, 'v', {row('shiftrightunsigned(xxhash64(f, 1), 31)')})"
+    # Which of the new digests lie in each cell; most cells have none.
+    match = _all(*[f"transform(sequence(0, {ROW - 1}), c -> IF(array_contains(w.{r}, c), filter(w.j, j -> w.{r}[j] = c), {none}))" for r in "xuv"])
+    cell = lambda c, less: f"transform(mine, (m, i) -> IF(size(m) = 0, s.{c}[i], aggregate(m, s.{c}[i], (t, j) -> t {less})))"
+    taken = (
+        f"named_struct('n', {cell('n', '- IF(j < size(plus), 1, -1)')}, 'k', {cell('k', '^ new[j]')}, 'h', {cell('h', '^ w.y[j]')}, "
+        f"'lost', {_all('s.lost', 'plus')}, 'gained', {_all('s.gained', 'minus')}, 'go', true)")
+    found = _let("plus", one(1), _let("minus", one(-1), _let("new", _all("plus", "minus"), _let("w", where, _let("mine", match, taken)))))
+    stop = "named_struct('n', s.n, 'k', s.k, 'h', s.h, 'lost', s.lost, 'gained', s.gained, 'go', false)"
+    return _let("lone", f"filter({cells}, i -> abs(s.n[i]) = 1 AND xxhash64(s.k[i], 1) = s.h[i])", f"IF(size(lone) = 0, {stop}, {found})")
+
+
+def _attempt(cells: str) -> str:
+    """SQL of peeling ``cells``, the difference of the sketches of a block o: the digests of its first version alone, of its second alone,
+    and the smaller blocks to try if cells are left."""
     none = "cast(array() AS array<bigint>)"
+    start = f"named_struct('n', {cells}.n, 'k', {cells}.k, 'h', {cells}.h, 'lost', {none}, 'gained', {none}, 'go', true)"
+    peeled = f"aggregate(sequence(1, {PEELS}), {start}, (s, r) -> IF(s.go, {_peel('o.shift')}, s))"
+    part = lambda side: f"filter(o.{side}, e -> (shiftrightunsigned(e.x, o.shift) & (parts - 1)) = c)"
+    bits = f"IF(size(o.a) + size(o.b) <= {IN_TWO}, 1, IF(size(o.a) + size(o.b) <= {IN_FOUR}, 2, 3))"
+    cut = f"filter(transform(sequence(0L, parts - 1), c -> named_struct('a', {part('a')}, 'b', {part('b')}, 'shift', o.shift + bits)), v -> size(v.a) + size(v.b) > 0)"
+    smaller = f"IF(o.shift > {BITS}, array(o), {_let('bits', bits, _let('parts', 'shiftleft(1L, bits)', cut))})"
+    zero = "forall(p.n, v -> v = 0) AND forall(p.k, v -> v = 0) AND forall(p.h, v -> v = 0)"
     return _let("p", peeled, (
-        f"IF(forall(p.cells, c -> c.n = 0 AND c.k = 0 AND c.h = 0), named_struct('lost', {alone(1)}, 'gained', {alone(-1)}, 'open', cast(array() AS array<{_BLOCK}>)), "
-        f"named_struct('lost', {none}, 'gained', {none}, 'open', {smaller}))"))
+        f"IF({zero}, named_struct('lost', p.lost, 'gained', p.gained, 'open', cast(array() AS array<{_BLOCK}>)), named_struct('lost', {none}, 'gained', {none}, 'open', {smaller}))"))
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     """SQL of (lost, gained, open): the digests of version ``a`` that ``b`` lacks and the other way round, from their
     sketches; ``open`` are blocks that no sketch could settle, empty but for colliding hashes."""
-    first = _attempt("o", "0", _minus(cells_a, cells_b))
-    retry = _let("cells", _minus(sketch("o.a", "level"), sketch("o.b", "level")), _attempt("o", "level", "cells"))
+    first = _let("cells", _minus(cells_a, cells_b), _attempt("cells"))
+    two = f"named_struct('a', {sketch('o.a', 'o.shift')}, 'b', {sketch('o.b', 'o.shift')})"
+    retry = _let("two", two, _let("cells", _minus("two.a", "two.b"), _attempt("cells")))
     step = _let("tried", f"transform(s.open, o -> {retry})", (
-        "named_struct('lost', concat(s.lost, flatten(transform(tried, t -> t.lost))), 'gained', concat(s.gained, flatten(transform(tried, t -> t.gained))), 'open', flatten(transform(tried, t -> t.open)))"))
-    start = _let("o", f"named_struct('a', {a}, 'b', {b})", first)
-    return f"aggregate(sequence(1, {LARGER}), {start}, (s, level) -> IF(size(s.open) = 0, s, {step}))"
+        "named_struct('lost', flatten(array(s.lost, flatten(transform(tried, t -> t.lost)))), 'gained', flatten(array(s.gained, flatten(transform(tried, t -> t.gained)))), 'open', flatten(transform(tried, t -> t.open)))"))
+    start = _let("o", f"named_struct('a', {a}, 'b', {b}, 'shift', 0)", first)
+    return f"aggregate(sequence(1, {LARGER}), {start}, (s, r) -> IF(size(s.open) = 0, s, {step}))"
 
 
 def _settled(d: str) -> str:
@@ -103,7 +124,8 @@ def _settled(d: str) -> str:
 
 def written(cells: str, items: str) -> str:
     """SQL of a sketch as text: the number of digests, then each cell's number and XORs in hexadecimals, nothing for empty ones."""
-    return f"concat(size({items}), '|', lower(array_join(transform({cells}, c -> IF(c.n = 0 AND c.k = 0 AND c.h = 0, '', concat_ws(':', c.n, hex(c.k), hex(c.h)))), ',')))"
+    cell = f"IF({cells}.n[i] = 0, '', concat_ws(':', {cells}.n[i], hex({cells}.k[i]), hex({cells}.h[i])))"
+    return f"concat(size({items}), '|', lower(array_join(transform(sequence(0, {3 * ROW - 1}), i -> {cell}), ',')))"
 
 
 def likeness(a: str, d: str) -> str:
