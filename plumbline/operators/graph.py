@@ -2,35 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions import geometry as g
-
-
-def _saved(df: DataFrame) -> DataFrame:
-    """A step of a loop written to the folder in spark.checkpoint.dir (a local one only where that is unset), and reread."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
-    path = f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/plumbline-graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._plumbline_path = path
-    return out
-
-
-def _drop(*tables: DataFrame) -> None:
-    """Removes steps that nothing reads any more."""
-    for df in tables:
-        jvm, path = df.sparkSession.sparkContext._jvm, df._plumbline_path
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+from plumbline.operators.steps import contract, drop, saved
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -67,33 +44,24 @@ def flood_select(seeds: DataFrame, edges: DataFrame, *, lw_tol: float = 0.2, gap
     A frontier join a round, until no edge is new; a seed that fails its own gates selects nothing. Seeds are clicks, so
     the gated relation grows with clicks times the edges of their page.
     """
-    allowed = _saved(gated(seeds, edges, lw_tol=lw_tol, color_match=color_match, structural_only=structural_only))
+    allowed = saved(gated(seeds, edges, lw_tol=lw_tol, color_match=color_match, structural_only=structural_only))
     beside = adjacency(edges, gap=gap)
-    beside = _saved(beside.select("page_id", F.col("a").alias("f"), F.col("b").alias("t")).unionAll(beside.select("page_id", F.col("b").alias("f"), F.col("a").alias("t"))))
-    seen = frontier = _saved(allowed.where("edge_id = seed"))
+    beside = saved(beside.select("page_id", F.col("a").alias("f"), F.col("b").alias("t")).unionAll(beside.select("page_id", F.col("b").alias("f"), F.col("a").alias("t"))))
+    seen = frontier = saved(allowed.where("edge_id = seed"))
     ranked, depth = seen.withColumn("depth", F.lit(0)), 0
     while not frontier.isEmpty():
         step = frontier.join(beside, (frontier.page_id == beside.page_id) & (frontier.edge_id == beside.f)).select(frontier.page_id, "seed", F.col("t").alias("edge_id")).distinct()
         step = step.join(allowed, ["page_id", "seed", "edge_id"], "left_semi").join(seen, ["page_id", "seed", "edge_id"], "left_anti")
-        frontier = _saved(step)  # only what is new is written; seen is the union of the rounds' files
+        frontier = saved(step)  # only what is new is written; seen is the union of the rounds' files
         seen, depth = seen.unionAll(frontier), depth + 1
         ranked = ranked.unionAll(frontier.withColumn("depth", F.lit(depth)))
-    _drop(allowed, beside)
+    drop(allowed, beside)
     nearest = F.row_number().over(Window.partitionBy("page_id", "seed").orderBy("depth", "edge_id"))
     return ranked.withColumn("r", nearest).where(F.col("r") <= most).select("page_id", "seed", "edge_id")
 
 
 def components(edges: DataFrame, *, gap: float = 3.0) -> DataFrame:
     """(page_id, edge_id, component): the smallest edge_id reachable on the page, by contraction of links."""
-    live = _saved(adjacency(edges, gap=gap).select("page_id", F.col("a").alias("u"), F.col("b").alias("v")))
-    out = edges.select("page_id", "edge_id", F.col("edge_id").alias("component"))  # joined with each round's parents, at the end in one plan
-    while not live.isEmpty():
-        both = live.unionAll(live.select("page_id", F.col("v").alias("u"), F.col("u").alias("v")))
-        parent = _saved(both.groupBy("page_id", "u").agg(F.min("v").alias("m")).select("page_id", "u", F.least("u", "m").alias("p")))
-        out = out.join(parent.withColumnRenamed("u", "component"), ["page_id", "component"], "left").select("page_id", "edge_id", F.coalesce("p", "component").alias("component"))
-        done, live = live, _saved(
-            live.join(parent.toDF("page_id", "u", "pu"), ["page_id", "u"]).join(parent.toDF("page_id", "v", "pv"), ["page_id", "v"])
-            .where("pu <> pv").select("page_id", F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
-        _drop(done)
-    _drop(live)
-    return out
+    links = adjacency(edges, gap=gap).select("page_id", F.col("a").alias("u"), F.col("b").alias("v"))
+    found = contract(links, ["page_id"]).toDF("page_id", "edge_id", "component")
+    return edges.select("page_id", "edge_id").join(found, ["page_id", "edge_id"], "left").select("page_id", "edge_id", F.coalesce("component", "edge_id").alias("component"))

@@ -1,7 +1,7 @@
-"""Raster operators: pixel relations (page_id, y, x) for set algebra and morphology, and array kernels by page.
+"""Raster operators: pixel relations (page_id, y, x) for set algebra and morphology, and array kernels.
 
-A pixel relation stays distributed whatever a page's size. Kernels take one page an Arrow group, which a page's
-resolution bounds (1500 to 3000 pixels a side).
+A pixel relation stays distributed whatever a page's size; components are labelled in tiles and joined across their
+borders. Kernels that follow a shape take one page or component an Arrow group, which a page's resolution bounds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.operators.steps import contract, saved
+
+#: Rows and columns of a tile in which pixels are labelled by one task.
+TILE = 1024
+
 
 def to_gray(rgb: DataFrame) -> DataFrame:
     """0.299 R + 0.587 G + 0.114 B, rounded."""
@@ -37,31 +42,31 @@ def ink(raster: DataFrame) -> DataFrame:
     return raster.join(otsu(raster), "page_id").where("gray <= threshold").select("page_id", "y", "x")
 
 
-def dilate(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
-    """Pixels within ry rows and rx columns of a set one, clipped to the page."""
+def dilate(pixels: DataFrame, ry: int, rx: int, height: int, width: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Pixels within ry rows and rx columns of a set one, clipped to the page; each layer that ``by`` names is widened by itself."""
     pixels = pixels.where(F.col("y").between(-ry, height - 1 + ry) & F.col("x").between(-rx, width - 1 + rx))
     dy = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - ry), F.least(F.lit(height - 1), F.col("y") + ry)))
     dx = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - rx), F.least(F.lit(width - 1), F.col("x") + rx)))
-    rows = pixels.select("page_id", "x", dy.alias("y")).distinct()
-    return rows.select("page_id", "y", dx.alias("x")).distinct()
+    rows = pixels.select(*by, "x", dy.alias("y")).distinct()
+    return rows.select(*by, "y", dx.alias("x")).distinct()
 
 
-def erode(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
+def erode(pixels: DataFrame, ry: int, rx: int, height: int, width: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Pixels all of whose neighbours on the page are set; beyond the border nothing is missing, and no pixel counts."""
     pixels = pixels.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     need = (F.least(F.lit(height - 1), F.col("y") + ry) - F.greatest(F.lit(0), F.col("y") - ry) + 1) * (F.least(F.lit(width - 1), F.col("x") + rx) - F.greatest(F.lit(0), F.col("x") - rx) + 1)
     dy = F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - ry), F.least(F.lit(height - 1), F.col("y") + ry)))
     dx = F.explode(F.sequence(F.greatest(F.lit(0), F.col("x") - rx), F.least(F.lit(width - 1), F.col("x") + rx)))
-    votes = pixels.select("page_id", "x", dy.alias("y")).select("page_id", "y", dx.alias("x")).groupBy("page_id", "y", "x").agg(F.count(F.lit(1)).alias("n"))
-    return votes.where(F.col("n") == need).select("page_id", "y", "x")
+    votes = pixels.select(*by, "x", dy.alias("y")).select(*by, "y", dx.alias("x")).groupBy(*by, "y", "x").agg(F.count(F.lit(1)).alias("n"))
+    return votes.where(F.col("n") == need).select(*by, "y", "x")
 
 
-def close(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
-    return erode(dilate(pixels, ry, rx, height, width), ry, rx, height, width)
+def close(pixels: DataFrame, ry: int, rx: int, height: int, width: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    return erode(dilate(pixels, ry, rx, height, width, by), ry, rx, height, width, by)
 
 
-def open_(pixels: DataFrame, ry: int, rx: int, height: int, width: int) -> DataFrame:
-    return dilate(erode(pixels, ry, rx, height, width), ry, rx, height, width)
+def open_(pixels: DataFrame, ry: int, rx: int, height: int, width: int, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    return dilate(erode(pixels, ry, rx, height, width, by), ry, rx, height, width, by)
 
 
 def runs_at_least(pixels: DataFrame, n: int, along: str = "x") -> DataFrame:
@@ -76,12 +81,36 @@ def complement(raster: DataFrame, pixels: DataFrame) -> DataFrame:
     return raster.select("page_id", "y", "x").join(pixels, ["page_id", "y", "x"], "left_anti")
 
 
-def blank_outside(raster: DataFrame, pixels: DataFrame | None) -> DataFrame:
-    """The raster with white for all that is not in ``pixels``; without such a mask, as it is."""
-    if pixels is None:
-        return raster
-    kept = raster.join(pixels, ["page_id", "y", "x"], "left_semi")
-    return kept.unionByName(raster.join(pixels, ["page_id", "y", "x"], "left_anti").withColumn("gray", F.lit(255)))
+# Gray below which a pixel is ink, and clean gray above which it was noise; half the opening's square, and the thin lines' margin.
+DARK, CLEAN, THICK_REACH, THIN_MARGIN = 200, 240, 2, 1
+
+
+def thin_lines(raster: DataFrame, height: int, width: int) -> DataFrame:
+    """Ink that an opening by a square of five removes, widened by a pixel all around."""
+    dark = saved(ink(raster))
+    thin = dark.join(open_(dark, THICK_REACH, THICK_REACH, height, width), ["page_id", "y", "x"], "left_anti")
+    return dilate(thin, THIN_MARGIN, THIN_MARGIN, height, width)
+
+
+def clean_annotations(raster: DataFrame, height: int, width: int, clean: DataFrame | None = None) -> DataFrame:
+    """The raster with annotations in white: pixels darker than 200 whose value in ``clean`` (page_id, y, x, gray) is above
+    240; without a cleaned raster, thin lines. Pixels that ``clean`` lacks stay as they are."""
+    at = ["page_id", "y", "x"]
+    if clean is None:
+        noise = thin_lines(raster, height, width)
+    else:
+        noise = raster.where(F.col("gray") < DARK).join(clean.where(F.col("gray") > CLEAN), at, "left_semi").select(*at)
+    marked = raster.join(noise.withColumn("noise", F.lit(True)), at, "left")
+    return marked.select(*at, F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray"))
+
+
+def resize(pixels: DataFrame, height: int, width: int, to_height: int, to_width: int) -> DataFrame:
+    """A relation of pixels (page_id, y, x, ...) of height x width resized by nearest index: pixel (y, x) of the result is (y * height // to_height, x * width // to_width)."""
+    span = lambda c, n, m: F.explode(F.sequence(F.ceil(F.col(c) * m / n).cast("int"), F.ceil((F.col(c) + 1) * m / n).cast("int") - 1))
+    kept = [c for c in pixels.columns if c not in ("page_id", "y", "x")]
+    reached = pixels.where(f"y between 0 and {height - 1} and x between 0 and {width - 1} and ceil(y * {to_height} / {height}) < ceil((y + 1) * {to_height} / {height}) and ceil(x * {to_width} / {width}) < ceil((x + 1) * {to_width} / {width})")
+    rows = reached.select("page_id", span("y", height, to_height).alias("y"), "x", *kept)
+    return rows.select("page_id", "y", span("x", width, to_width).alias("x"), *kept)
 
 
 # Classes kept as masks, with their channel group and number, the closing's reach and the least component.
@@ -90,14 +119,15 @@ CLASS_MASKS = [("wall", "room_cls", 2, 2, 500), ("door", "icon_cls", 2, 1, 200),
 
 def class_masks(classes: DataFrame, height: int, width: int) -> DataFrame:
     """(class, page_id, y, x): walls, doors and windows of class maps, small gaps closed and small components dropped."""
-    out = None
+    layer, out = ("class", "page_id"), None
     for name, group, number, reach, least in CLASS_MASKS:
-        closed = close(classes.where(F.col(group) == number).select("page_id", "y", "x"), reach, reach, height, width)
-        labelled = components(closed, eight=True)
-        large = labelled.groupBy("page_id", "label_y", "label_x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-        kept = labelled.join(large, ["page_id", "label_y", "label_x"], "left_semi").select(F.lit(name).alias("class"), "page_id", "y", "x")
-        out = kept if out is None else out.unionAll(kept)
-    return out
+        own = classes.where(F.col(group) == number).select(F.lit(name).alias("class"), "page_id", "y", "x", F.lit(least).alias("least"))
+        closed = close(own, reach, reach, height, width, layer).withColumn("least", F.lit(least))
+        out = closed if out is None else out.unionAll(closed)
+    labelled = components(out, eight=True, by=(*layer, "least"))
+    key = [*layer, "label_y", "label_x"]
+    large = labelled.groupBy(*key, "least").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.col("least"))
+    return labelled.join(large, key, "left_semi").select(*layer, "y", "x")
 
 
 def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
@@ -125,24 +155,43 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     return out.reshape(h, w)
 
 
-def components(pixels: DataFrame, *, eight: bool = False) -> DataFrame:
-    """(page_id, y, x, label): label is the smallest of a component's pixels in row-major order, by page width; page by page in numpy."""
+def components(pixels: DataFrame, *, eight: bool = False, by: tuple[str, ...] = ("page_id",), tile: int = TILE) -> DataFrame:
+    """(by, y, x, label_y, label_x): the label is the smallest of a component's pixels in row-major order.
+
+    Pixels join only inside one layer, which ``by`` names (page_id, or page_id and a class). Each tile is labelled by itself; where
+    pixels touch across a tile's border their labels are linked, and the links are contracted to the smallest label. So no
+    task holds more than a tile, whatever a page's size or a component's.
+    """
+    by_ = list(by)
+    place = [F.floor(F.col(c) / tile).cast("int").alias(f"tile_{c}") for c in "yx"]
+    dealt = pixels.select(*by_, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *place)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        y, x = frame["y"].to_numpy(np.int64), frame["x"].to_numpy(np.int64)
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        top, side = int(frame["tile_y"].iloc[0]) * tile, int(frame["tile_x"].iloc[0]) * tile
+        y, x = frame["y"].to_numpy(np.int64) - top, frame["x"].to_numpy(np.int64) - side
         mask = np.zeros((y.max() + 1, x.max() + 1), bool)
         mask[y, x] = True
-        got = label_array(mask, eight)
-        first = got[y, x] - 1
-        w = mask.shape[1]
-        return pd.DataFrame({"page_id": key[0], "y": y.astype(np.int32), "x": x.astype(np.int32), "label_y": (first // w).astype(np.int32), "label_x": (first % w).astype(np.int32)})
-
-    return pixels.select("page_id", "y", "x").groupBy("page_id").applyInPandas(run, "page_id long, y int, x int, label_y int, label_x int")
-
-
-def component_stats(labelled: DataFrame) -> DataFrame:
+        first_y, first_x = np.divmod(label_array(mask, eight)[y, x] - 1, mask.shape[1])
+        return frame[[*by_, "y", "x"]].assign(label_y=(first_y + top).astype(np.int32), label_x=(first_x + side).astype(np.int32))
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.select(*by_).schema.fields)
+    labelled = saved(dealt.groupBy(*by_, "tile_y", "tile_x").applyInPandas(run, f"{keys}, y int, x int, label_y int, label_x int"))
+    # A pixel of a tile's last row or column looks at its neighbours beyond; each pair of touching pixels is met once.
+    beyond = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in beyond])
+    named = F.struct("label_y", "label_x")
+    own = labelled.where(F.expr(f"pmod(y, {tile}) = {tile - 1} or pmod(x, {tile}) in (0, {tile - 1})")).select(*by_, "y", "x", named.alias("u"), F.explode(steps).alias("s"))
+    own = own.select(*by_, "u", (F.col("y") + F.col("s.dy")).alias("ny"), (F.col("x") + F.col("s.dx")).alias("nx"), "y", "x")
+    own = own.where(F.expr(f"floor(ny / {tile}) <> floor(y / {tile}) or floor(nx / {tile}) <> floor(x / {tile})")).select(*by_, "u", F.col("ny").alias("y"), F.col("nx").alias("x"))
+    edge = labelled.where(F.expr(f"pmod(y, {tile}) = 0 or pmod(x, {tile}) in (0, {tile - 1})")).select(*by_, "y", "x", named.alias("v"))
+    roots = contract(own.join(edge, [*by_, "y", "x"]).select(*by_, "u", "v"), by_)
+    rooted = labelled.withColumn("node", named).join(roots, [*by_, "node"], "left").withColumn("root", F.coalesce("root", "node"))
+    return rooted.select(*by_, "y", "x", F.col("root.label_y").alias("label_y"), F.col("root.label_x").alias("label_x"))
+
+
+def component_stats(labelled: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Area, bounding box and centroid of each component."""
-    return labelled.groupBy("page_id", "label_y", "label_x").agg(
+    return labelled.groupBy(*by, "label_y", "label_x").agg(
         F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
         F.round(F.avg("x"), 4).alias("cx"), F.round(F.avg("y"), 4).alias("cy"))
 
@@ -206,7 +255,8 @@ def distance_transform(mask: np.ndarray) -> np.ndarray:
 
 
 def contour(mask: np.ndarray) -> np.ndarray:
-    """Outer border of the component with the first set pixel, clockwise as (x, y), by following its edge."""
+    """Outer border of the component with the first set pixel, clockwise as (x, y), by following its edge until it leaves the
+    first pixel as it did at first; a pixel that parts meet at is passed each time."""
     ys, xs = np.nonzero(mask)
     if not len(ys):
         return np.zeros((0, 2), int)
@@ -223,7 +273,8 @@ def contour(mask: np.ndarray) -> np.ndarray:
                 break
         else:
             break
-        if here == start and len(out) > 1:
+        if len(out) > 2 and out[-1] == start and here == out[1]:
+            out.pop()
             break
         out.append(here)
     return np.array(out)

@@ -15,8 +15,8 @@ from plumbline.functions import geometry as g
 from plumbline.operators import drawings as dr
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
-from plumbline.operators import graph, labels, measure, raster, rooms, spatial, state
-from plumbline.plans.relations import DIMENSION_SQL, HEIGHT, ROOM_SQL, SQL, TITLE_SQL, WIDTH, page_height, workspace
+from plumbline.operators import detect, graph, labels, measure, raster, rooms, spatial, state, strokes
+from plumbline.plans.relations import CLASS_HEIGHT, CLASS_WIDTH, DIMENSION_SQL, HEIGHT, MAP_HEIGHT, MAP_WIDTH, ROOM_SQL, SQL, TITLE_SQL, WIDTH, contours_sql, labels_sql, workspace
 from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
 from plumbline.streaming import clicks
@@ -434,31 +434,39 @@ def _sheet(w: Workspace) -> DataFrame:
 
 
 # --- rasters -----------------------------------------------------------------------------------------------------------
-def _window_sql(relation: str, ry: int, rx: int, erode: bool = False, height: int | str = HEIGHT, width: int = WIDTH) -> str:
-    grid = f"SELECT p.page_id, p.y + dy.x AS y, p.x + dx.x AS x FROM {relation} p CROSS JOIN @series(-{ry}, {ry}) dy CROSS JOIN @series(-{rx}, {rx}) dx"
+def _window_sql(relation: str, ry: int, rx: int, erode: bool = False, height: int = HEIGHT, width: int = WIDTH, layer: str = "page_id") -> str:
+    grid = f"SELECT {layer}, p.y + dy.x AS y, p.x + dx.x AS x FROM {relation} p CROSS JOIN @series(-{ry}, {ry}) dy CROSS JOIN @series(-{rx}, {rx}) dx"
     inside = f"y >= 0 AND y < {height} AND x >= 0 AND x < {width}"
     if not erode:
-        return f"SELECT DISTINCT page_id, y, x FROM ({grid}) WHERE {inside}"
+        return f"SELECT DISTINCT {layer}, y, x FROM ({grid}) WHERE {inside}"
     need = f"(least({height} - 1, y + {ry}) - greatest(0, y - {ry}) + 1) * (least({width - 1}, x + {rx}) - greatest(0, x - {rx}) + 1)"
-    return f"SELECT page_id, y, x FROM ({grid}) WHERE {inside} GROUP BY page_id, y, x HAVING count(*) = {need}"
+    return f"SELECT {layer}, y, x FROM ({grid}) WHERE {inside} GROUP BY {layer}, y, x HAVING count(*) = {need}"
 
 
-_CLASS_ROWS = "(SELECT max(y) + 1 FROM [[logits]])"
+def _class_sql(name: str, group: str, number: int, reach: int, least: int) -> str:
+    """Closing and component filter of a class map."""
+    page = {"height": CLASS_HEIGHT, "width": CLASS_WIDTH}
+    one = f"(SELECT page_id, y, x FROM [[class_map]] WHERE {group} = {number})"
+    closed = _window_sql(f"({_window_sql(one, reach, reach, **page)})", reach, reach, erode=True, **page)
+    return f"SELECT '{name}' AS class, page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id, c) AS n FROM {labels_sql(closed)}) WHERE n >= {least}"
 
 
-def _class_height(w: Workspace) -> int:
-    return int(w["logits"].agg(F.max("y")).first()[0] or 0) + 1
+SQL["class_masks"] = " UNION ALL ".join(_class_sql(*c) for c in raster.CLASS_MASKS)
 
 
-def _class_sql(name: str, group: str, number: int, reach: int, least: int) -> str:
-    """Closing and component filter of a class map that is 25 pixels wide."""
-    one = f"(SELECT page_id, y, x FROM [[logits]] WHERE {group} = {number})"
-    closed = _window_sql(f"({_window_sql(one, reach, reach, height=_CLASS_ROWS, width=25)})", reach, reach, erode=True, height=_CLASS_ROWS, width=25)
-    label = f"""(SELECT page_id, y, x, min(c) AS c FROM (WITH RECURSIVE k AS ({closed}), r AS (SELECT page_id, y, x, y * 4096 + x AS c FROM k
- UNION SELECT i.page_id, i.y, i.x, r.c FROM r JOIN k i ON i.page_id = r.page_id AND abs(i.y - r.y) <= 1 AND abs(i.x - r.x) <= 1) SELECT * FROM r) GROUP BY page_id, y, x)"""
-    return f"SELECT '{name}' AS class, page_id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY page_id, c) AS n FROM {label}) WHERE n >= {least}"
+def _class_rooms_sql() -> str:
+    page = {"height": CLASS_HEIGHT, "width": CLASS_WIDTH, "layer": "page_id, room_cls"}
+    inside = "(SELECT page_id, room_cls, y, x FROM [[class_map]] WHERE room_cls BETWEEN 3 AND 11 QUALIFY count(*) OVER (PARTITION BY page_id, room_cls) >= 200)"
+    opened = _window_sql(f"({_window_sql(inside, 2, 2, erode=True, **page)})", 2, 2, **page)
+    names = ", ".join(f"'{n}'" for n in detect.ROOM_CLASSES)
+    return f"""
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY room_cls, c) AS room_seq, room_cls, [{names}][room_cls + 1] AS class_name, area, perimeter, cx, cy
+FROM (WITH parts AS (SELECT * FROM {labels_sql(opened, "page_id, room_cls")})
+ SELECT * FROM (SELECT page_id, room_cls, c, count(*) AS area, CAST(floor(avg(x)) AS BIGINT) AS cx, CAST(floor(avg(y)) AS BIGINT) AS cy FROM parts GROUP BY ALL)
+  JOIN {contours_sql("parts", "page_id, room_cls")} USING (page_id, room_cls, c) WHERE area >= 500)"""
 
 
+SQL["class_rooms"] = _class_rooms_sql()
 _RGB = "SELECT page_id, y, x, gray AS r, (gray * 3) % 256 AS g, (gray * 7) % 256 AS b FROM [[raster]]"
 _SEGMENTS = "SELECT page_id % 8 AS page_id, floor(x0 / 20) AS x0, floor(y0 / 20) AS y0, floor(x1 / 20) AS x1, floor(y1 / 20) AS y1 FROM [[edges]] WHERE x1 >= 0 AND y1 >= 0"
 _query("ras01_rasterise", lambda w: raster.rasterise(w.sql(_SEGMENTS).selectExpr("page_id", "cast(x0 as double) x0", "cast(y0 as double) y0", "cast(x1 as double) x1", "cast(y1 as double) y1")), f"""
@@ -473,9 +481,9 @@ SELECT page_id, gray AS threshold FROM (SELECT *, row_number() OVER (PARTITION B
  SELECT page_id, gray, CAST(s0 * w - s * w0 AS DOUBLE) * CAST(s0 * w - s * w0 AS DOUBLE) / nullif(CAST(w0 * (w - w0) AS DOUBLE), 0) AS v FROM (
   SELECT page_id, gray, sum(n) OVER u AS w0, sum(n * gray) OVER u AS s0, sum(n) OVER (PARTITION BY page_id) AS w, sum(n * gray) OVER (PARTITION BY page_id) AS s
   FROM (SELECT page_id, gray, count(*) AS n FROM [[raster]] GROUP BY page_id, gray) WINDOW u AS (PARTITION BY page_id ORDER BY gray ROWS UNBOUNDED PRECEDING)))) WHERE r = 1""")
-_query("ras05_dilate", lambda w: raster.dilate(w["ink"], 1, 1, page_height(w), WIDTH), _window_sql("[[ink]]", 1, 1))
+_query("ras05_dilate", lambda w: raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH), _window_sql("[[ink]]", 1, 1))
 _query("ras06_close", lambda w: w["closed"], _window_sql(f"({_window_sql('[[ink]]', 1, 1)})", 1, 1, erode=True))
-_query("ras06_open", lambda w: raster.open_(w["ink2"], 0, 1, page_height(w), WIDTH), _window_sql(f"({_window_sql('[[ink2]]', 0, 1, erode=True)})", 0, 1))
+_query("ras06_open", lambda w: raster.open_(w["ink2"], 0, 1, HEIGHT, WIDTH), _window_sql(f"({_window_sql('[[ink2]]', 0, 1, erode=True)})", 0, 1))
 _COMPONENTS = """(SELECT page_id, y, x, min(c) AS c FROM (WITH RECURSIVE r AS (SELECT page_id, y, x, y * 4096 + x AS c FROM [[ink]]
  UNION SELECT i.page_id, i.y, i.x, r.c FROM r JOIN [[ink]] i ON i.page_id = r.page_id AND abs(i.y - r.y) + abs(i.x - r.x) = 1 WHERE r.c < i.y * 4096 + i.x) SELECT * FROM r) GROUP BY page_id, y, x)"""
 _FULL = _COMPONENTS.replace(" WHERE r.c < i.y * 4096 + i.x", "")
@@ -489,7 +497,7 @@ _query("top03_smallest_component", lambda w: raster.component_stats(raster.compo
        f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area, label_y, label_x) AS r FROM {_STATS} WHERE area > 2) WHERE r = 1")
 _query("top04_largest_component", lambda w: raster.component_stats(raster.components(w["ink"])).groupBy("page_id").agg(F.min_by(F.struct("label_y", "label_x", "area"), F.struct(-F.col("area"), "label_y", "label_x")).alias("m")).select("page_id", "m.*"),
        f"SELECT page_id, label_y, label_x, area FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, label_y, label_x) AS r FROM {_STATS}) WHERE r = 1")
-_PIXEL = "SELECT click_id, page_id % 8 AS page_id, @int(x / 20) AS cx, @int(y / 20) AS cy FROM [[clicks]]"
+_PIXEL = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, @int(x / 20) AS cx, @int(y / 20) AS cy FROM [[clicks]]"
 _query("ras10_ring_search", lambda w: spatial.ring_search(w.sql(_PIXEL), w["ink"], 25), f"""
 SELECT click_id, y, x, ring FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ring, y, x) AS r FROM (
  SELECT c.click_id, i.y, i.x, greatest(abs(i.y - c.cy), abs(i.x - c.cx)) AS ring FROM ({_PIXEL}) c JOIN [[ink]] i ON c.page_id = i.page_id AND i.y BETWEEN c.cy - 25 AND c.cy + 25 AND i.x BETWEEN c.cx - 25 AND c.cx + 25)) WHERE r = 1""")
@@ -497,33 +505,44 @@ _both("ras13_width_recovery", "SELECT DISTINCT i.page_id, i.y, i.x FROM [[ink2]]
 _query("ras15_text_mask", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQL)
 _both("ras16_thin_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE lw < 0.2 AND type IN ('line', 'rect_edge')")
 _both("ras17_dashed_lines", "SELECT page_id, edge_id, greatest(coalesce(nullif(lw, 0), 0.5), 0.5) AS thickness FROM [[edges]] WHERE is_dashed")
-_query("ras18_grid_lines", lambda w: ed.grid_lines(w["edges"]), "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(x1 - x0) > 0.65 * 1191 OR abs(y1 - y0) > 0.65 * 842)")
-_query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, page_height(w), WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
+_query("ras18_grid_lines", lambda w: ed.grid_lines(w["edges"].withColumns({b: F.col(a) + 6 * (F.col(b) - F.col(a)) for a, b in (("x0", "x1"), ("y0", "y1"))})),
+       "SELECT page_id, edge_id FROM [[edges]] WHERE type = 'line' AND (abs(6 * (x1 - x0)) > 0.65 * 1191 OR abs(6 * (y1 - y0)) > 0.65 * 842)")
+_query("ras19_clean", lambda w: w["raster"].join(raster.dilate(w["ink"], 1, 1, HEIGHT, WIDTH).withColumn("noise", F.lit(True)), ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray")),
        f"SELECT r.page_id, r.y, r.x, CASE WHEN n.x IS NOT NULL THEN 255 ELSE r.gray END AS gray FROM [[raster]] r LEFT JOIN ({_window_sql('[[ink]]', 1, 1)}) n ON r.page_id = n.page_id AND r.y = n.y AND r.x = n.x")
-_query("ras21_annotation_cleaning", lambda w: raster.blank_outside(w["raster"], w["ink2"]), "SELECT page_id, y, x, CASE WHEN gray % 8 < 3 THEN gray ELSE 255 END AS gray FROM [[raster]]")
+_CLEANED = "SELECT page_id, y, x, CASE WHEN gray % 5 = 0 THEN 255 ELSE gray END AS gray FROM [[raster]]"
+_query("ras21_annotation_cleaning", lambda w: raster.clean_annotations(w["raster"], HEIGHT, WIDTH, w.sql(_CLEANED)), "SELECT page_id, y, x, CASE WHEN gray < 200 AND gray % 5 = 0 THEN 255 ELSE gray END AS gray FROM [[raster]]")
+# Blocks of classes as thick ink, with lines a pixel wide across them and the paper.
+_DRAWN_MAP = "SELECT page_id, y, x, CAST(CASE WHEN x % 37 = 5 THEN 10 WHEN room_cls % 3 = 0 THEN 40 ELSE 220 END AS INT) AS gray FROM [[class_map]]"
+_DARK_MAP = "(SELECT page_id, y, x FROM [[class_map]] WHERE x % 37 = 5 OR room_cls % 3 = 0)"
+_THICK_MAP = _window_sql(f"({_window_sql(_DARK_MAP, 2, 2, erode=True, height=CLASS_HEIGHT, width=CLASS_WIDTH)})", 2, 2, height=CLASS_HEIGHT, width=CLASS_WIDTH)
+_query("ras21_thin_line_cleaning", lambda w: raster.clean_annotations(w.sql(_DRAWN_MAP), CLASS_HEIGHT, CLASS_WIDTH).groupBy("page_id", "y", "gray").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("xs")), f"""
+SELECT page_id, y, gray, count(*) AS n, CAST(sum(x) AS BIGINT) AS xs FROM (SELECT d.page_id, d.y, d.x, CASE WHEN t.x IS NOT NULL THEN 255 ELSE d.gray END AS gray FROM ({_DRAWN_MAP}) d LEFT JOIN (
+ {_window_sql(f"(SELECT * FROM {_DARK_MAP} EXCEPT SELECT * FROM ({_THICK_MAP}))", 1, 1, height=CLASS_HEIGHT, width=CLASS_WIDTH)}) t ON d.page_id = t.page_id AND d.y = t.y AND d.x = t.x) GROUP BY page_id, y, gray""")
 _both("ras22_normalise", "SELECT page_id, y, x, round((gray / CAST(255 AS DOUBLE) - CAST(0.485 AS DOUBLE)) / CAST(0.229 AS DOUBLE), 6) AS v FROM [[raster]]")
 _both("ras24_argmax", "SELECT pixel_id, y, x, room_cls, icon_cls FROM [[logits]]")
-_query("ras25_class_masks", lambda w: raster.class_masks(w["logits"], _class_height(w), 25), " UNION ALL ".join(_class_sql(*c) for c in raster.CLASS_MASKS))
-_query("ras27_class_names", lambda w: w["logits"].select("pixel_id", F.element_at(F.array(*[F.lit(n) for n in ROOM_CLASSES]), F.col("room_cls") + 1).alias("room"), F.element_at(F.array(*[F.lit(n) for n in ICON_CLASSES]), F.col("icon_cls") + 1).alias("icon")),
+_query("ras25_class_masks", lambda w: w["class_masks"], SQL["class_masks"])
+_query("ras26_room_extraction", lambda w: w["class_rooms"], SQL["class_rooms"])
+_SCALED = "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN CAST(20 + page_id AS DOUBLE) END AS scale_factor FROM (SELECT DISTINCT page_id FROM [[logits]])"
+_query("ras29_detection_summary", lambda w: detect.summary(w.sql(_SCALED), w["class_masks"], w["class_rooms"]), f"""
+SELECT page_id, wall_length, doors, windows, rooms, room_area, wall_length / scale_factor AS real_length, room_area / (scale_factor * scale_factor) AS real_area
+FROM (SELECT s.page_id, s.scale_factor, coalesce(w.l, 0) AS wall_length, coalesce(w.d, 0) AS doors, coalesce(w.v, 0) AS windows, coalesce(r.n, 0) AS rooms, coalesce(r.a, 0) AS room_area FROM ({_SCALED}) s
+ LEFT JOIN (SELECT page_id, sum(perimeter) FILTER (WHERE class = 'wall') / 2 AS l, count(*) FILTER (WHERE class = 'door' AND contour_area > 100) AS d, count(*) FILTER (WHERE class = 'window' AND contour_area > 100) AS v
+  FROM {contours_sql(labels_sql("SELECT * FROM [[class_masks]]", "class, page_id"), "class, page_id")} GROUP BY page_id) w ON s.page_id = w.page_id
+ LEFT JOIN (SELECT page_id, count(*) AS n, CAST(sum(area) AS BIGINT) AS a FROM [[class_rooms]] GROUP BY page_id) r ON s.page_id = r.page_id)""")
+_query("ras27_class_names", lambda w: w["logits"].select("pixel_id", F.element_at(F.array(*[F.lit(n) for n in detect.ROOM_CLASSES]), F.col("room_cls") + 1).alias("room"), F.element_at(F.array(*[F.lit(n) for n in detect.ICON_CLASSES]), F.col("icon_cls") + 1).alias("icon")),
        f"SELECT pixel_id, ['Background', 'Outdoor', 'Wall', 'Kitchen', 'Living Room', 'Bedroom', 'Bathroom', 'Hallway', 'Storage', 'Garage', 'Undefined', 'Railing'][room_cls + 1] AS room, ['Background', 'Window', 'Door', 'Closet', 'Toilet', 'Sink', 'Sauna', 'Fireplace', 'Bathtub', 'Chimney', 'Undefined'][icon_cls + 1] AS icon FROM [[logits]]")
 _both("ras28_uncrop", "SELECT page_id, y + 40 AS y, x + 25 AS x FROM [[ink]]")
 _both("ras35_kernel_size", "SELECT page_id, greatest(3, n + (1 - n % 2)) AS k FROM (SELECT page_id, @int(3 * (1.0 + page_id % 5) / 1.5) AS n FROM [[projects]])")
-_both("ras41_resize_nearest", "SELECT r.page_id, t.y AS y, r.x AS x, r.gray FROM (SELECT DISTINCT page_id, y FROM [[raster]]) t JOIN [[raster]] r ON r.page_id = t.page_id AND r.y = @floor(t.y / 2)")
-
-# Class names of the two channel groups.
-ROOM_CLASSES = ["Background", "Outdoor", "Wall", "Kitchen", "Living Room", "Bedroom", "Bathroom", "Hallway", "Storage", "Garage", "Undefined", "Railing"]
-ICON_CLASSES = ["Background", "Window", "Door", "Closet", "Toilet", "Sink", "Sauna", "Fireplace", "Bathtub", "Chimney", "Undefined"]
+# A page made higher and narrower, by ratios that do not divide.
+_query("ras41_resize_nearest", lambda w: raster.resize(w["raster"], HEIGHT, WIDTH, 150, 45), f"""
+SELECT r.page_id, CAST(v.x AS INT) AS y, CAST(u.x AS INT) AS x, r.gray FROM @series(0, 149) v CROSS JOIN @series(0, 44) u JOIN [[raster]] r ON r.y = v.x * {HEIGHT} // 150 AND r.x = u.x * {WIDTH} // 45""")
 
 # --- kernels and composites, held by invariants in tests ----------------------------------------------------------------
-_EVERY_CLICK = "SELECT click_id, page_id % 8 AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"
-
-
-def _page_height(w: Workspace) -> int:
-    return int(w["raster"].agg(F.max("y")).first()[0]) + 1
+_EVERY_CLICK = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"
 
 
 def _traced(w: Workspace) -> DataFrame:
-    return rooms.trace_spots(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH)
+    return rooms.trace_spots(w["ink2"], w.sql(_EVERY_CLICK), HEIGHT, WIDTH)
 
 
 def _outlined(w: Workspace) -> DataFrame:
@@ -537,8 +556,8 @@ _query("agg19_precise_area", lambda w: rooms.detection_summary(_outlined(w)).sel
 _DEPTH = """depth AS (SELECT i.page_id, i.y, i.x, sqrt(min((i.y - f.y) * (i.y - f.y) + (i.x - f.x) * (i.x - f.x))) AS d FROM [[ink2]] i JOIN (
   SELECT page_id, y, x FROM (SELECT DISTINCT page_id FROM [[ink2]]) CROSS JOIN (SELECT unnest(range(max(y) + 1)) AS y FROM [[raster]]) CROSS JOIN (SELECT x FROM @series(0, 63)) EXCEPT SELECT page_id, y, x FROM [[ink2]]) f
  ON i.page_id = f.page_id GROUP BY ALL)"""
-_query("ras08_distance", lambda w: rooms.depth(w["ink2"], _page_height(w), WIDTH).withColumn("d", F.round("d", 6)), f"SELECT page_id, y, x, round(d, 6) AS d FROM (WITH {_DEPTH} SELECT * FROM depth)")
-_query("ras09_distance_band", lambda w: rooms.distance_bands(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH).withColumn("d", F.round("d", 6)), f"""
+_query("ras08_distance", lambda w: rooms.depth(w["ink2"], HEIGHT, WIDTH).withColumn("d", F.round("d", 6)), f"SELECT page_id, y, x, round(d, 6) AS d FROM (WITH {_DEPTH} SELECT * FROM depth)")
+_query("ras09_distance_band", lambda w: rooms.distance_bands(w["ink2"], w.sql(_EVERY_CLICK), HEIGHT, WIDTH).withColumn("d", F.round("d", 6)), f"""
 SELECT click_id, round(any_value(d), 6) AS d, CAST(sum(m) AS BIGINT) AS n FROM (WITH {_DEPTH}, hist AS (SELECT page_id, d AS of_, count(*) AS m FROM depth GROUP BY ALL),
  spots AS (SELECT click_id, page_id, d FROM (SELECT c.click_id, c.page_id, k.d, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), k.d DESC, y, x) AS r
   FROM ({_EVERY_CLICK}) c JOIN depth k ON c.page_id = k.page_id AND y BETWEEN cy - 25 AND cy + 25 AND x BETWEEN cx - 25 AND cx + 25) WHERE r = 1)
@@ -556,25 +575,39 @@ _query("ras11_label_search", lambda w: spatial.ring_search(w.sql(_EVERY_CLICK),
        f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_EVERY_CLICK}) c
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
 _query("ras12_trace_wall", lambda w: w.sql(_EVERY_CLICK).join(_traced(w).groupBy(*rooms.SPOT).agg(F.count(F.lit(1)).alias("n")), rooms.SPOT).select("click_id", "n"))
-_query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], _page_height(w), WIDTH))
-_query("ras26_room_extraction", lambda w: _outlined(w).where("area >= 5").select("page_id", "label_y", "label_x", F.round("area", 4).alias("area"), F.round("perimeter", 4).alias("perimeter")))
-_query("ras29_detection_summary", lambda w: rooms.detection_summary(_outlined(w)))
+_query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], HEIGHT, WIDTH))
 _query("ras31_hybrid_select", lambda w: w.sql(_EVERY_CLICK).join(
            _traced(w).join(w.sql(_SAMPLE).where("structural").select("page_id", "edge_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), ["page_id", "y", "x"]).select(*rooms.SPOT, "edge_id").distinct(), rooms.SPOT)
        .select("click_id", "edge_id").distinct())
 _query("ras32_magic_wand", lambda w: dr.wand(w.sql(_ON_DRAWING), w["items"], **_DRAWN))
 _query("ras33_vector_rooms", lambda w: _vector_rooms(w))
-_query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).drop("mask"))
-_query("ras36_opening_line", lambda w: raster.rasterise(_openings(w), 13).groupBy("page_id").agg(F.count(F.lit(1)).alias("area")))
-_query("ras37_polyline_mask", lambda w: raster.rasterise(_openings(w), 13).where("x >= 0 and y >= 0"))
-_query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH).where("filled"))
-_query("ras39_polygon_mask", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.octet_length("mask").alias("png_bytes")))
+_query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], HEIGHT, WIDTH, close=0, min_share=0.002).drop("mask"))
+_OPENINGS = "SELECT c.click_id, c.page_id, c.x0, c.y0, c.x2 AS x1, c.y2 AS y1, p.scale_factor FROM [[flat_paths]] c LEFT JOIN [[projects]] p ON c.page_id = p.page_id"
+
+
+def _near_sql(lines: str, width: int, height: int) -> str:
+    """Pixels (click_id, y, x) of the canvas within 6 of a line."""
+    return f"""(SELECT click_id, y, x FROM (SELECT *, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n)) END AS t FROM (
+  SELECT *, unnest(range(greatest(0, CAST(ceil(least(x0, x1)) AS BIGINT) - 6), least({width}, CAST(floor(greatest(x0, x1)) AS BIGINT) + 7))) AS x FROM (
+   SELECT *, (x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0) AS n, unnest(range(greatest(0, CAST(ceil(least(y0, y1)) AS BIGINT) - 6), least({height}, CAST(floor(greatest(y0, y1)) AS BIGINT) + 7))) AS y FROM ({lines}))))
+ WHERE pow(x - x0 - t * (x1 - x0), 2) + pow(y - y0 - t * (y1 - y0), 2) <= 36 + 1e-9)"""
+
+
+_query("ras36_opening_line", lambda w: strokes.openings(w.sql(_OPENINGS), ["click_id"]).select("click_id", "pixels", "length", "real_length"), f"""
+SELECT o.click_id, n.pixels, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length, coalesce(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / nullif(scale_factor, 0), 0) AS real_length
+FROM ({_OPENINGS}) o JOIN (SELECT click_id, count(*) AS pixels FROM {_near_sql("SELECT click_id, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1 FROM (" + _OPENINGS + ")", 2000, 2000)} GROUP BY click_id) n ON o.click_id = n.click_id""")
+_query("ras36_opening_area", lambda w: strokes.openings(w.sql(_OPENINGS), ["click_id"]).select("click_id", "area", "real_area"))
+_PATH = "SELECT click_id, x0, y0, x1, y1 FROM [[flat_paths]] UNION ALL SELECT click_id, x1, y1, x2, y2 FROM [[flat_paths]]"
+_query("ras37_polyline_mask", lambda w: strokes.brush_runs(w["flat_paths"].select("click_id", F.expr("array(struct(x0 as x, y0 as y), struct(x1 as x, y1 as y), struct(x2 as x, y2 as y))").alias("points")), ["click_id"], height=842, width=1191), f"""
+SELECT click_id, y, CAST(min(x) AS INT) AS x0, CAST(max(x) AS INT) AS x1 FROM (SELECT *, x - row_number() OVER (PARTITION BY click_id, y ORDER BY x) AS g FROM (SELECT DISTINCT click_id, CAST(y AS INT) AS y, x FROM {_near_sql(_PATH, 1191, 842)})) GROUP BY click_id, y, g""")
+_query("ras38_cavity_fill", lambda w: rooms.wand(w["ink2"], w.sql(_EVERY_CLICK), HEIGHT, WIDTH).where("filled"))
+_query("ras39_polygon_mask", lambda w: rooms.split_rooms(w["ink2"], HEIGHT, WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.octet_length("mask").alias("png_bytes")))
 _query("ras40_contours", lambda w: rooms.outlines(raster.components(w["ink2"], eight=True), eps=0.0).select("page_id", "label_y", "label_x", "corners"))
-_query("ras14_local_fallback", lambda w: w.sql(_EVERY_CLICK).join(rooms.local_spots(w["ink2"], w.sql(_EVERY_CLICK), _page_height(w), WIDTH), rooms.SPOT).select("click_id", "area"))
+_query("ras14_local_fallback", lambda w: w.sql(_EVERY_CLICK).join(rooms.local_spots(w["ink2"], w.sql(_EVERY_CLICK), HEIGHT, WIDTH), rooms.SPOT).select("click_id", "area"))
 _query("snk01_new_projects", lambda w: documents.new_projects(w["projects"].select(F.md5("project_id").alias("project_id"), F.col("project_id").alias("filename"), F.encode("project_id", "UTF-8").alias("pdf"))),
        "SELECT md5(project_id) AS project_id, project_id AS filename, CAST(NULL AS DOUBLE) AS scale_factor, 'm' AS unit, CAST(2.4 AS DOUBLE) AS wall_height, to_base64(encode(project_id)) AS pdf FROM [[projects]]")
 _query("snk06_workbook", lambda w: documents.workbooks(_sheet(w)).select("project_id", F.octet_length("workbook").alias("n_bytes")))
-_query("snk07_mask_png", lambda w: rooms.split_rooms(w["ink2"], _page_height(w), WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.base64("mask").alias("png")))
+_query("snk07_mask_png", lambda w: rooms.split_rooms(w["ink2"], HEIGHT, WIDTH, close=0, min_share=0.002).select("page_id", "room_seq", F.base64("mask").alias("png")))
 _query("ext_click_windows", lambda w: clicks.clicks_per_window(w["events"]), "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM [[events]] GROUP BY 1, 2")
 _query("ext_user_sessions", lambda w: clicks.sessions(w["events"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events")),
        """SELECT user_id, CAST(sum(s) AS BIGINT) AS sessions, count(*) AS events FROM (SELECT user_id, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS s
@@ -601,6 +634,3 @@ def _vector_rooms(w: Workspace) -> DataFrame:
     found = rooms.split_lines(_barriers(w, scale), int(842 * scale), 1500, scale=scale, close=2)
     return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05, scale=scale)
 
-
-def _openings(w: Workspace) -> DataFrame:
-    return w["flat_paths"].select("page_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.operators import drawings, edges, gaps, labels
+from plumbline.operators import detect, drawings, edges, gaps, labels
 from plumbline.operators import raster as pixels
 from plumbline.sources.fixtures import ADAPTERS, Workspace
 
-# Pages are this high at least; they grow with the data (page_height).
-HEIGHT, WIDTH = 2048, 64
+# Rows and columns of a raster's page; of a network's class map, and of the page that it is resized to.
+HEIGHT, WIDTH = 64, 64
+MAP_HEIGHT, MAP_WIDTH, CLASS_HEIGHT, CLASS_WIDTH = 20, 25, 320, 400
 
 DERIVED = {
     "visible": lambda w: edges.visible(w["edges_raw"]),
@@ -21,7 +22,7 @@ DERIVED = {
     "labels": lambda w: labels.labels(w["words"]),
     "ink": lambda w: w["raster"].where("gray >= 208").select("page_id", "y", "x"),
     "ink2": lambda w: w["raster"].where("gray % 8 < 3").select("page_id", "y", "x"),
-    "closed": lambda w: pixels.close(w["ink"], 1, 1, page_height(w), WIDTH),
+    "closed": lambda w: pixels.close(w["ink"], 1, 1, HEIGHT, WIDTH),
     "selection": lambda w: w["edges"].where("structural").select("page_id", "edge_id"),
     "seeds": lambda w: w.sql(SQL["seeds"]),
     "erasers": lambda w: w.sql(SQL["erasers"]),
@@ -31,6 +32,9 @@ DERIVED = {
     "drawings": lambda w: paths(w.sql(SQL["drawn"])),
     "mask_state": lambda w: w.sql(SQL["mask_texts"]).selectExpr("* except (edge_text)", "cast(filter(split(edge_text, ' '), z -> z <> '') as array<int>) as edge_ids"),
     "items": lambda w: drawings.items(w["drawings"], edges.PAGE_WIDTH, edges.PAGE_HEIGHT),
+    "class_map": lambda w: pixels.resize(w["logits"].drop("pixel_id"), MAP_HEIGHT, MAP_WIDTH, CLASS_HEIGHT, CLASS_WIDTH),
+    "class_masks": lambda w: pixels.class_masks(w["class_map"], CLASS_HEIGHT, CLASS_WIDTH),
+    "class_rooms": lambda w: detect.class_rooms(w["class_map"], CLASS_HEIGHT, CLASS_WIDTH),
 }
 
 _HATCH = "(((angle > 20 AND angle < 70) OR (angle > 110 AND angle < 160)) AND length < 20)"
@@ -109,6 +113,43 @@ SELECT s.project_id, p.x0, p.y0, p.x2 AS x1, p.y2 AS y1, CAST(p.click_id % 4 AS
 FROM [[projects]] s JOIN (SELECT page_id, min(click_id) AS first FROM [[clicks]] GROUP BY page_id) f ON s.page_id = f.page_id JOIN [[flat_paths]] p ON p.click_id = f.first""",
 }
 
+# A class map by looking up each pixel of the page; labels by passing the smallest on; contours from the windows of four pixels that they cross.
+SQL["class_map"] = f"""
+SELECT l.page_id, CAST(v.x AS INT) AS y, CAST(u.x AS INT) AS x, l.room_cls, l.icon_cls FROM @series(0, {CLASS_HEIGHT - 1}) v CROSS JOIN @series(0, {CLASS_WIDTH - 1}) u
+ JOIN [[logits]] l ON l.y = v.x * {MAP_HEIGHT} // {CLASS_HEIGHT} AND l.x = u.x * {MAP_WIDTH} // {CLASS_WIDTH}"""
+
+
+def labels_sql(pixels: str, layer: str = "page_id", eight: bool = True) -> str:
+    """(layer, y, x, c): c is the smallest y * 4096 + x of the component."""
+    cols = [c.strip() for c in layer.split(",")]
+    steps = "(-1, -1), (-1, 1), (1, -1), (1, 1), " if eight else ""
+    return f"""(WITH RECURSIVE k AS MATERIALIZED ({pixels}), near AS (SELECT * FROM (VALUES {steps}(-1, 0), (1, 0), (0, -1), (0, 1)) t(dy, dx)),
+ touch AS MATERIALIZED (SELECT a.*, b.y AS ny, b.x AS nx FROM (SELECT k.*, y + dy AS ty, x + dx AS tx FROM k CROSS JOIN near) a JOIN k b USING ({layer}) WHERE b.y = ty AND b.x = tx),
+ r({layer}, y, x, c) USING KEY ({layer}, y, x) AS (SELECT {layer}, y, x, y * 4096 + x FROM k
+  UNION SELECT {', '.join('n.' + c for c in cols)}, n.y, n.x, n.c FROM (SELECT {', '.join('t.' + c for c in cols)}, t.ny AS y, t.nx AS x, min(r.c) AS c FROM r JOIN touch t USING ({layer}, y, x) GROUP BY ALL) n
+   JOIN recurring.r o ON {' AND '.join(f'o.{c} = n.{c}' for c in (*cols, 'y', 'x'))} WHERE n.c < o.c)
+ SELECT * FROM r)"""
+
+
+def contours_sql(labelled: str, layer: str = "page_id") -> str:
+    """(layer, c, perimeter, contour_area) of components; those that the number of their corners says have holes are filled first, with
+    what cannot be reached from around their boxes."""
+    key = f"{layer}, c"
+    quads = f"""SELECT {key}, wy, wx, count(*) AS n, count(DISTINCT y) = 2 AND count(DISTINCT x) = 2 AS both_ways FROM (
+  SELECT {key}, y, p.x, y + v.x AS wy, p.x + u.x AS wx FROM %s p CROSS JOIN @series(-1, 0) v CROSS JOIN @series(-1, 0) u) GROUP BY {key}, wy, wx"""
+    on = " AND ".join(f"g.{c.strip()} = r.{c.strip()}" for c in key.split(","))
+    return f"""(WITH RECURSIVE own AS MATERIALIZED (SELECT {key}, y, x FROM {labelled}),
+ holed AS MATERIALIZED (SELECT {key} FROM ({quads % 'own'}) GROUP BY {key}
+  HAVING sum(CASE WHEN n = 1 THEN 1 WHEN n = 3 THEN -1 WHEN n = 2 AND both_ways THEN -2 ELSE 0 END) < 4),
+ box AS MATERIALIZED (SELECT {key}, min(y) - 1 AS y0, max(y) + 1 AS y1, min(x) - 1 AS x0, max(x) + 1 AS x1 FROM own SEMI JOIN holed USING ({key}) GROUP BY {key}),
+ grid AS MATERIALIZED (SELECT {key}, y0, x0, y, x FROM (SELECT *, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM box)) ANTI JOIN own USING ({key}, y, x)),
+ reached AS (SELECT {key}, y, x FROM grid WHERE y = y0 AND x = x0
+  UNION SELECT {', '.join('g.' + c.strip() for c in key.split(','))}, g.y, g.x FROM reached r JOIN grid g ON {on} AND abs(g.y - r.y) + abs(g.x - r.x) = 1),
+ filled AS (SELECT {key}, y, x FROM own UNION ALL (SELECT {key}, y, x FROM grid ANTI JOIN reached USING ({key}, y, x)))
+ SELECT {key}, sum(CASE WHEN n = 3 THEN sqrt(2) WHEN n = 2 AND both_ways THEN 2 * sqrt(2) WHEN n = 2 THEN 1 ELSE 0 END) AS perimeter, sum(CASE n WHEN 4 THEN 1 WHEN 3 THEN 0.5 ELSE 0 END)::DOUBLE AS contour_area
+ FROM ({quads % 'filled'}) GROUP BY {key})"""
+
+
 _DIMENSION = labels.DIMENSION.replace("'", "''")
 _COMPASS = ", ".join(f"'{c}'" for c in labels.COMPASS)
 DIMENSION_SQL = f"(@re(trim(text), '{_DIMENSION}') OR (@re(trim(text), '^[\\d.,]+$') AND length(trim(text)) <= 8) OR upper(trim(text)) IN ({_COMPASS}))"
@@ -132,10 +173,5 @@ def paths(drawn):
     return drawn.select("page_id", "drawing_id", "type", "color", "fill", "width", "is_dashed", some.alias("items"))
 
 
-def page_height(w: Workspace) -> int:
-    top = w["raster"].agg({"y": "max"}).first()[0]
-    return max(HEIGHT, 0 if top is None else int(top) + 1)
-
-
 def workspace(spark, sf_dir: str) -> Workspace:
     return Workspace(spark, sf_dir, DERIVED)

@@ -61,12 +61,12 @@ SELECT CAST(doc_id AS BIGINT) AS page_id, CAST(i AS BIGINT) AS word_id, w AS tex
  CAST(60 * (i % 20) + 5 * length(w) AS DOUBLE) AS x1, CAST(20 * floor(i / 20.0) + 10 AS DOUBLE) AS bottom
 FROM @words() WHERE w <> ''""",
     "logits": """
-SELECT CAST(vec_id AS BIGINT) AS pixel_id, CAST(vec_id % 25 AS INT) AS x, CAST(floor(vec_id / 25.0) AS INT) AS y, CAST(0 AS BIGINT) AS page_id,
+SELECT CAST(vec_id AS BIGINT) AS pixel_id, CAST(vec_id % 25 AS INT) AS x, CAST(floor((vec_id % 500) / 25.0) AS INT) AS y, CAST(floor(vec_id / 500.0) AS BIGINT) AS page_id,
  @argmax(embedding, 22, 12) AS room_cls, @argmax(embedding, 34, 11) AS icon_cls
 FROM [[embeddings]]""",
-    # A gray raster for pixel operators: one page for every 25 vectors' rows, a component of the vector for each x.
+    # A gray raster for pixel operators: a page for every 64 vectors, a row for each of them, a component of the vector for each x.
     "raster": """
-SELECT CAST(vec_id % 8 AS BIGINT) AS page_id, CAST(floor(vec_id / 8.0) AS INT) AS y, CAST(x - 1 AS INT) AS x,
+SELECT CAST(floor(vec_id / 64.0) AS BIGINT) AS page_id, CAST(vec_id % 64 AS INT) AS y, CAST(x - 1 AS INT) AS x,
  CAST(@floor(abs(@item(embedding, x)) * 997) % 256 AS INT) AS gray
 FROM [[embeddings]] CROSS JOIN @series(1, 64)""",
 }
