@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 # Element names and the words in class, id and role that mark parts outside the article.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title iframe noframes xmp".split())
-#: Inline elements left out with all they hold.
-SKIPPED = frozenset("noscript template svg select object math canvas audio video button label datalist".split())
+#: Inline elements left out with all they hold: form controls with their labels, and media whose inside is shown only where they fail.
+SKIPPED = frozenset("noscript template svg select object canvas audio video button label datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())

@@ -242,7 +242,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2500, max_clean:
     """A model of at most max_toxic + max_clean labelled rows that are not held out, the first by a hash of doc_id;
     those of them above max_bytes are left out, so that the sample's size is bounded too.
 
-    Of a doc_id with several labels the largest counts; null labels and ids are left out.
+    Of a doc_id with several labels the largest counts, of one with several rows the first by a hash of the text; null
+    labels and ids are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -250,7 +251,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2500, max_clean:
     share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     picked = [known.where(where).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for where, n in (("toxic = 1", max_toxic), ("toxic = 0", max_clean))]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic").toArrow()
+    some = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes).join(F.broadcast(picked[0].unionAll(picked[1])), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    rows = some.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("m")).select("doc_id", "m.text", "toxic").toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
     return train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64), base=share)
 

@@ -288,8 +288,8 @@ def test_line_dedup(spark):
     sites = {}
     for i, t, s in rows:
         for line in (t or "").split("\n"):
-            if line.strip(" \t\r") and s is not None:
-                sites.setdefault(line.strip(" \t\r"), (set(), []))[0].add(s)
+            if line.strip(" \t\r"):
+                sites.setdefault(line.strip(" \t\r"), (set(), []))[0].update([s] if s is not None else [])
                 sites[line.strip(" \t\r")][1].append(i)
     gone = {k: min(x for x in v[1] if x is not None) for k, v in sites.items() if len(v[0]) >= 5}
     want = []
@@ -298,6 +298,27 @@ def test_line_dedup(spark):
         n = 0 if t is None else len(t.split("\n"))
         want.append((i, None if t is None else "\n".join(kept), n, n - len(kept) if t is not None else 0))
     assert got == sorted(want, key=repr)
+    # The first document keeps the line, source or not; rows without an id lose it, each judged by its own text.
+    assert (1, shared, 1, 0) in got
+    nameless = [(None, f"alone {i}\n{shared}", "s1") for i in range(40)] + [(i, shared, f"s{i}") for i in range(6)]
+    out = linededup.dedup_lines(spark, spark.createDataFrame(nameless, "doc_id long, text string, source string")).collect()
+    assert sorted(r.text for r in out if r.doc_id is None) == sorted(f"alone {i}" for i in range(40))
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, f"text {i % 700}") for i in range(3000)] + [(i, "a clean one") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 40)], "doc_id long, toxic int")
+    sent = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, base: sent.append((texts, toxic.tolist())) or "model")
+    for _ in range(2):
+        assert toxicity.fit(docs, labels) == "model"
+    assert sent[0] == sent[1] and sum(sent[0][1]) == 1 and len(sent[0][0]) <= 39
+
+
+def test_formulas_are_text():
+    page = "<article><p>Energy is <math><mi>E</mi>=<mi>m</mi></math> here.</p><form><label>Name</label><input></form><p>Second paragraph of words.</p></article>"
+    assert htmltext.main_text(page) == "Energy is E=m here.\nSecond paragraph of words."
 
 
 def test_licenses(spark):
