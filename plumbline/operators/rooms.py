@@ -15,6 +15,8 @@ from plumbline.operators.labels import number_names
 from plumbline.operators.spatial import ring_search
 
 SPOT = ["page_id", "cy", "cx"]
+# How a stroke was found: by horizontal, vertical or all runs, or as the ink around the click.
+DIRECTIONS = ("H", "V", "COMBINED", "LOCAL")
 ROOMS = "page_id long, room_seq int, wall_count int, area double, perimeter double, cx double, cy double, mask binary"
 
 
@@ -201,8 +203,8 @@ class _Tracer:
             self.by_depth[d] = [r.label_array(runs & clear, eight=True) for runs in (flat, upright, flat | upright)]
         return self.by_depth[d]
 
-    def at(self, y: int, x: int) -> np.ndarray | None:
-        """The smallest stroke at a pixel of ink, in its full width; curves and slants only by all runs together."""
+    def at(self, y: int, x: int) -> tuple[np.ndarray, str] | None:
+        """The smallest stroke at a pixel of ink, in its full width, and its direction; curves and slants only by all runs together."""
         d, found = self.depth[y, x], []
         *straight, every = self._parts(d)
         for k, part in enumerate((*straight, every)):
@@ -212,12 +214,12 @@ class _Tracer:
             if at is not None:
                 wide = grow(grow(part == part[at], _odd(3 * d, 3) // 2) & self.padded, 2)
                 if wide.sum() > self.least:
-                    found.append(wide)
-        return min(found, key=np.sum) if found else None
+                    found.append((wide, DIRECTIONS[k]))
+        return min(found, key=lambda f: f[0].sum()) if found else None
 
 
 def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, per_point: float = 1.0, least: int = 20) -> DataFrame:
-    """(page_id, cy, cx, y, x): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
+    """(page_id, cy, cx, y, x, direction): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
 
     The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is opened into
     horizontal and vertical runs, which are cut at junctions. The smallest of the horizontal, the vertical and, where
@@ -236,13 +238,13 @@ def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, r
                 if at is None:
                     continue
                 if at not in traced:
-                    best = tracer.at(*at)
-                    best = local_part(tracer.mask, *at, box) if best is None else best
-                    traced[at] = [a.astype(np.int32) for a in np.nonzero(best)]
-                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": traced[at][0], "x": traced[at][1]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*SPOT, "y", "x")})
+                    best, way = tracer.at(*at) or (local_part(tracer.mask, *at, box), DIRECTIONS[3])
+                    traced[at] = [a.astype(np.int32) for a in np.nonzero(best)], way
+                (ys, xs), way = traced[at]
+                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": ys, "x": xs, "direction": way}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*SPOT, "y", "x")}).assign(direction=pd.Series(dtype="str"))
 
-    return ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, y int, x int")
+    return ink.groupBy("page_id").cogroup(clicks.select(*SPOT).distinct().groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, y int, x int, direction string")
 
 
 def local_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, box: int = 60) -> DataFrame:

@@ -15,7 +15,7 @@ from plumbline.functions import geometry as g
 from plumbline.operators import drawings as dr
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
-from plumbline.operators import detect, graph, labels, measure, raster, rooms, spatial, state, strokes
+from plumbline.operators import detect, graph, hybrid, inference, labels, measure, raster, rooms, spatial, state, steps, strokes
 from plumbline.plans.relations import CLASS_HEIGHT, CLASS_WIDTH, DIMENSION_SQL, HEIGHT, MAP_HEIGHT, MAP_WIDTH, ROOM_SQL, SQL, TITLE_SQL, WIDTH, contours_sql, labels_sql, workspace
 from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
@@ -576,9 +576,48 @@ _query("ras11_label_search", lambda w: spatial.ring_search(w.sql(_EVERY_CLICK),
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
 _query("ras12_trace_wall", lambda w: w.sql(_EVERY_CLICK).join(_traced(w).groupBy(*rooms.SPOT).agg(F.count(F.lit(1)).alias("n")), rooms.SPOT).select("click_id", "n"))
 _query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], HEIGHT, WIDTH))
-_query("ras31_hybrid_select", lambda w: w.sql(_EVERY_CLICK).join(
-           _traced(w).join(w.sql(_SAMPLE).where("structural").select("page_id", "edge_id", F.col("px").alias("x"), F.col("py").alias("y")).distinct(), ["page_id", "y", "x"]).select(*rooms.SPOT, "edge_id").distinct(), rooms.SPOT)
-       .select("click_id", "edge_id").distinct())
+# Edges of all pages on the pages of the raster, told apart by page; clicks with their category.
+_FOLDED = "SELECT page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, page_id * 100000 + edge_id AS edge_id, structural, lw, length, x0, y0, x1, y1 FROM [[edges]]"
+_CHOSEN = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy, category FROM [[clicks]]"
+# A model's mask: what lies within twelve pixels of the click, by a rule that leaves some out.
+_CANDIDATE = "abs(y - cy) <= 12 AND abs(x - cx) <= 12 AND (y + x) % 5 > 0"
+
+
+def _candidates(masks: DataFrame) -> DataFrame:
+    return masks.where(_CANDIDATE)
+
+
+def _component_strokes(w: Workspace) -> DataFrame:
+    """The component of ink nearest to each clicked pixel, for its stroke."""
+    parts = steps.saved(raster.components(w["ink2"], eight=True))
+    spots = w.sql(_CHOSEN).select(*rooms.SPOT).distinct().withColumn("click_id", F.struct(*rooms.SPOT))
+    nearest = spatial.ring_search(spots, parts, 20, "label_y", "label_x").select(F.col("click_id.page_id").alias("page_id"), F.col("click_id.cy").alias("cy"), F.col("click_id.cx").alias("cx"), "label_y", "label_x")
+    return nearest.join(parts, ["page_id", "label_y", "label_x"]).select(*rooms.SPOT, "y", "x", F.lit("LOCAL").alias("direction"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Results of clicks with their paths as a digest."""
+    path = F.concat_ws(";", F.transform("svg_groups", lambda g: F.concat(g.d, F.format_string("@%.3f", g.stroke_width))))
+    return rows.select("click_id", F.col("mask_pixels").cast("long").alias("mask_pixels"), "direction", F.col("edge_count").cast("long").alias("edge_count"), F.round("total_length", 4).alias("total_length"), F.md5(path).alias("svg"))
+
+
+_query("ras31_hybrid_select", lambda w: _shown(hybrid.select(w.sql(_CHOSEN), (t := steps.saved(_traced(w))), w.sql(_FOLDED), rooms.SPOT, 1 / 20, candidates=_candidates(t))))
+_query("ras31_hybrid_component", lambda w: _shown(hybrid.select(w.sql(_CHOSEN), (t := steps.saved(_component_strokes(w))), w.sql(_FOLDED), rooms.SPOT, 1 / 20, candidates=_candidates(t))), f"""
+SELECT * FROM (WITH parts AS MATERIALIZED (SELECT * FROM {labels_sql("SELECT page_id, y, x FROM [[ink2]]")}), clicked AS MATERIALIZED ({_CHOSEN}), folded AS MATERIALIZED ({_FOLDED}),
+spots AS (SELECT DISTINCT page_id, cy, cx FROM clicked),
+nearest AS (SELECT page_id, cy, cx, c FROM (SELECT s.*, p.c, row_number() OVER (PARTITION BY s.page_id, cy, cx ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r
+ FROM spots s JOIN parts p ON s.page_id = p.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1),
+traced AS MATERIALIZED (SELECT n.page_id, cy, cx, y, x, {_CANDIDATE} AS kept FROM nearest n JOIN parts p ON n.page_id = p.page_id AND n.c = p.c),
+mask AS MATERIALIZED (SELECT page_id, cy, cx, y, x FROM (SELECT *, count(*) FILTER (WHERE kept) OVER (PARTITION BY page_id, cy, cx) AS n FROM traced) WHERE kept OR n <= 50),
+places AS MATERIALIZED (SELECT DISTINCT page_id, edge_id, structural, @int((x0 + (x1 - x0) * t.x / 4.0) * (1.0::DOUBLE / 20)) AS px, @int((y0 + (y1 - y0) * t.x / 4.0) * (1.0::DOUBLE / 20)) AS py FROM folded CROSS JOIN @series(0, 4) t),
+snapped AS (SELECT DISTINCT m.page_id, m.cy, m.cx, k.category, a.edge_id FROM mask m JOIN places a ON m.page_id = a.page_id AND m.y = a.py AND m.x = a.px
+ JOIN (SELECT DISTINCT page_id, cy, cx, category FROM clicked) k ON m.page_id = k.page_id AND m.cy = k.cy AND m.cx = k.cx WHERE k.category <> 'Walls' OR a.structural),
+paths AS (SELECT s.page_id, cy, cx, category, @half(lw, 3) AS width, count(*) AS n, sum(length) AS l, min(s.edge_id) AS first, string_agg(printf('M%.2f,%.2fL%.2f,%.2f', x0, y0, x1, y1), ' ' ORDER BY s.edge_id) AS d
+ FROM snapped s JOIN folded f ON s.edge_id = f.edge_id GROUP BY s.page_id, cy, cx, category, @half(lw, 3)),
+found AS (SELECT page_id, cy, cx, category, sum(n) AS n, sum(l) AS l, string_agg(d || printf('@%.3f', greatest(width, 0.5)), ';' ORDER BY first) AS svg FROM paths GROUP BY page_id, cy, cx, category)
+SELECT c.click_id, m.n AS mask_pixels, 'LOCAL' AS direction, CAST(coalesce(f.n, 0) AS BIGINT) AS edge_count, round(coalesce(f.l, 0), 4) AS total_length, md5(coalesce(f.svg, '')) AS svg
+FROM clicked c JOIN (SELECT page_id, cy, cx, count(*) AS n FROM mask GROUP BY ALL) m ON c.page_id = m.page_id AND c.cy = m.cy AND c.cx = m.cx
+ LEFT JOIN found f ON c.page_id = f.page_id AND c.cy = f.cy AND c.cx = f.cx AND c.category = f.category)""")
 _query("ras32_magic_wand", lambda w: dr.wand(w.sql(_ON_DRAWING), w["items"], **_DRAWN))
 _query("ras33_vector_rooms", lambda w: _vector_rooms(w))
 _query("ras34_raster_rooms", lambda w: rooms.split_rooms(w["ink2"], HEIGHT, WIDTH, close=0, min_share=0.002).drop("mask"))
