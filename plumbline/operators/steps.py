@@ -31,15 +31,20 @@ def _remove_all() -> None:
         _remove(path)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written below spark.checkpoint.dir (a local folder only where that is unset, on one machine), and reread."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where that is unset, on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         base = "file://" + tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/plumbline-step-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, and reread."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/plumbline-step-{uuid.uuid4().hex[:12]}"
     _left[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from plumbline.operators import drawings as dr
 from plumbline.operators import edges as ed
 from plumbline.operators import gaps as gp
 from plumbline.operators import detect, graph, hybrid, inference, labels, measure, raster, rooms, spatial, state, steps, strokes
+from plumbline.plans import stand_ins
 from plumbline.plans.relations import CLASS_HEIGHT, CLASS_WIDTH, DIMENSION_SQL, HEIGHT, MAP_HEIGHT, MAP_WIDTH, ROOM_SQL, SQL, TITLE_SQL, WIDTH, contours_sql, labels_sql, workspace
 from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
@@ -537,6 +538,32 @@ _both("ras35_kernel_size", "SELECT page_id, greatest(3, n + (1 - n % 2)) AS k FR
 _query("ras41_resize_nearest", lambda w: raster.resize(w["raster"], HEIGHT, WIDTH, 150, 45), f"""
 SELECT r.page_id, CAST(v.x AS INT) AS y, CAST(u.x AS INT) AS x, r.gray FROM @series(0, 149) v CROSS JOIN @series(0, 44) u JOIN [[raster]] r ON r.y = v.x * {HEIGHT} // 150 AND r.x = u.x * {WIDTH} // 45""")
 
+_query("ras23_pixel_classes", lambda w: inference.classified(inference.classify_pixels(inference.page_images(w["raster"], HEIGHT, WIDTH), stand_ins.shipped(w.spark, steps.shared_dir(w.spark), stand_ins.Classes)))
+       .join(w["raster"], ["page_id", "y", "x"]).select("page_id", "y", "x", "room_cls", "icon_cls"), f"""
+SELECT page_id, y, x, list_position(r, list_max(r)) - 1 AS room_cls, list_position(i, list_max(i)) - 1 AS icon_cls
+FROM (SELECT *, list_transform(range(21, 33), lambda c: (gray * (c + 3)) % {stand_ins.PRIME}) AS r, list_transform(range(33, 44), lambda c: (gray * (c + 3)) % {stand_ins.PRIME}) AS i FROM [[raster]])""")
+_PROMPTS = """SELECT click_id AS key, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"""
+
+
+def _prompted(w: Workspace) -> DataFrame:
+    """Each click as a point that is meant, one beside it that is not, and on every third a box."""
+    point = lambda x, label: F.struct(x.cast("double").alias("x"), F.col("cy").cast("double").alias("y"), F.lit(label).alias("label"))
+    box = F.when(F.col("key") % 3 == 0, F.array(*[(F.col(c) + d).cast("double") for c, d in (("cx", -4), ("cy", -2), ("cx", 4), ("cy", 6))]))
+    prompts = w.sql(_PROMPTS).select("key", "page_id", F.array(point(F.col("cx"), 1), point(F.col("cx") + 2, 0)).alias("points"), box.alias("box"))
+    found = inference.best_masks(inference.page_images(w["raster"], HEIGHT, WIDTH), prompts, stand_ins.shipped(w.spark, steps.shared_dir(w.spark), stand_ins.Squares))
+    n = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r.x1 - r.x0 + 1)
+    return found.select(F.col("key").alias("click_id"), "best", F.round("score", 6).alias("score"), n.alias("pixels"))
+
+
+_query("ras30_prompt_masks", _prompted, f"""
+SELECT click_id, CAST(k - 1 AS INT) AS best, round(score, 6) AS score, pixels FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY score DESC, k) AS first FROM (
+ SELECT p.key AS click_id, r.k, count(g.gray) AS pixels, coalesce(avg(CASE WHEN g.gray < 128 THEN 1.0::DOUBLE WHEN g.gray IS NOT NULL THEN 0 END), 0) AS score
+ FROM ({_PROMPTS}) p CROSS JOIN (SELECT unnest(range(1, 4)) AS k, unnest([{', '.join(map(str, stand_ins.RADII))}]) AS r) r
+ LEFT JOIN (SELECT v.x AS y, u.x, pages.page_id, coalesce(gray, 255) AS gray FROM (SELECT DISTINCT page_id FROM [[raster]]) pages CROSS JOIN @series(0, {HEIGHT - 1}) v CROSS JOIN @series(0, {WIDTH - 1}) u
+  LEFT JOIN [[raster]] g ON g.page_id = pages.page_id AND g.y = v.x AND g.x = u.x) g
+  ON g.page_id = p.page_id AND abs(g.x - cx) <= r.r AND abs(g.y - cy) <= r.r AND NOT (abs(g.x - cx - 2) <= r.r // 2 AND abs(g.y - cy) <= r.r // 2)
+  AND (p.key % 3 <> 0 OR (g.x BETWEEN cx - 4 AND cx + 4 AND g.y BETWEEN cy - 2 AND cy + 6)) GROUP BY p.key, r.k)) WHERE first = 1""")
+
 # --- kernels and composites, held by invariants in tests ----------------------------------------------------------------
 _EVERY_CLICK = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy FROM [[clicks]]"
 
