@@ -20,7 +20,7 @@ from plumbline.plans import stand_ins
 from plumbline.plans.relations import CLASS_HEIGHT, CLASS_WIDTH, DIMENSION_SQL, HEIGHT, MAP_HEIGHT, MAP_WIDTH, ROOM_SQL, SQL, TITLE_SQL, WIDTH, contours_sql, labels_sql, workspace
 from plumbline.sources import documents
 from plumbline.sources.fixtures import Workspace, oracle
-from plumbline.streaming import clicks
+from plumbline.streaming import clicks, debounce
 
 _RUN: dict[str, Callable[[Workspace], DataFrame]] = {}
 _TEXT: dict[str, str] = {}
@@ -422,6 +422,9 @@ UNION ALL SELECT s.project_id, n.n + 3 + row_number() OVER (PARTITION BY s.proje
 _query("snk08_latest_state", lambda w: state.latest(w["masks"].select("project_id", "mask_seq", "category", "real_length"), "project_id", "mask_seq"),
        "SELECT project_id, mask_seq, category, real_length FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY mask_seq DESC) AS r FROM [[masks]]) WHERE r = 1")
 
+_query("snk08_settled_states", lambda w: debounce.settled(w["events"].selectExpr("event_id", "user_id", "ts", "value"), key="user_id", time="ts", order="event_id", delay_ms=300_000).select("event_id", "user_id", "value"),
+       "SELECT event_id, user_id, value FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM [[events]]) WHERE after IS NULL OR after - ts >= INTERVAL 300 SECONDS")
+
 
 def _sheet(w: Workspace) -> DataFrame:
     """Room rows from line 1, the summary three lines below them."""

@@ -12,7 +12,8 @@ from plumbline.operators.state import latest
 def snapshot_writer(spark: SparkSession, path: str, key: str, order: str):
     """A foreachBatch function that keeps, below ``path``, a version for each batch: the last row of each key so far.
 
-    A batch reads the version before it and writes its own, so a batch that runs again writes the same rows.
+    A batch reads the version before it and writes its own, so a batch that runs again writes the same rows; versions
+    before that are removed, as no batch reads them any more.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -25,6 +26,8 @@ def snapshot_writer(spark: SparkSession, path: str, key: str, order: str):
                 if "PATH_NOT_FOUND" not in str(missing):
                     raise
         now.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v={batch_id - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
     return merge
 
