@@ -6,6 +6,7 @@ borders. Kernels that follow a shape take one page or component an Arrow group,
 
 from __future__ import annotations
 
+import base64
 import struct
 import zlib
 
@@ -319,12 +320,13 @@ def area(points: np.ndarray) -> float:
     return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
 
 
-def png(rgba: np.ndarray) -> bytes:
-    """An RGBA array as a PNG file."""
-    h, w, _ = rgba.shape
+def png(image: np.ndarray) -> bytes:
+    """An array of gray, gray and alpha, RGB or RGBA as a PNG file."""
+    h, w, channels = image.shape
+    kind_of = {1: 0, 2: 4, 3: 2, 4: 6}[channels]
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    rows = np.hstack((np.zeros((h, 1), np.uint8), rgba.reshape(h, w * 4).astype(np.uint8)))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+    rows = np.hstack((np.zeros((h, 1), np.uint8), image.reshape(h, w * channels).astype(np.uint8)))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind_of, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
 
 
 def unpng(data: bytes) -> np.ndarray:
@@ -367,6 +369,30 @@ def mask_of(image: np.ndarray, alpha_over: int = 10, gray_over: int = 10) -> np.
     return gray > gray_over
 
 
+def decoded(masks: DataFrame, height: int, width: int, *, alpha_over: int = 10, gray_over: int = 10) -> DataFrame:
+    """(page_id, y, x0, x1): runs of set pixels of masks(page_id, mask_b64), resized to a page of height x width by nearest index.
+
+    A mask is a PNG in base64, with or without a data-URL prefix: by alpha where it has one, else by gray. What cannot be
+    decoded is left out, and so are nulls; several masks of a page give the runs of each.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for page, text in zip(batch["page_id"].tolist(), batch["mask_b64"].tolist(), strict=True):
+                try:
+                    mask = resize_nearest(mask_of(unpng(base64.b64decode(text.split(",")[-1], validate=True)), alpha_over, gray_over), height, width)
+                except Exception:  # whatever is wrong with it, it is no mask
+                    continue
+                edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                (y, x0), x1 = np.nonzero(edge == 1), np.nonzero(edge == -1)[1] - 1
+                out.append(pd.DataFrame({"page_id": page, "y": y.astype(np.int32), "x0": x0.astype(np.int32), "x1": x1.astype(np.int32)}))
+            if out:
+                yield pd.concat(out)
+
+    return masks.where("mask_b64 is not null").select("page_id", "mask_b64").mapInPandas(run, "page_id long, y int, x0 int, x1 int")
+
+
 def resize_nearest(a: np.ndarray, height: int, width: int) -> np.ndarray:
     ys, xs = np.arange(height) * a.shape[0] // height, np.arange(width) * a.shape[1] // width
     return a[ys][:, xs]

@@ -105,6 +105,30 @@ def split_rooms(barriers: DataFrame, height: int, width: int, *, scale: float =
     return barriers.select("page_id", "y", "x").groupBy("page_id").applyInPandas(run, ROOMS)
 
 
+def room_function(height: int, width: int, *, close: int = 1, min_share: float = 0.0005):
+    """A table function that reads a page's barrier pixels (page_id, y, x) row by row into its bitmap and gives its rooms at the end.
+
+    Called with a table that is partitioned by page, as ``room_function(...)(pixels.asTable().partitionBy("page_id"))`` or, once
+    registered, as ``FROM rooms(TABLE(...) PARTITION BY page_id)``. Pixels off the page do not count.
+    """
+
+    class Rooms:
+        def __init__(self):
+            self.page, self.barrier = None, np.zeros((height, width), bool)
+
+        def eval(self, row):
+            self.page = row["page_id"]
+            if 0 <= row["y"] < height and 0 <= row["x"] < width:
+                self.barrier[row["y"], row["x"]] = True
+
+        def terminate(self):
+            if self.page is not None:
+                for n, x in enumerate(split_array(self.barrier, close=close, min_share=min_share, masks=False), 1):
+                    yield self.page, n, x["wall_count"], x["area"], x["perimeter"], x["cx"], x["cy"]
+
+    return F.udtf(Rooms, returnType=ROOMS.removesuffix(", mask binary"))
+
+
 def draw(lines: pd.DataFrame, height: int, width: int) -> np.ndarray:
     """Boolean array of lines (x0, y0, x1, y1, thick) in pixels: one step along the longer way a pixel, reaching half the thickness."""
     out = np.zeros((height, width), bool)

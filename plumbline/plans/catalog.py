@@ -60,32 +60,38 @@ _both("src08_layers", "SELECT DISTINCT page_id, object_type AS layer FROM [[edge
 _both("src09_project_lookup", "SELECT c.click_id, p.project_id, p.scale_factor, p.project_id IS NULL AS missing FROM [[clicks]] c LEFT JOIN [[projects]] p ON c.page_id = p.page_id")
 _query("src10_stored_bytes", lambda w: w["projects"].select("project_id", F.unbase64(F.base64(F.encode("project_id", "UTF-8"))).cast("string").alias("bytes_back")),
        "SELECT project_id, project_id AS bytes_back FROM [[projects]]")
-_query("src11_decode_mask", lambda w: _decoded_masks(w, 10), "SELECT page_id, y, x FROM [[raster]] WHERE gray > 10")
-_query("src12_decode_mask_gray", lambda w: _decoded_masks(w, 5), "SELECT page_id, y, x FROM [[raster]] WHERE gray > 5")
+_SOURCE = "SELECT page_id, y, x, gray AS r, (gray * 3) % 256 AS g, (gray * 7) % 256 AS b, CASE page_id % 3 WHEN 0 THEN (gray * 5) % 256 END AS a FROM [[raster]]"
 
 
-def _page_array(frame, value: str = "gray"):
+def _mask_files(w: Workspace, pixels: str) -> DataFrame:
+    """Pages as PNG files in base64: with alpha on every third, as RGB or as gray on the others, every other one a data URL; one that is broken."""
+    import base64
+
     import numpy as np
+    import pandas as pd
 
-    y, x = frame["y"].to_numpy(np.int64), frame["x"].to_numpy(np.int64)
-    out = np.zeros((int(y.max()) + 1, WIDTH), np.int64)
-    out[y, x] = frame[value].to_numpy(np.int64)
-    return out
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        page = int(frame["page_id"].iloc[0])
+        image = np.zeros((HEIGHT, WIDTH, 4), np.uint8)
+        image[frame["y"], frame["x"]] = frame[["r", "g", "b", "a"]].fillna(0)
+        text = base64.b64encode(raster.png(image[:, :, : (4, 3, 1)[page % 3]])).decode()
+        return pd.DataFrame({"page_id": [page, page], "mask_b64": ["data:image/png;base64," * (page % 2) + text, text[:40]]})
 
+    return w.sql(pixels).groupBy("page_id").applyInPandas(run, "page_id long, mask_b64 string")
 
-def _decoded_masks(w: Workspace, over: int) -> DataFrame:
-    """Rasters written as PNG files a page and decoded again."""
-    import numpy as np
-    import pandas as pd
 
-    def run(key, frame):
-        a = _page_array(frame)
-        rgba = np.dstack((a, a, a, np.full_like(a, 255)))
-        back = raster.unpng(raster.png(rgba))[:, :, :3]
-        y, x = np.nonzero(raster.mask_of(back, gray_over=over))
-        return pd.DataFrame({"page_id": key[0], "y": y.astype(np.int32), "x": x.astype(np.int32)})
+def _decoded_masks(w: Workspace, alpha_over: int, gray_over: int) -> DataFrame:
+    runs = raster.decoded(_mask_files(w, _SOURCE), 150, 45, alpha_over=alpha_over, gray_over=gray_over)
+    return runs.select("page_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def _decoded_sql(alpha_over: int, gray_over: int) -> str:
+    value = f"CASE page_id % 3 WHEN 0 THEN CASE WHEN a > {alpha_over} THEN 1 END WHEN 1 THEN CASE WHEN round_even(0.299 * r + 0.587 * g + 0.114 * b, 0) > {gray_over} THEN 1 END ELSE CASE WHEN r > {gray_over} THEN 1 END END"
+    return f"SELECT s.page_id, CAST(v.x AS INT) AS y, CAST(u.x AS INT) AS x FROM @series(0, 149) v CROSS JOIN @series(0, 44) u JOIN ({_SOURCE}) s ON s.y = v.x * {HEIGHT} // 150 AND s.x = u.x * {WIDTH} // 45 WHERE {value} = 1"
+
 
-    return w["raster"].groupBy("page_id").applyInPandas(run, "page_id long, y int, x int")
+_query("src11_decode_mask", lambda w: _decoded_masks(w, 10, 10), _decoded_sql(10, 10))
+_query("src12_decode_mask_gray", lambda w: _decoded_masks(w, 10, 5), _decoded_sql(10, 5))
 
 
 # --- vector projections and predicates --------------------------------------------------------------------------------
@@ -605,7 +611,15 @@ _query("ras11_label_search", lambda w: spatial.ring_search(w.sql(_EVERY_CLICK),
        f"""SELECT click_id, label_y, label_x FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY greatest(abs(y - cy), abs(x - cx)), y, x) AS r FROM ({_EVERY_CLICK}) c
        JOIN (SELECT page_id, y, x, CAST(c // 4096 AS INT) AS label_y, CAST(c % 4096 AS INT) AS label_x FROM {_FULL.replace('[[ink]]', '[[ink2]]')}) i ON c.page_id = i.page_id AND y BETWEEN cy - 20 AND cy + 20 AND x BETWEEN cx - 20 AND cx + 20) WHERE r = 1""")
 _query("ras12_trace_wall", lambda w: w.sql(_EVERY_CLICK).join(_traced(w).groupBy(*rooms.SPOT).agg(F.count(F.lit(1)).alias("n")), rooms.SPOT).select("click_id", "n"))
-_query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], HEIGHT, WIDTH))
+_OTSU_INK = f"(SELECT r.page_id, r.y, r.x FROM [[raster]] r JOIN ({_TEXT['ras04_otsu']}) t ON r.page_id = t.page_id WHERE r.gray <= t.threshold)"
+_JOINED = f"SELECT page_id, y, x FROM ({_window_sql('(' + _window_sql(_OTSU_INK, 7, 7) + ')', 7, 7, erode=True)}) UNION SELECT * FROM {_OTSU_INK}"
+_query("ras20_auto_crop", lambda w: rooms.auto_crop(w["raster"], HEIGHT, WIDTH), f"""
+SELECT page_id, CAST(greatest(0, trunc(x0 - px)) AS INT) AS x0, CAST(greatest(0, trunc(y0 - py)) AS INT) AS y0, CAST(least({WIDTH - 1}, trunc(x1 + px)) AS INT) AS x1, CAST(least({HEIGHT - 1}, trunc(y1 + py)) AS INT) AS y1
+FROM (SELECT *, 0.05::DOUBLE * (x1 - x0) AS px, 0.05::DOUBLE * (y1 - y0) AS py FROM (
+ SELECT b.page_id, CASE WHEN few THEN i.x0 ELSE b.x0 END AS x0, CASE WHEN few THEN i.x1 ELSE b.x1 END AS x1, CASE WHEN few THEN i.y0 ELSE b.y0 END AS y0, CASE WHEN few THEN i.y1 ELSE b.y1 END AS y1
+ FROM (SELECT p.*, i.n > 100 AND p.n < 0.1 * {HEIGHT * WIDTH} AS few FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, c) AS r FROM (
+   SELECT page_id, c, count(*) AS n, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {labels_sql(_JOINED)} GROUP BY page_id, c)) p JOIN (SELECT page_id, count(*) AS n FROM {_OTSU_INK} GROUP BY page_id) i ON p.page_id = i.page_id WHERE r = 1) b
+ JOIN (SELECT page_id, quantile_cont(x, 0.02) AS x0, quantile_cont(x, 0.98) AS x1, quantile_cont(y, 0.02) AS y0, quantile_cont(y, 0.98) AS y1 FROM {_OTSU_INK} GROUP BY page_id) i ON b.page_id = i.page_id))""")
 # Edges of all pages on the pages of the raster, told apart by page; clicks with their category.
 _FOLDED = "SELECT page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, page_id * 100000 + edge_id AS edge_id, structural, lw, length, x0, y0, x1, y1 FROM [[edges]]"
 _CHOSEN = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) AS page_id, CAST(@int(x / 20) AS INT) AS cx, CAST(@int(y / 20) AS INT) AS cy, category FROM [[clicks]]"
@@ -662,6 +676,7 @@ def _near_sql(lines: str, width: int, height: int) -> str:
  WHERE pow(x - x0 - t * (x1 - x0), 2) + pow(y - y0 - t * (y1 - y0), 2) <= 36 + 1e-9)"""
 
 
+_query("ras34_rooms_by_table_function", lambda w: rooms.room_function(HEIGHT, WIDTH, close=0, min_share=0.002)(w["ink2"].asTable().partitionBy("page_id")))
 _query("ras36_opening_line", lambda w: strokes.openings(w.sql(_OPENINGS), ["click_id"]).select("click_id", "pixels", "length", "real_length"), f"""
 SELECT o.click_id, n.pixels, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length, coalesce(sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) / nullif(scale_factor, 0), 0) AS real_length
 FROM ({_OPENINGS}) o JOIN (SELECT click_id, count(*) AS pixels FROM {_near_sql("SELECT click_id, trunc(x0) AS x0, trunc(y0) AS y0, trunc(x1) AS x1, trunc(y1) AS y1 FROM (" + _OPENINGS + ")", 2000, 2000)} GROUP BY click_id) n ON o.click_id = n.click_id""")
@@ -698,8 +713,12 @@ def _barriers(w: Workspace, scale: float) -> DataFrame:
 
 
 def _vector_rooms(w: Workspace) -> DataFrame:
-    """Barriers drawn on a raster 1500 pixels wide, split into rooms and named from the page's labels."""
+    """Barriers drawn on a raster 1500 pixels wide, and those of stored masks, split into rooms and named from the page's labels."""
     scale = 1500 / 1191
-    found = rooms.split_lines(_barriers(w, scale), int(842 * scale), 1500, scale=scale, close=2)
+    height = int(842 * scale)
+    # A run of a mask is a line one pixel thick.
+    stored = raster.decoded(_mask_files(w, f"SELECT * FROM ({_SOURCE}) WHERE r >= 253"), height, 1500)
+    stored = stored.select("page_id", *[F.col(c).cast("double").alias(n) for c, n in (("x0", "x0"), ("y", "y0"), ("x1", "x1"), ("y", "y1"))], F.lit(1).alias("thick"))
+    found = rooms.split_lines(_barriers(w, scale).unionByName(stored), height, 1500, scale=scale, close=2)
     return rooms.name_rooms(found, w["labels"], reach=1191 * 0.05, scale=scale)
 

@@ -155,3 +155,53 @@ def test_openings(spark):
     # Through pixel centres: a box of 50 x 12 and two half discs.
     assert abs(got[1].area - 705) < 15 and abs(got[1].real_area - got[1].area / 625) < 1e-9
     assert (got[2].length, got[2].real_area, got[2].real_length) == (0.0, None, 0.0) and got[3].real_length == 0.0 and 0 < got[3].pixels < 250
+
+
+def test_decoded_masks(spark):
+    import base64
+
+    a = np.zeros((6, 8), np.uint8)
+    a[1:3, 2:5], a[5, 7] = 200, 9
+    grey, rgb, alpha = a[:, :, None], np.dstack([a, a, a]), np.dstack([np.full_like(a, 255)] * 3 + [a])
+    text = lambda image: base64.b64encode(raster.png(image)).decode()
+    rows = [(1, text(grey)), (2, "data:image/png;base64," + text(rgb)), (3, text(alpha)), (4, text(grey)[:30]), (5, ""), (6, None), (7, "not base64!")]
+    masks = spark.createDataFrame(rows, "page_id long, mask_b64 string")
+    for over, image in ((10, a > 10), (5, a > 5)):
+        got = {}
+        for r in raster.decoded(masks, 13, 4, alpha_over=over, gray_over=over).collect():
+            got.setdefault(r.page_id, set()).update((r.y, x) for x in range(r.x0, r.x1 + 1))
+        want = set(zip(*map(list, np.nonzero(raster.resize_nearest(image, 13, 4))), strict=True))
+        assert got == {k: want for k in (1, 2, 3)}
+
+
+def test_prompts_and_weights(spark, tmp_path):
+    from plumbline.operators import inference
+    from plumbline.plans import stand_ins
+
+    assert inference.discover(spark, [str(tmp_path / "none")]) is None
+    page = np.full((20, 20), 250)
+    page[8:12, 8:12] = 10
+    y, x = np.indices(page.shape)
+    frame = spark.createDataFrame([(1, int(a), int(b), int(c)) for a, b, c in zip(y.ravel(), x.ravel(), page.ravel(), strict=True)], "page_id long, y int, x int, gray int")
+    images = inference.page_images(frame, 20, 20)
+    point = "array<struct<x:double,y:double,label:int>>"
+    prompts = spark.createDataFrame(
+        [(1, 1, [{"x": 10.0, "y": 10.0, "label": 1}], None), (2, 1, [{"x": 10.0, "y": 10.0, "label": 1}], [8.0, 8.0, 11.0, 11.0]), (3, 1, None, None), (4, 2, [{"x": 1.0, "y": 1.0, "label": 1}], None)],
+        f"key long, page_id long, points {point}, box array<double>")
+    loader = stand_ins.shipped(spark, "file://" + str(tmp_path), stand_ins.Squares)
+    got = {r.key: r for r in inference.best_masks(images, prompts, loader).collect()}
+    assert set(got) == {1, 2} and (got[1].best, got[1].score) == (0, 16 / 49) and (got[2].best, got[2].score) == (0, 1.0)
+    assert [tuple(r) for r in got[2].runs] == [(k, 8, 11) for k in range(8, 12)]
+
+
+def test_rooms_by_table_function_equal_those_of_groups(spark, sf):
+    from plumbline.operators import rooms
+    from plumbline.plans.relations import HEIGHT, WIDTH, workspace
+
+    ink = workspace(spark, sf)["ink2"]
+    options = {"close": 0, "min_share": 0.002}
+    want = sorted(map(tuple, rooms.split_rooms(ink, HEIGHT, WIDTH, **options).drop("mask").collect()))
+    assert sorted(map(tuple, rooms.room_function(HEIGHT, WIDTH, **options)(ink.asTable().partitionBy("page_id")).collect())) == want and want
+    spark.udtf.register("page_rooms", rooms.room_function(HEIGHT, WIDTH, **options))
+    ink.createOrReplaceTempView("ink_pixels")
+    assert spark.sql("SELECT * FROM page_rooms(TABLE(ink_pixels) PARTITION BY page_id)").count() == len(want)
