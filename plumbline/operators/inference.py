@@ -129,3 +129,9 @@ def classify_pixels(images: DataFrame, loader: Callable[[], object]) -> DataFram
             yield pd.DataFrame(rows, columns=["page_id", "height", "width", "room_cls", "icon_cls"])
 
     return images.select("page_id", "height", "width", "gray").mapInPandas(run, "page_id long, height int, width int, room_cls binary, icon_cls binary")
+
+
+def class_of(channels: str, first: int, n: int):
+    """Which of ``n`` channels from ``first``, counted from 0, is the highest in an array column; the first of equal ones."""
+    some = F.slice(F.col(channels), first + 1, n)
+    return (F.array_position(some, F.array_max(some)) - 1).cast("int")

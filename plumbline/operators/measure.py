@@ -92,3 +92,24 @@ def detected_masks(detected: DataFrame) -> DataFrame:
     doors = detected.where("doors > 0").selectExpr("project_id", "'Doors' as category", "0.9D * doors as real_length", "2.1D as height", "doors as cnt")
     windows = detected.where("windows > 0").selectExpr("project_id", "'Windows' as category", "1.2D * windows as real_length", "1.2D as height", "windows as cnt")
     return walls.unionByName(doors).unionByName(windows)
+
+
+# Heights that prompts propose for doors and windows, and for walls without one of their own.
+DOOR_HEIGHT, WINDOW_HEIGHT, WALL_HEIGHT = 2.1, 1.2, 2.4
+
+
+def default_height(category: str = "category", height: str = "height") -> Column:
+    """The height that a prompt proposes: fixed for doors and windows, else the mask's own unless it is null or 0."""
+    own = F.when(F.col(height) != 0, F.col(height))
+    return F.when(F.col(category) == "Doors", DOOR_HEIGHT).when(F.col(category) == "Windows", WINDOW_HEIGHT).otherwise(F.coalesce(own, F.lit(WALL_HEIGHT)))
+
+
+def drawn_lengths(lines: DataFrame, least: float) -> DataFrame:
+    """Drawn lines (..., x0, y0, x1, y1) longer than ``least`` points, with ``px``, their length; shorter ones are slips of the pointer."""
+    length = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
+    return lines.withColumn("px", length).where(F.col("px") > least)
+
+
+def screen_to_points(position: Column, offset: float, zoom: Column, fit: float) -> Column:
+    """A place on the screen in points of the page; the zoom is held between half and twice the fitting one."""
+    return (position - offset) / (fit * F.greatest(F.lit(0.5), F.least(F.lit(2.0), zoom)))

@@ -12,7 +12,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,6 +86,32 @@ def complement(raster: DataFrame, pixels: DataFrame) -> DataFrame:
 DARK, CLEAN, THICK_REACH, THIN_MARGIN = 200, 240, 2, 1
 
 
+# Means and deviations of the channels that the network was trained with, and what its input's sides are multiples of.
+MEANS, DEVIATIONS, MULTIPLE = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225), 64
+
+
+def normalise(rgb: DataFrame) -> DataFrame:
+    """(page_id, y, x, r, g, b): channels of 0 to 255 as the network takes them."""
+    scaled = [((F.col(c) / 255.0 - m) / s).alias(c) for c, m, s in zip("rgb", MEANS, DEVIATIONS, strict=True)]
+    return rgb.select("page_id", "y", "x", *scaled)
+
+
+def model_side(side: Column, scale: Column) -> Column:
+    """Pixels of a side of the network's input: the scaled side, up to the next multiple of 64."""
+    return (F.ceil(side * scale / float(MULTIPLE)) * MULTIPLE).cast("int")
+
+
+def kernel_size(base: float, ratio: Column) -> Column:
+    """A kernel's side scaled by the page: whole, odd and at least three."""
+    n = (F.lit(float(base)) * ratio).cast("int")
+    return F.greatest(F.lit(3), n + 1 - F.pmod(n, F.lit(2)))
+
+
+def recover_width(stroke: DataFrame, ink: DataFrame, reach: int, height: int, width: int) -> DataFrame:
+    """The ink within ``reach`` rows and columns of a stroke, so that what thinning took comes back."""
+    return ink.select("page_id", "y", "x").distinct().join(dilate(stroke, reach, reach, height, width), ["page_id", "y", "x"], "left_semi")
+
+
 def thin_lines(raster: DataFrame, height: int, width: int) -> DataFrame:
     """Ink that an opening by a square of five removes, widened by a pixel all around."""
     dark = saved(ink(raster))

@@ -76,3 +76,8 @@ def drawn_as(masks: DataFrame) -> DataFrame:
     """masks with drawn: what of a mask is shown, a polyline before the paths of its edges before a picture; null for none."""
     full = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     return masks.withColumn("drawn", F.when(full("polyline_points"), "polyline").when(F.coalesce(F.size("edge_ids"), F.lit(0)) > 0, "svg").when(full("mask_b64") | full("src"), "image"))
+
+
+def replaced(rows: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``rows`` with all of a key's rows replaced by those that ``new`` has for it; keys that ``new`` lacks keep theirs."""
+    return rows.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)

@@ -349,7 +349,9 @@ _query("str08_colours", lambda w: w["masks"].select("project_id", "mask_seq", F.
        "SELECT project_id, mask_seq, CASE category WHEN 'Walls' THEN 'rgba(59,130,246,0.4)' WHEN 'Doors' THEN 'rgba(16,185,129,0.4)' WHEN 'Windows' THEN 'rgba(245,158,11,0.4)' ELSE 'rgba(128,128,128,0.4)' END AS color FROM [[masks]]")
 _both("str09_room_ids", "SELECT project_id, room_seq, concat('R', CAST(room_seq AS STRING)) AS room_id FROM [[rooms]]".replace("STRING", "VARCHAR(20)"))
 _both("str10_line_text", "SELECT page_id, top, md5(@list(text, word_id)) AS h FROM [[words]] GROUP BY page_id, top")
-_both("str11_config_by_name", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'tiny' WHEN s_suppkey % 4 = 1 THEN 'small' WHEN contains(lower(s_name), '2') THEN 'base_plus' WHEN contains(lower(s_name), '3') THEN 'large' ELSE 'tiny' END AS cfg FROM [[supplier]]")
+_CHECKPOINTS = "SELECT s_suppkey AS k, concat('/models/', CASE s_suppkey % 5 WHEN 0 THEN 'Hiera_TINY_' WHEN 1 THEN 'small-and-tiny-' WHEN 2 THEN 'base_plus.' WHEN 3 THEN 'LARGE-' ELSE 'other_' END, s_name, '.pt') AS path FROM [[supplier]]"
+_query("str11_config_by_name", lambda w: w.sql(_CHECKPOINTS).select("k", inference.size_of(F.col("path")).alias("cfg")),
+       "SELECT s_suppkey AS k, ['tiny', 'tiny', 'base_plus', 'large', 'tiny'][s_suppkey % 5 + 1] AS cfg FROM [[supplier]]")
 _both("str12_fixed_points", "SELECT page_id, edge_id, @fixed(x0, 1) AS a, @fixed(y1 - y0, 2) AS b FROM [[edges]]")
 
 # Fill colours of the three categories.
@@ -383,11 +385,11 @@ _query("ms09_detected_masks", lambda w: measure.detected_masks(w["detected"]).wi
 SELECT project_id, 'Walls' AS category, round(wall_length, 4) AS real_length, 0.0 AS height, NULL AS cnt FROM [[detected]] WHERE wall_length IS NOT NULL AND wall_length <> 0
 UNION ALL SELECT project_id, 'Doors', round(CAST(0.9 AS DOUBLE) * doors, 4), CAST(2.1 AS DOUBLE), doors FROM [[detected]] WHERE doors > 0
 UNION ALL SELECT project_id, 'Windows', round(CAST(1.2 AS DOUBLE) * windows, 4), CAST(1.2 AS DOUBLE), windows FROM [[detected]] WHERE windows > 0""")
-_both("ms10_default_heights", "SELECT project_id, mask_seq, CASE category WHEN 'Doors' THEN CAST(2.1 AS DOUBLE) WHEN 'Windows' THEN CAST(1.2 AS DOUBLE) ELSE coalesce(nullif(height, 0), CAST(2.4 AS DOUBLE)) END AS height FROM [[masks]]")
+_query("ms10_default_heights", lambda w: w["masks"].select("project_id", "mask_seq", measure.default_height().alias("height")), "SELECT project_id, mask_seq, CASE category WHEN 'Doors' THEN CAST(2.1 AS DOUBLE) WHEN 'Windows' THEN CAST(1.2 AS DOUBLE) ELSE coalesce(nullif(height, 0), CAST(2.4 AS DOUBLE)) END AS height FROM [[masks]]")
 _query("ms11_segment_lengths", lambda w: _paths(w).select("click_id", g.polyline_length(F.col("p")).alias("total"), F.posexplode(g.segment_lengths(F.col("p"))).alias("part", "length")),
        "SELECT click_id, (x1 - x0) + (y2 - y1) AS total, 0 AS part, x1 - x0 AS length FROM [[flat_paths]] UNION ALL SELECT click_id, (x1 - x0) + (y2 - y1), 1, y2 - y1 FROM [[flat_paths]]")
-_both("ms12_calibration_strokes", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 5")
-_both("ms13_opening_lines", "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 3")
+_query("ms12_calibration_strokes", lambda w: measure.drawn_lengths(w["flat_paths"].select("click_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1")), 5).select("click_id", F.round("px", 4).alias("px")), "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 5")
+_query("ms13_opening_lines", lambda w: measure.drawn_lengths(w["flat_paths"].select("click_id", "x0", "y0", F.col("x2").alias("x1"), F.col("y2").alias("y1")), 3).select("click_id", F.round("px", 4).alias("px")), "SELECT click_id, round(sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)), 4) AS px FROM [[flat_paths]] WHERE sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 3")
 _query("ms14_real_units", lambda w: _real_units(w), """
 SELECT e.page_id, e.edge_id, round(e.length / nullif(p.scale_factor, 0), 6) AS real_length, round(e.length / nullif(p.scale_factor, 0), 6) AS from_pixels,
  round(e.length * e.length / nullif(p.scale_factor * p.scale_factor, 0), 6) AS area_from_pixels, round(e.length * 25 / 9 / nullif(p.scale_factor, 0), 6) AS compat_length
@@ -405,7 +407,7 @@ _query("ms15_erase_and_measure", lambda w: spatial.erase(w["selection"], w["edge
 _both("ms16_mask_merge", "SELECT a.project_id, a.mask_seq, coalesce(b.real_length, a.real_length) AS real_length, coalesce(b.height, a.height) AS height FROM [[masks]] a LEFT JOIN (SELECT project_id, mask_seq + 100 AS mask_seq, real_length, nullif(height, 0) AS height FROM [[masks]]) b ON a.project_id = b.project_id AND a.mask_seq = b.mask_seq")
 _query("ms17_render_priority", lambda w: state.drawn_as(w["mask_state"]).select("project_id", "mask_seq", "drawn"),
        "SELECT project_id, mask_seq, CASE WHEN mask_seq % 5 < 3 THEN 'polyline' WHEN mask_seq % 3 = 0 THEN 'svg' WHEN mask_seq % 7 = 0 OR mask_seq % 11 < 9 THEN 'image' END AS drawn FROM [[mask_texts]]")
-_both("ms18_screen_to_points", "SELECT click_id, round((x - 17) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS nx, round((y - 9) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS ny FROM [[clicks]]")
+_query("ms18_screen_to_points", lambda w: w["clicks"].select("click_id", *[F.round(measure.screen_to_points(F.col(c), off, F.col("click_id") % 10 / 4.0 + 0.25, 1.5), 6).alias(f"n{c}") for c, off in (("x", 17.0), ("y", 9.0))]), "SELECT click_id, round((x - 17) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS nx, round((y - 9) / (1.5 * greatest(0.5, least(2.0, 0.25 + click_id % 10 / 4.0))), 6) AS ny FROM [[clicks]]")
 
 # --- sinks and state ---------------------------------------------------------------------------------------------------
 _query("snk02_partial_update", lambda w: state.upsert(w["projects"].select("project_id", "scale_factor", "wall_height"), w.sql(_CHANGES), "project_id"), """
@@ -415,7 +417,7 @@ _CHANGES = "SELECT s_name AS project_id, CASE WHEN s_suppkey % 3 = 0 THEN CAST(3
 _query("snk03_calibrate", lambda w: state.calibrate(w["projects"], w["strokes"]), """
 SELECT p.project_id, round(coalesce(s.n, p.scale_factor), 6) AS scale_factor, s.n IS NOT NULL AS calibrated FROM [[projects]] p LEFT JOIN (
  SELECT project_id, d / nullif(real_length, 0) AS n FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS d FROM [[strokes]]) WHERE d > 5) s ON p.project_id = s.project_id""")
-_both("snk04_replace_rooms", "SELECT project_id, room_seq, name FROM [[rooms]] WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, 1 AS room_seq, 'Whole' AS name FROM (SELECT DISTINCT project_id FROM [[rooms]] WHERE project_id % 3 = 0)")
+_query("snk04_replace_rooms", lambda w: state.replaced(w["rooms"].select("project_id", "room_seq", "name"), w["rooms"].where("project_id % 3 = 0").select("project_id").distinct().select("project_id", F.lit(1).cast("long").alias("room_seq"), F.lit("Whole").alias("name")), "project_id"), "SELECT project_id, room_seq, name FROM [[rooms]] WHERE project_id % 3 <> 0 UNION ALL SELECT project_id, 1 AS room_seq, 'Whole' AS name FROM (SELECT DISTINCT project_id FROM [[rooms]] WHERE project_id % 3 = 0)")
 _RENAMES = "SELECT DISTINCT project_id, concat('R', CAST(project_id % 4 + 1 AS VARCHAR(9))) AS room_id, 'Renamed' AS new_name FROM [[rooms]]"
 _WITH_ID = "SELECT project_id, room_seq, concat('R', CAST((room_seq - 1) % 6 + 1 AS VARCHAR(9))) AS room_id, name FROM [[rooms]]"
 _query("snk05_rename_room", lambda w: state.rename_rooms(w.sql(_WITH_ID), w.sql(_RENAMES)), f"""
@@ -511,7 +513,7 @@ _PIXEL = "SELECT click_id, page_id % (SELECT max(page_id) + 1 FROM [[raster]]) A
 _query("ras10_ring_search", lambda w: spatial.ring_search(w.sql(_PIXEL), w["ink"], 25), f"""
 SELECT click_id, y, x, ring FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ring, y, x) AS r FROM (
  SELECT c.click_id, i.y, i.x, greatest(abs(i.y - c.cy), abs(i.x - c.cx)) AS ring FROM ({_PIXEL}) c JOIN [[ink]] i ON c.page_id = i.page_id AND i.y BETWEEN c.cy - 25 AND c.cy + 25 AND i.x BETWEEN c.cx - 25 AND c.cx + 25)) WHERE r = 1""")
-_both("ras13_width_recovery", "SELECT DISTINCT i.page_id, i.y, i.x FROM [[ink2]] i JOIN [[ink]] s ON i.page_id = s.page_id AND i.y BETWEEN s.y - 1 AND s.y + 1 AND i.x BETWEEN s.x - 1 AND s.x + 1")
+_query("ras13_width_recovery", lambda w: raster.recover_width(w["ink"], w["ink2"], 1, HEIGHT, WIDTH), "SELECT DISTINCT i.page_id, i.y, i.x FROM [[ink2]] i JOIN [[ink]] s ON i.page_id = s.page_id AND i.y BETWEEN s.y - 1 AND s.y + 1 AND i.x BETWEEN s.x - 1 AND s.x + 1")
 _query("ras15_text_mask", lambda w: raster.fill_boxes(w.sql(_BOXES), 1), _BOX_SQL)
 _both("ras16_thin_lines", "SELECT page_id, edge_id FROM [[edges]] WHERE lw < 0.2 AND type IN ('line', 'rect_edge')")
 _both("ras17_dashed_lines", "SELECT page_id, edge_id, greatest(coalesce(nullif(lw, 0), 0.5), 0.5) AS thickness FROM [[edges]] WHERE is_dashed")
@@ -528,8 +530,11 @@ _THICK_MAP = _window_sql(f"({_window_sql(_DARK_MAP, 2, 2, erode=True, height=CLA
 _query("ras21_thin_line_cleaning", lambda w: raster.clean_annotations(w.sql(_DRAWN_MAP), CLASS_HEIGHT, CLASS_WIDTH).groupBy("page_id", "y", "gray").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("xs")), f"""
 SELECT page_id, y, gray, count(*) AS n, CAST(sum(x) AS BIGINT) AS xs FROM (SELECT d.page_id, d.y, d.x, CASE WHEN t.x IS NOT NULL THEN 255 ELSE d.gray END AS gray FROM ({_DRAWN_MAP}) d LEFT JOIN (
  {_window_sql(f"(SELECT * FROM {_DARK_MAP} EXCEPT SELECT * FROM ({_THICK_MAP}))", 1, 1, height=CLASS_HEIGHT, width=CLASS_WIDTH)}) t ON d.page_id = t.page_id AND d.y = t.y AND d.x = t.x) GROUP BY page_id, y, gray""")
-_both("ras22_normalise", "SELECT page_id, y, x, round((gray / CAST(255 AS DOUBLE) - CAST(0.485 AS DOUBLE)) / CAST(0.229 AS DOUBLE), 6) AS v FROM [[raster]]")
-_both("ras24_argmax", "SELECT pixel_id, y, x, room_cls, icon_cls FROM [[logits]]")
+_query("ras22_normalise", lambda w: raster.normalise(w.sql(_RGB)).select("page_id", "y", "x", *[F.round(c, 6).alias(c) for c in "rgb"]), f"""
+SELECT page_id, y, x, round((r / 255.0::DOUBLE - 0.485::DOUBLE) / 0.229::DOUBLE, 6) AS r, round((g / 255.0::DOUBLE - 0.456::DOUBLE) / 0.224::DOUBLE, 6) AS g, round((b / 255.0::DOUBLE - 0.406::DOUBLE) / 0.225::DOUBLE, 6) AS b FROM ({_RGB})""")
+_query("ras22_model_size", lambda w: w["projects"].select("page_id", *[raster.model_side(F.lit(float(n)), F.col("page_id") % 7 / 4.0 + 0.5).alias(c) for c, n in (("height", 842), ("width", 1191))]),
+       "SELECT page_id, CAST((CAST(842 * (page_id % 7 / 4.0 + 0.5) * 1000 AS BIGINT) + 63999) // 64000 * 64 AS INT) AS height, CAST((CAST(1191 * (page_id % 7 / 4.0 + 0.5) * 1000 AS BIGINT) + 63999) // 64000 * 64 AS INT) AS width FROM [[projects]]")
+_query("ras24_argmax", lambda w: w["embeddings"].select(F.col("vec_id").alias("pixel_id"), F.expr("cast(floor((vec_id % 500) / 25) as int)").alias("y"), F.expr("cast(vec_id % 25 as int)").alias("x"), inference.class_of("embedding", 21, 12).alias("room_cls"), inference.class_of("embedding", 33, 11).alias("icon_cls")), "SELECT pixel_id, y, x, room_cls, icon_cls FROM [[logits]]")
 _query("ras25_class_masks", lambda w: w["class_masks"], SQL["class_masks"])
 _query("ras26_room_extraction", lambda w: w["class_rooms"], SQL["class_rooms"])
 _SCALED = "SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN CAST(20 + page_id AS DOUBLE) END AS scale_factor FROM (SELECT DISTINCT page_id FROM [[logits]])"
@@ -542,7 +547,7 @@ FROM (SELECT s.page_id, s.scale_factor, coalesce(w.l, 0) AS wall_length, coalesc
 _query("ras27_class_names", lambda w: w["logits"].select("pixel_id", F.element_at(F.array(*[F.lit(n) for n in detect.ROOM_CLASSES]), F.col("room_cls") + 1).alias("room"), F.element_at(F.array(*[F.lit(n) for n in detect.ICON_CLASSES]), F.col("icon_cls") + 1).alias("icon")),
        f"SELECT pixel_id, ['Background', 'Outdoor', 'Wall', 'Kitchen', 'Living Room', 'Bedroom', 'Bathroom', 'Hallway', 'Storage', 'Garage', 'Undefined', 'Railing'][room_cls + 1] AS room, ['Background', 'Window', 'Door', 'Closet', 'Toilet', 'Sink', 'Sauna', 'Fireplace', 'Bathtub', 'Chimney', 'Undefined'][icon_cls + 1] AS icon FROM [[logits]]")
 _both("ras28_uncrop", "SELECT page_id, y + 40 AS y, x + 25 AS x FROM [[ink]]")
-_both("ras35_kernel_size", "SELECT page_id, greatest(3, n + (1 - n % 2)) AS k FROM (SELECT page_id, @int(3 * (1.0 + page_id % 5) / 1.5) AS n FROM [[projects]])")
+_query("ras35_kernel_size", lambda w: w["projects"].select("page_id", raster.kernel_size(3, (F.col("page_id") % 5 + 1.0) / 1.5).alias("k")), "SELECT page_id, greatest(3, n + (1 - n % 2)) AS k FROM (SELECT page_id, @int(3 * (1.0 + page_id % 5) / 1.5) AS n FROM [[projects]])")
 # A page made higher and narrower, by ratios that do not divide.
 _query("ras41_resize_nearest", lambda w: raster.resize(w["raster"], HEIGHT, WIDTH, 150, 45), f"""
 SELECT r.page_id, CAST(v.x AS INT) AS y, CAST(u.x AS INT) AS x, r.gray FROM @series(0, 149) v CROSS JOIN @series(0, 44) u JOIN [[raster]] r ON r.y = v.x * {HEIGHT} // 150 AND r.x = u.x * {WIDTH} // 45""")
