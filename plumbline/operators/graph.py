@@ -26,12 +26,21 @@ def adjacency(edges: DataFrame, *, gap: float = 3.0) -> DataFrame:
 
 
 def gated(seeds: DataFrame, edges: DataFrame, *, lw_tol: float, color_match: bool, structural_only: bool) -> DataFrame:
-    """(page_id, seed, edge_id): edges that pass a seed's gates for width, colour, fill, structure and orientation."""
+    """(page_id, seed, edge_id): edges that pass a seed's gates for width, colour, fill, structure and orientation.
+
+    An equi-join on page, fill, colour and buckets of the width, so a seed meets edges of its kind only.
+    """
+    step = max(lw_tol, 0.01)
     s = edges.select("page_id", F.col("edge_id").alias("seed"), F.col("lw").alias("slw"), F.col("color").alias("scolor"), F.col("filled").alias("sfilled"), F.col("angle").alias("sangle"))
-    pairs = seeds.select("page_id", F.col("edge_id").alias("seed")).join(s, ["page_id", "seed"]).join(edges, "page_id")
-    ok = (F.abs(F.col("lw") - F.col("slw")) <= lw_tol) & (F.col("filled") == F.col("sfilled"))
+    reach = F.explode(F.sequence(F.floor((F.col("slw") - lw_tol) / step - 1e-6), F.floor((F.col("slw") + lw_tol) / step + 1e-6)))
+    asked = seeds.select("page_id", F.col("edge_id").alias("seed")).join(s, ["page_id", "seed"]).withColumn("bucket", reach)
+    alike = ["page_id", "bucket", "sfilled"]
+    own = edges.withColumn("bucket", F.floor(F.col("lw") / step)).withColumn("sfilled", F.col("filled"))
     if color_match:
-        ok &= F.col("color").eqNullSafe(F.col("scolor"))
+        kind = lambda c: F.concat(F.col(c).isNull().cast("string"), F.coalesce(F.col(c), F.lit("")))
+        alike, asked, own = [*alike, "kind"], asked.withColumn("kind", kind("scolor")), own.withColumn("kind", kind("color"))
+    pairs = asked.join(own, alike)
+    ok = F.abs(F.col("lw") - F.col("slw")) <= lw_tol
     if structural_only:
         ok &= F.col("structural")
     ok &= g.orientations_compatible(F.col("sangle"), F.col("angle")) | F.col("axis")
