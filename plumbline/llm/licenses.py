@@ -107,6 +107,8 @@ SIGNATURES = [
     ("mit", "merchantability", 0.8, "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("x11", "advertising", 0.9, "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software"),
     ("mit", "opensource", 0.9, "opensource org licenses mit(?: license)?"),
+    ("mit", "mit", 0.9, "mit licence"),
+    ("mit", "mit", 0.8, "(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of the )?mit(?! press)"),
     ("bsd", "redistribution", 0.9, "redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd", "redistributions", 0.9, "redistributions of source code must retain the (?:above )?copyright notice this list of conditions and the following disclaimer"),
     ("bsd", "redistributions", 0.9, "redistributions in binary form must reproduce the (?:above )?copyright notice this list of conditions and the following disclaimer"),
@@ -141,6 +143,18 @@ SIGNATURES = [
     ("gpl-2.0", "freedom", 0.9, "the licenses for most software are designed to take away your freedom to share and change it"),
     ("gpl-2.0", "activities", 0.8, "activities other than copying distribution and modification are not covered by this license"),
     ("gpl", "gnu", 0.9, "gnu org (?:licenses|copyleft) gpl"),
+    ("gpl-2.0", "gpl", 0.9, "gpl (?:version |v ?)2(?: 0)?(?: only| or later| or newer| or any later version)?"),
+    ("gpl-3.0", "gpl", 0.9, "gpl (?:version |v ?)3(?: 0)?(?: only| or later| or newer| or any later version)?"),
+    ("gpl", "gpl", 0.7, "(?:under|of|by|with) the (?:gnu )?gpl(?: license| licence)?"),
+    ("gpl", "gpl", 0.8, "(?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of the )?(?:gnu )?gpl"),
+    ("lgpl-2.1", "lgpl", 0.9, "lgpl (?:version |v ?)2 1(?: only| or later| or newer| or any later version)?"),
+    ("lgpl-2.0", "lgpl", 0.9, "lgpl (?:version |v ?)2(?: 0)?(?: only| or later| or newer| or any later version)?(?! 1)"),
+    ("lgpl-3.0", "lgpl", 0.9, "lgpl (?:version |v ?)3(?: 0)?(?: only| or later| or newer| or any later version)?"),
+    ("lgpl-3.0", "lgplv3", 0.9, "lgplv3(?: only| or later)?"),
+    ("lgpl-2.1", "lgplv2", 0.9, "lgplv2 1(?: only| or later)?"),
+    ("lgpl", "lgpl", 0.7, "(?:under|of|by|with) the (?:gnu )?lgpl(?: license| licence)?"),
+    ("agpl-3.0", "agpl", 0.9, "agpl (?:version |v ?)3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl", 0.7, "(?:under|of|by|with) the (?:gnu )?agpl"),
     ("gpl-2.0-classpath", "linking", 0.95, "linking this library statically or dynamically with other modules is making a combined work based on this library"),
     ("lgpl-2.1", "lesser", 1.0, "gnu lesser general public license as published by the free software foundation either version 2 1 of the license"),
     ("lgpl-3.0", "lesser", 1.0, "gnu lesser general public license as published by the free software foundation either version 3 of the license"),

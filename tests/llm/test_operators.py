@@ -305,6 +305,18 @@ def test_line_dedup(spark):
     assert sorted(r.text for r in out if r.doc_id is None) == sorted(f"alone {i}" for i in range(40))
 
 
+def test_common_notices(spark):
+    notices = {
+        "Licensed under GPL version 2.": "gpl-2.0", "GNU GPL version 3 or later": "gpl-3.0", "covered by the GPL": "gpl", "LGPL v3": "lgpl-3.0", "LGPL version 2.1": "lgpl-2.1", "lgpl v2 or later": "lgpl-2.0",
+        "LGPLv3": "lgpl-3.0", "AGPL v3": "agpl-3.0", "The MIT licence": "mit", "released under the MIT terms": "mit", "under the LGPL": "lgpl",
+    }
+    rows = list(enumerate([*notices, "a course at MIT", "the mit press", "gpl 7"]))
+    got = {r.doc_id: set(r.labels) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (text, label) in enumerate(notices.items()):
+        assert label in got[k], (text, got[k])
+    assert not any(got[k] for k in range(len(notices), len(rows)))
+
+
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
     rows = [(1, f"text {i % 700}") for i in range(3000)] + [(i, "a clean one") for i in range(2, 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
