@@ -1,8 +1,6 @@
 """Truth tables, invariants and tiny plans."""
 
 import json
-import math
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,21 +275,31 @@ def test_every_click_is_answered(spark, sf):
 
 
 def test_every_opening_is_drawn(spark, sf):
-    """Openings of all clicks, 13 pixels thick, by brute force."""
+    """Openings and polylines of all clicks with a round brush of 12 pixels, by distance to the lines."""
     from plumbline.plans import catalog
     from plumbline.plans.relations import workspace
 
-    want = set()
+    def painted(points, height, width):
+        y, x = np.indices((height, width))
+        top, side = max(0, int(min(p[1] for p in points)) - 8), max(0, int(min(p[0] for p in points)) - 8)
+        y, x = y[top : top + 70, side : side + 70], x[top : top + 70, side : side + 70]
+        out = np.zeros(y.shape, bool)
+        for (x0, y0), (x1, y1) in zip(points[:-1], points[1:], strict=True):
+            n = (x1 - x0) ** 2 + (y1 - y0) ** 2
+            t = np.clip(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / n, 0, 1) if n else 0
+            out |= (x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2 <= 36 + 1e-9
+        return {(int(a), int(b)) for a, b in zip(y[out], x[out], strict=True)}
+
+    lines, areas = {}, {}
     for c in workspace(spark, sf)["clicks"].collect():
-        dx, dy = c.click_id % 40, c.click_id % 30
-        n = max(dx, dy)
-        for k in range(n + 1):
-            t = k / n if n else 0.0
-            x, y = math.floor(c.x + dx * t + 0.5), math.floor(c.y + dy * t + 0.5)
-            want |= {(c.page_id, yy, xx) for yy in range(max(0, y - 6), y + 7) for xx in range(max(0, x - 6), x + 7)}
-    got = catalog.queries()["ras37_polyline_mask"](spark, sf).toPandas()
-    assert len(got) == len(want) and set(got[["page_id", "y", "x"]].itertuples(index=False, name=None)) == want
-    assert {r.page_id: r.area for r in catalog.queries()["ras36_opening_line"](spark, sf).collect()} == Counter(p for p, _, _ in want)
+        end = (c.x + c.click_id % 40, c.y + c.click_id % 30)
+        lines[c.click_id] = painted([(c.x, c.y), (end[0], c.y), end], 842, 1191)
+        areas[c.click_id] = len(painted([(c.x, c.y), end], 2000, 2000))
+    got = {}
+    for r in catalog.queries()["ras37_polyline_mask"](spark, sf).collect():
+        got.setdefault(r.click_id, []).extend((r.y, x) for x in range(r.x0, r.x1 + 1))
+    assert all(len(set(v)) == len(v) for v in got.values()) and {k: set(v) for k, v in got.items()} == lines
+    assert {r.click_id: r.pixels for r in catalog.queries()["ras36_opening_line"](spark, sf).collect()} == areas
 
 
 def test_vector_rooms_meet_no_barrier(spark, sf):
@@ -315,27 +323,30 @@ def test_vector_rooms_meet_no_barrier(spark, sf):
     assert catalog.queries()["ras33_vector_rooms"](spark, sf).where("cx < 0 or cy < 0 or cx > 1191 or cy > 842 or area <= 0").count() == 0
 
 
-def test_pages_higher_than_the_least(spark, tmp_path):
-    """Rows beyond 2047 are dilated, closed, opened and cleaned as any others."""
+def test_pages_far_into_the_table(spark, tmp_path):
+    """Rows of late pages, some of them missing, are dilated, closed, opened and cleaned as any others, each page by itself."""
     from plumbline.plans import catalog
 
     rng = np.random.default_rng(3)
-    table = [(v, rng.normal(size=64).tolist()) for v in range(8 * 2040, 8 * 2060, 8)]
+    table = [(v, rng.normal(size=64).tolist()) for v in range(64 * 9000 + 50, 64 * 9001 + 14)]
     spark.createDataFrame(table, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    gray = np.zeros((2060, 64), int)
+    gray, there = {p: np.zeros((64, 64), int) for p in (9000, 9001)}, {p: np.zeros((64, 64), bool) for p in (9000, 9001)}
     for v, e in table:
-        gray[v // 8] = [int(abs(x) * 997) % 256 for x in e]
-    ink, ink2 = gray >= 208, gray % 8 < 3
-    ink2[:2040] = False
-    dilated = rooms.grow(ink, 1)
-    thin = np.pad(ink2, ((0, 0), (1, 1)), constant_values=True)
-    opened = np.pad(thin[:, :-2] & thin[:, 1:-1] & thin[:, 2:], ((0, 0), (1, 1)))
-    want = {"ras05_dilate": dilated, "ras06_close": ~rooms.grow(~dilated, 1), "ras06_open": opened[:, :-2] | opened[:, 1:-1] | opened[:, 2:]}
-    for name, mask in want.items():
-        got = {(r.y, r.x) for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
-        assert got == set(zip(*[a.tolist() for a in np.nonzero(mask)], strict=True)), name
-    clean = {(r.y, r.x): r.gray for r in catalog.queries()["ras19_clean"](spark, str(tmp_path)).collect()}
-    assert clean == {(y, x): 255 if dilated[y, x] else gray[y, x] for y in range(2040, 2060) for x in range(64)}
+        gray[v // 64][v % 64] = [int(abs(x) * 997) % 256 for x in e]
+        there[v // 64][v % 64] = True
+    want = {name: set() for name in ("ras05_dilate", "ras06_close", "ras06_open")}
+    clean = {}
+    for page in gray:
+        ink, ink2 = (gray[page] >= 208) & there[page], (gray[page] % 8 < 3) & there[page]
+        dilated = rooms.grow(ink, 1)
+        thin = np.pad(ink2, ((0, 0), (1, 1)), constant_values=True)
+        opened = np.pad(thin[:, :-2] & thin[:, 1:-1] & thin[:, 2:], ((0, 0), (1, 1)))
+        for name, mask in {"ras05_dilate": dilated, "ras06_close": ~rooms.grow(~dilated, 1), "ras06_open": opened[:, :-2] | opened[:, 1:-1] | opened[:, 2:]}.items():
+            want[name] |= {(page, int(y), int(x)) for y, x in zip(*np.nonzero(mask), strict=True)}
+        clean |= {(page, y, x): 255 if dilated[y, x] else gray[page][y, x] for y in range(64) for x in range(64) if there[page][y, x]}
+    for name, pixels in want.items():
+        assert {(r.page_id, r.y, r.x) for r in catalog.queries()[name](spark, str(tmp_path)).collect()} == pixels, name
+    assert {(r.page_id, r.y, r.x): r.gray for r in catalog.queries()["ras19_clean"](spark, str(tmp_path)).collect()} == clean
     off = spark.createDataFrame([(0, 12, 3), (0, -9, 3), (0, 10, 1)], "page_id long, y int, x int")
     assert {(r.y, r.x) for r in raster.dilate(off, 1, 1, 10, 8).collect()} == {(9, 0), (9, 1), (9, 2)}
 
