@@ -580,7 +580,7 @@ def test_empty_tables(spark):
 
 
 def test_registered_queries_have_rows(spark, sf):
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
     for name in ("op6_license_scan", "op10_main_text"):
         assert queries.queries()[name](spark, sf).count() > 0
 
