@@ -487,3 +487,17 @@ def test_phrases_against_a_plain_loop(spark):
     for page in range(12):
         assert sorted(got.get(page, [])) == sorted(joined([r[1:] for r in rows if r[0] == page]))
     assert labels.phrases(words.limit(0)).count() == 0
+
+
+def test_gray_is_a_float_product_in_both_engines(spark, tmp_path):
+    import duckdb
+
+    v = np.arange(1, 200_001, dtype=np.float32) / np.float32(997)
+    v = v[np.floor(v * np.float32(997)) != np.floor(v.astype(float) * 997)][:64]  # a double's product has another whole part
+    assert len(v) == 64
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame([(3, [float(x) for x in v])], "vec_id long, embedding array<float>").coalesce(1).write.parquet(path)
+    got = fixtures.Workspace(spark, str(tmp_path), {})["raster"].collect()
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(con.execute(fixtures.oracle("SELECT * FROM [[raster]]", fixtures.ADAPTERS)).fetchall())
