@@ -115,7 +115,7 @@ def recover_width(stroke: DataFrame, ink: DataFrame, reach: int, height: int, wi
 def thin_lines(raster: DataFrame, height: int, width: int) -> DataFrame:
     """Ink that an opening by a square of five removes, widened by a pixel all around."""
     dark = saved(ink(raster))
-    thin = dark.join(open_(dark, THICK_REACH, THICK_REACH, height, width), ["page_id", "y", "x"], "left_anti")
+    thin = dark.join(open_(dark, THICK_REACH, THICK_REACH, height, width).hint("merge"), ["page_id", "y", "x"], "left_anti")
     return dilate(thin, THIN_MARGIN, THIN_MARGIN, height, width)
 
 
@@ -127,7 +127,7 @@ def clean_annotations(raster: DataFrame, height: int, width: int, clean: DataFra
         noise = thin_lines(raster, height, width)
     else:
         noise = raster.where(F.col("gray") < DARK).join(clean.where(F.col("gray") > CLEAN), at, "left_semi").select(*at)
-    marked = raster.join(noise.withColumn("noise", F.lit(True)), at, "left")
+    marked = raster.join(noise.withColumn("noise", F.lit(True)).hint("merge"), at, "left")  # pixels are too many to broadcast
     return marked.select(*at, F.when(F.col("noise"), 255).otherwise(F.col("gray")).alias("gray"))
 
 

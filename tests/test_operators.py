@@ -501,3 +501,43 @@ def test_gray_is_a_float_product_in_both_engines(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{path}/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(con.execute(fixtures.oracle("SELECT * FROM [[raster]]", fixtures.ADAPTERS)).fetchall())
+
+
+def test_saved_pixels_are_not_broadcast(spark):
+    from plumbline.operators import steps
+
+    pixels = steps.saved(spark.range(1 << 20).selectExpr("id div 4096 as page_id", "cast(id % 64 as int) as x"))
+    plan = spark.range(300).toDF("page_id").join(pixels, "page_id", "left")
+    assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sides_are_counted_in_linear_time(spark):
+    from plumbline.plans import catalog
+
+    out = catalog._side_counts(spark.createDataFrame([(1, 100.0)] * 5 + [(1, 1.0)] * 2 + [(2, 1.0)] * 3, "page_id long, side double"))
+    assert sorted(map(tuple, out.collect())) == [(1, 5), (2, 3)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan  # a mean inside a filter's lambda was summed anew for each side
+
+
+def test_phrases_across_batches(spark):
+    """Phrases do not depend on where Arrow cuts the words, a page's tops may fall, and words are sorted within a page."""
+    rng = np.random.default_rng(5)
+    rows = [(int(p), i, rng.choice(["a", " b ", " ", "cc"]), float(rng.integers(0, 40)), float(rng.integers(0, 30))) for p in range(6) for i in range(40)]
+    words = spark.createDataFrame([(p, i, t, x, top, x + 5.0 * len(t), top + 8) for p, i, t, x, top in rows], "page_id long, word_id long, text string, x0 double, top double, x1 double, bottom double")
+    want = []
+    for p in range(6):
+        held = sorted((round(top / 5), x, i, t.strip(" "), top, x + 5.0 * len(t)) for q, i, t, x, top in rows if q == p and t.strip(" "))
+        for ln, x, _, t, top, x1 in held:
+            if want and want[-1][0] == p and x - want[-1][5] < 12 and abs(top - want[-1][4]) < 5:
+                last = want[-1]
+                last[2], last[5], last[6], last[7] = last[2] + " " + t, x1, max(last[6], top + 8), last[7] + 1
+            else:
+                want.append([p, ln, t, x, top, x1, top + 8, 1])
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(map(tuple, labels.phrases(words).collect())) == sorted(map(tuple, want)), n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
