@@ -1,7 +1,7 @@
 """Brush strokes: openings and polylines drawn with a round brush, a drawing a row.
 
 A drawing's pixels are those whose centre lies within half the brush of one of its lines, so ends and joins are round. Each is
-painted in the box around it, clipped to the canvas, in the task that has its row; nothing is shuffled.
+painted in the box around it, clipped to the canvas, in the task that has its row; rows are dealt to tasks evenly before.
 """
 
 from __future__ import annotations
@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import raster as r
+from plumbline.operators.steps import dealt
 
 # The brush in pixels, the canvas of openings, the least area of a contour that counts and its tolerance.
 BRUSH, CANVAS, LEAST_AREA, TOLERANCE = 12.0, 2000, 5, 0.002
+#: Shapes of openings that a task remembers.
+SHAPES = 20_000
 COLOURS = {"Walls": (29, 78, 216, 160), "Doors": (21, 128, 61, 160), "Windows": (194, 65, 12, 160)}
 
 
@@ -52,25 +55,30 @@ def precise_area(mask: np.ndarray) -> float:
     return total
 
 
-def _points(value) -> np.ndarray:
-    return np.array([(p["x"], p["y"]) for p in value], float).reshape(-1, 2) if value is not None else np.zeros((0, 2))
+def _points(paths: pa.ListArray) -> list[np.ndarray]:
+    """Points of each path as an array; none for a null path, NaN for a null coordinate."""
+    flat = paths.flatten()
+    at = np.stack([flat.field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+    return np.split(at, np.cumsum(paths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[:-1])
 
 
 def _rows(drawings: DataFrame, key: list[str], row, more: str) -> DataFrame:
     """A plan that gives, for each drawing (key, points), the rows that ``row(points)`` lists."""
-    names = [part.strip().split(" ")[0] for part in more.split(", ")]
+    named = [part.strip().split(" ") for part in more.split(", ")]
+    names, kinds = [n for n, _ in named], [{"int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[k] for _, k in named]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                made = [row(_points(p)) for p in some["points"]]
-                of = np.repeat(np.arange(len(some)), [len(m) for m in made])
-                out = some[key].iloc[of].reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame([x for m in made for x in m], columns=names)], axis=1)
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                made = [row(p) for p in _points(some.column("points"))]
+                of = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+                flat = [x for m in made for x in m]
+                out = [pa.array([x[k] for x in flat], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*(some.column(k).take(of) for k in key), *out], names=[*key, *names])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in drawings.select(*key).schema.fields)
-    return drawings.select(*key, "points").mapInPandas(run, f"{keys}, {more}")
+    return dealt(drawings.select(*key, "points")).mapInArrow(run, f"{keys}, {more}")
 
 
 def brush_runs(drawings: DataFrame, key: list[str], *, height: int, width: int, brush: float = BRUSH) -> DataFrame:
@@ -101,12 +109,24 @@ def openings(lines: DataFrame, key: list[str], *, canvas: int = CANVAS, brush: f
     """(key, pixels, area, length, real_area, real_length) of each drawn opening (key, x0, y0, x1, y1, scale_factor).
 
     Coordinates are cut to whole pixels for drawing, not for the length. Without a scale the real area is null and the real length 0.
+    Lines that differ only by where they lie, away from the canvas's border, have the same pixels, so a task measures each
+    shape once, ``SHAPES`` of them at most at a time.
     """
     point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
 
+    known: dict[tuple, tuple[int, float]] = {}
+
     def row(points: np.ndarray) -> list[tuple]:
-        _, _, mask = paint(np.trunc(points), brush, canvas, canvas)
-        return [(int(mask.sum()), precise_area(np.pad(mask, 1)))]
+        points = np.trunc(points)
+        # Away from both borders of a side the place along it does not matter.
+        inner = (points.min(axis=0, initial=canvas) >= brush) & (points.max(axis=0, initial=0) <= canvas - 1 - brush)
+        shape = tuple((points - np.where(inner, points.min(axis=0, initial=canvas) - np.ceil(brush), 0)).ravel().tolist())
+        if shape not in known:
+            _, _, mask = paint(np.array(shape, float).reshape(-1, 2), brush, canvas, canvas)
+            if len(known) >= SHAPES:
+                known.clear()
+            known[shape] = int(mask.sum()), precise_area(np.pad(mask, 1))
+        return [known[shape]]
 
     length = F.sqrt((F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0")) + (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")))
     drawn = lines.select(*key, F.array(point("x0", "y0"), point("x1", "y1")).alias("points"), F.struct(length.alias("length"), "scale_factor").alias("__more"))

@@ -205,3 +205,16 @@ def test_rooms_by_table_function_equal_those_of_groups(spark, sf):
     spark.udtf.register("page_rooms", rooms.room_function(HEIGHT, WIDTH, **options))
     ink.createOrReplaceTempView("ink_pixels")
     assert spark.sql("SELECT * FROM page_rooms(TABLE(ink_pixels) PARTITION BY page_id)").count() == len(want)
+
+
+def test_openings_of_one_shape_are_measured_once(spark, monkeypatch):
+    from plumbline.operators import strokes
+
+    rows = [(k, float(a), float(b), float(c), float(d), 2.0) for k, (a, b, c, d) in enumerate(
+        [(x, y, x + dx, y + dy) for x in (0, 3, 11, 12, 500, 1970, 1999) for y in (-2, 5, 40, 1990) for dx, dy in ((0, 0), (7, 3), (-5, 9))])]
+    got = strokes.openings(spark.createDataFrame(rows, "k long, x0 double, y0 double, x1 double, y1 double, scale_factor double"), ["k"]).collect()
+    for r in got:
+        _, _, mask = strokes.paint(np.array(rows[r.k][1:5]).reshape(2, 2), 12.0, 2000, 2000)
+        assert (r.pixels, r.area) == (mask.sum(), strokes.precise_area(np.pad(mask, 1)))
+    plan = strokes.openings(spark.range(9).selectExpr("id", "100D + id as x0", "100D as y0", "110D + id as x1", "104D as y1", "1D as scale_factor").coalesce(1), ["id"])
+    assert plan.rdd.getNumPartitions() > 1  # the few bytes of a table of clicks do not make one task of all its drawings
