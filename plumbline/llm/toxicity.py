@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm.bytewords import mix, span_hashes
 from plumbline.llm.charclass import LETTER, NUMBER, classes
@@ -28,7 +29,8 @@ from plumbline.llm.charclass import LETTER, NUMBER, classes
 BUCKETS, SIZE, BAG, GRAMS = 1 << 18, 8, 16, (3, 4, 5, 6)
 #: How much a bag's logit counts in its weight.
 FOCUS = 10.0
-_BLOCK = 500_000
+#: Characters taken at once in training, and in scoring, where workers of other stages lie beside.
+_BLOCK, _SCORED = 500_000, 150_000
 _OPEN, _CLOSE = 0x110000, 0x110001
 
 
@@ -266,32 +268,35 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     return base.mapInArrow(_scorer(spark, model), "doc_id long, score double")
 
 
-def _scorer(spark: SparkSession, model: Model):
+def _scorer(spark: SparkSession, model: Model, text: int = 1, keep: bool = False):
+    """Adds a score to batches by their column number ``text``, which is dropped unless ``keep``."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
             out, held, size = [], [], 0
             for at in range(0, batch.num_rows, 256):
-                for value in batch.column(1).slice(at, 256).cast(pa.large_binary()).to_pylist():
+                for value in batch.column(text).slice(at, 256).cast(pa.large_binary()).to_pylist():
                     value = value or b""
                     held.append(value.decode("utf-8", "replace"))
                     size += len(value)
-                    if size >= _BLOCK:
+                    if size >= _SCORED:
                         out.append(shared.value.scores(held))
                         held, size = [], 0
             if held:
                 out.append(shared.value.scores(held))
             scores = np.concatenate(out) if out else np.zeros(0)
-            kept = [batch.column(0), *batch.columns[2:]]
-            names = [batch.schema.names[0], *batch.schema.names[2:]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(scores)], names=[*names, "score"])
+            kept = [k for k in range(batch.num_columns) if keep or k != text]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(scores)], names=[*(batch.schema.names[k] for k in kept), "score"])
 
     return run
 
 
 def with_scores(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """All rows and columns of ``docs`` with a score column, in one pass."""
+    if docs.schema["text"].dataType.typeName() == "string":
+        schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+        return docs.mapInArrow(_scorer(spark, model, docs.columns.index("text"), keep=True), schema)
     names = docs.columns
     ordered = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("scored_text"), *names[0:])
     schema = ordered.drop("scored_text").schema.add("score", "double")
