@@ -54,10 +54,17 @@ def wall_width(edges: DataFrame) -> DataFrame:
 
 
 def walls(edges: DataFrame) -> DataFrame:
-    """Horizontal and vertical wall strokes: wide enough, 25 points long, 2.5 times as long one way as the other."""
+    """Horizontal and vertical wall strokes: wide enough, 25 points long, 2.5 times as long one way as the other.
+
+    ``wall_width`` is taken here by windows over the page, so edges dealt by page_id are not dealt again for it.
+    """
     dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
     way = F.when(dx > dy * 2.5, "H").when(dy > dx * 2.5, "V")
-    out = edges.join(wall_width(edges), "page_id").where("lw >= wall_lw").withColumn("orient", way).where(F.col("orient").isNotNull() & (F.col("length") >= 25))
+    page, wide = Window.partitionBy("page_id"), F.col("lw") > 0
+    out = edges.withColumn("lwk", F.bround("lw", 2)).withColumn("n", F.count_if(wide).over(Window.partitionBy("page_id", "lwk"))).withColumn("total", F.count_if(wide).over(page))
+    common = F.min(F.when(wide & (F.col("n") > 0.02 * F.col("total")) & (F.col("lwk") >= 0.15), F.col("lwk"))).over(page)
+    out = out.withColumn("wall_lw", F.coalesce(common, F.max(F.when(wide, F.col("lwk"))).over(page), F.lit(0.15)))
+    out = out.where("lw >= wall_lw").withColumn("orient", way).where(F.col("orient").isNotNull() & (F.col("length") >= 25))
     flat = F.col("orient") == "H"
     return out.select(
         "page_id", "edge_id", "orient",

@@ -9,23 +9,30 @@ from pyspark.sql.window import Window
 ALIGNED, LEAST, MOST = 4.0, 10.0, 160.0
 
 
+def _opens(width: Column, least: float, most: float) -> Column:
+    return (width > least) & (width < most)
+
+
 def collinear_gaps(walls: DataFrame, *, aligned: float = ALIGNED, least: float = LEAST, most: float = MOST) -> DataFrame:
     """Gaps between walls of one direction: perpendicular offset at most ``aligned``, gap strictly between ``least`` and ``most``.
 
-    A band self-join: walls are bucketed by perpendicular position, one side is also dealt to the neighbouring
-    buckets, so the join is an equi-join with the exact condition left as a filter.
+    Walls are dealt to their bucket of the perpendicular position and the two beside it, and a bucket's walls, the band of
+    one line of a page, are paired where they are gathered: walls dealt by page_id are not dealt again.
     """
     bucket = F.floor(F.col("perp") / aligned)
-    a = walls.select("page_id", "orient", bucket.alias("b"), F.col("edge_id").alias("ia"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.col("perp").alias("ap"))
-    near = F.explode(F.array(bucket - 1, bucket, bucket + 1))
-    b = walls.select("page_id", "orient", near.alias("b"), F.col("edge_id").alias("ib"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"), F.col("perp").alias("bp"))
-    pairs = a.join(b, ["page_id", "orient", "b"]).where((F.col("ia") < F.col("ib")) & (F.abs(F.col("ap") - F.col("bp")) <= aligned))
-    after, before = F.col("blo") - F.col("ahi"), F.col("alo") - F.col("bhi")
-    first = (after > least) & (after < most)
-    second = (before > least) & (before < most)
-    sides = pairs.where(first | second).select(
-        "page_id", "orient", "ia", "ib", F.when(first, after).otherwise(before).alias("width"), F.when(first, F.col("ahi")).otherwise(F.col("bhi")).alias("g0"),
-        F.when(first, F.col("blo")).otherwise(F.col("alo")).alias("g1"), ((F.col("ap") + F.col("bp")) / 2).alias("perp"))
+    near = walls.withColumn("d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    wall = F.struct(F.col("edge_id").alias("i"), "lo", "hi", "perp", (F.col("d") == 0).alias("own"))
+    lines = near.groupBy("page_id", "orient", (bucket + F.col("d")).alias("b")).agg(F.collect_list(wall).alias("walls"))
+
+    def side(a: Column, b: Column) -> Column:
+        first = _opens(b.lo - a.hi, least, most)
+        return F.struct(
+            a.i.alias("ia"), b.i.alias("ib"), F.when(first, b.lo - a.hi).otherwise(a.lo - b.hi).alias("width"), F.when(first, a.hi).otherwise(b.hi).alias("g0"),
+            F.when(first, b.lo).otherwise(a.lo).alias("g1"), ((a.perp + b.perp) / 2).alias("perp"))
+
+    faces = lambda a, b: (a.i < b.i) & (F.abs(a.perp - b.perp) <= aligned) & (_opens(b.lo - a.hi, least, most) | _opens(a.lo - b.hi, least, most))
+    pairs = F.flatten(F.transform(F.filter("walls", lambda a: a.own), lambda a: F.transform(F.filter("walls", lambda b: faces(a, b)), lambda b: side(a, b))))
+    sides = lines.select("page_id", "orient", F.inline(pairs))
     mid = (F.col("g0") + F.col("g1")) / 2
     flat = F.col("orient") == "H"
     return sides.select("page_id", "orient", "ia", "ib", "width", "g0", "g1", "perp", F.when(flat, mid).otherwise(F.col("perp")).alias("mx"), F.when(flat, F.col("perp")).otherwise(mid).alias("my"))
@@ -63,19 +70,26 @@ def parallel_lines(gaps: DataFrame, edges: DataFrame) -> DataFrame:
 
 def classify(gaps: DataFrame, curves: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds type: door where an arc is near, else window with three parallel lines or more, else opening."""
-    # Arcs and lines are one relation of points, so gaps, a long plan, stand in the join once and need no join back.
-    arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.lit(True).alias("arc"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("size").alias("extent"))
-    lines = edges.select("page_id", F.lit(False).alias("arc"), ((F.col("x0") + F.col("x1")) / 2).alias("px"), ((F.col("y0") + F.col("y1")) / 2).alias("py"), F.col("length").alias("extent"))
+    # Gaps, arcs and lines are one relation, dealt once by page; a cell's gaps count the points gathered with them.
+    gap, point = F.struct(*[c for c in gaps.columns if c != "page_id"]), lambda x, y, extent: F.struct(x.alias("px"), y.alias("py"), F.col(extent).alias("extent"))
+    no_gap, no_point = (F.lit(None).cast(t) for t in (gaps.select(gap).schema[0].dataType, "struct<px:double,py:double,extent:double>"))
+    arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.lit(True).alias("arc"), no_gap.alias("gap"), point(F.col("cx"), F.col("cy"), "size").alias("point"))
+    lines = edges.select("page_id", F.lit(False).alias("arc"), no_gap.alias("gap"), point((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, "length").alias("point"))
+    own = gaps.select("page_id", F.lit(None).cast("boolean").alias("arc"), gap.alias("gap"), no_point.alias("point"))
+    together = own.unionAll(lines).unionAll(arcs).repartition("page_id").withColumn("arc", F.explode(F.when(F.col("arc").isNull(), F.array(F.lit(True), F.lit(False))).otherwise(F.array("arc"))))
     cell = F.when(F.col("arc"), MOST).otherwise(MOST / 2)
-    points = arcs.unionAll(lines).withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell))
-    reach = F.col("width") * F.when(F.col("arc"), 1.8).otherwise(0.8)
-    cover = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell)))
-    dealt = gaps.withColumn("arc", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("gx", cover("mx")).withColumn("gy", cover("my"))
-    met = dealt.join(points, ["page_id", "arc", "gx", "gy"], "left")
-    far = "sqrt((px - mx) * (px - mx) + (py - my) * (py - my))"
-    counted = met.groupBy(*gaps.columns).agg(
-        F.count_if(F.expr(f"arc and extent <= 4 * width and {far} < 1.8 * width")).alias("arcs"),
-        F.count_if(F.expr(f"not arc and extent > 0.5 * width and extent < 1.5 * width and {far} < 0.8 * width")).alias("n_lines"))
+    reach = F.coalesce(F.col("gap.width") * F.when(F.col("arc"), 1.8).otherwise(0.8), F.lit(0.0))
+    cover = lambda m, p: F.explode(F.sequence(F.floor((F.coalesce(m, p) - reach) / cell), F.floor((F.coalesce(m, p) + reach) / cell)))
+    dealt = together.withColumn("gx", cover("gap.mx", "point.px")).withColumn("gy", cover("gap.my", "point.py"))
+    cells = dealt.groupBy("page_id", "arc", "gx", "gy").agg(F.collect_list("gap").alias("gaps"), F.collect_list("point").alias("points"))
+
+    def beside(p: Column) -> Column:
+        g, width = F.col("gap"), F.col("gap.width")
+        far = F.sqrt((p.px - g.mx) * (p.px - g.mx) + (p.py - g.my) * (p.py - g.my))
+        return F.when(F.col("arc"), (p.extent <= 4 * width) & (far < 1.8 * width)).otherwise((p.extent > 0.5 * width) & (p.extent < 1.5 * width) & (far < 0.8 * width))
+
+    met = cells.select("page_id", "arc", "points", F.explode("gaps").alias("gap")).select("page_id", "arc", "gap.*", F.size(F.filter("points", beside)).cast("long").alias("met"))
+    counted = met.groupBy(*gaps.columns).agg(F.sum(F.when(F.col("arc"), F.col("met")).otherwise(0)).alias("arcs"), F.sum(F.when(F.col("arc"), 0).otherwise(F.col("met"))).alias("n_lines"))
     kind = F.when(F.col("arcs") > 0, "door").when(F.col("n_lines") >= 3, "window").otherwise("opening")
     return counted.withColumn("type", kind).select(*gaps.columns, "type", "n_lines")
 
@@ -85,8 +99,12 @@ def pick(clicks: DataFrame, gaps: DataFrame, first: str | None, *, reach: float
 
     With ``first`` only that type and openings count, and that type goes before openings. Ties go to the smaller gap_id.
     """
-    points = clicks.select("click_id", "page_id", F.col("x").alias("px"), F.col("y").alias("py"))
-    met = near_points(gaps if first is None else gaps.where(F.col("type").isin(first, "opening")), points, reach, reach)
+    # Clicks are fewer and narrower than gaps, so they are dealt to the cells within reach, four of twice its size.
+    cell = lambda c: F.floor(F.col(c) / (2 * reach))
+    around = lambda c: F.explode(F.sequence(F.floor((F.col(c) - reach) / (2 * reach)), F.floor((F.col(c) + reach) / (2 * reach))))
+    points = clicks.select("click_id", "page_id", F.col("x").alias("px"), F.col("y").alias("py")).withColumn("gx", around("px")).withColumn("gy", around("py"))
+    known = gaps if first is None else gaps.where(F.col("type").isin(first, "opening"))
+    met = known.select("page_id", "gap_id", "type", "mx", "my").withColumn("gx", cell("mx")).withColumn("gy", cell("my")).join(points, ["page_id", "gx", "gy"])
     dist = F.sqrt((F.col("px") - F.col("mx")) * (F.col("px") - F.col("mx")) + (F.col("py") - F.col("my")) * (F.col("py") - F.col("my")))
     met = met.withColumn("dist", dist).where(F.col("dist") < reach)
     order = F.struct(F.when(F.col("type") == first, 0).otherwise(1), "dist", "gap_id") if first else F.struct("dist", "gap_id")

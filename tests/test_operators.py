@@ -511,6 +511,18 @@ def test_saved_pixels_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_gaps_stay_with_their_page(spark):
+    # Walls, gaps and what classifies them are dealt by page alone; no join deals them again by cells or bands.
+    raw = "page_id long, edge_id long, x0 double, y0 double, x1 double, y1 double, lw double, length double"
+    rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 0.0, 1.0, 100.0), (1, 1, 150.0, 2.0, 250.0, 2.0, 1.0, 100.0), (1, 2, 150.0, 90.0, 250.0, 90.0, 1.0, 100.0)], raw).repartition("page_id")
+    curves = spark.createDataFrame([(1, 4, 125.0, 1.0, 60.0)], "page_id long, n_pts int, cx double, cy double, size double")
+    typed = gaps.classify(gaps.dedup_gaps(gaps.collinear_gaps(edges.walls(rows))), curves, rows)
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "hashpartitioning(page_id" in plan
+    assert [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and line.split("(", 1)[1].count("#") != 1] == []
+    assert [(r.ia, r.ib, r.width, r.g0, r.g1, r.type, r.n_lines) for r in typed.collect()] == [(0, 1, 50.0, 100.0, 150.0, "door", 0)]
+
+
 def test_sides_are_counted_in_linear_time(spark):
     from plumbline.plans import catalog
 
