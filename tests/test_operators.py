@@ -535,6 +535,16 @@ def test_full_seeds_go_no_further(spark, monkeypatch):
     assert graph.flood_select(seeds, table).count() == 40
 
 
+def test_contraction_writes_each_node_for_its_rounds_only(spark, monkeypatch):
+    # Pairs end in the first round; a chain beside them must not have them written again in each of its rounds.
+    rows, keep = [], steps.saved
+    monkeypatch.setattr(steps, "saved", lambda df: (out := keep(df), rows.append(out.count()))[0])
+    links = spark.range(1000).selectExpr("0L as g", "10000 + 2 * id as u", "10001 + 2 * id as v").union(spark.range(30).selectExpr("0L as g", "cast((id * 7) % 31 as long) as u", "cast((id * 7 + 7) % 31 as long) as v"))
+    found = {r.node: r.root for r in steps.contract(links, ["g"]).collect()}
+    assert found == {**{n: 0 for n in range(31)}, **{10000 + k: 10000 + k - k % 2 for k in range(2000)}}
+    assert sum(n >= 2000 for n in rows) <= 2
+
+
 def test_sides_are_counted_in_linear_time(spark):
     from plumbline.plans import catalog
 
