@@ -1,6 +1,7 @@
 """Truth tables, invariants and tiny plans."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -187,6 +188,15 @@ def test_state(spark):
     assert got == {"a": (1.0, 3.0, "updated"), "b": (None, 2.4, "no_change"), "c": (5.0, None, "inserted")}
 
 
+def test_workbooks_are_made_batch_by_batch(spark):
+    rows = [(p, n, None if n == 2 else f"room {n}", p / 4 + n) for p in range(40) for n in (3, 1, 2)]
+    made = documents.workbooks(spark.createDataFrame(rows, "project_id long, line long, a string, b double"))
+    for r in made.collect():
+        assert r.workbook == documents.workbook([["Room", "Value"], *[[None if n == 2 else f"room {n}", r.project_id / 4 + n] for n in (1, 2, 3)]])
+    assert made.count() == 40
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()  # no frame for each project
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"hello")
@@ -382,6 +392,16 @@ def test_ring_search_against_all_pairs(spark):
     assert got == want
 
 
+def test_clicks_on_one_pixel_are_searched_once(spark):
+    clicks = spark.createDataFrame([(k, 1, 5, 5 + k % 2) for k in range(60)], "click_id long, page_id long, cy int, cx int")
+    pixels = spark.createDataFrame([(1, 5, 8, 2)], "page_id long, y int, x int, label int")
+    rings, modes = spatial.ring_search(clicks, pixels, 7), spatial.window_mode(clicks, pixels, "label")
+    assert {(r.click_id, r.ring) for r in rings.collect()} == {(k, 3 - k % 2) for k in range(60)} and {r.click_id for r in modes.collect()} == set(range(60))
+    for found in (rings, modes):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Generate explode.*Aggregate \[page_id#\d+L?, cy#\d+, cx#\d+\]", plan, re.DOTALL)  # equal pixels are one before they go to cells
+
+
 def test_tracing_is_cut_at_junctions(spark):
     """A cross of two strokes: each arm is a selection; a slant is one by all runs together or the box around the click."""
     page = np.zeros((160, 160), bool)
