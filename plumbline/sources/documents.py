@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +64,21 @@ def workbook(rows: list[list]) -> bytes:
 
 
 def workbooks(sheet: DataFrame) -> DataFrame:
-    """(project_id, workbook) from sheet(project_id, line, a, b): one project, whose rooms bound it, an Arrow group."""
-    import pandas as pd
-
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = [[] for _ in range(int(frame["line"].max()) + 1)]
-        rows[0] = ["Room", "Value"]
-        for line, a, b in frame[["line", "a", "b"]].itertuples(index=False):
-            rows[int(line)] = [a, float(b)]
-        return pd.DataFrame({"project_id": [key[0]], "workbook": [workbook(rows)]})
-
-    return sheet.groupBy("project_id").applyInPandas(run, "project_id long, workbook binary")
+    """(project_id, workbook) from sheet(project_id, line, a, b): one project, whose rooms bound it, a row; many projects an Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line, a, b = batch.column("rows").flatten().flatten()
+            line, a, b = line.to_pylist(), a.to_pylist(), b.cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+            books, at = [], 0
+            for n in batch.column("rows").value_lengths().to_pylist():
+                rows: list[list] = [[] for _ in range(int(max(line[at : at + n])) + 1)]
+                rows[0] = ["Room", "Value"]
+                for k in range(at, at + n):
+                    rows[int(line[k])] = [a[k], b[k]]
+                books.append(workbook(rows))
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column("project_id"), pa.array(books, pa.binary())], names=["project_id", "workbook"])
+
+    of = sheet.groupBy("project_id").agg(F.collect_list(F.struct("line", "a", "b")).alias("rows"))
+    return of.select(F.col("project_id").cast("long").alias("project_id"), "rows").mapInArrow(run, "project_id long, workbook binary")
