@@ -16,6 +16,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.steps import dealt
+
 # Back ends for interactive masks in order of preference, and what each needs; sizes by a part of a checkpoint's name.
 BACKENDS = [("sam2", "sam2"), ("sam1", "segment_anything"), ("mobile", "mobile_sam")]
 SIZES = ["tiny", "small", "base_plus", "large"]
@@ -64,7 +66,7 @@ class Shipped:
 def best_masks(images: DataFrame, prompts: DataFrame, loader: Callable[[], object]) -> DataFrame:
     """(key, best, score, runs) for prompts(key, page_id, points, box) over images(page_id, height, width, gray binary).
 
-    A page's image is set once for all its prompts. points are structs (x, y, label), label 1 for what is meant and 0 for what is
+    A page's image is set once for all its prompts, and equal prompts of a page are asked once. points are structs (x, y, label), label 1 for what is meant and 0 for what is
     not; box is (x0, y0, x1, y1) or null. Of the masks that the model offers the one of the highest score is taken, the first
     of equal ones, as runs of pixels of a row. Prompts without points and box, or on pages without an image, have no row.
     """
@@ -75,19 +77,24 @@ def best_masks(images: DataFrame, prompts: DataFrame, loader: Callable[[], objec
             model = loader()
             page = left.iloc[0]
             model.set_image(np.frombuffer(page["gray"], np.uint8).reshape(page["height"], page["width"]))
-            for key, points, box in right[["key", "points", "box"]].itertuples(index=False):
-                points = [] if points is None else list(points)
+            for asked, box in right[["points", "box"]].itertuples(index=False):
+                points = [] if asked is None else list(asked)
                 if not points and box is None:
                     continue
                 masks, scores = model.predict(np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2), np.array([p["label"] for p in points], int), None if box is None else np.array(box, float))
                 k = int(np.argmax(scores))
                 edge = np.diff(np.pad(masks[k], ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 (y, x0), x1 = np.nonzero(edge == 1), np.nonzero(edge == -1)[1] - 1
-                rows.append((key, k, float(scores[k]), [{"y": a, "x0": b, "x1": c} for a, b, c in zip(y.tolist(), x0.tolist(), x1.tolist(), strict=True)]))
-        return pd.DataFrame(rows, columns=["key", "best", "score", "runs"])
-
-    pages = images.select("page_id", "height", "width", "gray").groupBy("page_id")
-    return pages.cogroup(prompts.select("page_id", "key", "points", "box").groupBy("page_id")).applyInPandas(run, "key long, best int, score double, runs array<struct<y:int,x0:int,x1:int>>")
+                rows.append((page["page_id"], asked, box, k, float(scores[k]), [{"y": a, "x0": b, "x1": c} for a, b, c in zip(y.tolist(), x0.tolist(), x1.tolist(), strict=True)]))
+        return pd.DataFrame(rows, columns=["of", "asked", "within", "best", "score", "runs"])
+
+    pages = dealt(images.select("page_id", "height", "width", "gray"), "page_id").groupBy("page_id")
+    distinct = prompts.select("page_id", "points", "box").distinct()
+    kinds = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
+    masks = pages.cogroup(dealt(distinct, "page_id").groupBy("page_id")).applyInPandas(
+        run, f"of {kinds['page_id']}, asked {kinds['points']}, within {kinds['box']}, best int, score double, runs array<struct<y:int,x0:int,x1:int>>")
+    same = (F.col("page_id") == F.col("of")) & F.col("points").eqNullSafe(F.col("asked")) & F.col("box").eqNullSafe(F.col("within"))
+    return prompts.select("page_id", "key", "points", "box").join(masks, same).select(F.col("key").cast("long").alias("key"), "best", "score", "runs")
 
 
 def page_images(raster: DataFrame, height: int, width: int) -> DataFrame:

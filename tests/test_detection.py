@@ -194,6 +194,36 @@ def test_prompts_and_weights(spark, tmp_path):
     assert [tuple(r) for r in got[2].runs] == [(k, 8, 11) for k in range(8, 12)]
 
 
+class Counting:
+    """Squares that write a line for each prompt."""
+
+    def __init__(self, path):
+        from plumbline.plans import stand_ins
+
+        self.inner, self.log = stand_ins.Squares(path), path + ".asked"
+        self.set_image = self.inner.set_image
+
+    def predict(self, points, labels, box):
+        with open(self.log, "a") as file:
+            file.write("asked\n")
+        return self.inner.predict(points, labels, box)
+
+
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    import json
+
+    from plumbline.operators import inference
+
+    weights = tmp_path / "weights"
+    weights.write_text(json.dumps({"radii": [1, 2]}))
+    images = spark.createDataFrame([(1, 8, 8, bytes(range(100, 164)))], "page_id long, height int, width int, gray binary")
+    rows = [(k, 1, [{"x": 3.0 + k % 2, "y": 3.0, "label": 1}], [0.0, 0.0, 4.0, 4.0] if k % 3 == 0 else None) for k in range(48)]
+    prompts = spark.createDataFrame(rows, "key long, page_id long, points array<struct<x:double,y:double,label:int>>, box array<double>")
+    got = inference.best_masks(images, prompts, lambda: Counting(str(weights))).collect()
+    assert {r.key for r in got} == set(range(48)) and len({(r.key % 6, tuple(map(tuple, r.runs)), r.score) for r in got}) == 6
+    assert len((tmp_path / "weights.asked").read_text().splitlines()) == 4
+
+
 def test_rooms_by_table_function_equal_those_of_groups(spark, sf):
     from plumbline.operators import rooms
     from plumbline.plans.relations import HEIGHT, WIDTH, workspace
