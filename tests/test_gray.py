@@ -10,6 +10,7 @@ from tests.test_catalog import plain
 NAMES = (
     "ras19_clean",
     "ras21_annotation_cleaning",
+    "ras22_normalise",
 )
 
 
