@@ -11,6 +11,7 @@ NAMES = (
     "ras19_clean",
     "ras21_annotation_cleaning",
     "ras22_normalise",
+    "ras23_pixel_classes",
 )
 
 
