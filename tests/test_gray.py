@@ -12,6 +12,7 @@ NAMES = (
     "ras21_annotation_cleaning",
     "ras22_normalise",
     "ras23_pixel_classes",
+    "ras41_resize_nearest",
 )
 
 
