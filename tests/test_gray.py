@@ -13,6 +13,7 @@ NAMES = (
     "ras22_normalise",
     "ras23_pixel_classes",
     "ras41_resize_nearest",
+    "set01_union_barriers",
 )
 
 
