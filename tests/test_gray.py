@@ -14,6 +14,7 @@ NAMES = (
     "ras23_pixel_classes",
     "ras41_resize_nearest",
     "set01_union_barriers",
+    "set02_union_noise",
 )
 
 
