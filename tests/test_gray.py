@@ -15,6 +15,7 @@ NAMES = (
     "ras41_resize_nearest",
     "set01_union_barriers",
     "set02_union_noise",
+    "set06_union_runs",
 )
 
 
