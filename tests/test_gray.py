@@ -16,6 +16,7 @@ NAMES = (
     "set01_union_barriers",
     "set02_union_noise",
     "set06_union_runs",
+    "ras03_gray",
 )
 
 
