@@ -17,6 +17,7 @@ NAMES = (
     "set02_union_noise",
     "set06_union_runs",
     "ras03_gray",
+    "ras06_open",
 )
 
 
