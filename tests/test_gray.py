@@ -18,6 +18,7 @@ NAMES = (
     "set06_union_runs",
     "ras03_gray",
     "ras06_open",
+    "ras08_distance",
 )
 
 
