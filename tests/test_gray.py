@@ -19,6 +19,7 @@ NAMES = (
     "ras03_gray",
     "ras06_open",
     "ras08_distance",
+    "ras09_distance_band",
 )
 
 
