@@ -5,6 +5,8 @@ Each works on pages of bounded resolution, one page an Arrow group; joins and ra
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,7 @@ from plumbline.operators.steps import dealt
 SPOT = ["page_id", "cy", "cx"]
 # How a stroke was found: by horizontal, vertical or all runs, or as the ink around the click.
 DIRECTIONS = ("H", "V", "COMBINED", "LOCAL")
+STROKES = "page_id long, direction string, ys array<int>, xs array<int>, spots array<struct<cy:int,cx:int>>"
 ROOMS = "page_id long, room_seq int, wall_count int, area double, perimeter double, cx double, cy double, mask binary"
 
 
@@ -184,14 +187,16 @@ def trace_walls(ink: DataFrame, clicks: DataFrame, height: int, width: int, **op
 
 def _nearest(mask: np.ndarray, cy: int, cx: int, reach: int, depth: np.ndarray | None = None) -> tuple[int, int] | None:
     """The set pixel of the nearest square ring within reach: the deepest of the ring, if depth is given, then by row and column."""
-    top, side = max(0, cy - reach), max(0, cx - reach)
-    ys, xs = np.nonzero(mask[top : max(0, cy + reach + 1), side : max(0, cx + reach + 1)])
-    if not len(ys):
-        return None
-    ys, xs = ys + top, xs + side
-    deep = np.zeros(len(ys)) if depth is None else -depth[ys, xs]
-    k = np.lexsort((xs, ys, deep, np.maximum(abs(ys - cy), abs(xs - cx))))[0]
-    return int(ys[k]), int(xs[k])
+    # Most are found in the rings close by, which are looked at alone first.
+    for near in (min(3, reach), reach):
+        top, side = max(0, cy - near), max(0, cx - near)
+        ys, xs = np.nonzero(mask[top : max(0, cy + near + 1), side : max(0, cx + near + 1)])
+        if len(ys):
+            ys, xs = ys + top, xs + side
+            deep = np.zeros(len(ys)) if depth is None else -depth[ys, xs]
+            k = np.lexsort((xs, ys, deep, np.maximum(abs(ys - cy), abs(xs - cx))))[0]
+            return int(ys[k]), int(xs[k])
+    return None
 
 
 def _odd(n: float, least: int) -> int:
@@ -217,7 +222,7 @@ class _Tracer:
     def __init__(self, mask: np.ndarray, per_point: float, least: int):
         self.mask, self.depth, self.least = mask, r.distance_transform(mask), least
         self.run, self.junction = max(8, int(8 * per_point)), 4 * (max(5, int(3 * per_point)) // 2)
-        self.padded, self.by_depth = grow(mask, 4), {}
+        self.padded, self.by_depth, self.wide = grow(mask, 4), {}, {}
 
     def _parts(self, d: float) -> list[np.ndarray]:
         """Labels of horizontal, vertical and all runs of ink of like depth, without the zones around crossings."""
@@ -228,8 +233,8 @@ class _Tracer:
             self.by_depth[d] = [r.label_array(runs & clear, eight=True) for runs in (flat, upright, flat | upright)]
         return self.by_depth[d]
 
-    def at(self, y: int, x: int) -> tuple[np.ndarray, str] | None:
-        """The smallest stroke at a pixel of ink, in its full width, and its direction; curves and slants only by all runs together."""
+    def at(self, y: int, x: int) -> tuple[tuple, np.ndarray, str] | None:
+        """The smallest stroke at a pixel of ink: its name, its pixels in full width, and its direction; curves and slants only by all runs together."""
         d, found = self.depth[y, x], []
         *straight, every = self._parts(d)
         for k, part in enumerate((*straight, every)):
@@ -237,14 +242,46 @@ class _Tracer:
                 break
             at = _nearest(part > 0, y, x, 20) if np.count_nonzero(part) >= 5 else None
             if at is not None:
-                wide = grow(grow(part == part[at], _odd(3 * d, 3) // 2) & self.padded, 2)
-                if wide.sum() > self.least:
-                    found.append((wide, DIRECTIONS[k]))
-        return min(found, key=lambda f: f[0].sum()) if found else None
+                name = (d, k, int(part[at]))
+                if name not in self.wide:
+                    wide = grow(grow(part == part[at], _odd(3 * d, 3) // 2) & self.padded, 2)
+                    self.wide[name] = int(wide.sum()), wide
+                if self.wide[name][0] > self.least:
+                    found.append(name)
+        if not found:
+            return None
+        name = min(found, key=lambda f: self.wide[f][0])
+        return name, self.wide[name][1], DIRECTIONS[name[1]]
+
+
+def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, **options: float) -> DataFrame:
+    """(page_id, cy, cx, y, x, direction): the pixels of ``traced_strokes`` for each distinct clicked pixel."""
+    each = traced_strokes(ink, clicks, height, width, **options).withColumn("at", F.explode("spots")).select("page_id", "at.cy", "at.cx", F.explode(F.arrays_zip("ys", "xs")).alias("p"), "direction")
+    return each.select(*SPOT, F.col("p.ys").alias("y"), F.col("p.xs").alias("x"), "direction")
+
+
+def _strokes(ink: DataFrame, clicks: DataFrame, height: int, width: int, find: Callable[[np.ndarray], Callable[[int, int], tuple | None]]) -> DataFrame:
+    """(page_id, direction, ys, xs, spots): each stroke's pixels once, with the clicked pixels that mean it, whatever the number of clicks on them.
+
+    find(ink) gives a function of a clicked pixel to a stroke's name, its direction and its pixels; None where there is none.
+    """
+
+    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found: dict = {}
+        if len(left) and len(right):
+            at = find(to_array(left, height, width))
+            for cy, cx in right[["cy", "cx"]].itertuples(index=False):
+                got = at(cy, cx)
+                if got is not None:
+                    found.setdefault(got[0], (key[0], *got[1:], []))[-1].append({"cy": cy, "cx": cx})
+        rows = [(page, way, *(a.astype(np.int32) for a in pixels), spots) for page, way, pixels, spots in found.values()]
+        return pd.DataFrame(rows, columns=["page_id", "direction", "ys", "xs", "spots"])
+
+    return dealt(ink, "page_id").groupBy("page_id").cogroup(dealt(clicks.select(*SPOT).distinct(), "page_id").groupBy("page_id")).applyInPandas(run, STROKES)
 
 
-def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, per_point: float = 1.0, least: int = 20) -> DataFrame:
-    """(page_id, cy, cx, y, x, direction): the wall stroke that each distinct clicked pixel means, whatever the number of clicks on it.
+def traced_strokes(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 25, per_point: float = 1.0, least: int = 20) -> DataFrame:
+    """STROKES: the wall stroke that each distinct clicked pixel means.
 
     The nearest ink within ``radius`` gives the local thickness; ink of like distance to the border is opened into
     horizontal and vertical runs, which are cut at junctions. The smallest of the horizontal, the vertical and, where
@@ -253,23 +290,39 @@ def trace_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, r
     """
     box = int(max(60, 40 * per_point))
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            tracer = _Tracer(to_array(left, height, width), per_point, least)
-            traced = {}
-            for cy, cx in right[["cy", "cx"]].itertuples(index=False):
-                at = _nearest(tracer.mask, cy, cx, radius, tracer.depth)
-                if at is None:
-                    continue
-                if at not in traced:
-                    best, way = tracer.at(*at) or (local_part(tracer.mask, *at, box), DIRECTIONS[3])
-                    traced[at] = [a.astype(np.int32) for a in np.nonzero(best)], way
-                (ys, xs), way = traced[at]
-                out.append(pd.DataFrame({"page_id": key[0], "cy": cy, "cx": cx, "y": ys, "x": xs, "direction": way}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in (*SPOT, "y", "x")}).assign(direction=pd.Series(dtype="str"))
-
-    return dealt(ink, "page_id").groupBy("page_id").cogroup(dealt(clicks.select(*SPOT).distinct(), "page_id").groupBy("page_id")).applyInPandas(run, "page_id long, cy int, cx int, y int, x int, direction string")
+    def find(mask: np.ndarray):
+        tracer, traced = _Tracer(mask, per_point, least), {}
+
+        def at(cy: int, cx: int) -> tuple | None:
+            spot = _nearest(mask, cy, cx, radius, tracer.depth)
+            if spot is not None and spot not in traced:
+                name, best, way = tracer.at(*spot) or (spot, local_part(mask, *spot, box), DIRECTIONS[3])
+                traced[spot] = name, way, np.nonzero(best)
+            return traced.get(spot)
+
+        return at
+
+    return _strokes(ink, clicks, height, width, find)
+
+
+def component_strokes(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, radius: int = 20) -> DataFrame:
+    """STROKES: the component of ink, by corners too, nearest to each distinct clicked pixel within ``radius``."""
+
+    def find(mask: np.ndarray):
+        parts, pixels = r.label_array(mask, eight=True), {}
+
+        def at(cy: int, cx: int) -> tuple | None:
+            spot = _nearest(mask, cy, cx, radius)
+            if spot is None:
+                return None
+            part = int(parts[spot])
+            if part not in pixels:
+                pixels[part] = np.nonzero(parts == part)
+            return part, DIRECTIONS[3], pixels[part]
+
+        return at
+
+    return _strokes(ink, clicks, height, width, find)
 
 
 def local_spots(ink: DataFrame, clicks: DataFrame, height: int, width: int, *, box: int = 60) -> DataFrame:
