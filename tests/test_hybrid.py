@@ -57,7 +57,7 @@ def test_components_are_strokes_once(spark):
     assert got == [(1, "LOCAL", [(2, 2), (3, 3)], [(0, 0), (2, 2)]), (1, "LOCAL", [(3, 30)], [(4, 29)])]
 
 
-@pytest.mark.parametrize("name", ["ras31_hybrid_component"])
+@pytest.mark.parametrize("name", ["ras31_hybrid_component", "ras31_hybrid_select"])
 def test_only_results_meet_their_clicks(spark, sf, name):
     """Neither a result's pixels nor its pairs with edges are joined or written: one join names results by clicks."""
     from plumbline.plans import catalog
