@@ -248,3 +248,21 @@ def test_openings_of_one_shape_are_measured_once(spark, monkeypatch):
         assert (r.pixels, r.area) == (mask.sum(), strokes.precise_area(np.pad(mask, 1)))
     plan = strokes.openings(spark.range(9).selectExpr("id", "100D + id as x0", "100D as y0", "110D + id as x1", "104D as y1", "1D as scale_factor").coalesce(1), ["id"])
     assert plan.rdd.getNumPartitions() > 1  # the few bytes of a table of clicks do not make one task of all its drawings
+
+
+def test_rooms_are_split_and_named_in_one_task(spark, sf):
+    """The page's kernel names rooms as ``name_rooms`` does, and it stands once in the plan: no room's runs are joined with labels."""
+    from plumbline.operators import rooms
+    from plumbline.plans import catalog
+
+    rng = np.random.default_rng(8)
+    walls = [(p, *a, 2) for p in (1, 2, 3) for k in range(5) for a in [(10.0, 10.0 + 20 * k, 170.0, 10.0 + 20 * k), (10.0 + 40 * k, 10.0, 10.0 + 40 * k, 90.0)]]
+    lines = spark.createDataFrame(walls, "page_id long, x0 double, y0 double, x1 double, y1 double, thick int")
+    texts = [(int(rng.integers(1, 5)), str(rng.choice(["Hall", "Stue", "Bad"])), float(rng.integers(0, 200)) / 2, float(rng.integers(0, 110)) / 2, bool(rng.random() < 0.8)) for _ in range(40)]
+    labels = spark.createDataFrame([t for t in texts if t[0] != 3], "page_id long, text string, x double, y double, is_room_label boolean")
+    want = rooms.name_rooms(rooms.split_lines(lines, 110, 200, scale=2.0, close=1), labels, reach=6.0, scale=2.0).collect()
+    got = rooms.named_rooms(lines, labels, 110, 200, scale=2.0, close=1, reach=6.0).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got[0].asDict().keys() == want[0].asDict().keys()
+    assert {"Room"} < {t.name.split()[0] for t in got} and len(got) > 40
+    plan = catalog.queries()["ras33_vector_rooms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and "explode(runs" not in plan
