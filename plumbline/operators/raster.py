@@ -163,8 +163,12 @@ def label_array(mask: np.ndarray, eight: bool = False) -> np.ndarray:
     Runs of a row are joined to those that they touch in the next; with ``eight``, by a corner too.
     """
     h, w = mask.shape
-    edge = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    (row, start), end = np.nonzero(edge == 1), np.nonzero(edge == -1)[1]
+    edge = np.zeros((h, w + 1), bool)
+    edge[:, :w] = mask
+    edge[:, 1:] ^= mask
+    turns = np.flatnonzero(edge)  # a run begins, ends, the next one begins
+    row, start = np.divmod(turns[::2], w + 1)
+    end = turns[1::2] - row * (w + 1)
     below = (row + 1) * (w + 1)
     lo = np.searchsorted(row * (w + 1) + end, below + start, "left" if eight else "right")
     n = np.maximum(np.searchsorted(row * (w + 1) + start, below + end, "right" if eight else "left") - lo, 0)
@@ -319,17 +323,16 @@ def simplify(points: np.ndarray, eps: float) -> np.ndarray:
     if len(points) < 3:
         return points
 
-    def keep(lo: int, hi: int, ring: np.ndarray, marked: np.ndarray) -> None:
+    def keep(lo: int, hi: int, marked: np.ndarray) -> None:
         todo = [(lo, hi)]
         while todo:
             i, j = todo.pop()
             if j - i < 2:
                 continue
-            a, b = ring[i].astype(float), ring[j].astype(float)
-            d = b - a
-            n = np.hypot(*d)
-            p = ring[i + 1 : j] - a
-            dist = np.abs(d[0] * p[:, 1] - d[1] * p[:, 0]) / n if n else np.hypot(p[:, 0], p[:, 1])
+            px, py = x[i + 1 : j] - x[i], y[i + 1 : j] - y[i]
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            n = np.hypot(dx, dy)
+            dist = np.abs(dx * py - dy * px) / n if n else np.hypot(px, py)
             k = int(dist.argmax())
             if dist[k] > eps:
                 marked[i + 1 + k] = True
@@ -337,20 +340,21 @@ def simplify(points: np.ndarray, eps: float) -> np.ndarray:
 
     far = int(np.hypot(*(points - points[0]).T.astype(float)).argmax())
     ring = np.vstack((points, points[:1]))
+    x, y = np.ascontiguousarray(ring.T, float)
     marked = np.zeros(len(ring), bool)
     marked[[0, far]] = True
-    keep(0, far, ring, marked)
-    keep(far, len(ring) - 1, ring, marked)
+    keep(0, far, marked)
+    keep(far, len(ring) - 1, marked)
     return ring[:-1][marked[:-1]]
 
 
 def perimeter(points: np.ndarray) -> float:
-    return float(np.hypot(*(np.roll(points, -1, axis=0) - points).T.astype(float)).sum()) if len(points) > 1 else 0.0
+    return float(np.hypot(*(np.concatenate((points[1:], points[:1])) - points).T.astype(float)).sum()) if len(points) > 1 else 0.0
 
 
 def area(points: np.ndarray) -> float:
     x, y = points.T.astype(float) if len(points) else (np.zeros(0), np.zeros(0))
-    return float(abs(np.dot(x, np.roll(y, -1)) - np.dot(y, np.roll(x, -1))) / 2)
+    return float(abs(np.dot(x, np.append(y[1:], y[:1])) - np.dot(y, np.append(x[1:], x[:1]))) / 2)
 
 
 def png(image: np.ndarray) -> bytes:

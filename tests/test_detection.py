@@ -266,3 +266,27 @@ def test_rooms_are_split_and_named_in_one_task(spark, sf):
     assert {"Room"} < {t.name.split()[0] for t in got} and len(got) > 40
     plan = catalog.queries()["ras33_vector_rooms"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapCoGroupsInPandas") == 1 and "explode(runs" not in plan
+
+
+def test_a_wands_page_is_gathered_once(spark, sf):
+    """The item hit and its layer are found in one task a page; a layer's mask is the item's pixels as ``spine`` has them, widened."""
+    import pandas as pd
+
+    from plumbline.operators import drawings
+    from plumbline.plans import catalog
+
+    plan = catalog.queries()["ras32_magic_wand"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1 and "explode(sides" not in plan
+    rng = np.random.default_rng(4)
+    corners = {"l": 2, "re": 2, "qu": 4}
+    kinds = [str(rng.choice(list(corners))) for _ in range(40)]
+    rows = [(1, k, str(rng.choice(["fill", "stroke"])), str(rng.choice(["A", "B"])), None, float(rng.choice([1.0, 1.4, 12.0])), kind, [tuple(map(float, rng.integers(-10, 150, 2))) for _ in range(corners[kind])]) for k, kind in enumerate(kinds)]
+    items = spark.createDataFrame(rows, "page_id long, item_id long, type string, color string, fill string, width double, kind string, points array<struct<x:double,y:double>>")
+    frame = pd.DataFrame([(k, t, w, kind, [p[0] for p in at], [p[1] for p in at], t + c) for _, k, t, c, _, w, kind, at in rows], columns=["item_id", "type", "width", "kind", "xs", "ys", "kind_of"])
+    page = drawings._Page(frame, 0.25, 30, 35)
+    for k, wide in ((0, 1.0), (7, 12.0)):
+        like = [i for _, i, t, c, _, w, *_ in rows if (t, c) == rows[k][2:4] and abs(w - wide) <= 0.5]
+        want = np.zeros((30, 35), bool)
+        for s in drawings.spine(items.where(F.col("item_id").isin(like)), F.lit(max(2, int(wide * 0.25))), 0.25, "item_id").collect():
+            want[max(0, s.y - s.reach) : max(0, s.y + s.reach + 1), max(0, s.x - s.reach) : max(0, s.x + s.reach + 1)] = True
+        assert want.any() and (page._mask(page.kind[k], wide) == want).all()
