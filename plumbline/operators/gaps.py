@@ -54,6 +54,25 @@ def near_points(gaps: DataFrame, points: DataFrame, reach: float | Column, cell:
     return wide.join(points.withColumn("gx", F.floor(F.col("px") / cell)).withColumn("gy", F.floor(F.col("py") / cell)), ["page_id", "gx", "gy"])
 
 
+def nearest_text(gaps: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """(page_id, gap_id, text): for each of gaps(page_id, gap_id, mx, my) the nearest of points(page_id, px, py, text) strictly within
+    ``reach``, the smallest text of equally near ones; null without one. Gaps and points are one relation, dealt once by page."""
+    gap, point = F.struct("gap_id", "mx", "my"), F.struct("px", "py", "text")
+    no_gap, no_point = (F.lit(None).cast(df.select(c).schema[0].dataType) for df, c in ((gaps, gap), (points, point)))
+    own = gaps.select("page_id", gap.alias("gap"), no_point.alias("point"))
+    together = own.unionAll(points.select("page_id", no_gap.alias("gap"), point.alias("point"))).repartition("page_id")
+    around = F.when(F.col("gap").isNotNull(), reach).otherwise(0.0)
+    cover = lambda m, p: F.explode(F.sequence(F.floor((F.coalesce(m, p) - around) / (2 * reach)), F.floor((F.coalesce(m, p) + around) / (2 * reach))))
+    cells = together.withColumn("gx", cover("gap.mx", "point.px")).withColumn("gy", cover("gap.my", "point.py")).groupBy("page_id", "gx", "gy").agg(F.collect_list("gap").alias("gaps"), F.collect_list("point").alias("points"))
+
+    def beside(p: Column) -> Column:
+        g = F.col("gap")
+        return F.struct(F.sqrt((p.px - g.mx) * (p.px - g.mx) + (p.py - g.my) * (p.py - g.my)).alias("d"), p.text.alias("text"))
+
+    met = cells.select("page_id", "points", F.explode("gaps").alias("gap")).select("page_id", "gap.gap_id", F.array_min(F.filter(F.transform("points", beside), lambda z: z.d < reach)).alias("best"))
+    return met.groupBy("page_id", "gap_id").agg(F.min("best").alias("best")).select("page_id", "gap_id", "best.text")
+
+
 def with_arcs(gaps: DataFrame, curves: DataFrame) -> DataFrame:
     """(page_id, gap_id) of gaps near an arc: four points or more, 8 to 4 widths large, centre within 1.8 widths."""
     arcs = curves.where("n_pts >= 4 and size >= 8").select("page_id", F.col("cx").alias("px"), F.col("cy").alias("py"), "size")

@@ -290,3 +290,21 @@ def test_a_wands_page_is_gathered_once(spark, sf):
         for s in drawings.spine(items.where(F.col("item_id").isin(like)), F.lit(max(2, int(wide * 0.25))), 0.25, "item_id").collect():
             want[max(0, s.y - s.reach) : max(0, s.y + s.reach + 1), max(0, s.x - s.reach) : max(0, s.x + s.reach + 1)] = True
         assert want.any() and (page._mask(page.kind[k], wide) == want).all()
+
+
+def test_labels_of_gaps_are_dealt_by_page_once(spark, sf):
+    """Texts, edges, and gaps with labels are dealt once each; the nearest text is that of all pairs, ties by text."""
+    from plumbline.operators import gaps
+    from plumbline.plans import catalog
+
+    rng = np.random.default_rng(6)
+    own = [(int(p), k, float(x), float(y)) for k, (p, x, y) in enumerate(rng.integers(0, (3, 60, 60), (80, 3)))]
+    points = [(int(p), float(x), float(y), t) for p, x, y, t in zip(*rng.integers(0, (3, 60, 60), (60, 3)).T, rng.choice(list("abcd"), 60), strict=True)]
+    got = gaps.nearest_text(spark.createDataFrame(own, "page_id long, gap_id long, mx double, my double"), spark.createDataFrame(points, "page_id long, px double, py double, text string"), 9.0).collect()
+    near = lambda g: [(np.hypot(p[1] - g[2], p[2] - g[3]), p[3]) for p in points if p[0] == g[0]]
+    want = {(g[0], g[1]): min(((round(d, 9), t) for d, t in near(g) if d < 9), default=(0, None))[1] for g in own}
+    assert {(r.page_id, r.gap_id): r.text for r in got} == want and len(got) == 80 and 0 < sum(t is None for t in want.values()) < 80
+    plan = catalog.queries()["jn12_label_fallback"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3 and "Join" not in plan
+    generate = plan.index("Generate posexplode(split(")
+    assert "Exchange" in plan[generate:] and plan[generate:].count("Exchange") == 1  # texts, not their words
